@@ -54,7 +54,7 @@ def _remixed(h: np.ndarray, i: int) -> np.ndarray:
     """The i-th independent 64 bits of each hash (0: the hash itself)."""
     if i == 0:
         return h
-    h = h + np.uint64(i) * _MIX[0]
+    h = h + np.uint64(i * int(_MIX[0]) & (1 << 64) - 1)
     h = (h ^ (h >> np.uint64(30))) * _MIX[1]
     h = (h ^ (h >> np.uint64(27))) * _MIX[2]
     return h ^ (h >> np.uint64(31))

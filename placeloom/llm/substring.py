@@ -181,6 +181,19 @@ def factored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
     return docs.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(cleaned, "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start: long, length: long>>")
 
 
+def cleaned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df with what ``factored`` keeps as text; all other columns stay, n_chars, if there, is counted anew.
+
+    A text of which nothing goes stays as it is, white space included. Rows with a null id stay as they are;
+    ids must tell rows apart: of rows that repeat an id only the row of the most removed words counts for all.
+    """
+    own = factored(df, id_col, text_col).where("n_removed > 0 AND doc_id IS NOT NULL")
+    changed = own.groupBy(F.col("doc_id").alias("__id")).agg(F.max_by("kept", "n_removed").alias("__kept"))
+    rows = df.join(changed, F.col(f"`{id_col}`").cast("long") == F.col("__id"), "left")
+    text = F.coalesce("__kept", F.col(f"`{text_col}`"))
+    return rows.select(*(text.alias(c) if c == text_col else F.when(F.col("__kept").isNotNull(), F.length("__kept")).otherwise(F.col("n_chars")).cast(df.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in df.columns))
+
+
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factored(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
