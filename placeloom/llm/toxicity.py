@@ -28,7 +28,7 @@ FOLDS, HELD_OUT = 5, 0
 #: Labelled documents that the lexicon is fitted on, by hash of their id.
 SAMPLE = 20_000
 #: Lengths of word beginnings that may become entries; documents an entry needs; least G2 and log rate ratio.
-SHORTEST, LONGEST, DOCUMENTS, G2, RATIO = 3, 12, 5, 25.0, 1.5
+SHORTEST, LONGEST, DOCUMENTS, G2, RATIO = 3, 12, 5, 25.0, 2.5
 #: Entries at most (a lexicon's size, whatever the input); hits of an entry that one training document counts for.
 ENTRIES, CLIP = 500, 4
 
@@ -82,11 +82,13 @@ class Lexicon:
         return a
 
 
-FLOOR = 1e-4
+FLOOR = 1e-3
+#: Words without a match that each text is taken to have besides its own: one match in a short text tells little.
+PRIOR = 20
 
 
 def density(automaton, text: str) -> float:
-    """Sum of the weights of the matches by the number of words."""
+    """Sum of the weights of the matches by the number of words and PRIOR."""
     words = len(text.split())
     if not words or not len(automaton):
         return 0.0
@@ -102,7 +104,7 @@ def density(automaton, text: str) -> float:
         if start <= last or any(a <= start and end <= b for a, b, _ in benign):
             continue  # inside a longer match or an exception
         total, last = total + weight, end
-    return total / words
+    return total / (words + PRIOR)
 
 
 def logistic(lexicon: Lexicon, x: np.ndarray) -> np.ndarray:
@@ -169,7 +171,7 @@ def fit(documents: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = (
     for b, (docs, hits) in bad.items():
         others, theirs = good.get(b, (0, 0))
         rate = math.log((hits + 0.5) / (n_words + 1)) - math.log((theirs + 0.5) / (m_words + 1))
-        g = _g2(docs, n, others, m)
+        g = _g2(hits, n_words, theirs, m_words)
         if docs / n > others / m and g >= G2 and rate >= RATIO:
             ranked.append((-round(g, 6), -len(b), b, min(rate, 8.0)))
     entries: dict[str, tuple[float, bool]] = {}
