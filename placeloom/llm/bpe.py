@@ -18,7 +18,7 @@ from placeloom.llm.tokenizer_files import path
 #: Pre-token pattern of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens remembered by a worker; beyond it the memory starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 NEVER = 1 << 62
 
 
@@ -29,6 +29,10 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
+#: Up to U+0377 every code point is assigned: a quick look for texts that hold others.
+BEYOND = re.compile("[^\\x00-\\u0377]")
+
+
 def unassigned_characters() -> re.Pattern:
     """Matches a character that Python's Unicode tables don't know.
 
@@ -45,31 +49,62 @@ def unassigned_characters() -> re.Pattern:
     return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]")
 
 
-class SegmentTree:
-    """Minimum over leaves with point updates; ties go to the left, as a leaf's place is part of its key."""
-
-    def __init__(self, keys: list[int]):
-        self.size = 1 << max(0, (len(keys) - 1).bit_length())
-        self.tree = [NEVER] * self.size + keys + [NEVER] * (self.size - len(keys))
-        tree = self.tree
-        for i in range(self.size - 1, 0, -1):
-            a, b = tree[2 * i], tree[2 * i + 1]
-            tree[i] = a if a < b else b
-
-    def root(self) -> int:
-        return self.tree[1]
-
-    def update(self, leaf: int, key: int) -> None:
-        tree, i = self.tree, self.size + leaf
-        tree[i] = key
-        i >>= 1
-        while i:
-            a, b = tree[2 * i], tree[2 * i + 1]
-            least = a if a < b else b
-            if tree[i] == least:
-                break
-            tree[i] = least
+def merged(ids: list[int], rank_of: dict[int, int], made: list[int]) -> list[int]:
+    """The ids after all merges. rank_of: pair (left << 32 | right) -> rank; made: id that the pair of a rank becomes.
+
+    A segment tree stands over the pairs of neighbours: a leaf holds its pair's rank and place, or
+    NEVER, and an inner node the least of its two, so the root is the leftmost pair of the lowest
+    rank. A merge changes three leaves, each with its way to the root.
+    """
+    n = len(ids)
+    if n < 2:
+        return ids
+    get, shift = rank_of.get, n.bit_length()
+    mask = (1 << shift) - 1
+    size = 1 << (n - 2).bit_length()
+    tree = [NEVER] * (2 * size)
+    left = ids[0]
+    for i in range(1, n):
+        right = ids[i]
+        rank = get(left << 32 | right)
+        if rank is not None:
+            tree[size + i - 1] = rank << shift | i - 1
+        left = right
+    for i in range(size - 1, 0, -1):
+        a, b = tree[2 * i], tree[2 * i + 1]
+        tree[i] = a if a < b else b
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    while (least := tree[1]) != NEVER:
+        left = least & mask
+        right = after[left]
+        ids[left], ids[right] = made[least >> shift], -1
+        nxt = after[left] = after[right]
+        key = NEVER
+        if nxt < n:
+            before[nxt] = left
+            rank = get(ids[left] << 32 | ids[nxt])
+            if rank is not None:
+                key = rank << shift | left
+        changed = [(left, key)]
+        if right < n - 1:
+            changed.append((right, NEVER))
+        prev = before[left]
+        if prev >= 0:
+            rank = get(ids[prev] << 32 | ids[left])
+            changed.append((prev, NEVER if rank is None else rank << shift | prev))
+        for leaf, key in changed:
+            i = size + leaf
+            tree[i] = key
             i >>= 1
+            while i:
+                a, b = tree[2 * i], tree[2 * i + 1]
+                if b < a:
+                    a = b
+                if tree[i] == a:
+                    break
+                tree[i] = a
+                i >>= 1
+    return [i for i in ids if i >= 0]
 
 
 class ByteBPE:
@@ -82,10 +117,12 @@ class ByteBPE:
         vocab, letters = spec["model"]["vocab"], byte_letters()
         of_letter = {c: b for b, c in enumerate(letters)}
         self.first = [vocab[c] for c in letters]
-        self.merges: dict[int, tuple[int, int]] = {}  # pair of ids -> rank, id
+        self.rank_of: dict[int, int] = {}
+        self.made: list[int] = []
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges.setdefault(vocab[a] << 32 | vocab[b], (rank, vocab[a + b]))
+            self.rank_of.setdefault(vocab[a] << 32 | vocab[b], rank)
+            self.made.append(vocab[a + b])
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         size = max([*vocab.values(), *self.added.values()]) + 1
         self.bytes = [b""] * size
@@ -98,9 +135,13 @@ class ByteBPE:
         self.at_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.known = _Known(self)
 
+    def is_odd(self, text: str) -> bool:
+        """Whether libraries may cut the text differently."""
+        return not text.isascii() and bool((first := BEYOND.search(text)) and self.odd.search(text, first.start()))
+
     def find(self, text: str) -> list[str]:
         """Pre-tokens of a text without added tokens."""
-        if text.isascii() or not self.odd.search(text):
+        if not self.is_odd(text):
             return self.pattern(text)
         if self.library is None:
             from tokenizers import Tokenizer
@@ -109,35 +150,9 @@ class ByteBPE:
         return [text[a:b] for _, (a, b) in self.library.pre_tokenize_str(text)]
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token: the root of the tree is merged until no pair has a rank."""
-        ids = [self.first[b] for b in piece]
-        n = len(ids)
-        if n < 2:
-            return ids
-        get, shift = self.merges.get, n.bit_length()
-        mask = (1 << shift) - 1
-
-        def key(left: int, right: int) -> int:
-            found = get(ids[left] << 32 | ids[right])
-            return found[0] << shift | left if found else NEVER
-
-        tree = SegmentTree([key(i, i + 1) for i in range(n - 1)])
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        while (least := tree.root()) != NEVER:
-            left = least & mask
-            right = after[left]
-            ids[left], ids[right] = get(ids[left] << 32 | ids[right])[1], -1
-            nxt = after[left] = after[right]
-            if right < n - 1:
-                tree.update(right, NEVER)
-            if nxt < n:
-                before[nxt] = left
-                tree.update(left, key(left, nxt))
-            else:
-                tree.update(left, NEVER)
-            if (prev := before[left]) >= 0:
-                tree.update(prev, key(prev, left))
-        return [i for i in ids if i >= 0]
+        """Ids of one pre-token."""
+        first = self.first
+        return merged([first[b] for b in piece], self.rank_of, self.made)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; strings of added tokens are those tokens."""
