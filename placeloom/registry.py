@@ -1,6 +1,5 @@
 """All queries of the library, by name, with their SQL where it can be said in SQL."""
 
-from __future__ import annotations
+from placeloom.plans.catalog import ORACLE_SQL, QUERIES
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
