@@ -43,8 +43,18 @@ def cuts(points: list[int], penalty: list[int], window: int = WINDOW) -> list[in
     pad nothing, are looked up.
     """
     n = len(points)
-    at = {p: i for i, p in enumerate(points)}
-    powers = [1 << k for k in range(window.bit_length()) if 1 << k <= window]
+    place = np.array(points)
+    at = np.full(points[-1] + 1, -1, np.int64)
+    at[place] = np.arange(n)
+    ends, starts = [np.zeros(0, int)], [np.zeros(0, int)]
+    for k in range(window.bit_length()):
+        j = np.flatnonzero(place >= 1 << k)
+        i = at[place[j] - (1 << k)]
+        ends.append(j[i >= 0])
+        starts.append(i[i >= 0])
+    end, start = np.concatenate(ends), np.concatenate(starts)
+    order = np.argsort(end, kind="stable")
+    exact, first = start[order].tolist(), np.searchsorted(end[order], np.arange(n + 1)).tolist()
     best, back = [0] * n, [0] * n
     queue: deque[tuple[int, int]] = deque([(points[0], 0)])  # (best + place, index), values ascending
     for j in range(1, n):
@@ -53,9 +63,8 @@ def cuts(points: list[int], penalty: list[int], window: int = WINDOW) -> list[in
             queue.popleft()
         value, start = queue[0]
         cost = value + window - here
-        for p in powers:
-            i = at.get(here - p)
-            if i is not None and best[i] <= cost:
+        for i in exact[first[j] : first[j + 1]]:
+            if best[i] <= cost:
                 cost, start = best[i], i
         best[j], back[j] = cost + penalty[j], start
         value = best[j] + here
@@ -94,7 +103,7 @@ class Encoder:
         yield text
 
     def __call__(self, text: str) -> np.ndarray:
-        if any(t in text for t in self.exact.added) or not (text.isascii() or not self.exact.odd.search(text)):
+        if any(t in text for t in self.exact.added) or self.exact.is_odd(text):
             return np.frombuffer(self.exact.encode(text), "<u4")
         if len(text) <= PART:
             return np.array(self.fast.encode_ordinary(text), "<u4")
