@@ -626,7 +626,7 @@ def json_values(spark, sf_dir):
     return e.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.size(readers.json_list(F.col("props"))).alias("bad"))
 
 
-# extensions: not the reference's, Spark's own
+# extensions: Spark's own, beyond the operators above
 
 
 @query("SELECT user_id, arg_max(event_id, event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1")
