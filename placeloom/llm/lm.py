@@ -141,7 +141,8 @@ def estimates(counts: list[np.ndarray], total: int, documents: int, deleted: int
     for n, c in enumerate(counts, 1):
         context = np.full(len(c), total, np.int64) if n == 1 else contexts(counts, n, documents)
         context = np.maximum(context - deleted, 0)
-        ps.append(np.where(context > 0, np.maximum(c.astype(np.int64) - deleted, 0) / np.maximum(context, 1), 0.0))
+        p = np.where(context > 0, np.maximum(c.astype(np.int64) - deleted, 0) / np.maximum(context, 1), 0.0)
+        ps.append(np.minimum(p, 1.0))  # two n-grams of one hash could come to more
         buckets.append(np.ceil(np.log2(context + 1)).astype(np.int64))
     return ps, buckets
 
