@@ -56,7 +56,8 @@ def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
         return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
     if bound < 2**63:
         return q @ x.T
-    return np.array([[sum(int(a) * int(b) for a, b in zip(r, s, strict=True)) for s in x] for r in q], dtype=object).astype(np.int64)
+    limit = 2**63 - 1
+    return np.array([[max(-limit, min(limit, sum(int(a) * int(b) for a, b in zip(r, s, strict=True)))) for s in x] for r in q], np.int64).reshape(len(q), len(x))
 
 
 def _fit(x: np.ndarray, pivots: int) -> np.ndarray:
@@ -79,7 +80,7 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest integer inner products of each query, ties to the smaller id.
 
-    Components become floor(scale * x). Vectors that are null or hold null, NaN or infinite
+    Components become floor(scale * x); a component or score beyond 64 bits is the nearest that fits. Vectors that are null or hold null, NaN or infinite
     components take no part, nor do rows with a null id; all others must have one length (ValueError).
     A vector is no candidate of the query of its own id. Fewer candidates: all. No vectors or queries: no rows.
     """
