@@ -150,3 +150,18 @@ def summary(manifest: DataFrame) -> DataFrame:
 def retained(versions: DataFrame, keep: int = 2, by: str = "recorded_at") -> DataFrame:
     """The newest ``keep`` versions."""
     return versions.orderBy(F.desc(by), F.desc("version")).limit(keep)
+
+
+def missing(required: DataFrame, present: DataFrame, key: str = "url") -> DataFrame:
+    """What is required and not there."""
+    return required.select(key).distinct().join(present.select(key), key, "left_anti")
+
+
+def progress(required: DataFrame, present: DataFrame, key: str = "url", size: str = "bytes") -> DataFrame:
+    """(files, files_there, bytes, bytes_there, percent) of required (key, size); 100 percent of nothing is 100."""
+    there = present.select(F.col(key)).distinct().withColumn("__there", F.lit(True))
+    rows = required.join(there, key, "left")
+    done = F.coalesce("__there", F.lit(False))
+    total = F.coalesce(F.sum(size), F.lit(0))
+    part = F.coalesce(F.sum(F.when(done, F.col(size))), F.lit(0))
+    return rows.agg(F.count("*").alias("files"), F.count_if(done).alias("files_there"), total.alias("bytes"), part.alias("bytes_there"), F.when(total == 0, F.lit(100)).otherwise(F.floor(100 * part / total)).cast("int").alias("percent"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from placeloom.functions import geo
 from placeloom.functions.text import joined_lower
+from placeloom.operators.positions import numbered
 
 #: Price tiers in the order of the in-view list, then places without one.
 TIER_ORDER = ("$$", "$", "$$$", "$$$$")
@@ -30,7 +31,6 @@ def annotate(df: DataFrame) -> DataFrame:
     lower-cased; name_text and guide_text: its parts for ranking.
     """
     lat, lon = F.col("lat").try_cast("double"), F.col("lon").try_cast("double")
-    at = Window.partitionBy("__at")
     texts, titles = F.array(_optional(df, "description")), F.array(_optional(df, "pageTitle"))
     if "descriptions" in df.columns:
         texts = F.when(F.size("descriptions") > 0, F.col("descriptions.text")).otherwise(texts)
@@ -38,7 +38,7 @@ def annotate(df: DataFrame) -> DataFrame:
         titles = F.when(F.size("sources") > 0, F.col("sources.pageTitle")).otherwise(titles)
     full = lambda a: F.filter(a, lambda x: x.isNotNull() & (x != ""))
     rows = df.withColumns({"lat": lat, "lon": lon}).withColumn("__at", F.concat_ws(",", F.format_string("%.6f", "lat"), F.format_string("%.6f", "lon")))
-    rows = rows.withColumns({"__index": F.row_number().over(at.orderBy("ordinal")) - 1, "__count": F.count("*").over(at)})
+    rows = numbered(rows, "__at", "ordinal", "__index", "__count")
     offset = geo.ring_offset(F.col("__index"), F.col("__count"))
     return rows.withColumns(
         {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placeloom.functions.text import normalize_space, text
@@ -75,9 +75,12 @@ def page_issues(pages: DataFrame) -> DataFrame:
 def with_repeats(entries: DataFrame) -> DataFrame:
     """Adds how often a venue, and a name with its address, are on the page; blank ones don't count."""
     key = F.lower(F.concat_ws("|", normalize_space(F.col("restaurant_name")), normalize_space(F.col("address"))))
-    rows = entries.withColumns({"__key": F.when(F.regexp_replace(key, "[| ]", "") != "", key), "__venue": F.nullif(F.col("venue_id").cast("string"), F.lit(""))})
-    count = lambda c: F.when(F.col(c).isNotNull(), F.count("*").over(Window.partitionBy("page_id", c))).otherwise(F.lit(0))
-    return rows.withColumns({"venue_repeats": count("__venue"), "name_repeats": count("__key")}).drop("__key", "__venue")
+    rows = entries.withColumns({"__name": F.when(F.regexp_replace(key, "[| ]", "") != "", key), "__venue": F.nullif(F.col("venue_id").cast("string"), F.lit(""))})
+    for column, count in (("__venue", "venue_repeats"), ("__name", "name_repeats")):
+        # counted by partial aggregates; what comes once isn't joined
+        n = rows.where(F.col(column).isNotNull()).groupBy("page_id", column).agg(F.count("*").alias(count)).where(F.col(count) > 1)
+        rows = rows.join(n, ["page_id", column], "left")
+    return rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("venue_repeats", "name_repeats")}).drop("__name", "__venue")
 
 
 def entry_issues(entries: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from placeloom.functions import geo, html, text, url
 from placeloom.operators import audit, components, dedupe, manifest, rail, search, stations, validate
 from placeloom.plans import public
 from placeloom.plans.inputs import ENTRIES, PAGES, PLACES, STATIONS, derived, in_duckdb, load
-from placeloom.sources import readers
+from placeloom.sources import readers, robots
 from placeloom.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -364,10 +364,17 @@ def manifest_summary(spark, sf_dir):
     return manifest.summary(m).select("batch_order", "status", "urls")
 
 
-@query(f"WITH c AS ({_CHANGES}), u AS (SELECT DISTINCT url FROM c) SELECT url FROM u WHERE url NOT IN (SELECT url FROM c WHERE status = 'downloaded' AND version < 100)")
+@query("SELECT c_custkey AS url FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def pending_downloads(spark, sf_dir):
-    c = _changes(spark, sf_dir)
-    return manifest.pending(c.select("url").distinct(), c.where("version < 100"))
+    c, o = load(spark, sf_dir, "customer", "orders")
+    done = o.select(F.col("o_custkey").alias("url"), F.when(F.col("o_orderstatus") == "F", "downloaded").otherwise("failed").alias("status"))
+    return manifest.pending(c.select(F.col("c_custkey").alias("url")), done)
+
+
+@query("WITH p AS (SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) SELECT count(*) AS files, count(k) AS files_there, sum(c_custkey)::BIGINT AS bytes, sum(CASE WHEN k IS NOT NULL THEN c_custkey ELSE 0 END)::BIGINT AS bytes_there, floor(100 * sum(CASE WHEN k IS NOT NULL THEN c_custkey ELSE 0 END) / sum(c_custkey))::INTEGER AS percent FROM customer LEFT JOIN p ON k = c_custkey")
+def download_progress(spark, sf_dir):
+    c, o = load(spark, sf_dir, "customer", "orders")
+    return manifest.progress(c.select(F.col("c_custkey").alias("url"), F.col("c_custkey").alias("bytes")), o.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("url")))
 
 
 @query("""
@@ -402,7 +409,7 @@ def rule_audit(spark, sf_dir):
 
 
 @query("""
-SELECT 'https://x.example.com/s/' || s_suppkey AS url, false AS is_sitemap FROM supplier WHERE s_nationkey <> 24
+SELECT 'https://x.example.com/s/' || s_suppkey AS url, false AS is_sitemap FROM supplier
 UNION ALL SELECT 'https://x.example.com/n/' || n_nationkey || '.xml', true FROM nation UNION ALL SELECT 'https://x.example.com/r/' || r_regionkey || '.xml', true FROM region UNION ALL SELECT 'https://x.example.com/index.xml', true
 """)
 def sitemap_crawl(spark, sf_dir):
@@ -410,13 +417,22 @@ def sitemap_crawl(spark, sf_dir):
     loc = lambda p, k: F.concat(F.lit(f"<sm:loc> https://X.example.com/{p}/"), k.cast("string"), F.lit("" if p == "s" else ".xml"), F.lit(" </sm:loc>"))
     doc = lambda kind, u, locs: (u.alias("url"), F.concat(F.lit(f'<?xml version="1.0"?>\n<sm:{kind} xmlns:sm="http://www.sitemaps.org/schemas/sitemap/0.9">'), locs, F.lit(f"</sm:{kind}>")).alias("xml"))
     at = lambda p, k: F.concat(F.lit(f"https://x.example.com/{p}/"), k.cast("string"), F.lit(".xml"))
-    own = s.where("s_nationkey <> 24").groupBy("s_nationkey").agg(F.array_join(F.array_sort(F.collect_list(loc("s", F.col("s_suppkey")))), "").alias("l")).select(*doc("urlset", at("n", F.col("s_nationkey")), F.col("l")))
+    own = s.groupBy("s_nationkey").agg(F.array_join(F.array_sort(F.collect_list(loc("s", F.col("s_suppkey")))), "").alias("l")).select(*doc("urlset", at("n", F.col("s_nationkey")), F.col("l")))
     nations = n.groupBy("n_regionkey").agg(F.array_join(F.collect_list(loc("n", F.col("n_nationkey"))), "").alias("l")).select(*doc("sitemapindex", at("r", F.col("n_regionkey")), F.concat("l", F.lit("<sm:loc>https://x.example.com/index.xml</sm:loc>"))))
     regions = r.agg(F.array_join(F.collect_list(loc("r", F.col("r_regionkey"))), "").alias("l")).select(*doc("sitemapindex", F.lit("https://x.example.com/index.xml"), F.col("l")))
-    roots = r.where("r_regionkey = 0").select(F.lit("https://x.example.com/index.xml#top").alias("url"))
+    roots = r.select(F.lit("https://x.example.com/index.xml#top").alias("url"))
     return readers.crawled(own.union(nations).union(regions), roots)
 
 
+@query(f"SELECT page_id, NOT ({_URLPATH} LIKE '/en/%') AND page_id % 3 <> 2 AS allowed, CASE WHEN page_id % 3 = 0 THEN 5.0::DOUBLE END AS delay FROM pages")
+def robots_rules(spark, sf_dir):
+    (p,) = load(spark, sf_dir, "pages")
+    # a host for each page, as hosts repeat here and their rules differ
+    own = p.select("page_id", F.regexp_replace("url", "://", F.concat(F.lit("://p"), F.col("page_id").cast("string"), F.lit("."))).alias("url"))
+    rules = own.select(url.domain(F.col("url")).alias("host"), F.when(F.col("page_id") % 3 == 0, "User-agent: *\nCrawl-delay: 5\nDisallow: /en/").when(F.col("page_id") % 3 == 1, "User-agent: me\nDisallow: /en/").alias("body"))
+    return robots.with_rules(own, rules, "me").select("page_id", "allowed", "delay")
+
+
 # validation and reports
 
 
@@ -546,20 +562,22 @@ def entity_resolution(spark, sf_dir):
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey * 37 % 500 AS b FROM part WHERE p_partkey % 3 = 0), s AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b), r AS (SELECT a AS node, a AS other FROM s UNION SELECT r.node, s.b FROM r JOIN s ON s.a = r.other)
+WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey - CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE 1 END AS b FROM part), s AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
+r AS (SELECT a AS node, a AS other FROM s UNION SELECT r.node, s.b FROM r JOIN s ON s.a = r.other)
 SELECT node, min(other) AS component FROM r GROUP BY node
 """)
 def connected_components(spark, sf_dir):
     (p,) = load(spark, sf_dir, "part")
-    return components.components(p.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("a"), (F.col("p_partkey") * 37 % 500).alias("b")))
+    return components.components(p.select(F.col("p_partkey").alias("a"), (F.col("p_partkey") - F.when(F.col("p_partkey") % 7 == 0, 0).otherwise(1)).alias("b")))
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT p_partkey AS s, (p_partkey * 7 + 3) % 150 AS t FROM part WHERE p_partkey < 150), r AS (SELECT n_nationkey::BIGINT AS root, n_nationkey::BIGINT AS node FROM nation UNION SELECT root, t FROM r JOIN e ON e.s = r.node) SELECT root, node FROM r
+WITH RECURSIVE e AS (SELECT p_partkey AS s, p_partkey - p_partkey % 11 + (p_partkey + 3) % 11 AS t FROM part), r AS (SELECT n_nationkey::BIGINT AS root, n_nationkey::BIGINT AS node FROM nation UNION SELECT root, t FROM r JOIN e ON e.s = r.node) SELECT root, node FROM r
 """)
 def variable_closure(spark, sf_dir):
     p, n = load(spark, sf_dir, "part", "nation")
-    return components.reachable(p.where("p_partkey < 150").select(F.col("p_partkey").alias("source"), ((F.col("p_partkey") * 7 + 3) % 150).alias("target")), n.select(F.col("n_nationkey").cast("long").alias("root")))
+    k = F.col("p_partkey")
+    return components.reachable(p.select(k.alias("source"), (k - k % 11 + (k + 3) % 11).alias("target")), n.select(F.col("n_nationkey").cast("long").alias("root")))
 
 
 # rail

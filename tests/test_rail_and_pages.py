@@ -153,3 +153,11 @@ def test_graphs(spark):
     assert components.components(e.where("false")).count() == 0
     ring = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "source string, target string")
     assert {r.node for r in components.reachable(ring, spark.createDataFrame([("a",)], "root string")).collect()} == {"a", "b", "c"}
+
+
+def test_numbering_in_blocks(spark):
+    from placeloom.operators.positions import numbered
+
+    rows = spark.range(200).selectExpr("id AS o", "CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 'a' ELSE 'b' END AS k")
+    got = {r.o: (r.i, r.n) for r in numbered(rows, "k", "o", "i", "n", block=16).collect()}
+    assert got == {o: (o // 3, 67 if o % 3 < 2 else 66) for o in range(200)}
