@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from placeloom.llm.common import SEED_WORD, id_and_text, shuffle_partitions
 
 #: Text of a shard in bytes, about; a shard is held in memory by one task at a time.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -111,7 +111,7 @@ def counted(df: DataFrame, id_col: str, text_col: str, order: int) -> DataFrame:
         answers = {(n, b): c for n, b, c in zip(right.column("n").to_pylist(), right.column("bucket").to_pylist(), right.column("counts").to_pylist(), strict=True)}
         for n in range(1, order + 1):
             bucket, _, _, at = s.sent(n, buckets)
-            columns.append(np.concatenate([unplanes(answers[n, b], "<u4") for b, _ in by_bucket(bucket, buckets)])[at])
+            columns.append(np.concatenate([unplanes(answers.pop((n, b)), "<u4") for b, _ in by_bucket(bucket, buckets)])[at])
         out, start = [], 0
         for doc_id, held, size in zip(s.ids, s.held, s.sizes.tolist(), strict=True):
             out.append((doc_id, held, size, b"".join(planes(c[start : start + size]) for c in columns), None))
