@@ -30,38 +30,40 @@ _SENT_SQL, _REPLY_SQL = "bucket int, shard int, keys binary, docs binary", "shar
 class _Shard:
     """Words and windows of the documents of a shard, end to end."""
 
-    def __init__(self, docs: pa.Table, window: int, anchor: int, keep_words: bool = False):
-        ids = docs.column("doc_id").to_numpy(zero_copy_only=False) if docs.column("doc_id").null_count == 0 else None
-        raw = docs.column("doc_id").to_pylist() if ids is None else None
-        self.raw = raw if raw is not None else ids.tolist()
+    def __init__(self, docs: pa.Table, window: int, anchor: int, hashes: int = 2, anchors: bool = True, keep_words: bool = False):
+        """hashes: how many hashes of windows are made; anchors: whether each window's anchor is."""
+        self.raw = docs.column("doc_id").to_pylist()
         doc_ids = np.array([_LAST if x is None else x for x in self.raw], np.int64)
-        self.words, hashes, sizes = [], [np.zeros(0, np.uint64)], []
+        self.words, own, sizes = [], [np.zeros(0, np.uint64)], []
         for text in text_bytes(docs.column("text")):
             w = words_of(text, lower=False)
             sizes.append(len(w))
-            hashes.append(word_hashes(w))
+            own.append(word_hashes(w))
             if keep_words:
                 self.words.append(w)
-        h = np.concatenate(hashes)
+        h = np.concatenate(own)
+        del own
         self.end = np.cumsum(np.array(sizes, np.int64))
         n = max(0, len(h) - window + 1)
-        at = np.repeat(np.arange(len(sizes)), sizes)  # document of each word
+        at = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)  # document of each word
         self.inside = at[:n] == at[window - 1 :] if n else np.zeros(0, bool)
         self.doc = doc_ids[at[:n]] if n else np.zeros(0, np.int64)
-        self.first, self.second = rolling(h, window, 1), rolling(h, window, 2)
-        low = grams = rolling(h, anchor, 3)
-        low = low[:n].copy()
-        for j in range(1, window - anchor + 1):
-            np.minimum(low, grams[j : n + j], out=low)
-        self.anchor = low
-
-    def windows(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct hashes of the windows, the smallest document of each, its bucket hash."""
-        first, doc, second = self.first[rows], self.doc[rows], self.second[rows]
+        del at
+        self.first = rolling(h, window, 1) if hashes else None
+        self.second = rolling(h, window, 2) if hashes > 1 else None
+        if anchors:
+            grams = rolling(h, anchor, 3)
+            self.anchor = grams[:n].copy()
+            for j in range(1, window - anchor + 1):
+                np.minimum(self.anchor, grams[j : n + j], out=self.anchor)
+
+    def windows(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """Distinct hashes of the windows, the smallest document of each, its bucket hash if there is one."""
+        first, doc = self.first[rows], self.doc[rows]
         order = np.lexsort((doc, first))
-        first, doc, second = first[order], doc[order], second[order]
-        head = np.concatenate([[True], first[1:] != first[:-1]]) if len(first) else np.zeros(0, bool)
-        return first[head], doc[head], second[head]
+        first = first[order]
+        head = order[np.concatenate([[True], first[1:] != first[:-1]])] if len(first) else order
+        return self.first[rows[head]], doc[head], None if self.second is None else self.second[rows[head]]
 
 
 def _spread(shard: int, key: np.ndarray, doc: np.ndarray | None, hashed: np.ndarray, n: int) -> pa.Table:
@@ -129,7 +131,7 @@ def factored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
     docs, n = sharded(df, id_col, text_col)
 
     def anchors(key: tuple, t: pa.Table) -> pa.Table:
-        s = _Shard(t, window, anchor)
+        s = _Shard(t, window, anchor, hashes=0)
         own = np.unique(s.anchor[s.inside])
         return _spread(key[0].as_py(), own, None, own, n)
 
@@ -148,7 +150,7 @@ def factored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
     def cleaned(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return result.empty_table()
-        s = _Shard(left, window, anchor, keep_words=True)
+        s = _Shard(left, window, anchor, hashes=1, anchors=False, keep_words=True)
         rows = np.flatnonzero(s.inside)
         key, least, _ = s.windows(rows)
         known, theirs = _answers(right)
@@ -157,9 +159,7 @@ def factored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
         least[at[there]] = np.minimum(least[at[there]], theirs[there])
         found = rows[least[lookup(key, s.first[rows])[0]] < s.doc[rows]]
         total = int(s.end[-1])
-        step = np.zeros(total + 1, np.int64)
-        np.add.at(step, found, 1)
-        np.add.at(step, found + window, -1)
+        step = np.bincount(found, minlength=total + 1) - np.bincount(found + window, minlength=total + 1)
         gone = np.cumsum(step)[:total] > 0
         out: dict[str, list] = {f.name: [] for f in result}
         start = 0
