@@ -8,9 +8,10 @@ other merge. All but the order-dependent clustering of one name is relational.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,28 +40,56 @@ def _cell(lat: Column, lon: Column, metres: float) -> tuple[Column, Column]:
     return F.floor(lat / degrees), F.floor(lon / (degrees / math.cos(math.radians(MOST_LAT))))
 
 
-def _greedy(rows: pd.DataFrame, metres: float) -> np.ndarray:
-    """Cluster of each row in input order: the ordinal of its first row. A row joins the first cluster with a member within metres."""
-    rows = rows.sort_values("ordinal")
-    lat, lon, ordinal = np.radians(rows["lat"].to_numpy(float)), np.radians(rows["lon"].to_numpy(float)), rows["ordinal"].to_numpy()
+def _greedy(ordinal: np.ndarray, lat: np.ndarray, lon: np.ndarray, metres: float) -> np.ndarray:
+    """Cluster of each row, in input order: the ordinal of its first row. A row joins the first cluster with a member within metres.
+
+    lat, lon: radians.
+    """
     step = metres * MARGIN / geo.RADIUS
-    widest = max(1e-6, math.cos(min(np.nanmax(np.abs(lat), initial=0.0) + step, math.radians(89))))
+    widest = max(1e-6, math.cos(min(float(np.abs(lat).max()) + step, math.radians(89))))
+    rows, cols = np.floor(lat / step).astype(np.int64).tolist(), np.floor(lon / (step / widest)).astype(np.int64).tolist()
     grid: dict[tuple[int, int], list[int]] = {}
-    label = np.empty(len(rows), np.int64)
-    for i in range(len(rows)):
-        label[i] = ordinal[i]
-        if not (math.isfinite(lat[i]) and math.isfinite(lon[i])):
-            continue
-        cell = (int(lat[i] // step), int(lon[i] // (step / widest)))
-        near = [j for dy in (-1, 0, 1) for dx in (-1, 0, 1) for j in grid.get((cell[0] + dy, cell[1] + dx), ())]
+    label = ordinal.copy()
+    for i, (y, x) in enumerate(zip(rows, cols)):
+        near = [j for dy in (-1, 0, 1) for dx in (-1, 0, 1) for j in grid.get((y + dy, x + dx), ())]
         if near:
             j = np.array(near)
             h = np.sin((lat[j] - lat[i]) / 2) ** 2 + np.cos(lat[i]) * np.cos(lat[j]) * np.sin((lon[j] - lon[i]) / 2) ** 2
             within = j[2 * geo.RADIUS * np.arcsin(np.sqrt(np.minimum(h, 1))) <= metres]
             if len(within):
                 label[i] = label[within].min()  # clusters are numbered as they begin
-        grid.setdefault(cell, []).append(i)
-    return pd.Series(label, index=rows.index).reindex(rows.index)
+        grid.setdefault((y, x), []).append(i)
+    return label
+
+
+def _clusters(metres: float):
+    """Function of batches sorted by (run, ordinal): the clusters of each run, many runs at a time."""
+
+    def of(t: pa.Table) -> pa.RecordBatch:
+        run, ordinal = t.column("__run").to_numpy(), t.column("ordinal").to_numpy()
+        lat, lon = np.radians(t.column("lat").to_numpy()), np.radians(t.column("lon").to_numpy())
+        label = ordinal.copy()
+        edge = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1], [True]]))
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            if b - a > 1:
+                label[a:b] = _greedy(ordinal[a:b], lat[a:b], lon[a:b], metres)
+        return pa.RecordBatch.from_arrays([pa.array(ordinal), pa.array(label)], names=["ordinal", "geo_id"])
+
+    def cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            held = t if held is None else pa.concat_tables([held, t])
+            if held.num_rows:
+                run = held.column("__run").to_numpy()
+                end = int(np.searchsorted(run, run[-1]))  # the last run may go on
+                if end:
+                    yield of(held.slice(0, end))
+                    held = held.slice(end)
+        if held is not None and held.num_rows:
+            yield of(held)
+
+    return cluster
 
 
 def geo_clusters(entries: DataFrame, metres: float = MERGE_METRES) -> DataFrame:
@@ -79,14 +108,9 @@ def geo_clusters(entries: DataFrame, metres: float = MERGE_METRES) -> DataFrame:
     edges = cells.join(other, ["name_key", "__row", "__col"]).where(F.col("__node") != F.col("__to")).select(F.col("__node").alias("a"), F.col("__to").alias("b"))
     runs = components(edges)
     run = cells.join(runs, cells["__node"] == runs.node, "left").select("name_key", "__row", "__col", F.coalesce("component", "__node").alias("__run"))
-    dealt = rows.join(run, ["name_key", "__row", "__col"], "left").select("ordinal", "lat", "lon", "name_key", F.coalesce("__run", "ordinal").alias("__run"))
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ordinal")
-        return pd.DataFrame({"ordinal": pdf["ordinal"], "geo_id": _greedy(pdf, metres)})
-
-    found = dealt.groupBy("name_key", "__run").applyInPandas(cluster, "ordinal long, geo_id long")
-    return entries.join(found, "ordinal")
+    placed = rows.where("__row IS NOT NULL AND __col IS NOT NULL").join(run, ["name_key", "__row", "__col"]).select("__run", F.col("ordinal").cast("long").alias("ordinal"), "lat", "lon")
+    found = placed.repartition("__run").sortWithinPartitions("__run", "ordinal").mapInArrow(_clusters(metres), "ordinal long, geo_id long").checkpoint()
+    return entries.join(found, "ordinal", "left").withColumn("geo_id", F.coalesce("geo_id", F.col("ordinal").cast("long")))
 
 
 def postcode_clusters(entries: DataFrame) -> DataFrame:

@@ -547,7 +547,7 @@ def wide_export(spark, sf_dir):
 
 def _entries(spark, sf_dir):
     p = derived(spark, sf_dir, PLACES)
-    return p.withColumns({"lat": 51.5 + F.col("ordinal") * 7919 % 97 / 20000.0, "lon": -0.1 + F.col("ordinal") * 104729 % 89 / 20000.0, "entryUrl": F.concat(F.lit("https://guide.example.com/"), (F.col("ordinal") % 50).cast("string")), "websiteUrl": F.concat(F.lit("http://www.x.example.com/"), F.col("name"), F.lit("/")), "phone": F.when(F.col("ordinal") % 3 == 0, "020 1")})
+    return p.withColumns({"lat": 51.5 + F.col("ordinal") * 7919 % 997 / 10000.0, "lon": -0.1 + F.col("ordinal") * 104729 % 991 / 10000.0, "entryUrl": F.concat(F.lit("https://guide.example.com/"), (F.col("ordinal") % 50).cast("string")), "websiteUrl": F.concat(F.lit("http://www.x.example.com/"), F.col("name"), F.lit("/")), "phone": F.when(F.col("ordinal") % 3 == 0, "020 1")})
 
 
 @query()
