@@ -108,6 +108,20 @@ def merged(ids: list[int], rank_of: dict[tuple[int, int], int], made: list[int])
     return [i for i in ids if i >= 0]
 
 
+def parts(text: str, size: int) -> Iterator[str]:
+    """A text in parts of about so many characters, cut before a space after anything but white space: there a pre-token always begins."""
+    start = 0
+    while len(text) - start > size:
+        k = text.find(" ", start + size)
+        while k > 0 and text[k - 1].isspace():
+            k = text.find(" ", k + 1)
+        if k < 0:
+            break
+        yield text[start:k]
+        start = k
+    yield text[start:]
+
+
 class ByteBPE:
     """Encoder and decoder of one vocabulary file of the tokenizers library (byte-level BPE)."""
 
@@ -240,6 +254,11 @@ class ByteBPE:
         part: list[str] = []
         size = 0
         for t in texts:
+            if len(t) > TOGETHER:  # a very long text goes in parts
+                out += self._encoded(part)
+                out.append(b"".join(self._encoded([p])[0] for p in parts(t, TOGETHER)))
+                part, size = [], 0
+                continue
             part.append(t)
             size += len(t)
             if size >= TOGETHER:
@@ -249,10 +268,10 @@ class ByteBPE:
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         cut = [[(None, t)] if not any(a in t for a in self.added) else [((x, None) if k % 2 else (None, x)) for k, x in enumerate(self.at_added.split(t))] for t in texts]
-        pieces = [[self.added[a].to_bytes(4, "little") if a else self.find(t) for a, t in parts] for parts in cut]
-        self.learn(set(chain.from_iterable(x for parts in pieces for x in parts if type(x) is list)))
+        pieces = [[self.added[a].to_bytes(4, "little") if a else self.find(t) for a, t in row] for row in cut]
+        self.learn(set(chain.from_iterable(x for row in pieces for x in row if type(x) is list)))
         known = self.known
-        return [b"".join([x if type(x) is bytes else b"".join([known[p] for p in x]) for x in parts]) for parts in pieces]
+        return [b"".join([x if type(x) is bytes else b"".join([known[p] for p in x]) for x in row]) for row in pieces]
 
     def encode(self, text: str) -> bytes:
         return self.encode_many([text])[0]

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from placeloom.llm.bpe import PATTERN, ByteBPE, loaded
+from placeloom.llm.bpe import PATTERN, ByteBPE, loaded, parts
 from placeloom.llm.common import id_and_text, table
 from placeloom.llm.tokenizer_files import path
 
@@ -24,7 +24,7 @@ SENTENCE_CUT, HARD_CUT = 1, 48
 GRID = 64
 #: Ids over which cuts are chosen together; the last window is left open for the next round.
 ROUND = 1 << 18
-#: Texts beyond so many characters are encoded in parts, cut before a single space after a letter.
+#: Texts beyond so many characters are encoded in parts.
 PART = 1 << 16
 
 
@@ -90,24 +90,12 @@ class Encoder:
         ends = (b".", b"!", b"?")
         self.sentence_end = np.array([x.rstrip().endswith(ends) or b"\n" in x for x in self.exact.bytes])
 
-    def _parts(self, text: str) -> Iterator[str]:
-        """A space after anything but white space always begins a pre-token."""
-        while len(text) > PART:
-            k = text.find(" ", PART)
-            while 0 < k and text[k - 1].isspace():
-                k = text.find(" ", k + 1)
-            if k < 0:
-                break
-            yield text[:k]
-            text = text[k:]
-        yield text
-
     def __call__(self, text: str) -> np.ndarray:
         if any(t in text for t in self.exact.added) or self.exact.is_odd(text):
             return np.frombuffer(self.exact.encode(text), "<u4")
         if len(text) <= PART:
             return np.array(self.fast.encode_ordinary(text), "<u4")
-        return np.concatenate([np.array(self.fast.encode_ordinary(p), "<u4") for p in self._parts(text)])
+        return np.concatenate([np.array(self.fast.encode_ordinary(p), "<u4") for p in parts(text, PART)])
 
 
 _LOADED: dict[tuple, Encoder] = {}

@@ -216,6 +216,14 @@ def test_trees_agree(word):
         assert b.merge_many([raw, raw[::-1]], 32)[0] == np.array(ids, "<u4").tobytes()
 
 
+@given(st.text(alphabet="ab \n\t'1é\xa0", max_size=80), st.integers(1, 20))
+@settings(max_examples=100, deadline=None)
+def test_parts_are_cut_where_pre_tokens_begin(text, size):
+    b = bpe.loaded()
+    own = list(bpe.parts(text, size))
+    assert "".join(own) == text and [p for x in own for p in b.find(x)] == b.find(text)
+
+
 # top-k
 
 
