@@ -149,24 +149,13 @@ def clustered(entries: DataFrame) -> DataFrame:
     return subset_clusters(postcode_clusters(geo_clusters(keyed(entries))))
 
 
-def _kept_first(items: Column, key) -> Column:
-    """Items of an array, one for each key, the first; items without a key ('' or null) go."""
-    keys = F.transform(items, key)
-    return F.filter(F.transform(items, lambda x, i: F.when((F.coalesce(F.get(keys, i), F.lit("")) != "") & (F.array_position(keys, F.get(keys, i)) == i + 1), x)), lambda x: x.isNotNull())
-
-
-def synthesised_name(members: Column, primary_base: Column) -> Column:
-    """struct(name, pre, core, post): the dishes it was listed under, the simplest name, what the fullest adds."""
-    parts = F.transform(members, lambda m: split_name(m["name"]))
-    bases = F.array_distinct(F.filter(F.transform(parts, lambda p: p["base"]), lambda b: b != ""))
-    ordered = F.array_sort(F.transform(bases, lambda b: F.struct(word_count(b).alias("w"), is_all_caps(b).alias("c"), F.length(b).alias("l"), F.lower(b).alias("k"), b.alias("b"))))
-    core = F.coalesce(F.try_element_at(ordered, F.lit(1))["b"], primary_base)
-    longest = F.aggregate(bases, core, lambda best, b: F.when(F.startswith(F.lower(b), F.lower(core)) & (F.length(b) > F.length(best)), b).otherwise(best))
-    post = F.when(F.length(longest) > F.length(core), F.substr(longest, F.length(core) + 1)).otherwise(F.lit(""))
-    dishes = F.transform(_kept_first(F.transform(parts, lambda p: F.struct(p["dish"].alias("d"))), lambda s: F.lower(s["d"])), lambda s: s["d"])
-    joined = F.array_join(dishes, "/")
-    pre = F.when((F.size(dishes) > 0) & (F.size(dishes) <= DISHES) & (F.length(joined) <= DISHES_LENGTH), F.concat(joined, F.lit(" at "))).otherwise(F.lit(""))
-    return F.struct(F.concat(pre, core, post).alias("name"), pre.alias("pre"), core.alias("core"), post.alias("post"))
+def _first_of_each(items: Column, keys: Column) -> Column:
+    """Structs of an array that are the first of their key; keys: the same keys as an array. Null and '' are no keys."""
+    return F.filter(items, lambda x, i: (F.coalesce(x["key"], F.lit("")) != "") & (F.array_position(keys, x["key"]) == i + 1))
+
+
+def _first_text(a: Column) -> Column:
+    return F.coalesce(F.try_element_at(a, F.lit(1)), F.lit(""))
 
 
 def merged(entries: DataFrame) -> DataFrame:
@@ -174,35 +163,50 @@ def merged(entries: DataFrame) -> DataFrame:
 
     Further columns taken if there: phone, websiteUrl, googleMapsUrl, entryUrl, pageTitle. Descriptions go
     priced first, then longest; near-identical ones, sources of one entryUrl, and URLs and phones of one
-    spelling come once. A record holds all appearances of its place, which is what it is for.
+    spelling come once. The name is put together of the dishes it was listed under, the simplest name and what
+    the fullest adds. A record holds all appearances of its place, which is what it is for. All keys
+    are made a row at a time, before the appearances are gathered.
     """
     optional = ["phone", "websiteUrl", "googleMapsUrl", "entryUrl", "pageTitle"]
     rows = entries.withColumns({c: F.lit(None).cast("string") for c in optional if c not in entries.columns})
-    # members in the order in which clusters came about
     first = rows.groupBy("name_key").agg(F.min("ordinal").alias("__name_first"))
-    rows = rows.join(first, "name_key")
-    fields = ["id", "name", "lat", "lon", "address", "priceRange", "description", *optional]
-    order = ["__name_first", "place_id", "geo_id", "ordinal"]
-    one = F.struct(*(F.col(c) for c in order), *(F.col(c) for c in fields), F.struct(*primary_order()).alias("__rank"))
-    m = rows.withColumn("final_id", F.col("final_id")).groupBy("final_id").agg(F.array_sort(F.collect_list(one)).alias("m"))
-    m = m.withColumn("p", F.element_at(F.array_sort(F.transform("m", lambda x: F.struct(x["__rank"].alias("r"), x.alias("x")))), 1)["x"])
-    filled = lambda name: F.filter(F.transform("m", lambda x: x[name]), lambda v: v.isNotNull() & (F.trim(v) != ""))
-    by_text = F.array_sort(F.transform("m", lambda x, i: F.struct((text(x["priceRange"]) == "").alias("u"), (-F.length(text(x["description"]))).alias("l"), i.alias("i"), x["description"].alias("text"), x["pageTitle"].alias("pageTitle"), x["entryUrl"].alias("entryUrl"))))
-    descriptions = F.transform(_kept_first(by_text, lambda d: description_key(d["text"])), lambda d: F.struct(d["text"].alias("text"), d["pageTitle"].alias("pageTitle"), d["entryUrl"].alias("entryUrl")))
-    sources = _kept_first(F.transform("m", lambda x: F.struct(x["name"].alias("name"), x["pageTitle"].alias("pageTitle"), x["entryUrl"].alias("entryUrl"))), lambda s: s["entryUrl"])
-    addresses = F.array_distinct(F.filter(F.transform("m", lambda x: F.trim(text(x["address"]))), lambda a: a != ""))
-    address = F.try_element_at(F.array_sort(F.transform(addresses, lambda a, i: F.struct((-address_score(a)).alias("s"), i.alias("i"), a.alias("a")))), F.lit(1))["a"]
-    urls = F.transform(_kept_first(F.transform(filled("websiteUrl"), lambda u: F.struct(u.alias("u"))), lambda s: dedupe_key(s["u"])), lambda s: s["u"])
-    m = m.withColumns({"n": synthesised_name(F.col("m"), split_name(F.col("p.name"))["base"]), "descriptions": descriptions, "sources": sources, "phones": F.array_distinct(filled("phone")), "websiteUrls": urls})
-    start = lambda a: F.coalesce(F.try_element_at(a, F.lit(1)), F.lit(""))
+    base = F.col("__split.base")
+    rows = rows.join(first, "name_key").withColumn("__split", split_name(F.col("name")))
+    address = F.trim(text(F.col("address")))
+    one = F.struct(
+        "__name_first", "place_id", "geo_id", "ordinal",  # the order in which clusters came about
+        "id", "name", "lat", "lon", "priceRange", "description", *optional,
+        F.struct(*primary_order()).alias("rank"), (text(F.col("priceRange")) == "").alias("unpriced"), (-F.length(text(F.col("description")))).alias("length"), description_key(F.col("description")).alias("description_key"),
+        F.when(F.trim(text(F.col("websiteUrl"))) != "", dedupe_key(F.col("websiteUrl"))).alias("url_key"), address.alias("address"), (-address_score(address)).alias("address_rank"),
+        base.alias("base"), F.struct(word_count(base), is_all_caps(base), F.length(base), F.lower(base), base.alias("b")).alias("simple"), F.col("__split.dish").alias("dish"), F.lower("__split.dish").alias("dish_key"),
+    )
+    m = rows.groupBy("final_id").agg(F.array_sort(F.collect_list(one)).alias("m"), F.min_by("id", F.struct(*primary_order())).alias("id"))
+    said = F.array_sort(F.transform("m", lambda x, i: F.struct(x["unpriced"], x["length"], i.alias("i"), x["description_key"].alias("key"), x["description"].alias("text"), x["pageTitle"].alias("pageTitle"), x["entryUrl"].alias("entryUrl"))))
+    m = m.withColumns(
+        {
+            "p": F.try_element_at(F.filter("m", lambda x: x["id"] == F.col("id")), F.lit(1)),
+            "said": said,
+            "listed": F.transform("m", lambda x: F.struct(x["entryUrl"].alias("key"), x["name"].alias("name"), x["pageTitle"].alias("pageTitle"), x["entryUrl"].alias("entryUrl"))),
+            "sites": F.transform("m", lambda x: F.struct(x["url_key"].alias("key"), x["websiteUrl"].alias("url"))),
+            "dishes": F.transform("m", lambda x: F.struct(x["dish_key"].alias("key"), x["dish"].alias("dish"))),
+            "bases": F.array_distinct(F.filter(F.col("m.base"), lambda b: b != "")),
+            "core": F.try_element_at(F.array_sort(F.filter(F.col("m.simple"), lambda x: x["b"] != "")), F.lit(1))["b"],
+            "address": F.try_element_at(F.array_sort(F.filter(F.transform("m", lambda x, i: F.struct(x["address_rank"], i.alias("i"), x["address"].alias("a"))), lambda x: x["a"] != "")), F.lit(1))["a"],
+        }
+    )
+    m = m.withColumns({f"{c}_keys": F.col(f"{c}.key") for c in ("said", "listed", "sites", "dishes")})
+    m = m.withColumns({c: _first_of_each(F.col(c), F.col(f"{c}_keys")) for c in ("said", "listed", "sites", "dishes")})
+    filled = lambda name: F.filter(F.col(f"m.{name}"), lambda v: v.isNotNull() & (F.trim(v) != ""))
+    m = m.withColumns({"core": F.coalesce("core", split_name(F.col("p.name"))["base"]), "joined": F.array_join("dishes.dish", "/"), "phones": F.array_distinct(filled("phone")), "websiteUrls": F.col("sites.url")})
+    fullest = F.aggregate("bases", F.col("core"), lambda best, b: F.when(F.startswith(F.lower(b), F.lower("core")) & (F.length(b) > F.length(best)), b).otherwise(best))
+    m = m.withColumns({"namePre": F.when((F.size("dishes") > 0) & (F.size("dishes") <= DISHES) & (F.length("joined") <= DISHES_LENGTH), F.concat("joined", F.lit(" at "))).otherwise(F.lit("")), "namePost": F.substr(fullest, F.length("core") + 1)})
+    pick = lambda items, *fields: F.transform(items, lambda x: F.struct(*(x[f].alias(f) for f in fields)))
     return m.select(
-        F.col("p.id").alias("id"), F.col("n.name").alias("name"), F.col("n.pre").alias("namePre"), F.col("n.core").alias("nameCore"), F.col("n.post").alias("namePost"),
-        F.coalesce(address, F.lit("")).alias("address"), F.col("p.lat").alias("lat"), F.col("p.lon").alias("lon"),
-        F.try_element_at(F.filter(F.transform("m", lambda x: x["priceRange"]), lambda v: text(v) != ""), F.lit(1)).alias("priceRange"),
-        start(F.col("phones")).alias("phone"), "phones", start(F.col("websiteUrls")).alias("websiteUrl"), "websiteUrls",
-        F.when(text(F.col("p.googleMapsUrl")) != "", F.col("p.googleMapsUrl")).otherwise(start(filled("googleMapsUrl"))).alias("googleMapsUrl"),
-        F.col("p.entryUrl").alias("entryUrl"), F.col("p.pageTitle").alias("pageTitle"),
-        F.coalesce(F.try_element_at(F.col("descriptions.text"), F.lit(1)), F.col("p.description"), F.lit("")).alias("description"), "descriptions", "sources",
+        "id", F.concat("namePre", "core", "namePost").alias("name"), "namePre", F.col("core").alias("nameCore"), "namePost",
+        F.coalesce("address", F.lit("")).alias("address"), F.col("p.lat").alias("lat"), F.col("p.lon").alias("lon"), F.try_element_at(filled("priceRange"), F.lit(1)).alias("priceRange"),
+        _first_text(F.col("phones")).alias("phone"), "phones", _first_text(F.col("websiteUrls")).alias("websiteUrl"), "websiteUrls",
+        F.when(text(F.col("p.googleMapsUrl")) != "", F.col("p.googleMapsUrl")).otherwise(_first_text(filled("googleMapsUrl"))).alias("googleMapsUrl"), F.col("p.entryUrl").alias("entryUrl"), F.col("p.pageTitle").alias("pageTitle"),
+        F.coalesce(F.try_element_at(F.col("said.text"), F.lit(1)), F.col("p.description"), F.lit("")).alias("description"), pick("said", "text", "pageTitle", "entryUrl").alias("descriptions"), pick("listed", "name", "pageTitle", "entryUrl").alias("sources"),
     )
 
 
