@@ -85,9 +85,11 @@ def trie_links(values: DataFrame, bits: int, budget: int) -> DataFrame:
 
     values: id long (not null), part int, value long of which the low ``bits`` bits count. Only
     values of one part are compared; repeated values of a part link their ids. A subtree whose
-    first block holds more than HOT rows is dealt out by the node pairs below it.
+    first block holds more than HOT rows is dealt out by the node pairs below it. With a column
+    label (long) the edges are all pairs of different labels instead of spanning ones.
     """
     spark = values.sparkSession
+    own_label = [c for c in values.columns if c == "label"]
     widths = [trie.rotated_widths(bits, budget, r) for r in range(budget + 1)]
     mask = (1 << bits) - 1
 
@@ -98,7 +100,7 @@ def trie_links(values: DataFrame, bits: int, budget: int) -> DataFrame:
             v = F.shiftleft(v, shift).bitwiseOR(F.shiftrightunsigned(v, bits - shift)).bitwiseAND(F.lit(mask if mask < 1 << 63 else mask - (1 << 64)))
         return v
 
-    turned = values.select("id", "part", F.posexplode(F.array(*(rotated(r) for r in range(budget + 1)))).alias("rot", "value"))
+    turned = values.select("id", "part", *own_label, F.posexplode(F.array(*(rotated(r) for r in range(budget + 1)))).alias("rot", "value"))
     first = F.expr("CASE rot " + " ".join(f"WHEN {r} THEN shiftrightunsigned(value, {bits - w[0]})" for r, w in enumerate(widths)) + " END")
     turned = turned.withColumn("block", first)
     # (part, rot, block) is at most parts x rotations x 2^width; only those above HOT come to the driver
@@ -106,9 +108,9 @@ def trie_links(values: DataFrame, bits: int, budget: int) -> DataFrame:
     split = {k: min(int(np.ceil(np.log2(n / HOT))) + 1, *(w for w in widths[k[1]][1:2])) for k, n in hot.items()} if budget else {}
 
     def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "part", "rot", "value", "block", "low", "high"]
+        names = ["id", "part", "rot", "value", "block", *own_label, "low", "high"]
         for batch in it:
-            cols = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("id", "part", "rot", "value", "block")]
+            cols = [batch.column(n).to_numpy(zero_copy_only=False) for n in names[:-2]]
             zero = np.full(batch.num_rows, -1, np.int64)
             if not split:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*cols, zero, zero)], names=names)
@@ -128,6 +130,7 @@ def trie_links(values: DataFrame, bits: int, budget: int) -> DataFrame:
         kept: list[pa.Table] = []
 
         def linked(t: pa.Table) -> pa.RecordBatch:
+            label = t.column("label").to_numpy() if own_label else None
             part, rot, block, low, high, ident, value = (t.column(n).to_numpy() for n in ("part", "rot", "block", "low", "high", "id", "value"))
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for r in np.unique(rot):
@@ -137,7 +140,8 @@ def trie_links(values: DataFrame, bits: int, budget: int) -> DataFrame:
                 keys = keys[:, order]
                 group = np.empty(len(order), np.int64)
                 group[order] = np.cumsum(np.concatenate([[0], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
-                x, y = trie.links(group, value[at].view(np.uint64), ident[at], bits, widths[r])
+                turn = (group, value[at].view(np.uint64), ident[at])
+                x, y = trie.all_links(*turn, label[at], bits, widths[r]) if own_label else trie.links(*turn, bits, widths[r])
                 a.append(x)
                 b.append(y)
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
@@ -158,7 +162,7 @@ def trie_links(values: DataFrame, bits: int, budget: int) -> DataFrame:
             yield linked(pa.concat_tables(kept))
 
     keys = ["part", "rot", "block", "low", "high"]
-    dealt = turned.mapInArrow(deal, "id long, part int, rot int, value long, block long, low long, high long")
+    dealt = turned.mapInArrow(deal, "id long, part int, rot int, value long, block long, " + "label long, " * len(own_label) + "low long, high long")
     return dealt.repartition(max(shuffle_partitions(spark), 1), *keys).sortWithinPartitions(*keys).mapInArrow(join, "a long, b long").distinct()
 
 
@@ -186,31 +190,137 @@ def differing_share(similarity: float) -> float:
     return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
 
 
+#: Sets of at most SHORT shingles are too small for bits to estimate their similarity: their pairs are found by shared shingles.
+SHORT = 64
+#: Standard deviations above the expected differing bits up to which a pair met is compared.
+WIDE = 5
+
+
+def shingle_sets(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(doc_id, text, node, n, fp_0 .. fp_{LANES-1}): node names the set of distinct shingles, n is its size; bits are those of the set."""
+    names = [f"fp_{i}" for i in range(LANES)]
+    schema = "doc_id long, text string, node long, n int, " + ", ".join(f"{n} long" for n in names)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in it:
+            node, n, out = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int32), np.zeros((LANES, batch.num_rows), np.uint64)
+            for r, text in enumerate(text_bytes(batch.column(1))):
+                h = np.unique(shingle_hashes(text, shingle))
+                node[r], n[r] = xxhash.xxh3_64_intdigest(h.tobytes()), len(h)
+                for i in range(LANES):
+                    out[i, r] = majority(_remixed(h, i))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node.view(np.int64)), pa.array(n), *(pa.array(x.view(np.int64)) for x in out)], names=["doc_id", "text", "node", "n", *names])
+
+    return id_and_text(df, id_col, text_col).where("doc_id is not null").mapInArrow(run, schema)
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets of distinct values have this Jaccard similarity."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared >= similarity * (len(a) + len(b) - shared) - 1e-9
+
+
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets are similar, by the texts (node, text) themselves."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            left, right = text_bytes(batch.column(2)), text_bytes(batch.column(3))
+            yes = [similar(np.unique(shingle_hashes(x, shingle)), np.unique(shingle_hashes(y, shingle)), similarity) for x, y in zip(left, right, strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(yes, pa.bool_()))
+
+    left, right = (texts.select(F.col("node").alias(k), F.col("text").alias(f"t{k}")) for k in "ab")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
+
+
+def short_pairs(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Spanning edges (a, b) of all similar pairs of the short texts (node, text).
+
+    Similar sets share one of the rarest 1 + floor((1 - similarity) * n) shingles of each; sets of
+    one such shingle are compared with each other, but for those already linked.
+    """
+
+    def spread(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in text_bytes(batch.column(1))]
+            node = np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], names=["node", "h"])
+
+    def linked(key: tuple, t: pa.Table) -> pa.Table:
+        node, sets = t.column("node").to_pylist(), [np.array(x, np.int64) for x in t.column("hs").to_pylist()]
+        size, label, out = np.array([len(x) for x in sets]), np.arange(len(sets)), []
+        for i in range(1, len(sets)):
+            while True:  # only those of other labels, of a size that allows it
+                near = (size[:i] >= similarity * size[i] - 1e-9) & (size[i] >= similarity * size[:i] - 1e-9) & (label[:i] != label[i])
+                j = next((j for j in np.flatnonzero(near).tolist() if similar(sets[i], sets[j], similarity)), None)
+                if j is None:
+                    break
+                out.append((node[i], node[j]))
+                label[label == label[j]] = label[i]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    each = cut(texts.select("node", "text").mapInArrow(spread, "node long, h long"), "short-shingles")
+    counts = each.groupBy("h").agg(F.count("*").alias("k"))
+    # a shingle of one set only is in no pair, but has its place among the rarest
+    sets = each.join(counts, "h").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("k", "h"))).alias("x"))  # SHORT / similarity shingles at most
+    first = F.expr(f"slice(x, 1, cast(floor({1 - similarity!r} * size(x) + 1e-9) as int) + 1)")
+    keys = sets.select("node", F.col("x.h").alias("hs"), F.explode(first).alias("key")).where("key.k > 1").select("node", "hs", F.col("key.h").alias("h"))
+    return keys.groupBy("h").applyInArrow(linked, "a long, b long").distinct()
+
+
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id): groups of documents of at least this shingle similarity, directly or over others.
+    """(doc_id, component_id): groups of documents of at least this Jaccard similarity of their sets of shingles, directly or over others.
 
-    The similarity is the one that 12 x 64 SimHash bits estimate. At 0.8 about 15 % of the bits
-    differ, too many for the budget of one trie, so each lane has a trie of its own over 42 bits
+    Every link is verified on the sets themselves; bits only find pairs. At 0.8 about 15 % of the bits
+    differ, too many for the budget of one trie, so each of twelve lanes has a trie of its own over 42 bits
     with a budget of 4: a pair at 0.8 is met in a lane with probability 0.21 (in any: 0.94), one at
-    0.9 in 0.56 (0.9999). The pairs met are then judged by all 768 bits, one standard deviation above
-    the share expected. Null and empty texts are one group. Rows with a null id are left out. An
-    empty table gives no rows.
+    0.9 in 0.56 (0.9999). A first join gives spanning edges; those that don't hold may have hidden others,
+    so a second one takes all pairs between the groups verified so far. All pairs with a set of at most SHORT
+    shingles are found by shared shingles. Null and empty texts are one group. Rows with a null id are
+    left out. An empty table gives no rows.
     """
     shared_dir(df.sparkSession)
-    own = cut(fingerprints(df, id_col, text_col, shingle, LANES).where("doc_id is not null"), "fingerprints")
+    own = cut(shingle_sets(df, id_col, text_col, shingle), "fingerprints")
     lanes = [f"fp_{i}" for i in range(LANES)]
-    heads = cut(own.groupBy(*lanes).agg(F.min("doc_id").alias("id")), "heads")
-    parts = heads.select("id", F.posexplode(F.array(*lanes)).alias("part", "value"))
-    met = cut(trie_links(parts, LANE_BITS, LANE_BUDGET).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met")
+    heads = cut(own.groupBy("node", "n", *lanes).agg(F.min("doc_id").alias("id")), "heads")
+    texts = own.join(heads.select(F.col("id").alias("doc_id"), "node"), ["doc_id", "node"], "left_semi").select("node", "n", "text")
+    long = heads.where(F.col("n") > SHORT)
     share, bits = differing_share(similarity), 64 * LANES
-    most = math.floor(bits * share + math.sqrt(bits * share * (1 - share)))
-    left = heads.select(F.col("id").alias("a"), *(F.col(n).alias(f"l{n}") for n in lanes))
-    right = heads.select(F.col("id").alias("b"), *(F.col(n).alias(f"r{n}") for n in lanes))
-    differing = reduce(add, (F.bit_count(F.col(f"l{n}").bitwiseXOR(F.col(f"r{n}"))) for n in lanes))
-    near = met.join(left, "a").join(right, "b").where(differing <= most).select("a", "b")
-    groups = cut(components(near), "groups")
-    named = heads.join(groups, heads.id == groups.node, "left").select(*lanes, F.coalesce("component", "id").alias("component_id"))
-    return own.join(cut(named, "named"), lanes).select("doc_id", "component_id")
+    most = math.floor(bits * share + WIDE * math.sqrt(bits * share * (1 - share)))
+
+    def met(values: DataFrame, name: str) -> DataFrame:
+        """Pairs met in a lane that sizes and all bits allow, with the number of differing ones."""
+        kept = [c for c in values.columns if c == "label"]
+        parts = values.select(F.col("node").alias("id"), *kept, F.posexplode(F.array(*lanes)).alias("part", "value"))
+        pairs = trie_links(parts, LANE_BITS, LANE_BUDGET).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        left, right = (values.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), *(F.col(x).alias(f"{k}{x}") for x in lanes)) for k in "ab")
+        differing = reduce(add, (F.bit_count(F.col(f"a{x}").bitwiseXOR(F.col(f"b{x}"))) for x in lanes))
+        sizes = F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9
+        return cut(pairs.join(left, "a").join(right, "b").where(sizes & (differing <= most)).select("a", "b", differing.alias("d")), name)
+
+    def across(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+        """The pairs whose ends aren't of one group."""
+        a, b = (groups.select(F.col("node").alias(k), F.col("component").alias(f"c{k}")) for k in "ab")
+        return pairs.join(a, "a", "left").join(b, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+
+    some = met(long, "met")
+    best = some.groupBy("a").agg(F.min_by("b", "d").alias("b")).union(some.groupBy("b").agg(F.min_by("a", "d").alias("a")).select("a", "b")).distinct()
+    best = cut(best, "best")
+    links = cut(verified(best, texts, shingle, similarity), "links-best")
+    groups = cut(components(links), "groups-best")
+    rest = cut(across(some.join(best, ["a", "b"], "left_anti"), groups), "rest")
+    links = links.union(cut(verified(rest, texts, shingle, similarity), "links-rest"))
+    groups = cut(components(links), "groups-rest")
+    named = long.join(groups, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    more = met(named, "more").select("a", "b").join(best.union(rest), ["a", "b"], "left_anti")
+    links = links.union(cut(verified(more, texts, shingle, similarity), "links-more"))
+    links = links.union(cut(short_pairs(texts.where(F.col("n").between(1, math.floor(SHORT / similarity + 1e-9))).distinct(), shingle, similarity), "links-short"))
+    groups = cut(components(links), "groups")
+    named = cut(heads.select("node", "id").join(groups, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component")), "named")
+    least = named.groupBy("component").agg(F.min("id").alias("component_id"))
+    return own.select("doc_id", "node").join(cut(named.join(least, "component").select("node", "component_id"), "least"), "node").select("doc_id", "component_id")
 
 
 def near_deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -151,6 +151,30 @@ def walk(group: np.ndarray, value: np.ndarray, bits: int, start: int, allowed: n
         stack.append((d + 1, a[keep], b[keep], a2[keep], b2[keep], e[keep]))
 
 
+class Labelled(Forest):
+    """Pairs of leaves of different labels, all of them: only pairs within one label are pruned."""
+
+    def __init__(self, label: np.ndarray):
+        super().__init__(len(label))
+        self.label = np.unique(label, return_inverse=True)[1]
+        self._mark()
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        keep = self.label[a] != self.label[b]
+        if keep.any():
+            self.edges.append((a[keep], b[keep]))
+
+
+def all_links(group: np.ndarray, value: np.ndarray, ident: np.ndarray, label: np.ndarray, bits: int, widths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """All links (ident, ident) between different labels in each group of one rotation, those of equal values too."""
+    order = np.lexsort((ident, label, value, group))
+    group, value, ident, label = group[order], value[order], ident[order], label[order]
+    found = Labelled(label)
+    walk(group, value, bits, widths[0], depth_budgets(widths), len(widths) - 1, found)
+    a, b = (np.concatenate([np.zeros(0, np.int64), *(ident[e[k]] for e in found.edges)]) for k in (0, 1))
+    return a, b
+
+
 def links(group: np.ndarray, value: np.ndarray, ident: np.ndarray, bits: int, widths: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Edges (ident, ident) of a spanning forest of the links in each group of one rotation.
 

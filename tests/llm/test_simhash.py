@@ -131,3 +131,36 @@ def test_near_duplicates(spark):
             pairs.append(2 * k + 1)
     kept = {r.doc_id for r in simhash.near_deduplicated(spark.createDataFrame(rows, KIND)).collect()}
     assert kept == {r[0] for r in rows} - set(pairs)
+
+
+def test_near_duplicates_are_verified(spark):
+    rng = random.Random(4)
+    own = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    line = own(10)
+    rows = [(k, " ".join([line] * 20 + [own(n)])) for k, n in enumerate([300, 300, 450, 450])]  # repeated line, else different
+    for k in range(10, 70):  # sets of 5 to 64 shingles, with one more
+        t = own(k - 1)
+        rows += [(2 * k, t), (2 * k + 1, t + " more")]
+    base = [f"b{i}" for i in range(200)]
+    for k in range(200, 230):  # a family of similarities below and above the limit
+        w = list(base)
+        for i in rng.sample(range(200), rng.randint(1, 6)):
+            w[i] = f"c{rng.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    sets = {k: set(zip(*(t.split()[i:] for i in range(5)), strict=False)) for k, t in rows}
+    parent = {k: k for k in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: got[k] for k in range(4)} == {k: k for k in range(4)}
+    assert {k: v for k, v in got.items() if 4 <= k < 200} == {k: find(k) for k in sets if 4 <= k < 200}
+    assert all(find(got[k]) == find(k) for k in sets)  # no link that isn't one
