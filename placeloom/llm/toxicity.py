@@ -32,6 +32,9 @@ SHORTEST, LONGEST, DOCUMENTS, G2, RATIO = 3, 12, 5, 25.0, 2.5
 #: Entries at most (a lexicon's size, whatever the input); hits of an entry that one training document counts for.
 ENTRIES, CLIP = 500, 4
 
+#: Least ratio of the shares of clean and toxic documents that hold an exception phrase; DOCUMENTS clean ones have to.
+BENIGN = 2.0
+
 # Letters of other scripts that look like Latin ones, and digits that stand for letters.
 CYRILLIC = ("авекмнорстухіјѕԁһѵԛԝ", "abekmhopctyxijsdhvqw")
 GREEK = ("αβεικνοπρτυχω", "abeikvonptuxw")
@@ -136,6 +139,31 @@ def _tally(wanted: frozenset[str] | None):
     return run
 
 
+def _phrases(text: str, entries: frozenset[str]) -> set[str]:
+    """Folded words that go on beyond an entry, and pairs of neighbours of which one begins with an entry."""
+    text = folded(text)
+    words = [(m.start(), m.end(), m.group()) for m in _WORD.finditer(text)]
+    starts = [any(w[:n] in entries for n in range(SHORTEST, min(len(w), LONGEST) + 1)) for _, _, w in words]
+    out = {w for (_, _, w), begins in zip(words, starts, strict=True) if begins and w not in entries}
+    for (_, end, w), (start, _, v), x, y in zip(words, words[1:], starts, starts[1:], strict=False):
+        if (x or y) and text[end:start] == " ":
+            out.add(f"{w} {v}")
+    return out
+
+
+def _tally_phrases(entries: frozenset[str], wanted: frozenset[str] | None):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs: dict[str, int] = {}
+        for batch in it:
+            for text in batch.column(0).to_pylist():
+                for f in _phrases(text or "", entries):
+                    if wanted is None or f in wanted:
+                        docs[f] = docs.get(f, 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(docs), pa.string()), pa.array(list(docs.values()), pa.int64())], names=["b", "docs"])
+
+    return run
+
+
 def _g2(a: float, n: float, b: float, m: float) -> float:
     """Likelihood ratio of a of n against b of m."""
     share = (a + b) / (n + m)
@@ -147,7 +175,8 @@ def fit(documents: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = (
     """A lexicon from at most ``sample`` labelled documents, none of the held-out fold.
 
     Rows without a label, an id or a document are no examples; if labels repeat an id, the highest
-    counts. Without examples of both kinds the lexicon is empty and every score is near 0.
+    counts. Exceptions are learned besides those given: words that only begin with an entry, and pairs of words
+    around one, that clean texts hold and toxic ones seldom do. Without examples of both kinds the lexicon is empty and every score is near 0.
     """
     spark = documents.sparkSession
     shared_dir(spark)
@@ -178,7 +207,15 @@ def fit(documents: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = (
     for _, _, b, rate in sorted(ranked):
         if len(entries) < ENTRIES and not any(b.startswith(e) or e.startswith(b) for e in entries):
             entries[b] = (rate, False)
-    lexicon = Lexicon(entries, exceptions)
+
+    def phrases(texts: DataFrame, wanted: frozenset[str] | None, least: int) -> dict[str, int]:
+        got = texts.mapInArrow(_tally_phrases(frozenset(entries), wanted), "b string, docs long").groupBy("b").agg(F.sum("docs").alias("docs"))
+        return {r.b: r.docs for r in got.where(F.col("docs") >= least).collect()}  # bounded by the sample
+
+    benign = phrases(clean, None, DOCUMENTS) if entries else {}
+    used = phrases(toxic, frozenset(benign), 1) if benign else {}
+    learned = sorted(f for f, k in benign.items() if k / m >= BENIGN * used.get(f, 0) / n)
+    lexicon = Lexicon(entries, (*exceptions, *(f for f in learned if f not in exceptions)))
     points = []
     for r in rows.select("text", "toxic").mapInArrow(_densities(lexicon), "x double, toxic int").collect():  # at most `sample` pairs
         points.append((r.x, r.toxic != 0))

@@ -160,3 +160,22 @@ def test_exceptions():
 
 def test_digests(spark):
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(F.lit(""), 256)).first()[0]
+
+
+def test_exceptions_are_learned(spark):
+    words = [f"{a}{b}" for a in ("mo", "ka", "ri", "te") for b in ("lan", "dor", "vis", "pel")]
+    rng = random.Random(3)
+    rows, labels = [], []
+    for k in range(400):
+        w = rng.choices(words, k=40)
+        if k % 4 == 0:
+            w[::8] = ["grubb"] * 5
+        elif k % 4 == 1 and k % 8 == 1:
+            w[7] = "grubbworth"
+        rows.append((k, " ".join(w)))
+        labels.append((k, int(k % 4 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lexicon = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert "grubbworth" in lexicon.exceptions and "grubb" not in lexicon.exceptions
+    a = lexicon.automaton()
+    assert toxicity.density(a, "molan grubbworth kador") == 0.0 and toxicity.density(a, "molan grubb kador") > 0.0
