@@ -104,6 +104,12 @@ def tap_candidates(spark, sf_dir):
     return search.tap_candidates(rows, 400, 300, 150).limit(12).select("id", F.round("pixels", 3).alias("pixels"))
 
 
+@query(_SCREEN + ", d AS (SELECT *, sqrt(pow(x - 400, 2) + pow(y - 300, 2)) AS d FROM v) SELECT id, round(d, 3) AS pixels FROM d WHERE d <= 150")
+def tap_candidates_whole(spark, sf_dir):
+    rows = search.on_screen(search.annotate(derived(spark, sf_dir, PLACES)), 51.5074, -0.1278, 11, 800, 600)
+    return search.tap_candidates(rows, 400, 300, 150).select("id", F.round("pixels", 3).alias("pixels"))
+
+
 @query("""
 SELECT r_regionkey + 1 AS n, k::INTEGER AS slot, round(cos(-pi() / 2 + k * 2 * pi() / (r_regionkey + 1)) * CASE WHEN r_regionkey > 0 THEN greatest(28.0, 30 / (2 * sin(pi() / (r_regionkey + 1)))) ELSE 28 END, 6) + 0.0 AS x,
   round(sin(-pi() / 2 + k * 2 * pi() / (r_regionkey + 1)) * CASE WHEN r_regionkey > 0 THEN greatest(28.0, 30 / (2 * sin(pi() / (r_regionkey + 1)))) ELSE 28 END, 6) + 0.0 AS y
@@ -519,6 +525,11 @@ def public_order(spark, sf_dir):
     return p.orderBy("ordinal").limit(100).select("id")
 
 
+@query(f"WITH {_PUBLIC} SELECT id, row_number() OVER (ORDER BY o1, \"pageTitle\", o3, id) AS place FROM pub")
+def public_order_whole(spark, sf_dir):
+    return public.ranked(public.public_places(derived(spark, sf_dir, ENTRIES), derived(spark, sf_dir, PAGES))).select("id", "place")
+
+
 @query(f"WITH {_PUBLIC} SELECT coalesce(\"priceRange\", 'none') AS price, count(*) AS places FROM pub GROUP BY 1")
 def price_histogram(spark, sf_dir):
     p = public.public_places(derived(spark, sf_dir, ENTRIES), derived(spark, sf_dir, PAGES))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placeloom.functions.text import empty_to_null
+from placeloom.operators.components import shared_dir
 from placeloom.sources.readers import json_list
 
 TEXTS = {
@@ -40,6 +41,18 @@ def in_order(places: DataFrame) -> DataFrame:
     return rows.withColumn("ordinal", F.monotonically_increasing_id()).drop(*(f"__{o}" for o in ORDER))
 
 
+def ranked(places: DataFrame) -> DataFrame:
+    """Public places with their place in the order, from 1, by counts of the sorted partitions."""
+    shared_dir(places.sparkSession)
+    rows = in_order(places).checkpoint()  # sorted once: the partitions stay as they are counted
+    part = F.shiftright("ordinal", 33)
+    counts = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    lower = counts.select(F.col("part").alias("other"), "n")
+    before = counts.select("part").join(F.broadcast(lower), F.col("other") < F.col("part"), "left").groupBy("part").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("before"))
+    own = rows.withColumn("part", part).join(F.broadcast(before), "part")  # a row for each partition
+    return own.withColumn("place", F.col("before") + F.col("ordinal").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("part", "before", "ordinal")
+
+
 def as_table(places: DataFrame) -> DataFrame:
     return places.select(*(F.col(c).alias(snake(c)) for c in places.columns if not c.startswith("__") and c != "ordinal"))
 
