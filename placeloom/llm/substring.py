@@ -1,6 +1,6 @@
-"""Removal of passages that an earlier document has, by relative factoring.
+"""Removal of passages that an earlier document has, by matching of windows.
 
-Every document is factored greedily against all documents with smaller ids. The
+Every document is looked up, window by window and without a Lempel-Ziv parse, in all documents with smaller ids. The
 reference index is dealt out in blocks by hash. It holds anchors only: of the
 word 6-grams in each window of 13 words, the one of least hash, so two equal
 windows have equal anchors. Each document then asks the blocks about windows
