@@ -16,24 +16,38 @@ ORACLE_SQL = None  # learned weights, bit majorities and token ids can't be said
 
 
 def clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity lexicon doesn't reject; rows with a null id stay if their text isn't rejected."""
+    """Documents that the toxicity lexicon doesn't reject, each row by its own text.
+
+    Null and empty texts are never rejected; null ids, repeated ids and repeated rows go the way of their
+    texts; very long texts are read whole. All columns stay, whatever their names. An empty table gives no rows.
+    """
     lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return docs.where(toxicity.accepts(lexicon)(F.col("text")))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the smallest id, of each group of near duplicates (five-word shingles, similarity 0.8)."""
+    """One document, of the smallest id, of each group of near duplicates (five-word shingles, similarity 0.8).
+
+    Null and empty texts are one group. Rows with a null id stay. Of rows that repeat an id each goes with its own
+    text; of repeated rows one stays. All columns stay, whatever their names. An empty table gives no rows.
+    """
     return simhash.near_deduplicated(docs)
 
 
 def own_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that a smaller id has; those of which nothing is left go. n_chars is counted anew."""
-    rest = substring.cleaned(docs)
-    return rest.where(F.col("text") != "")
+    """Documents without passages that a smaller id has; those of which nothing is left go. n_chars is counted anew.
+
+    Texts that are null, empty or white space before stay. Null ids are larger than any other; rows that repeat an
+    id, and repeated rows, take nothing from each other. All columns stay. An empty table gives no rows.
+    """
+    return substring.cleaned(docs, drop_emptied=True)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of at most 1024 ids."""
+    """Pieces of the documents in sequences of at most 1024 ids.
+
+    Null and empty texts have their end id; rows with null or repeated ids are documents of their own. An empty table gives no rows.
+    """
     return packing.packed(docs)
 
 

@@ -7,8 +7,9 @@ count (powers of two) and is learned by expectation-maximisation on deleted
 counts: each training token is held out of the counts that predict it.
 
 Counts of all n-grams of all documents are gathered by packed exchange: a shard
-of documents sends each bucket its distinct n-grams with their training counts
-and gets the totals back in the same order.
+of documents sends each range of hashes its distinct n-grams with their training
+counts and gets the totals back in the same order. They are 64 bits wide, and
+n-grams are told apart by hashes of 63 bits.
 """
 
 from __future__ import annotations
@@ -23,17 +24,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placeloom.llm.common import cut, shared_dir, table, text_bytes
-from placeloom.llm.exchange import by_bucket, mix, pack_sorted, planes, sharded, unpack_sorted, unplanes, word_hashes, words_of
+from placeloom.llm.exchange import Exchange, WordHashes, added, compressed, heads, mix, planes, sharded, unpacked_docs, unplanes, words_of
 
-ORDER = 2
+ORDER = 3
 FOLDS, HELD_OUT = 7, 2
 #: Bits of a context's count bucket, and bins of a probability's logarithm to base 2: QUARTER a unit, down to 2^-40.
 QUARTER, FLOOR = 4, 160
 ROUNDS, ENOUGH = 200, 1e-7
 _END, _START = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x27D4EB2F165667C5)
-_SENT = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-_REPLY = pa.schema([("shard", pa.int32()), ("bucket", pa.int32()), ("n", pa.int32()), ("counts", pa.binary()), ("types", pa.int64())])
-_COUNTED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("counts", pa.binary()), ("types", pa.int64())])
+_COUNTED = pa.schema([("docs", pa.binary()), ("counts", pa.binary()), ("types", pa.int64()), ("tokens", pa.int64()), ("documents", pa.int64())])
 
 
 def fold(doc_id: int | None, folds: int) -> int:
@@ -43,105 +42,87 @@ def fold(doc_id: int | None, folds: int) -> int:
 class _Shard:
     """Tokens of a shard's documents end to end, and the n-grams that end at each."""
 
-    def __init__(self, docs: pa.Table, order: int):
-        self.ids = docs.column("doc_id").to_pylist()
-        self.held = [fold(i, FOLDS) == HELD_OUT for i in self.ids]
-        parts = []
-        for text in text_bytes(docs.column("text")):
-            parts.append(np.append(word_hashes(words_of(text, lower=True)), _END))
+    def __init__(self, docs: bytes, order: int):
+        t, hashes, parts = unpacked_docs(docs), WordHashes(), []
+        self.ids = t.column("doc_id").to_pylist()
+        self.held = np.array([fold(i, FOLDS) == HELD_OUT for i in self.ids])
+        for text in text_bytes(t.column("text")):
+            parts.append(np.append(hashes.of(words_of(text, lower=True)), _END))
         self.sizes = np.array([len(p) for p in parts], np.int64)
         word = np.concatenate(parts)
-        self.trained = np.repeat(~np.array(self.held), self.sizes)
-        begin = np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
-        place = np.arange(len(word)) - begin
-        self.grams, gram = [word], word
+        trained = np.repeat(~self.held, self.sizes)
+        place = np.arange(len(word)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        grams, gram = [word | np.uint64(1)], word  # the last bit tells words from longer n-grams
         for n in range(2, order + 1):
             before = np.where(place >= n - 1, np.roll(word, n - 1), _START)
             gram = mix(gram * np.uint64(0x9E3779B97F4A7C15) ^ before)
-            self.grams.append(gram)
-
-    def sent(self, n: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Bucket, key and training count of the distinct n-grams by (bucket, key); the row of each token."""
-        h = self.grams[n - 1]
-        if n == 1:
-            bucket, key = (mix(h) % np.uint64(buckets)).astype(np.int32), h
-        else:  # 40 bits tell the n-grams of a bucket apart but for one in about a million
-            bucket, key = ((h & np.uint64(0xFFFFFF)) % np.uint64(buckets)).astype(np.int32), h >> np.uint64(24)
-        order = np.lexsort((key, bucket))
-        b, k = bucket[order], key[order]
-        head = np.concatenate([[True], (b[1:] != b[:-1]) | (k[1:] != k[:-1])])
-        row = np.cumsum(head) - 1
-        at = np.empty(len(h), np.int64)
-        at[order] = row
-        return b[head], k[head], np.bincount(row, weights=self.trained[order], minlength=int(head.sum())).astype(np.uint32), at
+            grams.append(gram & ~np.uint64(1))
+        keys = np.concatenate(grams)
+        order_of = np.argsort(keys)
+        keys = keys[order_of]
+        head = heads(keys)
+        #: Distinct n-grams, ascending, and how often they are in training documents here.
+        self.keys, self.counts = keys[head], np.add.reduceat(np.tile(trained, order)[order_of].astype(np.int64), head)
+        row = np.empty(len(keys), np.int64)
+        row[order_of] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(keys))))
+        #: For each n the row of each token's n-gram in keys.
+        self.rows = row.reshape(order, -1)
+
+
+def packed(sizes: np.ndarray, ids: list[int | None], held: np.ndarray, counts: list[np.ndarray]) -> tuple[bytes, bytes]:
+    """Documents of a shard (id, held_out, n_tokens) and the counts of their n-grams, each order as narrow as it can be."""
+    docs = pa.record_batch([pa.array(ids, pa.int64()), pa.array(held), pa.array(sizes)], names=["doc_id", "held_out", "n_tokens"])
+    narrow = [c.astype(np.min_scalar_type(int(c.max(initial=0)))) for c in counts]
+    planed = pa.record_batch([pa.array([x], pa.binary()) for c in narrow for x in (planes(c), c.dtype.str.encode())], names=[f"{x}{n}" for n in range(len(counts)) for x in ("counts", "kind")])
+    return compressed(docs), compressed(planed)
+
+
+def unpacked(docs: bytes, counts: bytes) -> tuple[pa.Table, np.ndarray, list[np.ndarray]]:
+    """The documents, where each begins, and by order the counts of each token's n-gram."""
+    t, c = unpacked_docs(docs), unpacked_docs(counts)
+    sizes = t.column("n_tokens").to_numpy()
+    return t, np.cumsum(sizes) - sizes, [unplanes(c.column(2 * n)[0].as_py(), c.column(2 * n + 1)[0].as_py().decode()).astype(np.int64) for n in range(c.num_columns // 2)]
 
 
 def counted(df: DataFrame, id_col: str, text_col: str, order: int) -> DataFrame:
-    """(doc_id, held_out, n_tokens, counts, types): training counts of the 1- to order-grams that end at each token.
+    """(docs, counts, types, tokens, documents): a row a shard, with training counts of the 1- to order-grams that end at each token.
 
-    counts: order planes of unsigned 32-bit integers. One row for each bucket has no counts but the number of training types.
+    tokens, documents: those learned from. One row for each range of hashes has nothing but the number of training types in it.
     """
-    docs, buckets = sharded(df, id_col, text_col)
+    shards = sharded(df, id_col, text_col)
+    words = lambda keys, totals: int(((keys & np.uint64(1)).astype(bool) & (totals[0] > 0)).sum())
+    net = Exchange(shards.n, shards.ranges, added, tally=words)
 
     def send(key: tuple, t: pa.Table) -> pa.Table:
-        shard, s, out = key[0].as_py(), _Shard(t, order), []
-        for n in range(1, order + 1):
-            bucket, keys, count, _ = s.sent(n, buckets)
-            out += [(b, shard, n, pack_sorted(keys[r]), planes(count[r])) for b, r in by_bucket(bucket, buckets)]
-        return pa.table([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), _SENT, strict=True)], schema=_SENT)
-
-    def total(key: tuple, t: pa.Table) -> pa.Table:
-        bucket, n = key[0].as_py(), key[1].as_py()
-        shards = t.column("shard").to_pylist()
-        keys = [unpack_sorted(x) for x in t.column("keys").to_pylist()]
-        counts = np.concatenate([unplanes(x, "<u4") for x in t.column("counts").to_pylist()])
-        value, at = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.bincount(at, weights=counts).astype(np.uint32)
-        types = int((sums > 0).sum())
-        back, start, out = sums[at], 0, []
-        for shard, k in zip(shards, keys, strict=True):
-            out.append((shard, bucket, n, planes(back[start : start + len(k)]), types if not out and n == 1 else None))
-            start += len(k)
-        return pa.table([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), _REPLY, strict=True)], schema=_REPLY)
+        s = _Shard(t.column("docs")[0].as_py(), order)
+        return net.send(key[0].as_py(), s.keys, [s.counts])
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return _COUNTED.empty_table()
-        s, columns = _Shard(left, order), []
-        answers = {(n, b): c for n, b, c in zip(right.column("n").to_pylist(), right.column("bucket").to_pylist(), right.column("counts").to_pylist(), strict=True)}
-        for n in range(1, order + 1):
-            bucket, _, _, at = s.sent(n, buckets)
-            columns.append(np.concatenate([unplanes(answers.pop((n, b)), "<u4") for b, _ in by_bucket(bucket, buckets)])[at])
-        out, start = [], 0
-        for doc_id, held, size in zip(s.ids, s.held, s.sizes.tolist(), strict=True):
-            out.append((doc_id, held, size, b"".join(planes(c[start : start + size]) for c in columns), None))
-            start += size
-        out += [(None, True, 0, b"", x) for x in right.column("types").to_pylist() if x is not None]
-        return pa.table([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), _COUNTED, strict=True)], schema=_COUNTED)
-
-    sent = docs.groupBy("shard").applyInArrow(send, "bucket int, shard int, n int, keys binary, counts binary")
-    back = sent.groupBy("bucket", "n").applyInArrow(total, "shard int, bucket int, n int, counts binary, types long")
-    return docs.groupBy("shard").cogroup(back.groupBy("shard")).applyInArrow(join, "doc_id long, held_out boolean, n_tokens long, counts binary, types long")
-
-
-def contexts(counts: list[np.ndarray], n: int, documents: int) -> np.ndarray:
-    """Count of the context of each token of a document in an n-gram, n > 1: of the (n-1)-gram before it."""
-    if n > 2:
-        before = np.roll(counts[n - 2], 1).astype(np.int64)
-        before[0] = documents  # the start alone
-        return before
-    before = np.roll(counts[0], 1).astype(np.int64)
-    before[0] = documents
+        if not left.num_rows:  # lane: the tally
+            return pa.table([pa.array([x], f.type) for x, f in zip((None, None, sum(right.column("lane").to_pylist()), 0, 0), _COUNTED, strict=True)], schema=_COUNTED)
+        s = _Shard(left.column("docs")[0].as_py(), order)
+        _, (totals,) = net.gathered(right, s.keys)
+        docs, counts = packed(s.sizes, s.ids, s.held, [totals[r] for r in s.rows])
+        return pa.table([pa.array([x], f.type) for x, f in zip((docs, counts, 0, int(s.sizes[~s.held].sum()), int((~s.held).sum())), _COUNTED, strict=True)], schema=_COUNTED)
+
+    back = net.run(shards.rows.groupBy("shard").applyInArrow(send, Exchange.SENT_SQL))
+    return shards.rows.groupBy("shard").cogroup(back.groupBy("shard")).applyInArrow(join, "docs binary, counts binary, types long, tokens long, documents long")
+
+
+def contexts(counts: list[np.ndarray], n: int, begins: np.ndarray, documents: int) -> np.ndarray:
+    """Count of the context of each token in an n-gram, n > 1: of the (n-1)-gram before it; a document begins at ``begins``."""
+    before = np.roll(counts[n - 2], 1)
+    before[begins] = documents  # the start alone
     return before
 
 
-def estimates(counts: list[np.ndarray], total: int, documents: int, deleted: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def estimates(counts: list[np.ndarray], begins: np.ndarray, total: int, documents: int, deleted: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """By order from 1: maximum-likelihood estimates and context buckets; ``deleted`` is taken from each count."""
     ps, buckets = [], []
     for n, c in enumerate(counts, 1):
-        context = np.full(len(c), total, np.int64) if n == 1 else contexts(counts, n, documents)
+        context = np.full(len(c), total, np.int64) if n == 1 else contexts(counts, n, begins, documents)
         context = np.maximum(context - deleted, 0)
-        p = np.where(context > 0, np.maximum(c.astype(np.int64) - deleted, 0) / np.maximum(context, 1), 0.0)
+        p = np.where(context > 0, np.maximum(c - deleted, 0) / np.maximum(context, 1), 0.0)
         ps.append(np.minimum(p, 1.0))  # two n-grams of one hash could come to more
         buckets.append(np.ceil(np.log2(context + 1)).astype(np.int64))
     return ps, buckets
@@ -186,40 +167,38 @@ def em(bucket: np.ndarray, own: np.ndarray, lower: np.ndarray, count: np.ndarray
     return np.minimum(lam, 1 - 1e-9)
 
 
-def _unpacked(data: bytes, size: int, order: int) -> list[np.ndarray]:
-    return [unplanes(data[4 * size * k : 4 * size * (k + 1)], "<u4") for k in range(order)]
-
-
 def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), logarithms to base 10.
 
     held_out: crc32 of the id as text, modulo 7, is 2; such documents are scored but not learned from. Tokens are
     the words, A-Z lower-cased, and one end; null and empty texts are the end alone. Null ids count as the id of
-    no digits. Rows that repeat an id are documents of their own. An empty table gives no rows; without training
-    documents all words are unknown.
+    no digits. Rows that repeat an id are documents of their own, so are repeated rows. A very long text is a
+    shard by itself, which a task holds whole. Other columns aren't read. An empty table gives no rows; without
+    training documents all words are unknown.
     """
     shared_dir(df.sparkSession)
     rows = cut(counted(df, id_col, text_col, order), "lm-counts")
-    facts = rows.agg(F.sum("types"), F.sum(F.expr("CASE WHEN types IS NULL AND NOT held_out THEN n_tokens END")), F.count_if(F.expr("types IS NULL AND NOT held_out"))).first()
-    types, total, documents = (int(x or 0) for x in facts)
+    types, total, documents = (int(x or 0) for x in rows.agg(F.sum("types"), F.sum("tokens"), F.sum("documents")).first())
     uniform, weights = 1.0 / (types + 1), []
-    texts = rows.where("types IS NULL")
+    shards = rows.where("docs IS NOT NULL").select("docs", "counts")
     for n in range(1, order + 1):
         fixed = list(weights)
 
         def tally(it: Iterator[pa.RecordBatch], n: int = n, fixed: list[np.ndarray] = fixed) -> Iterator[pa.RecordBatch]:
             cells: dict[int, int] = {}
             for batch in it:
-                for size, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    ps, buckets = estimates(_unpacked(data, size, order)[:n], total, documents, 1)
-                    lower = interpolated(ps[:-1], buckets[:-1], fixed, uniform) if n > 1 else np.full(size, uniform)
-                    cell, count = np.unique((buckets[-1] << 16 | binned(ps[-1]) << 8 | binned(lower)), return_counts=True)
+                for docs, data in zip(batch.column(0), batch.column(1), strict=True):
+                    t, begins, counts = unpacked(docs.as_py(), data.as_py())
+                    trained = np.repeat(~t.column("held_out").to_numpy(), t.column("n_tokens").to_numpy())
+                    ps, buckets = estimates(counts[:n], begins, total, documents, 1)
+                    lower = interpolated(ps[:-1], buckets[:-1], fixed, uniform) if n > 1 else np.full(len(trained), uniform)
+                    cell, count = np.unique((buckets[-1] << 16 | binned(ps[-1]) << 8 | binned(lower))[trained], return_counts=True)
                     for c, k in zip(cell.tolist(), count.tolist(), strict=True):
                         cells[c] = cells.get(c, 0) + k
             yield pa.RecordBatch.from_arrays([pa.array(list(cells), pa.int64()), pa.array(list(cells.values()), pa.int64())], names=["cell", "tokens"])
 
         # at most 64 buckets x 161 x 161 cells, whatever the input
-        cells = texts.where("NOT held_out").select("n_tokens", "counts").mapInArrow(tally, "cell long, tokens long").groupBy("cell").agg(F.sum("tokens").alias("tokens")).collect()
+        cells = shards.mapInArrow(tally, "cell long, tokens long").groupBy("cell").agg(F.sum("tokens").alias("tokens")).collect()
         if not cells:
             weights.append(np.zeros(64))
             continue
@@ -230,16 +209,14 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order:
 
     def score(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            out = []
-            for size, data in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                counts = _unpacked(data, size, order)
-                base = float((np.log10(counts[0] + 1.0) - math.log10(total + types + 1)).sum())
-                ps, buckets = estimates(counts, total, documents, 0)
-                out.append((int((counts[0] > 0).sum()), base, float(np.log10(interpolated(ps, buckets, learned, uniform)).sum())))
-            known, base, own = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-
-    result = texts.select("doc_id", "held_out", "n_tokens", "counts").mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+            for docs, data in zip(batch.column(0), batch.column(1), strict=True):
+                t, begins, counts = unpacked(docs.as_py(), data.as_py())
+                base = np.log10(counts[0] + 1.0) - (math.log10(total + types + 1))
+                own = np.log10(interpolated(*estimates(counts, begins, total, documents, 0), learned, uniform))
+                sums = [np.add.reduceat(x, begins) for x in ((counts[0] > 0).astype(np.int64), base, own)]
+                yield pa.RecordBatch.from_arrays([*(x.combine_chunks() for x in t.columns), *(pa.array(x) for x in sums)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    result = shards.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return result.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 

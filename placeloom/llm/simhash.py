@@ -197,7 +197,7 @@ WIDE = 5
 
 
 def shingle_sets(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(doc_id, text, node, n, fp_0 .. fp_{LANES-1}): node names the set of distinct shingles, n is its size; bits are those of the set."""
+    """(doc_id, text, node, n, fp_0 .. fp_{LANES-1}): node names the set of distinct shingles, n is its size; bits are those of the set. Rows with a null id are left out."""
     names = [f"fp_{i}" for i in range(LANES)]
     schema = "doc_id long, text string, node long, n int, " + ", ".join(f"{n} long" for n in names)
 
@@ -273,13 +273,24 @@ def short_pairs(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id): groups of documents of at least this Jaccard similarity of their sets of shingles, directly or over others.
 
+    component_id is the smallest id of the group. Null and empty texts are one group. Rows with a null id
+    are left out; rows that repeat an id are each in the group of their own text. Very long texts are compared
+    whole. An empty table gives no rows.
+    """
+    rows = grouped(df, id_col, text_col, shingle, similarity)
+    least = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(cut(least, "least"), "component").select("doc_id", "component_id")
+
+
+def grouped(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """(doc_id, text_hash, component): the group of each row; text_hash: of the text, null like empty.
+
     Every link is verified on the sets themselves; bits only find pairs. At 0.8 about 15 % of the bits
     differ, too many for the budget of one trie, so each of twelve lanes has a trie of its own over 42 bits
     with a budget of 4: a pair at 0.8 is met in a lane with probability 0.21 (in any: 0.94), one at
     0.9 in 0.56 (0.9999). A first join gives spanning edges; those that don't hold may have hidden others,
     so a second one takes all pairs between the groups verified so far. All pairs with a set of at most SHORT
-    shingles are found by shared shingles. Null and empty texts are one group. Rows with a null id are
-    left out. An empty table gives no rows.
+    shingles are found by shared shingles.
     """
     shared_dir(df.sparkSession)
     own = cut(shingle_sets(df, id_col, text_col, shingle), "fingerprints")
@@ -319,14 +330,24 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     links = links.union(cut(short_pairs(texts.where(F.col("n").between(1, math.floor(SHORT / similarity + 1e-9))).distinct(), shingle, similarity), "links-short"))
     groups = cut(components(links), "groups")
     named = cut(heads.select("node", "id").join(groups, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component")), "named")
-    least = named.groupBy("component").agg(F.min("id").alias("component_id"))
-    return own.select("doc_id", "node").join(cut(named.join(least, "component").select("node", "component_id"), "least"), "node").select("doc_id", "component_id")
+    return own.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "node").join(named.select("node", "component"), "node").select("doc_id", "text_hash", "component")
 
 
 def near_deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of df whose id is the smallest of its group; all columns stay, rows with a null id too."""
-    keep = near_groups(df, id_col, text_col, shingle, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct()
-    return df.join(keep, df[f"`{id_col}`"] == keep["__drop"], "left_anti")
+    """One row of each group of near duplicates: that of the smallest id; all columns stay.
+
+    Rows are told apart by id and text, so of rows that repeat an id each stays or goes with the group of its
+    own text; where a group's smallest id has several rows, one of them stays. Rows with a null id stay.
+    An empty table gives no rows.
+    """
+    rows = grouped(df, id_col, text_col, shingle, similarity).groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    keep = cut(rows.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash", "n")).alias("own")).select("own"), "keep")
+    row = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+    ident = F.col(f"row.`{id_col}`").cast("long")
+    match = (ident == F.col("own.doc_id")) & (F.xxhash64(F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit(""))) == F.col("own.text_hash"))
+    single = row.join(keep.where("own.n = 1"), match, "left").where(F.col("own").isNotNull() | ident.isNull())
+    repeated = row.join(keep.where("own.n > 1"), match).groupBy("own").agg(F.first("row").alias("row"))
+    return single.select("row").unionByName(repeated.select("row")).select(*(F.col(f"row.`{c}`").alias(c) for c in df.columns))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,200 +1,301 @@
-"""Removal of passages that an earlier document has, by matching of windows.
-
-Every document is looked up, window by window and without a Lempel-Ziv parse, in all documents with smaller ids. The
-reference index is dealt out in blocks by hash. It holds anchors only: of the
-word 6-grams in each window of 13 words, the one of least hash, so two equal
-windows have equal anchors. Each document then asks the blocks about windows
-whose anchor another document has too, and a factor is a maximal run of windows
-found in smaller documents. Where two factors meet or end, each window across
-the boundary was asked for itself, so that no source change hides or invents one.
+"""Removal of passages that an earlier document has, by relative Lempel-Ziv parsing.
+
+Every document is factored greedily against reference blocks: the words, in order, of
+smaller documents. Blocks hold what some larger document needs, each window of 13 words
+once, where it occurs first; so a block stays as small as what is repeated.
+
+1. Anchors, the word 6-gram of least hash of each window, tell which windows may be
+   elsewhere at all: equal windows have equal anchors.
+2. For those windows the smallest document that has them, and its shard, are looked up.
+3. Each shard asks the shards of these documents for the windows that it needs and gets
+   blocks of text back: (document, position, words), runs of windows joined.
+4. A shard indexes the blocks that came, and its own documents as one more, by hash of the
+   13 words at each position, and parses each document: at the first position that the
+   index knows, the factor (source document, position, length) is the match extended word
+   by word as far as it goes; the words themselves are compared. Each window across the
+   end of a factor is looked up too before the parse goes on behind it, so that no window
+   is lost where the source changes. All factors are of at least 13 words: duplicate spans.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeloom.llm.common import table, text_bytes
-from placeloom.llm.exchange import by_bucket, lookup, pack_sorted, planes, rolling, sharded, unpack_sorted, unplanes, word_hashes, words_of
+from placeloom.llm.common import cut, shared_dir, table, text_bytes
+from placeloom.llm.exchange import Exchange, WordHashes, added, heads, least, lookup, mix, pack_sorted, pack_values, rolling, sharded, unpack_sorted, unpack_values, unpacked_docs, words_of
 
 WINDOW = 13
 ANCHOR = 6
+#: Bytes of requests to one shard above which they are dealt out to several tasks that hold it.
+REQUESTS = 8 << 20
 _LAST = np.iinfo(np.int64).max
-_SENT = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary())])
-_REPLY = pa.schema([("shard", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary())])
-_SENT_SQL, _REPLY_SQL = "bucket int, shard int, keys binary, docs binary", "shard int, keys binary, docs binary"
+_REQUEST = pa.schema([("owner", pa.int64()), ("asker", pa.int64()), ("keys", pa.binary())])
+_BLOCK = pa.schema([("asker", pa.int64()), ("places", pa.binary()), ("words", pa.binary())])
+RESULT = pa.schema(
+    [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())]
+    + [("spans", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))]
+    + [("factors", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("source", pa.int64()), ("source_start", pa.int64())])))]
+)
+RESULT_SQL = "doc_id long, text_hash long, n_words long, n_removed long, kept string, spans array<struct<start: long, length: long>>, factors array<struct<start: long, length: long, source: long, source_start: long>>"
 
 
 class _Shard:
     """Words and windows of the documents of a shard, end to end."""
 
-    def __init__(self, docs: pa.Table, window: int, anchor: int, hashes: int = 2, anchors: bool = True, keep_words: bool = False):
-        """hashes: how many hashes of windows are made; anchors: whether each window's anchor is."""
-        self.raw = docs.column("doc_id").to_pylist()
-        doc_ids = np.array([_LAST if x is None else x for x in self.raw], np.int64)
-        self.words, own, sizes = [], [np.zeros(0, np.uint64)], []
-        for text in text_bytes(docs.column("text")):
+    def __init__(self, docs: bytes, window: int, keep_words: bool = False):
+        t = unpacked_docs(docs)
+        ids = np.array([_LAST if x is None else x for x in t.column("doc_id").to_pylist()], np.int64)
+        order = np.argsort(ids, kind="stable")  # smaller documents come first
+        t, ids = t.take(pa.array(order)), ids[order]
+        self.raw, self.texts, self.words = t.column("doc_id").to_pylist(), text_bytes(t.column("text")), []
+        own, hashes = [np.zeros(0, np.uint64)], WordHashes()
+        for text in self.texts:
             w = words_of(text, lower=False)
-            sizes.append(len(w))
-            own.append(word_hashes(w))
+            own.append(hashes.of(w))
             if keep_words:
-                self.words.append(w)
-        h = np.concatenate(own)
-        del own
-        self.end = np.cumsum(np.array(sizes, np.int64))
-        n = max(0, len(h) - window + 1)
-        at = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)  # document of each word
-        self.inside = at[:n] == at[window - 1 :] if n else np.zeros(0, bool)
-        self.doc = doc_ids[at[:n]] if n else np.zeros(0, np.int64)
-        del at
-        self.first = rolling(h, window, 1) if hashes else None
-        self.second = rolling(h, window, 2) if hashes > 1 else None
-        if anchors:
-            grams = rolling(h, anchor, 3)
-            self.anchor = grams[:n].copy()
-            for j in range(1, window - anchor + 1):
-                np.minimum(self.anchor, grams[j : n + j], out=self.anchor)
-
-    def windows(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-        """Distinct hashes of the windows, the smallest document of each, its bucket hash if there is one."""
-        first, doc = self.first[rows], self.doc[rows]
-        order = np.lexsort((doc, first))
-        first = first[order]
-        head = order[np.concatenate([[True], first[1:] != first[:-1]])] if len(first) else order
-        return self.first[rows[head]], doc[head], None if self.second is None else self.second[rows[head]]
-
-
-def _spread(shard: int, key: np.ndarray, doc: np.ndarray | None, hashed: np.ndarray, n: int) -> pa.Table:
-    """One row for each bucket, keys ascending."""
-    bucket = (hashed % np.uint64(n)).astype(np.int32)
-    order = np.lexsort((key, bucket))
-    key, bucket = key[order], bucket[order]
-    doc = doc[order] if doc is not None else None
-    parts = by_bucket(bucket, n)
-    return pa.table([[b for b, _ in parts], [shard] * len(parts), [pack_sorted(key[s]) for _, s in parts], [planes(doc[s]) if doc is not None else b"" for _, s in parts]], schema=_SENT)
-
-
-def _replies(shards: list[int], keys: list[np.ndarray], docs: list[np.ndarray]) -> pa.Table:
-    some = [i for i in range(len(shards)) if len(keys[i])]
-    return pa.table([[shards[i] for i in some], [pack_sorted(keys[i]) for i in some], [planes(docs[i]) if len(docs) else b"" for i in some]], schema=_REPLY)
-
-
-def _in_two(t: pa.Table) -> pa.Table:
-    """Anchors that more than one shard has, for each shard that has them."""
-    shards, keys = t.column("shard").to_pylist(), [unpack_sorted(x) for x in t.column("keys").to_pylist()]
-    value, count = np.unique(np.concatenate(keys), return_counts=True)
-    value = value[count > 1]
-    return _replies(shards, [k[lookup(value, k)[1]] for k in keys], [])
-
-
-def _earlier(t: pa.Table) -> pa.Table:
-    """For each shard the windows that another shard has in a smaller document, with the smallest."""
-    shards, keys = t.column("shard").to_pylist(), [unpack_sorted(x) for x in t.column("keys").to_pylist()]
-    docs = [unplanes(x, "<i8") for x in t.column("docs").to_pylist()]
-    every, doc = np.concatenate(keys), np.concatenate(docs)
-    order = np.lexsort((doc, every))
-    every, doc = every[order], doc[order]
-    head = np.concatenate([[True], every[1:] != every[:-1]])
-    every, doc = every[head], doc[head]
-    least = [doc[lookup(every, k)[0]] for k in keys]
-    less = [m < d for m, d in zip(least, docs, strict=True)]
-    return _replies(shards, [k[x] for k, x in zip(keys, less, strict=True)], [m[x] for m, x in zip(least, less, strict=True)])
-
-
-def _answers(right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    keys = [np.zeros(0, np.uint64), *(unpack_sorted(x) for x in right.column("keys").to_pylist())]
-    docs = [np.zeros(0, np.int64), *(unplanes(x, "<i8") for x in right.column("docs").to_pylist() if x)]
-    key, doc = np.concatenate(keys), np.concatenate(docs)
-    order = np.argsort(key, kind="stable")
-    return key[order], doc[order] if len(doc) else doc
-
-
-def _both(a: np.ndarray, docs: np.ndarray) -> np.ndarray:
+                self.words += w
+        self.hash = np.concatenate(own)
+        self.sizes = np.array([len(x) for x in own[1:]], np.int64)
+        self.end = np.cumsum(self.sizes)
+        self.window, n = window, max(0, len(self.hash) - window + 1)
+        at = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)  # document of each word
+        self.starts = np.flatnonzero(at[:n] == at[window - 1 :]) if n else np.zeros(0, np.int64)  # of windows inside a document
+        self.at = at[self.starts]
+        self.doc = ids[self.at] if len(self.at) else np.zeros(0, np.int64)
+
+    def keys(self) -> np.ndarray:
+        return rolling(self.hash, self.window, 1)[self.starts]
+
+    def anchors(self, anchor: int) -> np.ndarray:
+        grams = rolling(self.hash, anchor, 3)
+        n = max(0, len(self.hash) - self.window + 1)
+        out = grams[:n].copy()
+        for j in range(1, self.window - anchor + 1):
+            np.minimum(out, grams[j : n + j], out=out)
+        return mix(out[self.starts])  # least hashes aren't uniform
+
+    def first(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct window hashes, ascending, and the row in ``starts`` of the first one in the smallest document."""
+        order = np.argsort(keys, kind="stable")
+        head = order[heads(keys[order])]
+        return keys[head], head
+
+
+def _in_two(a: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """Anchors of two documents of the shard at least."""
-    order = np.lexsort((docs, a))
+    order = np.argsort(a, kind="stable")
     a, docs = a[order], docs[order]
     return np.unique(a[1:][(a[1:] == a[:-1]) & (docs[1:] != docs[:-1])])
 
 
+def _blocks(s: _Shard, askers: list[int], wanted: list[np.ndarray]) -> pa.Table:
+    """A row for each asker: the runs of words that hold the windows it wants, where they come first."""
+    key, row = s.first(s.keys())
+    out = []
+    for asker, keys in zip(askers, wanted, strict=True):
+        at, there = lookup(key, keys)
+        rows = np.unique(row[at[there]])
+        if not len(rows):
+            continue
+        place, doc = s.starts[rows], s.at[rows]
+        new = np.concatenate([[True], (np.diff(place) > s.window) | (doc[1:] != doc[:-1])])  # runs: windows that touch
+        begin = np.flatnonzero(new)
+        last = np.append(begin[1:], len(rows)) - 1
+        start, end = place[begin], place[last] + s.window
+        inside = start - (s.end - s.sizes)[doc[begin]]
+        text = b" ".join(b" ".join(s.words[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True))
+        out.append((asker, pack_values([s.doc[rows[begin]], inside, end - start]), text))
+    return pa.table([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 3, _BLOCK, strict=True)], schema=_BLOCK)
+
+
+def _same(a: np.ndarray, i: int, b: np.ndarray, j: int, most: int) -> int:
+    """How many values agree from a[i] and b[j] on, at most ``most``."""
+    done, step = 0, 64
+    while done < most:
+        step = min(step, most - done)
+        differ = np.flatnonzero(a[i + done : i + done + step] != b[j + done : j + done + step])
+        if len(differ):
+            return done + int(differ[0])
+        done, step = done + step, step * 4
+    return done
+
+
+class Reference:
+    """Blocks of words and an index of them: for each window the smallest document that has it, and where."""
+
+    def __init__(self, s: _Shard, places: list[bytes], words: list[bytes]):
+        own, row = s.first(s.keys())
+        hashes = WordHashes()
+        self.words, docs, begins, sizes = list(s.words), [], [], []
+        for place, text in zip(places, words, strict=True):
+            doc, begin, size = unpack_values(place, "iii", len(place) // 24)
+            docs.append(doc)
+            begins.append(begin)
+            sizes.append(size)
+            self.words += text.split()
+        got = hashes.of(self.words[len(s.hash) :])
+        self.hash = np.concatenate([s.hash, got])
+        none = [np.zeros(0, np.int64)]
+        doc, begin, size = (np.concatenate(none + x) for x in (docs, begins, sizes))
+        end = len(s.hash) + np.cumsum(size)
+        block = np.repeat(np.arange(len(size)), np.maximum(size - s.window + 1, 0))
+        first = np.cumsum(np.maximum(size - s.window + 1, 0)) - np.maximum(size - s.window + 1, 0)
+        start = (end - size)[block] + np.arange(len(block)) - first[block]
+        key = rolling(got, s.window, 1)[start - len(s.hash)] if len(start) else np.zeros(0, np.uint64)
+        # own documents are one more block; of two places of a window that of the smaller document counts
+        self.key, self.doc, self.start, self.end = own, s.doc[row], s.starts[row], s.end[s.at[row]]
+        self.inside = self.start - (s.end - s.sizes)[s.at[row]]
+        at, there = lookup(own, key)
+        better = np.flatnonzero(there & (doc[block] < self.doc[at])) if len(own) else np.zeros(0, np.int64)
+        better = better[np.argsort(-doc[block][better], kind="stable")]  # the smallest is written last
+        at, block, start = at[better], block[better], start[better]
+        self.doc[at], self.start[at], self.end[at] = doc[block], start, end[block]
+        self.inside[at] = begin[block] + start - (end - size)[block]
+
+
+def parsed(s: _Shard, ref: Reference) -> Iterator[tuple[int, list[tuple[int, int, int, int]]]]:
+    """For each document of the shard with factors: its number and its factors (start, length, source document, position there)."""
+    at, there = lookup(ref.key, s.keys())
+    found = np.flatnonzero(there & (ref.doc[at] < s.doc)) if len(ref.key) else np.zeros(0, np.int64)  # windows that a smaller document has
+    if not len(found):
+        return
+    at, place, window = at[found], s.starts[found], s.window
+    owner = s.at[found]
+    for a, b in zip(heads(owner).tolist(), [*heads(owner)[1:].tolist(), len(owner)], strict=True):
+        number = int(owner[a])
+        begin, end = int(s.end[number] - s.sizes[number]), int(s.end[number])
+        factors, places, i = [], place[a:b].tolist(), 0
+        while i < len(places):
+            x, k = places[i], int(at[a + i])
+            source = int(ref.start[k])
+            length = _same(s.hash, x, ref.hash, source, min(end - x, int(ref.end[k]) - source))
+            if s.words[x : x + length] != ref.words[source : source + length]:  # hashes agreed, words don't
+                length = next((n for n in range(length) if s.words[x + n] != ref.words[source + n]), length)
+            if length < window:
+                i += 1
+                continue
+            factors.append((x - begin, length, int(ref.doc[k]), int(ref.inside[k])))
+            # windows inside the factor are settled; those across its end are looked up one by one
+            i = bisect_left(places, x + length - window + 1, i + 1)
+        if factors:
+            yield number, factors
+
+
 def factored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept, spans): each document without the words that earlier ones have.
+    """(doc_id, text_hash, n_words, n_removed, kept, spans, factors): each document without the words that earlier ones have.
 
     A word goes if a window of ``window`` consecutive words over it also starts in a document of a
-    smaller id. spans: array of (start, length) in words, disjoint and ascending; kept: the other
-    words joined by one space, '' if none. Words are runs of non-white-space, unchanged. Null and
-    empty texts have no words. A null id counts as larger than any other; rows that repeat an id take
-    nothing from each other. An empty table gives no rows. Windows are compared by 64-bit hashes
-    within buckets dealt out by another hash.
+    smaller id. factors: array of (start, length, source, source_start) in words, ascending, each of at
+    least ``window`` words that the document ``source`` has from source_start on; they may overlap.
+    spans: their union as disjoint (start, length); kept: the other words joined by one space, '' if
+    none. text_hash: xxhash64 of the text, null for null, to tell rows that repeat an id apart.
+
+    Words are runs of non-white-space, unchanged. Null and empty texts have no words. A null id counts
+    as larger than any other; rows that repeat an id, null ids too, take nothing from each other and stay
+    rows of their own. A very long text is a shard by itself. An empty table gives no rows.
     """
-    docs, n = sharded(df, id_col, text_col)
+    spark = df.sparkSession
+    shared_dir(spark)
+    shards = sharded(df, id_col, text_col)
+    docs = shards.rows
+    common = Exchange(shards.n, shards.ranges, added, answered=lambda own, total: total[0] > 1)
+    where = Exchange(shards.n, shards.ranges, least, kinds="ii", answered=lambda own, total: (total[0] < own[0]) & (total[1] != own[1]), keyed=True)
 
     def anchors(key: tuple, t: pa.Table) -> pa.Table:
-        s = _Shard(t, window, anchor, hashes=0)
-        own = np.unique(s.anchor[s.inside])
-        return _spread(key[0].as_py(), own, None, own, n)
+        own = np.unique(_Shard(t.column("docs")[0].as_py(), window).anchors(anchor))
+        return common.send(key[0].as_py(), own, [np.ones(len(own), np.int64)])
 
-    def asked(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+    def windows(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return _SENT.empty_table()
-        s = _Shard(left, window, anchor)
-        a, d = s.anchor[s.inside], s.doc[s.inside]
-        shared = np.union1d(_answers(right)[0], _both(a, d))
-        rows = np.flatnonzero(s.inside)[lookup(shared, a)[1]]
-        first, doc, second = s.windows(rows)
-        return _spread(key[0].as_py(), first, doc, second, n)
-
-    result = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))])
-
-    def cleaned(left: pa.Table, right: pa.Table) -> pa.Table:
+            return Exchange.SENT.empty_table()
+        s, shard = _Shard(left.column("docs")[0].as_py(), window), key[0].as_py()
+        a = s.anchors(anchor)
+        shared = np.union1d(common.gathered(right, np.unique(a))[0], _in_two(a, s.doc))
+        rows = np.flatnonzero(lookup(shared, a)[1])
+        keys, head = s.first(s.keys()[rows])
+        return where.send(shard, keys, [s.doc[rows[head]], np.full(len(keys), shard, np.int64)])
+
+    def requests(key: tuple, t: pa.Table) -> pa.Table:
+        keys, (_, owner) = where.gathered(t, np.zeros(0, np.uint64))
+        order = np.lexsort((keys, owner))
+        keys, owner = keys[order], owner[order]
+        head = heads(owner)
+        ends = [*head[1:].tolist(), len(owner)]
+        return pa.table([owner[head], np.full(len(head), key[0].as_py(), np.int64), pa.array([pack_sorted(keys[a:b]) for a, b in zip(head.tolist(), ends, strict=True)], pa.binary())], schema=_REQUEST)
+
+    def blocks(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _BLOCK.empty_table()
+        s = _Shard(left.column("docs")[0].as_py(), window, keep_words=True)
+        return _blocks(s, right.column("asker").to_pylist(), [unpack_sorted(x) for x in right.column("keys").to_pylist()])
+
+    def parse(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return result.empty_table()
-        s = _Shard(left, window, anchor, hashes=1, anchors=False, keep_words=True)
-        rows = np.flatnonzero(s.inside)
-        key, least, _ = s.windows(rows)
-        known, theirs = _answers(right)
-        at, there = lookup(key, known)
-        least = least.copy()
-        least[at[there]] = np.minimum(least[at[there]], theirs[there])
-        found = rows[least[lookup(key, s.first[rows])[0]] < s.doc[rows]]
-        total = int(s.end[-1])
-        step = np.bincount(found, minlength=total + 1) - np.bincount(found + window, minlength=total + 1)
-        gone = np.cumsum(step)[:total] > 0
-        out: dict[str, list] = {f.name: [] for f in result}
-        start = 0
-        for raw, words, end in zip(s.raw, s.words, s.end.tolist(), strict=True):
-            own = gone[start:end]
-            edge = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).astype(np.int8)))
+            return RESULT.empty_table()
+        import xxhash
+
+        s = _Shard(left.column("docs")[0].as_py(), window, keep_words=True)
+        own = dict(parsed(s, Reference(s, right.column("places").to_pylist(), right.column("words").to_pylist())))
+        out: dict[str, list] = {f.name: [] for f in RESULT}
+        for number, (raw, text, end, size) in enumerate(zip(s.raw, s.texts, s.end.tolist(), s.sizes.tolist(), strict=True)):
+            factors, spans, words = own.get(number, []), [], s.words[end - size : end]
+            for start, length, _, _ in factors:
+                if spans and start <= spans[-1][0] + spans[-1][1]:
+                    spans[-1][1] = max(spans[-1][1], start + length - spans[-1][0])
+                else:
+                    spans.append([start, length])
+            for start, length in reversed(spans):
+                del words[start : start + length]
             out["doc_id"].append(raw)
-            out["n_words"].append(end - start)
-            out["n_removed"].append(int(own.sum()))
-            out["kept"].append(b" ".join(words if not len(edge) else [words[i] for i in np.flatnonzero(~own).tolist()]).decode("utf-8", "replace"))
-            out["spans"].append([{"start": a, "length": b - a} for a, b in edge.reshape(-1, 2).tolist()])
-            start = end
-        return pa.table(out, schema=result)
-
-    sent = docs.groupBy("shard").applyInArrow(anchors, _SENT_SQL)
-    shared = sent.groupBy("bucket").applyInArrow(_in_two, _REPLY_SQL)
-    questions = docs.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(asked, _SENT_SQL)
-    found = questions.groupBy("bucket").applyInArrow(_earlier, _REPLY_SQL)
-    return docs.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(cleaned, "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start: long, length: long>>")
-
-
-def cleaned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            out["text_hash"].append(None if text is None else int(np.uint64(xxhash.xxh64_intdigest(text, 42)).view(np.int64)))
+            out["n_words"].append(size)
+            out["n_removed"].append(size - len(words))
+            out["kept"].append(b" ".join(words).decode("utf-8", "replace"))
+            out["spans"].append([{"start": a, "length": n} for a, n in spans])
+            out["factors"].append([{"start": a, "length": n, "source": d, "source_start": p} for a, n, d, p in factors])
+        return pa.table(out, schema=RESULT)
+
+    shared = common.run(docs.groupBy("shard").applyInArrow(anchors, Exchange.SENT_SQL))
+    found = where.run(docs.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(windows, Exchange.SENT_SQL))
+    asked = cut(found.groupBy("shard").applyInArrow(requests, "owner long, asker long, keys binary"), "requests")
+    load = asked.groupBy("owner").agg(F.ceil(F.sum(F.octet_length("keys")) / REQUESTS).alias("parts")).where("parts > 1")
+    if load.isEmpty():
+        got = docs.groupBy("shard").cogroup(asked.groupBy("owner")).applyInArrow(blocks, "asker long, places binary, words binary")
+    else:  # a shard that many ask is held by several tasks, each for some of the askers
+        part = F.coalesce(F.pmod(F.xxhash64("asker"), F.col("parts")), F.lit(0))
+        dealt = asked.join(load, "owner", "left").select("owner", "asker", "keys", part.alias("part"))
+        held = docs.join(load.withColumnRenamed("owner", "shard"), "shard", "left").select("shard", "docs", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+        got = held.groupBy("shard", "part").cogroup(dealt.groupBy("owner", "part")).applyInArrow(blocks, "asker long, places binary, words binary")
+    return docs.groupBy("shard").cogroup(got.groupBy("asker")).applyInArrow(parse, RESULT_SQL)
+
+
+def cleaned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False) -> DataFrame:
     """The rows of df with what ``factored`` keeps as text; all other columns stay, n_chars, if there, is counted anew.
 
-    A text of which nothing goes stays as it is, white space included. Rows with a null id stay as they are;
-    ids must tell rows apart: of rows that repeat an id only the row of the most removed words counts for all.
+    A text of which nothing goes stays as it is, white space included; one that goes whole becomes '',
+    or its row goes with drop_emptied.
+    A result goes to the rows of the same id and text, so rows that repeat an id each keep their own; null ids match each other.
     """
-    own = factored(df, id_col, text_col).where("n_removed > 0 AND doc_id IS NOT NULL")
-    changed = own.groupBy(F.col("doc_id").alias("__id")).agg(F.max_by("kept", "n_removed").alias("__kept"))
-    rows = df.join(changed, F.col(f"`{id_col}`").cast("long") == F.col("__id"), "left")
-    text = F.coalesce("__kept", F.col(f"`{text_col}`"))
-    return rows.select(*(text.alias(c) if c == text_col else F.when(F.col("__kept").isNotNull(), F.length("__kept")).otherwise(F.col("n_chars")).cast(df.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in df.columns))
+    own = factored(df, id_col, text_col).where("n_removed > 0").groupBy("doc_id", "text_hash").agg(F.first("kept").alias("kept"))
+    row, change = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")), own.select(F.struct("doc_id", "text_hash", "kept").alias("own"))
+    text, kept = F.col(f"row.`{text_col}`"), F.col("own.kept")
+    rows = row.join(change, F.col(f"row.`{id_col}`").cast("long").eqNullSafe(F.col("own.doc_id")) & (F.xxhash64(text.cast("string")) == F.col("own.text_hash")), "left")
+    if drop_emptied:
+        rows = rows.where(kept.isNull() | (kept != ""))
+    new = {text_col: F.coalesce(kept, text.cast("string")).cast(df.schema[text_col].dataType)}
+    if "n_chars" in df.columns:
+        new["n_chars"] = F.when(kept.isNotNull(), F.length(kept)).otherwise(F.col("row.n_chars")).cast(df.schema["n_chars"].dataType)
+    return rows.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in df.columns))
 
 
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document a row, with the digest of what is kept, and the factors of the parse."""
     return factored(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 

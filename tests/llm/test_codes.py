@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from placeloom.llm import bpe, packing, tiff, token_counts, topk, warc
+from placeloom.llm import bpe, exchange, packing, tiff, token_counts, topk, warc
 
 KIND = "doc_id long, text string, media string, n_tokens string, ids string"
 ODD = ["", None, "a", "é" * 40, "x" * 64, "word " * 60000, "tab\tand\nline", "<|endoftext|> and </s><s>", "  two  spaces ", "▁under", "🙂🏳️‍🌈", "͸\U0003d000 rare", "a" * 5000, "don't WE'LL 123 ...", "\x00", "ß İ ſ"]
@@ -159,24 +159,37 @@ def test_cuts_are_optimal(steps, seed):
 # tokens
 
 
-def test_token_counts(spark):
+@pytest.mark.parametrize(("size", "fan"), [(8 << 20, 256), (4000, 3)])
+def test_token_counts(spark, monkeypatch, size, fan):
+    """In one shard, and in many over several levels."""
     import sentencepiece
 
+    monkeypatch.setattr(exchange, "SHARD_BYTES", size)
+    monkeypatch.setattr(exchange, "FAN", fan)
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     rng = random.Random(1)
-    texts = ODD + ["".join(rng.choice([" ", "  ", "a", "the", "\n", "é", "中", "🙂", "▁", "<s>", "1"]) for _ in range(rng.randint(0, 12))) for _ in range(500)]
+    texts = ODD + ["".join(rng.choice([" ", "  ", "a", "the", "\n", "é", "中", "🙂", "▁", "<s>", "1", "\x00"]) for _ in range(rng.randint(0, 12))) for _ in range(500)]
     rows = {r.doc_id: r for r in token_counts.token_counts(make(spark, texts)).collect()}
     for k, t in enumerate(texts):
         assert (rows[k].n_tokens, rows[k].n_bytes) == (len(model.encode(t or "")), len((t or "").encode())), t
         assert rows[k].over_limit == (rows[k].n_tokens > 4096)
-    assert token_counts.token_counts(make(spark, [])).count() == 0
 
 
-def test_counts_start_anew(monkeypatch):
-    monkeypatch.setattr(token_counts, "REMEMBERED", 5)
-    counts = token_counts.PieceCounts(public_tokenizers.path("piece_bpe_32k.model"))
-    texts = [f"word{i} other{i % 3} the" for i in range(30)]
-    assert [counts.count([t])[0] for t in texts] == [len(counts.model.encode(t)) for t in texts]
+def test_token_counts_of_odd_rows(spark):
+    assert token_counts.token_counts(make(spark, [])).count() == 0
+    rows = token_counts.token_counts(make(spark, ["a b", "a b", "c", None, "c"], [None, None, 3, 3, 3])).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in rows) == [(0, 2), (0, 2), (3, 0), (3, 1), (3, 1)]
+
+
+def test_each_pre_token_is_counted_once(spark):
+    """The plan holds the exchange of distinct pre-tokens and the join back; colliding hashes are told."""
+    plan = token_counts.token_counts(make(spark, ["a b"]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 2 and plan.count("FlatMapCoGroupsInArrow") == 1
+    texts = np.empty(4, object)
+    texts[:] = [b"a\x00", b"b", b"c", b"b"]
+    keys, (own,) = exchange.same(np.array([7, 5, 7, 5], np.uint64), [texts])
+    assert keys.tolist() == [5, 7] and own.tolist() == [b"b", None]
+    assert exchange.unpack_values(exchange.pack_values([texts, np.arange(4)]), "bi", 4)[0].tolist() == texts.tolist()
 
 
 def test_bpe(spark, monkeypatch):

@@ -6,10 +6,12 @@ import math
 import random
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from placeloom.llm import lm, substring, toxicity
+from placeloom.llm import exchange, lm, substring, toxicity
 
 KIND = "doc_id long, text string, shard int, n_chars long, kept string"
 
@@ -35,18 +37,74 @@ def brute(rows):
     return sorted(out)
 
 
-def test_substrings_by_brute_force(spark):
-    rng = random.Random(4)
-    passages = [" ".join(f"p{k}x{i}" for i in range(n)) for k, n in enumerate((12, 13, 14, 40, 200))]
+def passages(rng):
+    own = [" ".join(f"p{k}x{i}" for i in range(n)) for k, n in enumerate((12, 13, 14, 40, 200))]
     texts = []
     for _ in range(120):
-        parts = [" ".join(rng.choices(["a", "b", "ü", "the\xa0x"], k=rng.randint(0, 30))) for _ in range(3)] + rng.choices(passages, k=rng.randint(0, 3))
+        parts = [" ".join(rng.choices(["a", "b", "ü", "the\xa0x"], k=rng.randint(0, 30))) for _ in range(3)] + rng.choices(own, k=rng.randint(0, 3))
         rng.shuffle(parts)
         texts.append("\n\t".join(parts))
-    texts += [texts[3], texts[3] + " tail", "a " * 500, "a " * 700, "", None, "b a " * 3000]
+    return texts + [texts[3], texts[3] + " tail", "a " * 500, "a " * 700, "", None, "b a " * 3000]
+
+
+@pytest.mark.parametrize(("size", "fan", "asked"), [(8 << 20, 256, 8 << 20), (3000, 256, 64), (1500, 3, 256)])
+def test_substrings_by_brute_force(spark, monkeypatch, size, fan, asked):
+    """One shard; some, with a split of those that many ask; many, over three levels of exchange and more."""
+    monkeypatch.setattr(exchange, "SHARD_BYTES", size)
+    monkeypatch.setattr(exchange, "FAN", fan)
+    monkeypatch.setattr(substring, "REQUESTS", asked)
+    rng = random.Random(4)
+    texts = passages(rng)
     ids = rng.sample(range(1000), len(texts))
-    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring.factored(make(spark, texts, ids)).collect())
-    assert got == brute(list(zip(ids, texts)))
+    rows = substring.factored(make(spark, texts, ids)).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in rows) == brute(list(zip(ids, texts)))
+    words = {i: (t or "").encode().split() for i, t in zip(ids, texts)}
+    for r in rows:
+        for f in r.factors:
+            assert f.source < r.doc_id and f.length >= 13
+            assert words[r.doc_id][f.start : f.start + f.length] == words[f.source][f.source_start : f.source_start + f.length]
+        covered = {k for f in r.factors for k in range(f.start, f.start + f.length)}
+        assert covered == {k for x in r.spans for k in range(x.start, x.start + x.length)} and len(covered) == r.n_removed
+
+
+def test_factors_are_as_long_as_they_can_be(spark):
+    p, q = [f"p{i}" for i in range(40)], [f"q{i}" for i in range(30)]
+    df = make(spark, [" ".join(["x"] + p), " ".join(q), " ".join(p[5:] + q + ["end"])], [1, 2, 3])
+    got = {r.doc_id: [tuple(f) for f in r.factors] for r in substring.factored(df).collect()}
+    assert got == {1: [], 2: [], 3: [(0, 35, 1, 6), (35, 30, 2, 0)]}
+
+
+@pytest.mark.parametrize("fan", [4, 256])
+def test_rows_of_an_exchange_are_linear(spark, monkeypatch, fan):
+    monkeypatch.setattr(exchange, "SHARD_BYTES", 400)
+    monkeypatch.setattr(exchange, "FAN", fan)
+    rng = random.Random(5)
+    sizes, sent = (40, 160), []
+    for n in sizes:
+        texts = [" ".join(f"w{rng.randrange(500)}" for _ in range(60)) for _ in range(n)]
+        shards = exchange.sharded(make(spark, texts).repartition(4), "doc_id", "text")
+        net = exchange.Exchange(shards.n, shards.ranges, exchange.added)
+
+        def send(key, t):
+            words = [w for x in exchange.unpacked_docs(t.column("docs")[0].as_py()).column("text").to_pylist() for w in x.split()]
+            keys = exchange.WordHashes().of(words)
+            return net.send(key[0].as_py(), *exchange.added(keys, [np.ones(len(keys), np.int64)]))
+
+        def back(key, left, right):
+            words = [w for x in exchange.unpacked_docs(left.column("docs")[0].as_py()).column("text").to_pylist() for w in x.split()]
+            h = exchange.WordHashes()
+            keys, (totals,) = net.gathered(right, np.unique(h.of(words)))
+            assert keys.tolist() == sorted({h[w] for w in words})
+            count = dict(zip(keys.tolist(), totals.tolist(), strict=True))
+            return pa.table({"w": [w.decode() for w in dict.fromkeys(words)], "n": [count[h[w]] for w in dict.fromkeys(words)]})
+
+        rows = shards.rows.groupBy("shard").applyInArrow(send, exchange.Exchange.SENT_SQL)
+        sent.append((rows.count(), shards.n))
+        got = {tuple(r) for r in shards.rows.groupBy("shard").cogroup(net.run(rows).groupBy("shard")).applyInArrow(back, "w string, n long").collect()}
+        assert got == set(collections.Counter(w for t in texts for w in t.split()).items())
+    assert all(r <= n * fan for r, n in sent)
+    if fan == 4:  # four times the input, four times the rows, not sixteen
+        assert net.levels >= 3 and sent[1][0] <= 5 * sent[0][0]
 
 
 def test_spans_and_cleaning(spark):
@@ -59,6 +117,10 @@ def test_spans_and_cleaning(spark):
     assert substring.factored(make(spark, [])).count() == 0
     same = make(spark, [p, p], [5, 5])  # one id: nothing is earlier
     assert [r.n_removed for r in substring.factored(same).collect()] == [0, 0]
+    other = make(spark, [p, p + " x", "y", "", None], [5, 8, 8, 8, 8])  # rows of one id keep their own texts
+    assert sorted((r.doc_id, r.text or "") for r in substring.cleaned(other).collect()) == [(5, p), (8, ""), (8, ""), (8, "x"), (8, "y")]
+    clash = spark.createDataFrame([(1, p, "a", 2, "b"), (2, p, "c", 3, "d")], "doc_id long, text string, __kept string, __id int, kept string")
+    assert sorted(tuple(r) for r in substring.cleaned(clash).collect()) == [(1, p, "a", 2, "b"), (2, "", "c", 3, "d")]
     null = make(spark, [p, p], [None, 5])
     assert sorted((r.doc_id is None, r.n_removed) for r in substring.factored(null).collect()) == [(False, 0), (True, 20)]
 
@@ -67,31 +129,82 @@ def tokens(text):
     return [w.decode() for w in (text or "").encode().lower().split()] + ["\0end"]
 
 
-def test_language_model(spark):
+def counted_by_hand(texts, ids, order):
+    """Counters of n-grams, contexts first, of the training documents."""
+    grams = [collections.Counter() for _ in range(order)]
+    documents = 0
+    for i, text in zip(ids, texts):
+        if zlib.crc32(str(i).encode()) % 7 == 2:
+            continue
+        documents += 1
+        t = ["\0start"] * (order - 1) + tokens(text)
+        for k in range(order - 1, len(t)):
+            for n in range(1, order + 1):
+                grams[n - 1][tuple(t[k - n + 1 : k + 1])] += 1
+    return grams, documents
+
+
+def test_language_model(spark, monkeypatch):
+    """Counts, weights and scores by loops over tokens; the corpus is in many shards."""
+    monkeypatch.setattr(exchange, "SHARD_BYTES", 3000)
+    monkeypatch.setattr(exchange, "FAN", 3)
+    order = 3
     rng = random.Random(8)
     texts = [" ".join(rng.choices(["the", "cat", "Sat", "on", "mat", "a", "é"], weights=[9, 5, 4, 4, 3, 8, 1], k=rng.randint(0, 40))) for _ in range(300)] + [None, "", "new " * 2000, "the cat sat"]
     rows = {r.doc_id: r for r in lm.scored(make(spark, texts)).collect()}
-    train = [k for k in range(len(texts)) if zlib.crc32(str(k).encode()) % 7 != 2]
-    c, pair, head = collections.Counter(), collections.Counter(), collections.Counter()
-    for k in train:
-        t = tokens(texts[k])
-        c.update(t)
-        pair.update(zip(["\0start", *t], t))
-        head.update(["\0start", *t[:-1]])
-    n, v = sum(c.values()), len(c)
-    for k, text in enumerate(texts):
-        r, t = rows[k], tokens(text)
-        assert r.held_out == (k not in set(train)) and r.n_tokens == len(t) and r.train_tokens == n and r.n_known == sum(c[x] > 0 for x in t)
-        assert r.base_score == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in t), rel=1e-9)
-        assert math.isfinite(r.score) and r.score < 0
-    held = [rows[k] for k in range(len(texts)) if k not in set(train)]
+    grams, documents = counted_by_hand(texts, range(len(texts)), order)
+    total, types = sum(grams[0].values()), len(grams[0])
+
+    def estimate(t, k, n, deleted):
+        """Estimate of the n-gram that ends at a token and the bucket of its context's count, without ``deleted`` occurrences."""
+        gram = tuple(t[k - n + 1 : k + 1])
+        context = total if n == 1 else documents if all(w == "\0start" for w in gram[:-1]) else grams[n - 2][gram[:-1]]
+        context = max(0, context - deleted)
+        return (max(0, grams[n - 1][gram] - deleted) / context if context else 0.0), math.ceil(math.log2(context + 1))
+
+    def mixed(t, k, weights, deleted):
+        p = 1 / (types + 1)
+        for n, weight in enumerate(weights, 1):
+            own, bucket = estimate(t, k, n, deleted)
+            p = weight[bucket] * own + (1 - weight[bucket]) * p
+        return p
+
+    bin_of = lambda p: lm.FLOOR if p <= 0 else min(lm.FLOOR, round(-lm.QUARTER * math.log2(p)))
+    weights = []
+    for n in range(1, order + 1):
+        cells = collections.Counter()
+        for i, text in enumerate(texts):
+            if zlib.crc32(str(i).encode()) % 7 != 2:
+                t = ["\0start"] * (order - 1) + tokens(text)
+                for k in range(order - 1, len(t)):
+                    own, bucket = estimate(t, k, n, 1)
+                    cells[bucket, bin_of(own), bin_of(mixed(t, k, weights, 1))] += 1
+        back = lambda b: 0.0 if b == lm.FLOOR else 2.0 ** (-b / lm.QUARTER)
+        bucket, own, low = (np.array(x) for x in zip(*cells, strict=True))
+        weights.append(lm.em(bucket, np.array([back(b) for b in own]), np.array([2.0 ** (-b / lm.QUARTER) for b in low]), np.array(list(cells.values()), float)))
+    for i, text in enumerate(texts):
+        r, own = rows[i], tokens(text)
+        t = ["\0start"] * (order - 1) + own
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 7 == 2) and r.n_tokens == len(own) and r.train_tokens == total and r.n_known == sum(grams[0][(x,)] > 0 for x in own)
+        assert r.base_score == pytest.approx(sum(math.log10((grams[0][(x,)] + 1) / (total + types + 1)) for x in own), rel=1e-9)
+        assert r.score == pytest.approx(sum(math.log10(mixed(t, k, weights, 0)) for k in range(order - 1, len(t))), rel=1e-6)
+    held = [r for r in rows.values() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
-    # the counts behind the scores
-    got = {r.doc_id: lm._unpacked(r.counts, r.n_tokens, 2) for r in lm.counted(make(spark, texts), "doc_id", "text", 2).where("types IS NULL").collect()}
-    for k, text in enumerate(texts):
-        t = tokens(text)
-        assert got[k][0].tolist() == [c[x] for x in t] and got[k][1].tolist() == [pair[x] for x in zip(["\0start", *t], t)]
-        assert lm.contexts(got[k], 2, len(train)).tolist() == [head[x] for x in ["\0start", *t[:-1]]]
+    # the probabilities of all words and of one unknown word after a context sum to one
+    words = [w for (w,) in grams[0]] + ["never seen"]
+    for before in (["\0start", "\0start"], ["\0start", "the"], ["the", "cat"], ["nothing", "known"], ["cat", "nothing"]):
+        assert sum(mixed([*before, w], 2, weights, 0) for w in words) == pytest.approx(1.0, abs=1e-9)
+
+
+def test_counts_are_wide():
+    """Totals beyond 32 bits stay whole on their way."""
+    net = exchange.Exchange(1, 1, exchange.added)
+    keys = np.array([5 << 40, 9 << 50], np.uint64)
+    t = net.send(0, keys, [np.array([1 << 40, 3], np.int64)])
+    got, (values,) = net._reduced(*net._received(pa.concat_tables([t, t])))
+    assert got.tolist() == keys.tolist() and values.tolist() == [2 << 40, 6]
+    docs, counts = lm.packed(np.array([2]), [7], np.array([False]), [values, values])
+    assert [x.tolist() for x in lm.unpacked(docs, counts)[2]] == [[2 << 40, 6]] * 2
 
 
 def test_em_finds_the_weight():
@@ -104,7 +217,7 @@ def test_em_finds_the_weight():
     assert lam[3] == pytest.approx(best, abs=2e-3) and lam[0] == 0 and lam[10] == lam[3]
 
 
-def test_probabilities_sum_to_one(spark):
+def test_small_corpora(spark):
     texts = ["a b", "b a a", "a"]
     df = make(spark, texts, [0, 1, 3])
     assert lm.scored(make(spark, [])).count() == 0
