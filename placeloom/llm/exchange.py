@@ -25,12 +25,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placeloom.llm.common import SEED_WORD, cut, id_and_text, shuffle_partitions
+from placeloom.llm.common import bucketed, cut, id_and_text, shuffle_partitions
+from placeloom.llm.words import mix
 
 #: Text of a shard in bytes, about; a shard is held in memory by one task at a time.
 SHARD_BYTES = 8 << 20
 #: What a document counts beside its text, so that empty ones can't gather.
 ROW_BYTES = 16
+#: Buckets of the table of shards, at most; beyond it a bucket holds several shards, one after the other.
+BUCKETS = 50_000
 #: Rows that a shard or a node sends at most.
 FAN = 256
 _C = np.uint64(0x9E3779B97F4A7C15)
@@ -51,7 +54,7 @@ def unpacked_docs(data: bytes) -> pa.Table:
 
 @dataclass(frozen=True)
 class Shards:
-    """rows: (shard long, docs binary, size long), one row a shard, dealt out by shard; their number; ranges of hashes to use."""
+    """rows: (shard long, docs binary), one row a shard, dealt out by shard on disk; their number; ranges of hashes to use."""
 
     rows: DataFrame
     n: int
@@ -62,7 +65,8 @@ def sharded(df: DataFrame, id_col: str, text_col: str, shard_bytes: int = 0) ->
     """The documents in shards of about ``shard_bytes`` (0: SHARD_BYTES) of text, or one document if that is longer.
 
     A shard is a stretch of rows of one partition, so repeated ids, null ids and repeated rows can't
-    gather in one. The shards are a table in the shared folder: later steps see the same ones, whatever is lost.
+    gather in one. The shards are a table in the shared folder, in buckets by shard: later steps see the same
+    ones, whatever is lost, and no step shuffles texts.
     """
     spark, limit = df.sparkSession, shard_bytes or SHARD_BYTES
 
@@ -93,15 +97,11 @@ def sharded(df: DataFrame, id_col: str, text_col: str, shard_bytes: int = 0) ->
         if parts:
             yield one()
 
-    table = cut(id_and_text(df, id_col, text_col).mapInArrow(run, "shard long, docs binary, size long"), "shards")
-    n, size = table.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    return Shards(table.repartition(max(n, 1), "shard"), n, max(shuffle_partitions(spark), math.ceil(size / limit)))
-
-
-def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(32))
+    docs = id_and_text(df, id_col, text_col)
+    size = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    ranges = max(shuffle_partitions(spark), math.ceil(((size[0] or 0) + ROW_BYTES * size[1]) / limit))
+    table = bucketed(docs.mapInArrow(run, "shard long, docs binary, size long"), "shard", min(ranges, BUCKETS), "shards")
+    return Shards(table.select("shard", "docs"), table.count(), ranges)
 
 
 def rolling(h: np.ndarray, n: int, salt: int) -> np.ndarray:
@@ -115,22 +115,10 @@ def rolling(h: np.ndarray, n: int, salt: int) -> np.ndarray:
     return mix(out)
 
 
-def words_of(text: bytes | None, lower: bool) -> list[bytes]:
-    text = text or b""
-    return (text.lower() if lower else text).split()
-
-
-class WordHashes(dict):
-    """Hash of each word, made once."""
+def hash_of(data: bytes) -> int:
+    import xxhash
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        h = self[word] = xxhash.xxh64_intdigest(word) ^ SEED_WORD
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+    return xxhash.xxh64_intdigest(data)
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -191,6 +179,12 @@ def heads(sorted_values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]])) if len(sorted_values) else np.zeros(0, int)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Distinct values, ascending."""
+    values = np.sort(values)
+    return values[heads(values)]
+
+
 Columns = list[np.ndarray]
 
 

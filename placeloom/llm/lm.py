@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placeloom.llm.common import cut, shared_dir, table, text_bytes
-from placeloom.llm.exchange import Exchange, WordHashes, added, compressed, heads, mix, planes, sharded, unpacked_docs, unplanes, words_of
+from placeloom.llm.exchange import Exchange, added, compressed, heads, planes, sharded, unpacked_docs, unplanes
+from placeloom.llm.words import Words, mix
 
 ORDER = 3
 FOLDS, HELD_OUT = 7, 2
@@ -43,13 +44,15 @@ class _Shard:
     """Tokens of a shard's documents end to end, and the n-grams that end at each."""
 
     def __init__(self, docs: bytes, order: int):
-        t, hashes, parts = unpacked_docs(docs), WordHashes(), []
+        t = unpacked_docs(docs)
         self.ids = t.column("doc_id").to_pylist()
         self.held = np.array([fold(i, FOLDS) == HELD_OUT for i in self.ids])
-        for text in text_bytes(t.column("text")):
-            parts.append(np.append(hashes.of(words_of(text, lower=True)), _END))
-        self.sizes = np.array([len(p) for p in parts], np.int64)
-        word = np.concatenate(parts)
+        words = Words(text_bytes(t.column("text")), lower=True)
+        self.sizes = words.sizes + 1
+        word = np.full(int(self.sizes.sum()), _END)
+        inside = np.ones(len(word), bool)
+        inside[np.cumsum(self.sizes) - 1] = False
+        word[inside] = words.hashes()
         trained = np.repeat(~self.held, self.sizes)
         place = np.arange(len(word)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
         grams, gram = [word | np.uint64(1)], word  # the last bit tells words from longer n-grams

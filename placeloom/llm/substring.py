@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placeloom.llm.common import cut, shared_dir, table, text_bytes
-from placeloom.llm.exchange import Exchange, WordHashes, added, heads, least, lookup, mix, pack_sorted, pack_values, rolling, sharded, unpack_sorted, unpack_values, unpacked_docs, words_of
+from placeloom.llm.exchange import Exchange, added, distinct, heads, least, lookup, pack_sorted, pack_values, rolling, sharded, unpack_sorted, unpack_values, unpacked_docs
+from placeloom.llm.words import Words, mix
 
 WINDOW = 13
 ANCHOR = 6
@@ -46,22 +47,16 @@ RESULT_SQL = "doc_id long, text_hash long, n_words long, n_removed long, kept st
 
 
 class _Shard:
-    """Words and windows of the documents of a shard, end to end."""
+    """Words and windows of the documents of a shard, end to end, smaller documents first."""
 
-    def __init__(self, docs: bytes, window: int, keep_words: bool = False):
+    def __init__(self, docs: bytes, window: int):
         t = unpacked_docs(docs)
         ids = np.array([_LAST if x is None else x for x in t.column("doc_id").to_pylist()], np.int64)
-        order = np.argsort(ids, kind="stable")  # smaller documents come first
+        order = np.argsort(ids, kind="stable")
         t, ids = t.take(pa.array(order)), ids[order]
-        self.raw, self.texts, self.words = t.column("doc_id").to_pylist(), text_bytes(t.column("text")), []
-        own, hashes = [np.zeros(0, np.uint64)], WordHashes()
-        for text in self.texts:
-            w = words_of(text, lower=False)
-            own.append(hashes.of(w))
-            if keep_words:
-                self.words += w
-        self.hash = np.concatenate(own)
-        self.sizes = np.array([len(x) for x in own[1:]], np.int64)
+        self.raw, self.texts = t.column("doc_id").to_pylist(), text_bytes(t.column("text"))
+        self.words = Words(self.texts)
+        self.hash, self.sizes = self.words.hashes(), self.words.sizes
         self.end = np.cumsum(self.sizes)
         self.window, n = window, max(0, len(self.hash) - window + 1)
         at = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)  # document of each word
@@ -80,27 +75,32 @@ class _Shard:
             np.minimum(out, grams[j : n + j], out=out)
         return mix(out[self.starts])  # least hashes aren't uniform
 
-    def first(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct window hashes, ascending, and the row in ``starts`` of the first one in the smallest document."""
-        order = np.argsort(keys, kind="stable")
-        head = order[heads(keys[order])]
-        return keys[head], head
+
+def _first(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, the first row of each, and the place of each row's key among them."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    head = heads(keys)
+    at = np.empty(len(keys), np.int64)
+    at[order] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(keys))))
+    return keys[head], np.minimum.reduceat(order, head) if len(head) else order, at
 
 
 def _in_two(a: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Anchors of two documents of the shard at least."""
-    order = np.argsort(a, kind="stable")
+    """Anchors of two documents of the shard at least, ascending."""
+    order = np.argsort(a)
     a, docs = a[order], docs[order]
-    return np.unique(a[1:][(a[1:] == a[:-1]) & (docs[1:] != docs[:-1])])
+    head = heads(a)
+    return a[head][np.minimum.reduceat(docs, head) < np.maximum.reduceat(docs, head)] if len(head) else a
 
 
 def _blocks(s: _Shard, askers: list[int], wanted: list[np.ndarray]) -> pa.Table:
     """A row for each asker: the runs of words that hold the windows it wants, where they come first."""
-    key, row = s.first(s.keys())
+    key, row, _ = _first(s.keys())
     out = []
     for asker, keys in zip(askers, wanted, strict=True):
         at, there = lookup(key, keys)
-        rows = np.unique(row[at[there]])
+        rows = np.sort(row[at[there]])
         if not len(rows):
             continue
         place, doc = s.starts[rows], s.at[rows]
@@ -109,7 +109,7 @@ def _blocks(s: _Shard, askers: list[int], wanted: list[np.ndarray]) -> pa.Table:
         last = np.append(begin[1:], len(rows)) - 1
         start, end = place[begin], place[last] + s.window
         inside = start - (s.end - s.sizes)[doc[begin]]
-        text = b" ".join(b" ".join(s.words[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True))
+        text = b" ".join(s.words.slice(a, b) for a, b in zip(start.tolist(), end.tolist(), strict=True))
         out.append((asker, pack_values([s.doc[rows[begin]], inside, end - start]), text))
     return pa.table([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 3, _BLOCK, strict=True)], schema=_BLOCK)
 
@@ -127,60 +127,59 @@ def _same(a: np.ndarray, i: int, b: np.ndarray, j: int, most: int) -> int:
 
 
 class Reference:
-    """Blocks of words and an index of them: for each window the smallest document that has it, and where."""
+    """Blocks of words and an index of them: for each window the smallest document that has it, and where.
+
+    The shard's own words are the first block; those that came follow. ``at`` is the place in the index of each
+    window of the shard.
+    """
 
     def __init__(self, s: _Shard, places: list[bytes], words: list[bytes]):
-        own, row = s.first(s.keys())
-        hashes = WordHashes()
-        self.words, docs, begins, sizes = list(s.words), [], [], []
-        for place, text in zip(places, words, strict=True):
-            doc, begin, size = unpack_values(place, "iii", len(place) // 24)
-            docs.append(doc)
-            begins.append(begin)
-            sizes.append(size)
-            self.words += text.split()
-        got = hashes.of(self.words[len(s.hash) :])
-        self.hash = np.concatenate([s.hash, got])
-        none = [np.zeros(0, np.int64)]
-        doc, begin, size = (np.concatenate(none + x) for x in (docs, begins, sizes))
-        end = len(s.hash) + np.cumsum(size)
-        block = np.repeat(np.arange(len(size)), np.maximum(size - s.window + 1, 0))
-        first = np.cumsum(np.maximum(size - s.window + 1, 0)) - np.maximum(size - s.window + 1, 0)
-        start = (end - size)[block] + np.arange(len(block)) - first[block]
-        key = rolling(got, s.window, 1)[start - len(s.hash)] if len(start) else np.zeros(0, np.uint64)
-        # own documents are one more block; of two places of a window that of the smaller document counts
-        self.key, self.doc, self.start, self.end = own, s.doc[row], s.starts[row], s.end[s.at[row]]
+        key, row, self.at = _first(s.keys())
+        self.doc, self.start, self.end = s.doc[row], s.starts[row], s.end[s.at[row]]
         self.inside = self.start - (s.end - s.sizes)[s.at[row]]
-        at, there = lookup(own, key)
-        better = np.flatnonzero(there & (doc[block] < self.doc[at])) if len(own) else np.zeros(0, np.int64)
-        better = better[np.argsort(-doc[block][better], kind="stable")]  # the smallest is written last
-        at, block, start = at[better], block[better], start[better]
-        self.doc[at], self.start[at], self.end[at] = doc[block], start, end[block]
-        self.inside[at] = begin[block] + start - (end - size)[block]
+        self.own, self.came = s.words, Words(words)
+        got = self.came.hashes()
+        self.hash = np.concatenate([s.hash, got])
+        columns = [unpack_values(p, "iii", len(p) // 24) for p in places]
+        doc, begin, size = (np.concatenate([np.zeros(0, np.int64), *(c[k] for c in columns)]) for k in range(3))
+        windows = np.maximum(size - s.window + 1, 0)
+        block = np.repeat(np.arange(len(size)), windows)
+        shift = np.arange(len(block)) - (np.cumsum(windows) - windows)[block]
+        start = (np.cumsum(size) - size)[block] + shift
+        at, there = lookup(key, rolling(got, s.window, 1)[start] if len(start) else np.zeros(0, np.uint64))
+        better = np.flatnonzero(there & (doc[block] < self.doc[at])) if len(key) else np.zeros(0, np.int64)
+        better = better[np.argsort(-doc[block][better], kind="stable")]  # the smallest document is written last
+        at, block, start, shift = at[better], block[better], start[better], shift[better]
+        self.doc[at], self.start[at], self.inside[at] = doc[block], len(s.hash) + start, begin[block] + shift
+        self.end[at] = len(s.hash) + np.cumsum(size)[block]
+
+    def slice(self, a: int, b: int) -> bytes:
+        own = len(self.own)
+        return self.own.slice(a, b) if a < own else self.came.slice(a - own, b - own)
 
 
 def parsed(s: _Shard, ref: Reference) -> Iterator[tuple[int, list[tuple[int, int, int, int]]]]:
     """For each document of the shard with factors: its number and its factors (start, length, source document, position there)."""
-    at, there = lookup(ref.key, s.keys())
-    found = np.flatnonzero(there & (ref.doc[at] < s.doc)) if len(ref.key) else np.zeros(0, np.int64)  # windows that a smaller document has
+    window = s.window
+    found = np.flatnonzero(ref.doc[ref.at] < s.doc) if len(s.doc) else np.zeros(0, np.int64)  # windows that a smaller document has
     if not len(found):
         return
-    at, place, window = at[found], s.starts[found], s.window
-    owner = s.at[found]
-    for a, b in zip(heads(owner).tolist(), [*heads(owner)[1:].tolist(), len(owner)], strict=True):
+    at, place, owner = ref.at[found], s.starts[found], s.at[found]
+    doc, begins, ends, inside = (x[at].tolist() for x in (ref.doc, ref.start, ref.end, ref.inside))
+    head = heads(owner)
+    for a, b in zip(head.tolist(), [*head[1:].tolist(), len(owner)], strict=True):
         number = int(owner[a])
         begin, end = int(s.end[number] - s.sizes[number]), int(s.end[number])
         factors, places, i = [], place[a:b].tolist(), 0
         while i < len(places):
-            x, k = places[i], int(at[a + i])
-            source = int(ref.start[k])
-            length = _same(s.hash, x, ref.hash, source, min(end - x, int(ref.end[k]) - source))
-            if s.words[x : x + length] != ref.words[source : source + length]:  # hashes agreed, words don't
-                length = next((n for n in range(length) if s.words[x + n] != ref.words[source + n]), length)
+            x, source = places[i], begins[a + i]
+            length = _same(s.hash, x, ref.hash, source, min(end - x, ends[a + i] - source))
+            if s.words.slice(x, x + length) != ref.slice(source, source + length):  # hashes agreed, words don't
+                length = next((n for n in range(length) if s.words.slice(x, x + n + 1) != ref.slice(source, source + n + 1)), length)
             if length < window:
                 i += 1
                 continue
-            factors.append((x - begin, length, int(ref.doc[k]), int(ref.inside[k])))
+            factors.append((x - begin, length, doc[a + i], inside[a + i]))
             # windows inside the factor are settled; those across its end are looked up one by one
             i = bisect_left(places, x + length - window + 1, i + 1)
         if factors:
@@ -208,7 +207,7 @@ def factored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
     where = Exchange(shards.n, shards.ranges, least, kinds="ii", answered=lambda own, total: (total[0] < own[0]) & (total[1] != own[1]), keyed=True)
 
     def anchors(key: tuple, t: pa.Table) -> pa.Table:
-        own = np.unique(_Shard(t.column("docs")[0].as_py(), window).anchors(anchor))
+        own = distinct(_Shard(t.column("docs")[0].as_py(), window).anchors(anchor))
         return common.send(key[0].as_py(), own, [np.ones(len(own), np.int64)])
 
     def windows(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -216,9 +215,9 @@ def factored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
             return Exchange.SENT.empty_table()
         s, shard = _Shard(left.column("docs")[0].as_py(), window), key[0].as_py()
         a = s.anchors(anchor)
-        shared = np.union1d(common.gathered(right, np.unique(a))[0], _in_two(a, s.doc))
+        shared = distinct(np.concatenate([common.gathered(right, distinct(a))[0], _in_two(a, s.doc)]))
         rows = np.flatnonzero(lookup(shared, a)[1])
-        keys, head = s.first(s.keys()[rows])
+        keys, head, _ = _first(s.keys()[rows])
         return where.send(shard, keys, [s.doc[rows[head]], np.full(len(keys), shard, np.int64)])
 
     def requests(key: tuple, t: pa.Table) -> pa.Table:
@@ -232,7 +231,7 @@ def factored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
     def blocks(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _BLOCK.empty_table()
-        s = _Shard(left.column("docs")[0].as_py(), window, keep_words=True)
+        s = _Shard(left.column("docs")[0].as_py(), window)
         return _blocks(s, right.column("asker").to_pylist(), [unpack_sorted(x) for x in right.column("keys").to_pylist()])
 
     def parse(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -240,23 +239,23 @@ def factored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
             return RESULT.empty_table()
         import xxhash
 
-        s = _Shard(left.column("docs")[0].as_py(), window, keep_words=True)
+        s = _Shard(left.column("docs")[0].as_py(), window)
         own = dict(parsed(s, Reference(s, right.column("places").to_pylist(), right.column("words").to_pylist())))
         out: dict[str, list] = {f.name: [] for f in RESULT}
         for number, (raw, text, end, size) in enumerate(zip(s.raw, s.texts, s.end.tolist(), s.sizes.tolist(), strict=True)):
-            factors, spans, words = own.get(number, []), [], s.words[end - size : end]
+            factors, spans = own.get(number, []), []
             for start, length, _, _ in factors:
                 if spans and start <= spans[-1][0] + spans[-1][1]:
                     spans[-1][1] = max(spans[-1][1], start + length - spans[-1][0])
                 else:
                     spans.append([start, length])
-            for start, length in reversed(spans):
-                del words[start : start + length]
+            edges = [end - size, *(end - size + x for start, length in spans for x in (start, start + length)), end]
+            kept = [s.words.slice(a, b) for a, b in zip(edges[::2], edges[1::2], strict=True) if b > a]
             out["doc_id"].append(raw)
             out["text_hash"].append(None if text is None else int(np.uint64(xxhash.xxh64_intdigest(text, 42)).view(np.int64)))
             out["n_words"].append(size)
-            out["n_removed"].append(size - len(words))
-            out["kept"].append(b" ".join(words).decode("utf-8", "replace"))
+            out["n_removed"].append(sum(length for _, length in spans))
+            out["kept"].append(b" ".join(kept).decode("utf-8", "replace"))
             out["spans"].append([{"start": a, "length": n} for a, n in spans])
             out["factors"].append([{"start": a, "length": n, "source": d, "source_start": p} for a, n, d, p in factors])
         return pa.table(out, schema=RESULT)

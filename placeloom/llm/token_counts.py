@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placeloom.llm.common import shared_dir, table
-from placeloom.llm.exchange import Exchange, WordHashes, lookup, same, sharded, unpacked_docs
+from placeloom.llm.exchange import Exchange, hash_of, lookup, same, sharded, unpacked_docs
 from placeloom.llm.tokenizer_files import path
 
 #: Pre-tokens that the library gets at once.
@@ -97,7 +97,7 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         """Hashes, ascending but not always distinct, and the pre-tokens."""
         texts = np.empty(len(words), object)
         texts[:] = [w.encode() for w in words]
-        keys = WordHashes().of(texts)
+        keys = np.fromiter(map(hash_of, texts), np.uint64, len(texts))
         order = np.argsort(keys, kind="stable")
         return keys[order], texts[order]
 
@@ -121,7 +121,7 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             rows.append(np.fromiter((place.setdefault(p, len(place)) for p in own), np.int64, len(own)))
             times.append(np.fromiter(own.values(), np.int64, len(own)))
             sizes.append(len(own))
-        keys = WordHashes().of([p.encode() for p in place])
+        keys = np.fromiter((hash_of(p.encode()) for p in place), np.uint64, len(place))
         known, (pieces,) = net.gathered(right, np.unique(keys))
         pieces = pieces[lookup(known, keys)[0]] if len(keys) else keys.astype(np.int64)
         shared = np.flatnonzero(pieces < 0)

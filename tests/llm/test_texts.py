@@ -9,9 +9,12 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from placeloom.llm import exchange, lm, substring, toxicity
+from placeloom.llm.words import Words
 
 KIND = "doc_id long, text string, shard int, n_chars long, kept string"
 
@@ -37,6 +40,28 @@ def brute(rows):
     return sorted(out)
 
 
+@given(st.lists(st.none() | st.text(st.sampled_from("ab \t\n\x0b\x0c\ré\xa0\x1c") , max_size=30).map(str.encode), max_size=6))
+@settings(max_examples=200, deadline=None)
+def test_words(texts):
+    w, split = Words(texts), [(t or b"").split() for t in texts]
+    flat = [x for s in split for x in s]
+    assert w.sizes.tolist() == [len(s) for s in split] and [w.slice(k, k + 1) for k in range(len(w))] == flat
+    assert w.slice(0, len(w)) == b" ".join(flat)
+    seen = {}
+    for word, h in zip(flat, w.hashes().tolist(), strict=True):
+        assert seen.setdefault(word, h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_long_words():
+    """Hashes of words don't depend on their place, nor on how the buffer is cut."""
+    rng = random.Random(1)
+    some = [bytes(rng.choices(b"abcdefgh", k=n)) for n in (1, 2, 255, 256, 257, 3000, 1 << 20, (1 << 20) + 1)] + [b"x%d" % k for k in range(300000)]
+    once = dict(zip(some, Words([b" ".join(some)]).hashes().tolist(), strict=True))
+    rng.shuffle(some)
+    assert once == dict(zip(some, Words([b"\t".join(some[:99]), b" ".join(some[99:])]).hashes().tolist(), strict=True)) and len(set(once.values())) == len(once)
+
+
 def passages(rng):
     own = [" ".join(f"p{k}x{i}" for i in range(n)) for k, n in enumerate((12, 13, 14, 40, 200))]
     texts = []
@@ -87,13 +112,13 @@ def test_rows_of_an_exchange_are_linear(spark, monkeypatch, fan):
 
         def send(key, t):
             words = [w for x in exchange.unpacked_docs(t.column("docs")[0].as_py()).column("text").to_pylist() for w in x.split()]
-            keys = exchange.WordHashes().of(words)
+            keys = np.array([exchange.hash_of(w) for w in words], np.uint64)
             return net.send(key[0].as_py(), *exchange.added(keys, [np.ones(len(keys), np.int64)]))
 
         def back(key, left, right):
             words = [w for x in exchange.unpacked_docs(left.column("docs")[0].as_py()).column("text").to_pylist() for w in x.split()]
-            h = exchange.WordHashes()
-            keys, (totals,) = net.gathered(right, np.unique(h.of(words)))
+            h = {w: exchange.hash_of(w) for w in words}
+            keys, (totals,) = net.gathered(right, np.unique(np.array(list(h.values()), np.uint64)))
             assert keys.tolist() == sorted({h[w] for w in words})
             count = dict(zip(keys.tolist(), totals.tolist(), strict=True))
             return pa.table({"w": [w.decode() for w in dict.fromkeys(words)], "n": [count[h[w]] for w in dict.fromkeys(words)]})
