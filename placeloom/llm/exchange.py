@@ -225,6 +225,8 @@ class Exchange:
     instead of the reduced values, one column of integers for all keys. keyed: an answer holds
     its keys; else a bit for each key sent, in their order, tells whether there is an answer. tally: a number
     of the reduced keys and values of each range, answered to a shard of a negative number that doesn't exist.
+    spread: with values (document, shard), an answer names a smaller document that has the key, but no more than
+    ``spread`` shards get the same one from a node: the holders of a key, by document, form a tree.
     """
 
     shards: int
@@ -235,6 +237,7 @@ class Exchange:
     keyed: bool = False
     tally: Callable[[np.ndarray, Columns], int] | None = None
     finish: Callable[[np.ndarray, Columns], Columns] | None = None
+    spread: int = 0
     most: int = field(default_factory=lambda: FAN)
 
     SENT = pa.schema([("node", pa.int64()), ("sender", pa.int64()), ("lane", pa.int64()), ("keys", pa.binary()), ("vals", pa.binary())])
@@ -282,6 +285,8 @@ class Exchange:
         return self.reduce(np.concatenate(keys), [np.concatenate([v[c] for v in values]) for c in range(len(self.kinds))])
 
     def _answers(self, t: pa.Table, keys: list[np.ndarray], values: list[Columns], known: np.ndarray, totals: Columns) -> pa.Table:
+        if self.spread:
+            return self._spread_answers(t, keys, values, known, totals)
         rows = []
         for sender, lane, k, own in zip(t.column("sender").to_pylist(), t.column("lane").to_pylist(), keys, values, strict=True):
             at, there = lookup(known, k)
@@ -292,6 +297,26 @@ class Exchange:
                 rows.append((sender, lane, pack_sorted(k[there]) if self.keyed else np.packbits(there).tobytes(), pack_values([x[there] for x in total])))
         return pa.table([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, self.ANSWER, strict=True)], schema=self.ANSWER)
 
+    def _spread_answers(self, t: pa.Table, keys: list[np.ndarray], values: list[Columns], known: np.ndarray, totals: Columns) -> pa.Table:
+        key, doc, shard = np.concatenate(keys), np.concatenate([v[0] for v in values]), np.concatenate([v[1] for v in values])
+        order = np.lexsort((doc, key))
+        head = heads(key[order])
+        start = np.repeat(head, np.diff(np.append(head, len(key))))
+        rank = np.arange(len(key)) - start
+        parent = order[start + np.maximum(rank - 1, 0) // self.spread]
+        source = np.empty((2, len(key)), np.int64)
+        first = (rank == 0) | (doc[parent] >= doc[order])  # the least of all, from other nodes too
+        at = lookup(known, key[order])[0]
+        source[0, order], source[1, order] = np.where(first, totals[0][at], doc[parent]), np.where(first, totals[1][at], shard[parent])
+        there = (source[0] < doc) & (source[1] != shard)
+        ends = np.cumsum([len(k) for k in keys])
+        rows = []
+        for sender, lane, k, end in zip(t.column("sender").to_pylist(), t.column("lane").to_pylist(), keys, ends.tolist(), strict=True):
+            own = there[end - len(k) : end]
+            if own.any():
+                rows.append((sender, lane, pack_sorted(k[own]), pack_values([c[end - len(k) : end][own] for c in source])))
+        return pa.table([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, self.ANSWER, strict=True)], schema=self.ANSWER)
+
     def answer_of(self, keys: bytes, values: bytes, sent: np.ndarray | None) -> tuple[np.ndarray, Columns]:
         """Keys and values of one answer; sent: the keys that it answers, if it isn't keyed."""
         own = unpack_sorted(keys) if self.keyed else sent[np.unpackbits(np.frombuffer(keys, np.uint8), count=len(sent)).view(bool)]

@@ -2,11 +2,12 @@
 
 Every document is factored greedily against reference blocks: the words, in order, of
 smaller documents. Blocks hold what some larger document needs, each window of 13 words
-once, where it occurs first; so a block stays as small as what is repeated.
+once; so a block stays as small as what is repeated.
 
 1. Anchors, the word 6-gram of least hash of each window, tell which windows may be
    elsewhere at all: equal windows have equal anchors.
-2. For those windows the smallest document that has them, and its shard, are looked up.
+2. For those windows a smaller document that has them, and its shard, is looked up; a window
+   that many shards have is handed on from shard to shard, in the order of documents.
 3. Each shard asks the shards of these documents for the windows that it needs and gets
    blocks of text back: (document, position, words), runs of windows joined.
 4. A shard indexes the blocks that came, and its own documents as one more, by hash of the
@@ -27,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeloom.llm.common import cut, shared_dir, table, text_bytes
+from placeloom.llm.common import shared_dir, table, text_bytes
 from placeloom.llm.exchange import Exchange, added, distinct, heads, least, lookup, pack_sorted, pack_values, rolling, sharded, unpack_sorted, unpack_values, unpacked_docs
 from placeloom.llm.words import Words, mix
 
 WINDOW = 13
 ANCHOR = 6
-#: Bytes of requests to one shard above which they are dealt out to several tasks that hold it.
-REQUESTS = 8 << 20
+#: Shards that get a window from the same one, at most: so what is everywhere isn't asked of one shard.
+SPREAD = 4
 _LAST = np.iinfo(np.int64).max
 _REQUEST = pa.schema([("owner", pa.int64()), ("asker", pa.int64()), ("keys", pa.binary())])
 _BLOCK = pa.schema([("asker", pa.int64()), ("places", pa.binary()), ("words", pa.binary())])
@@ -204,7 +205,7 @@ def factored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
     shards = sharded(df, id_col, text_col)
     docs = shards.rows
     common = Exchange(shards.n, shards.ranges, added, answered=lambda own, total: total[0] > 1)
-    where = Exchange(shards.n, shards.ranges, least, kinds="ii", answered=lambda own, total: (total[0] < own[0]) & (total[1] != own[1]), keyed=True)
+    where = Exchange(shards.n, shards.ranges, least, kinds="ii", keyed=True, spread=SPREAD)
 
     def anchors(key: tuple, t: pa.Table) -> pa.Table:
         own = distinct(_Shard(t.column("docs")[0].as_py(), window).anchors(anchor))
@@ -262,15 +263,8 @@ def factored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
 
     shared = common.run(docs.groupBy("shard").applyInArrow(anchors, Exchange.SENT_SQL))
     found = where.run(docs.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(windows, Exchange.SENT_SQL))
-    asked = cut(found.groupBy("shard").applyInArrow(requests, "owner long, asker long, keys binary"), "requests")
-    load = asked.groupBy("owner").agg(F.ceil(F.sum(F.octet_length("keys")) / REQUESTS).alias("parts")).where("parts > 1")
-    if load.isEmpty():
-        got = docs.groupBy("shard").cogroup(asked.groupBy("owner")).applyInArrow(blocks, "asker long, places binary, words binary")
-    else:  # a shard that many ask is held by several tasks, each for some of the askers
-        part = F.coalesce(F.pmod(F.xxhash64("asker"), F.col("parts")), F.lit(0))
-        dealt = asked.join(load, "owner", "left").select("owner", "asker", "keys", part.alias("part"))
-        held = docs.join(load.withColumnRenamed("owner", "shard"), "shard", "left").select("shard", "docs", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
-        got = held.groupBy("shard", "part").cogroup(dealt.groupBy("owner", "part")).applyInArrow(blocks, "asker long, places binary, words binary")
+    asked = found.groupBy("shard").applyInArrow(requests, "owner long, asker long, keys binary")
+    got = docs.groupBy("shard").cogroup(asked.groupBy("owner")).applyInArrow(blocks, "asker long, places binary, words binary")
     return docs.groupBy("shard").cogroup(got.groupBy("asker")).applyInArrow(parse, RESULT_SQL)
 
 

@@ -72,12 +72,12 @@ def passages(rng):
     return texts + [texts[3], texts[3] + " tail", "a " * 500, "a " * 700, "", None, "b a " * 3000]
 
 
-@pytest.mark.parametrize(("size", "fan", "asked"), [(8 << 20, 256, 8 << 20), (3000, 256, 64), (1500, 3, 256)])
-def test_substrings_by_brute_force(spark, monkeypatch, size, fan, asked):
-    """One shard; some, with a split of those that many ask; many, over three levels of exchange and more."""
+@pytest.mark.parametrize(("size", "fan", "spread"), [(8 << 20, 256, 4), (3000, 256, 1), (1500, 3, 2)])
+def test_substrings_by_brute_force(spark, monkeypatch, size, fan, spread):
+    """One shard; some, each asked by one other; many, over three levels of exchange and more."""
     monkeypatch.setattr(exchange, "SHARD_BYTES", size)
     monkeypatch.setattr(exchange, "FAN", fan)
-    monkeypatch.setattr(substring, "REQUESTS", asked)
+    monkeypatch.setattr(substring, "SPREAD", spread)
     rng = random.Random(4)
     texts = passages(rng)
     ids = rng.sample(range(1000), len(texts))
@@ -99,6 +99,22 @@ def test_factors_are_as_long_as_they_can_be(spark):
     assert got == {1: [], 2: [], 3: [(0, 35, 1, 6), (35, 30, 2, 0)]}
 
 
+def test_no_shard_is_asked_by_many():
+    """Of 50 shards with one window each gets a smaller document, and none is named more than SPREAD times."""
+    net = exchange.Exchange(50, 1, exchange.least, kinds="ii", keyed=True, spread=4)
+    key = np.array([7 << 40, 9 << 50], np.uint64)
+    t = pa.concat_tables([net.send(k, key, [np.array([(k * 7) % 50, 3], np.int64), np.full(2, k)]) for k in range(50)])
+    named = collections.Counter()
+    keys, values = net._received(t)
+    answers = net._answers(t, keys, values, *net._reduced(keys, values))
+    got = {s: net.gathered(answers.filter(pa.array([x == s for x in answers.column("shard").to_pylist()])), key) for s in answers.column("shard").to_pylist()}
+    assert len(got) == 49  # the smallest has none; the documents of one id have nothing from each other
+    for s, (k, (doc, shard)) in got.items():
+        assert k.tolist() == [7 << 40] and doc[0] < (s * 7) % 50 and doc[0] == (shard[0] * 7) % 50
+        named[int(shard[0])] += 1
+    assert max(named.values()) <= 4 + 1
+
+
 @pytest.mark.parametrize("fan", [4, 256])
 def test_rows_of_an_exchange_are_linear(spark, monkeypatch, fan):
     monkeypatch.setattr(exchange, "SHARD_BYTES", 400)
