@@ -54,11 +54,12 @@ def unpacked_docs(data: bytes) -> pa.Table:
 
 @dataclass(frozen=True)
 class Shards:
-    """rows: (shard long, docs binary), one row a shard, dealt out by shard on disk; their number; ranges of hashes to use."""
+    """rows: (shard long, docs binary), one row a shard, dealt out by shard on disk; their number; ranges of hashes to use; bytes of text."""
 
     rows: DataFrame
     n: int
     ranges: int
+    size: int
 
 
 def sharded(df: DataFrame, id_col: str, text_col: str, shard_bytes: int = 0) -> Shards:
@@ -101,7 +102,7 @@ def sharded(df: DataFrame, id_col: str, text_col: str, shard_bytes: int = 0) ->
     size = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     ranges = max(shuffle_partitions(spark), math.ceil(((size[0] or 0) + ROW_BYTES * size[1]) / limit))
     table = bucketed(docs.mapInArrow(run, "shard long, docs binary, size long"), "shard", min(ranges, BUCKETS), "shards")
-    return Shards(table.select("shard", "docs"), table.count(), ranges)
+    return Shards(table.select("shard", "docs"), table.count(), ranges, size[0] or 0)
 
 
 def rolling(h: np.ndarray, n: int, salt: int) -> np.ndarray:
@@ -166,6 +167,28 @@ def unpack_values(data: bytes, kinds: str, n: int) -> list[np.ndarray]:
     return out
 
 
+def dump(keys: np.ndarray, values: list[np.ndarray]) -> tuple[bytes, bytes]:
+    """Ascending keys and their values as they travel."""
+    return pack_sorted(keys), pack_values(values)
+
+
+def load(keys: bytes, values: bytes, kinds: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    own = unpack_sorted(keys)
+    return own, unpack_values(values, kinds, len(own))
+
+
+def dump_texts(keys: np.ndarray, values: list[np.ndarray]) -> tuple[bytes, bytes]:
+    """The same where the one value is bytes and the key its hash: only where there are no bytes the key travels."""
+    none = np.array([x is None for x in values[0]], bool)
+    return np.int64(len(keys)).tobytes() + keys[none].tobytes(), pack_values(values)
+
+
+def load_texts(keys: bytes, values: bytes, kinds: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    n = int(np.frombuffer(keys[:8], np.int64)[0])
+    (texts,), without = unpack_values(values, kinds, n), iter(np.frombuffer(keys[8:], np.uint64).tolist())
+    return np.fromiter((next(without) if x is None else hash_of(x) for x in texts), np.uint64, n), [texts]
+
+
 def lookup(sorted_keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Position of each x in sorted_keys and whether it is there."""
     if not len(sorted_keys):
@@ -226,7 +249,8 @@ class Exchange:
     its keys; else a bit for each key sent, in their order, tells whether there is an answer. tally: a number
     of the reduced keys and values of each range, answered to a shard of a negative number that doesn't exist.
     spread: with values (document, shard), an answer names a smaller document that has the key, but no more than
-    ``spread`` shards get the same one from a node: the holders of a key, by document, form a tree.
+    ``spread`` shards get the same one from a node: the holders of a key, by document, form a tree. dump, load:
+    how keys and values travel to the ranges.
     """
 
     shards: int
@@ -238,6 +262,8 @@ class Exchange:
     tally: Callable[[np.ndarray, Columns], int] | None = None
     finish: Callable[[np.ndarray, Columns], Columns] | None = None
     spread: int = 0
+    dump: Callable[[np.ndarray, Columns], tuple[bytes, bytes]] = dump
+    load: Callable[[bytes, bytes, str], tuple[np.ndarray, Columns]] = load
     most: int = field(default_factory=lambda: FAN)
 
     SENT = pa.schema([("node", pa.int64()), ("sender", pa.int64()), ("lane", pa.int64()), ("keys", pa.binary()), ("vals", pa.binary())])
@@ -274,12 +300,12 @@ class Exchange:
             group = 0
         lane = self.lanes(keys, level)
         head = heads(lane)
-        rows = [(group * self.fan**level + int(lane[a]), sender, int(lane[a]), pack_sorted(keys[a:b]), pack_values([v[a:b] for v in values])) for a, b in zip(head.tolist(), [*head[1:].tolist(), len(keys)], strict=True)] if len(keys) else []
+        rows = [(group * self.fan**level + int(lane[a]), sender, int(lane[a]), *self.dump(keys[a:b], [v[a:b] for v in values])) for a, b in zip(head.tolist(), [*head[1:].tolist(), len(keys)], strict=True)] if len(keys) else []
         return pa.table([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 5, self.SENT, strict=True)], schema=self.SENT)
 
     def _received(self, t: pa.Table) -> tuple[list[np.ndarray], list[Columns]]:
-        keys = [unpack_sorted(x) for x in t.column("keys").to_pylist()]
-        return keys, [unpack_values(v, self.kinds, len(k)) for k, v in zip(keys, t.column("vals").to_pylist(), strict=True)]
+        got = [self.load(k, v, self.kinds) for k, v in zip(t.column("keys").to_pylist(), t.column("vals").to_pylist(), strict=True)]
+        return [k for k, _ in got], [v for _, v in got]
 
     def _reduced(self, keys: list[np.ndarray], values: list[Columns]) -> tuple[np.ndarray, Columns]:
         return self.reduce(np.concatenate(keys), [np.concatenate([v[c] for v in values]) for c in range(len(self.kinds))])

@@ -8,8 +8,9 @@ counts: each training token is held out of the counts that predict it.
 
 Counts of all n-grams of all documents are gathered by packed exchange: a shard
 of documents sends each range of hashes its distinct n-grams with their training
-counts and gets the totals back in the same order. They are 64 bits wide, and
-n-grams are told apart by hashes of 63 bits.
+counts and gets the totals back in the same order. They are 64 bits wide. Words
+are told apart by hashes of 63 bits, longer n-grams by as many bits as leave one in
+about a million with another's count, whatever the size of the corpus.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placeloom.llm.common import cut, shared_dir, table, text_bytes
-from placeloom.llm.exchange import Exchange, added, compressed, heads, planes, sharded, unpacked_docs, unplanes
+from placeloom.llm.exchange import Exchange, added, compressed, heads, pack_sorted, pack_values, planes, sharded, unpack_sorted, unpack_values, unpacked_docs, unplanes
 from placeloom.llm.words import Words, mix
 
 ORDER = 3
@@ -32,6 +33,10 @@ FOLDS, HELD_OUT = 7, 2
 #: Bits of a context's count bucket, and bins of a probability's logarithm to base 2: QUARTER a unit, down to 2^-40.
 QUARTER, FLOOR = 4, 160
 ROUNDS, ENOUGH = 200, 1e-7
+#: Bits of an n-gram's hash beyond the logarithm of the bytes of the corpus.
+TOLD = 20
+#: Marks the hashes of words.
+_WORD = np.uint64(1)
 _END, _START = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x27D4EB2F165667C5)
 _COUNTED = pa.schema([("docs", pa.binary()), ("counts", pa.binary()), ("types", pa.int64()), ("tokens", pa.int64()), ("documents", pa.int64())])
 
@@ -43,7 +48,8 @@ def fold(doc_id: int | None, folds: int) -> int:
 class _Shard:
     """Tokens of a shard's documents end to end, and the n-grams that end at each."""
 
-    def __init__(self, docs: bytes, order: int):
+    def __init__(self, docs: bytes, order: int, dropped: int):
+        """dropped: bits that the hashes of n-grams of two and more words do without."""
         t = unpacked_docs(docs)
         self.ids = t.column("doc_id").to_pylist()
         self.held = np.array([fold(i, FOLDS) == HELD_OUT for i in self.ids])
@@ -53,23 +59,33 @@ class _Shard:
         inside = np.ones(len(word), bool)
         inside[np.cumsum(self.sizes) - 1] = False
         word[inside] = words.hashes()
-        trained = np.repeat(~self.held, self.sizes)
-        place = np.arange(len(word)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
-        grams, gram = [word | np.uint64(1)], word  # the last bit tells words from longer n-grams
-        for n in range(2, order + 1):
-            before = np.where(place >= n - 1, np.roll(word, n - 1), _START)
-            gram = mix(gram * np.uint64(0x9E3779B97F4A7C15) ^ before)
-            grams.append(gram & ~np.uint64(1))
-        keys = np.concatenate(grams)
-        order_of = np.argsort(keys)
-        keys = keys[order_of]
-        head = heads(keys)
+        del words, t, inside
+        trained = np.repeat(~self.held, self.sizes).view(np.uint8)
+        place = np.arange(len(word), dtype=np.int32) - np.repeat((np.cumsum(self.sizes) - self.sizes).astype(np.int32), self.sizes)
+        keys, counts, self._rows, gram = [], [], [], word
+        for n in range(1, order + 1):
+            if n > 1:
+                gram = mix(gram * np.uint64(0x9E3779B97F4A7C15) ^ np.where(place >= n - 1, np.roll(word, n - 1), _START))
+            own = word | _WORD if n == 1 else gram >> np.uint64(dropped) << np.uint64(dropped)
+            by = np.argsort(own).astype(np.int32)
+            own = own[by]
+            head = heads(own)
+            keys.append(own[head])
+            counts.append(np.add.reduceat(trained[by], head, dtype=np.int64))
+            row = np.empty(len(own), np.int32)
+            row[by] = np.repeat(np.arange(len(head), dtype=np.int32), np.diff(np.append(head, len(own))))
+            self._rows.append(row)
+        self._ends = np.cumsum([len(k) for k in keys])
+        keys, counts = np.concatenate(keys), np.concatenate(counts)
+        self._order = np.argsort(keys)
         #: Distinct n-grams, ascending, and how often they are in training documents here.
-        self.keys, self.counts = keys[head], np.add.reduceat(np.tile(trained, order)[order_of].astype(np.int64), head)
-        row = np.empty(len(keys), np.int64)
-        row[order_of] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(keys))))
-        #: For each n the row of each token's n-gram in keys.
-        self.rows = row.reshape(order, -1)
+        self.keys, self.counts = keys[self._order], counts[self._order]
+
+    def by_token(self, values: np.ndarray) -> list[np.ndarray]:
+        """Of values in the order of keys, for each n that of the n-gram that ends at each token."""
+        back = np.empty(len(values), values.dtype)
+        back[self._order] = values
+        return [back[end - int(row.max()) - 1 : end][row] for end, row in zip(self._ends.tolist(), self._rows, strict=True)]
 
 
 def packed(sizes: np.ndarray, ids: list[int | None], held: np.ndarray, counts: list[np.ndarray]) -> tuple[bytes, bytes]:
@@ -93,19 +109,30 @@ def counted(df: DataFrame, id_col: str, text_col: str, order: int) -> DataFrame:
     tokens, documents: those learned from. One row for each range of hashes has nothing but the number of training types in it.
     """
     shards = sharded(df, id_col, text_col)
-    words = lambda keys, totals: int(((keys & np.uint64(1)).astype(bool) & (totals[0] > 0)).sum())
-    net = Exchange(shards.n, shards.ranges, added, tally=words)
+    dropped = max(1, 63 - TOLD - math.ceil(math.log2(shards.size + 2)))  # the last bit tells words from longer n-grams
+    words = lambda keys, totals: int(((keys & _WORD).astype(bool) & (totals[0] > 0)).sum())
+
+    def dump(keys: np.ndarray, values: list[np.ndarray]) -> tuple[bytes, bytes]:
+        word = (keys & _WORD).astype(bool)
+        return np.int64(word.sum()).tobytes() + pack_sorted(keys[word]) + pack_sorted(keys[~word] >> np.uint64(dropped)), pack_values(values)
+
+    def load(keys: bytes, values: bytes, kinds: str) -> tuple[np.ndarray, list[np.ndarray]]:
+        n = 8 + 8 * int(np.frombuffer(keys[:8], np.int64)[0])
+        own = np.sort(np.concatenate([unpack_sorted(keys[8:n]), unpack_sorted(keys[n:]) << np.uint64(dropped)]))
+        return own, unpack_values(values, kinds, len(own))
+
+    net = Exchange(shards.n, shards.ranges, added, tally=words, dump=dump, load=load)
 
     def send(key: tuple, t: pa.Table) -> pa.Table:
-        s = _Shard(t.column("docs")[0].as_py(), order)
+        s = _Shard(t.column("docs")[0].as_py(), order, dropped)
         return net.send(key[0].as_py(), s.keys, [s.counts])
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:  # lane: the tally
             return pa.table([pa.array([x], f.type) for x, f in zip((None, None, sum(right.column("lane").to_pylist()), 0, 0), _COUNTED, strict=True)], schema=_COUNTED)
-        s = _Shard(left.column("docs")[0].as_py(), order)
+        s = _Shard(left.column("docs")[0].as_py(), order, dropped)
         _, (totals,) = net.gathered(right, s.keys)
-        docs, counts = packed(s.sizes, s.ids, s.held, [totals[r] for r in s.rows])
+        docs, counts = packed(s.sizes, s.ids, s.held, s.by_token(totals))
         return pa.table([pa.array([x], f.type) for x, f in zip((docs, counts, 0, int(s.sizes[~s.held].sum()), int((~s.held).sum())), _COUNTED, strict=True)], schema=_COUNTED)
 
     back = net.run(shards.rows.groupBy("shard").applyInArrow(send, Exchange.SENT_SQL))

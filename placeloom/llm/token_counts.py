@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placeloom.llm.common import shared_dir, table
-from placeloom.llm.exchange import Exchange, hash_of, lookup, same, sharded, unpacked_docs
+from placeloom.llm.exchange import Exchange, dump_texts, hash_of, load_texts, lookup, same, sharded, unpacked_docs
 from placeloom.llm.tokenizer_files import path
 
 #: Pre-tokens that the library gets at once.
@@ -91,7 +91,7 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         out[[x is not None for x in values[0]]] = model().counts(known)
         return [out]
 
-    net = Exchange(shards.n, shards.ranges, same, kinds="b", finish=counted)
+    net = Exchange(shards.n, shards.ranges, same, kinds="b", finish=counted, dump=dump_texts, load=load_texts)
 
     def distinct(words: set[str]) -> tuple[np.ndarray, np.ndarray]:
         """Hashes, ascending but not always distinct, and the pre-tokens."""
