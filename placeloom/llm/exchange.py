@@ -132,13 +132,32 @@ def unplanes(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
 
 
+_ZSTD: dict[str, object] = {}
+
+
+def squeezed(data: bytes) -> bytes:
+    import zstandard
+
+    if "in" not in _ZSTD:
+        _ZSTD["in"] = zstandard.ZstdCompressor(level=1)
+    return _ZSTD["in"].compress(data)
+
+
+def restored(data: bytes) -> bytes:
+    import zstandard
+
+    if "out" not in _ZSTD:
+        _ZSTD["out"] = zstandard.ZstdDecompressor()
+    return _ZSTD["out"].decompress(data)
+
+
 def pack_sorted(x: np.ndarray) -> bytes:
     """Ascending unsigned 64-bit values as differences."""
-    return planes(np.diff(x, prepend=np.uint64(0)))
+    return squeezed(planes(np.diff(x, prepend=np.uint64(0))))
 
 
 def unpack_sorted(data: bytes) -> np.ndarray:
-    return np.cumsum(unplanes(data, "<u8"), dtype=np.uint64)
+    return np.cumsum(unplanes(restored(data), "<u8"), dtype=np.uint64)
 
 
 def pack_values(columns: list[np.ndarray]) -> bytes:
@@ -149,12 +168,12 @@ def pack_values(columns: list[np.ndarray]) -> bytes:
             out += [planes(np.array([-1 if x is None else len(x) for x in c], np.int64)), *(x for x in c if x)]
         else:
             out.append(planes(c.astype("<i8", copy=False)))
-    return b"".join(out)
+    return squeezed(b"".join(out))
 
 
 def unpack_values(data: bytes, kinds: str, n: int) -> list[np.ndarray]:
     """kinds: a letter for each column, i: integers, b: bytes."""
-    out, at = [], 0
+    data, out, at = restored(data), [], 0
     for kind in kinds:
         values, at = unplanes(data[at : at + 8 * n], "<i8"), at + 8 * n
         if kind == "b":

@@ -33,6 +33,8 @@ FOLDS, HELD_OUT = 7, 2
 #: Bits of a context's count bucket, and bins of a probability's logarithm to base 2: QUARTER a unit, down to 2^-40.
 QUARTER, FLOOR = 4, 160
 ROUNDS, ENOUGH = 200, 1e-7
+#: Tokens whose counts are in one row, about.
+TOGETHER = 1 << 17
 #: Bits of an n-gram's hash beyond the logarithm of the bytes of the corpus.
 TOLD = 20
 #: Marks the hashes of words.
@@ -104,7 +106,7 @@ def unpacked(docs: bytes, counts: bytes) -> tuple[pa.Table, np.ndarray, list[np.
 
 
 def counted(df: DataFrame, id_col: str, text_col: str, order: int) -> DataFrame:
-    """(docs, counts, types, tokens, documents): a row a shard, with training counts of the 1- to order-grams that end at each token.
+    """(docs, counts, types, tokens, documents): some documents a row, with training counts of the 1- to order-grams that end at each token.
 
     tokens, documents: those learned from. One row for each range of hashes has nothing but the number of training types in it.
     """
@@ -114,10 +116,11 @@ def counted(df: DataFrame, id_col: str, text_col: str, order: int) -> DataFrame:
 
     def dump(keys: np.ndarray, values: list[np.ndarray]) -> tuple[bytes, bytes]:
         word = (keys & _WORD).astype(bool)
-        return np.int64(word.sum()).tobytes() + pack_sorted(keys[word]) + pack_sorted(keys[~word] >> np.uint64(dropped)), pack_values(values)
+        words = pack_sorted(keys[word])
+        return np.int64(len(words)).tobytes() + words + pack_sorted(keys[~word] >> np.uint64(dropped)), pack_values(values)
 
     def load(keys: bytes, values: bytes, kinds: str) -> tuple[np.ndarray, list[np.ndarray]]:
-        n = 8 + 8 * int(np.frombuffer(keys[:8], np.int64)[0])
+        n = 8 + int(np.frombuffer(keys[:8], np.int64)[0])
         own = np.sort(np.concatenate([unpack_sorted(keys[8:n]), unpack_sorted(keys[n:]) << np.uint64(dropped)]))
         return own, unpack_values(values, kinds, len(own))
 
@@ -132,8 +135,13 @@ def counted(df: DataFrame, id_col: str, text_col: str, order: int) -> DataFrame:
             return pa.table([pa.array([x], f.type) for x, f in zip((None, None, sum(right.column("lane").to_pylist()), 0, 0), _COUNTED, strict=True)], schema=_COUNTED)
         s = _Shard(left.column("docs")[0].as_py(), order, dropped)
         _, (totals,) = net.gathered(right, s.keys)
-        docs, counts = packed(s.sizes, s.ids, s.held, s.by_token(totals))
-        return pa.table([pa.array([x], f.type) for x, f in zip((docs, counts, 0, int(s.sizes[~s.held].sum()), int((~s.held).sum())), _COUNTED, strict=True)], schema=_COUNTED)
+        counts, ends, out = s.by_token(totals), np.cumsum(s.sizes), []
+        part = ends // TOGETHER  # documents in rows of about so many tokens
+        for a, b in zip(heads(part).tolist(), [*heads(part)[1:].tolist(), len(part)], strict=True):
+            sizes, held, start = s.sizes[a:b], s.held[a:b], int(ends[a] - s.sizes[a])
+            own = packed(sizes, s.ids[a:b], held, [c[start : int(ends[b - 1])] for c in counts])
+            out.append((*own, 0, int(sizes[~held].sum()), int((~held).sum())))
+        return pa.table([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), _COUNTED, strict=True)], schema=_COUNTED)
 
     back = net.run(shards.rows.groupBy("shard").applyInArrow(send, Exchange.SENT_SQL))
     return shards.rows.groupBy("shard").cogroup(back.groupBy("shard")).applyInArrow(join, "docs binary, counts binary, types long, tokens long, documents long")

@@ -38,7 +38,7 @@ ANCHOR = 6
 SPREAD = 4
 _LAST = np.iinfo(np.int64).max
 _REQUEST = pa.schema([("owner", pa.int64()), ("asker", pa.int64()), ("keys", pa.binary())])
-_BLOCK = pa.schema([("asker", pa.int64()), ("places", pa.binary()), ("words", pa.binary())])
+_BLOCK = pa.schema([("asker", pa.int64()), ("runs", pa.int64()), ("places", pa.binary()), ("words", pa.binary())])
 RESULT = pa.schema(
     [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())]
     + [("spans", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))]
@@ -111,8 +111,8 @@ def _blocks(s: _Shard, askers: list[int], wanted: list[np.ndarray]) -> pa.Table:
         start, end = place[begin], place[last] + s.window
         inside = start - (s.end - s.sizes)[doc[begin]]
         text = b" ".join(s.words.slice(a, b) for a, b in zip(start.tolist(), end.tolist(), strict=True))
-        out.append((asker, pack_values([s.doc[rows[begin]], inside, end - start]), text))
-    return pa.table([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 3, _BLOCK, strict=True)], schema=_BLOCK)
+        out.append((asker, len(begin), pack_values([s.doc[rows[begin]], inside, end - start]), text))
+    return pa.table([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 4, _BLOCK, strict=True)], schema=_BLOCK)
 
 
 def _same(a: np.ndarray, i: int, b: np.ndarray, j: int, most: int) -> int:
@@ -134,14 +134,14 @@ class Reference:
     window of the shard.
     """
 
-    def __init__(self, s: _Shard, places: list[bytes], words: list[bytes]):
+    def __init__(self, s: _Shard, runs: list[int], places: list[bytes], words: list[bytes]):
         key, row, self.at = _first(s.keys())
         self.doc, self.start, self.end = s.doc[row], s.starts[row], s.end[s.at[row]]
         self.inside = self.start - (s.end - s.sizes)[s.at[row]]
         self.own, self.came = s.words, Words(words)
         got = self.came.hashes()
         self.hash = np.concatenate([s.hash, got])
-        columns = [unpack_values(p, "iii", len(p) // 24) for p in places]
+        columns = [unpack_values(p, "iii", n) for n, p in zip(runs, places, strict=True)]
         doc, begin, size = (np.concatenate([np.zeros(0, np.int64), *(c[k] for c in columns)]) for k in range(3))
         windows = np.maximum(size - s.window + 1, 0)
         block = np.repeat(np.arange(len(size)), windows)
@@ -241,7 +241,7 @@ def factored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
         import xxhash
 
         s = _Shard(left.column("docs")[0].as_py(), window)
-        own = dict(parsed(s, Reference(s, right.column("places").to_pylist(), right.column("words").to_pylist())))
+        own = dict(parsed(s, Reference(s, *(right.column(c).to_pylist() for c in ("runs", "places", "words")))))
         out: dict[str, list] = {f.name: [] for f in RESULT}
         for number, (raw, text, end, size) in enumerate(zip(s.raw, s.texts, s.end.tolist(), s.sizes.tolist(), strict=True)):
             factors, spans = own.get(number, []), []
@@ -264,7 +264,7 @@ def factored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
     shared = common.run(docs.groupBy("shard").applyInArrow(anchors, Exchange.SENT_SQL))
     found = where.run(docs.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(windows, Exchange.SENT_SQL))
     asked = found.groupBy("shard").applyInArrow(requests, "owner long, asker long, keys binary")
-    got = docs.groupBy("shard").cogroup(asked.groupBy("owner")).applyInArrow(blocks, "asker long, places binary, words binary")
+    got = docs.groupBy("shard").cogroup(asked.groupBy("owner")).applyInArrow(blocks, "asker long, runs long, places binary, words binary")
     return docs.groupBy("shard").cogroup(got.groupBy("asker")).applyInArrow(parse, RESULT_SQL)
 
 
