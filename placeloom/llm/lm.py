@@ -35,8 +35,9 @@ QUARTER, FLOOR = 4, 160
 ROUNDS, ENOUGH = 200, 1e-7
 #: Tokens whose counts are in one row, about.
 TOGETHER = 1 << 17
-#: Bits of an n-gram's hash beyond the logarithm of the bytes of the corpus.
-TOLD = 20
+#: Bits of an n-gram's hash beyond the logarithm of the bytes of the corpus; there are five or more of these to a
+#: distinct n-gram, so about one n-gram in a million meets another of its hash.
+TOLD = 17
 #: Marks the hashes of words.
 _WORD = np.uint64(1)
 _END, _START = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x27D4EB2F165667C5)
