@@ -86,7 +86,7 @@ def trie_links(values: DataFrame, bits: int, budget: int) -> DataFrame:
     values: id long (not null), part int, value long of which the low ``bits`` bits count. Only
     values of one part are compared; repeated values of a part link their ids. A subtree whose
     first block holds more than HOT rows is dealt out by the node pairs below it. With a column
-    label (long) the edges are all pairs of different labels instead of spanning ones.
+    label (long) ids of one label count as linked already.
     """
     spark = values.sparkSession
     own_label = [c for c in values.columns if c == "label"]
@@ -141,7 +141,7 @@ def trie_links(values: DataFrame, bits: int, budget: int) -> DataFrame:
                 group = np.empty(len(order), np.int64)
                 group[order] = np.cumsum(np.concatenate([[0], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
                 turn = (group, value[at].view(np.uint64), ident[at])
-                x, y = trie.all_links(*turn, label[at], bits, widths[r]) if own_label else trie.links(*turn, bits, widths[r])
+                x, y = trie.links(*turn, bits, widths[r], label[at] if own_label else None)
                 a.append(x)
                 b.append(y)
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
@@ -183,6 +183,8 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 #: 64-bit lanes of a near-duplicate fingerprint; the low LANE_BITS of each go through a trie with LANE_BUDGET.
 LANES, LANE_BITS, LANE_BUDGET = 12, 42, 4
+#: Where the bits of a lane begin that the joins after the first go by.
+SHIFTS = (22, 11)
 
 
 def differing_share(similarity: float) -> float:
@@ -288,9 +290,10 @@ def grouped(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity:
     Every link is verified on the sets themselves; bits only find pairs. At 0.8 about 15 % of the bits
     differ, too many for the budget of one trie, so each of twelve lanes has a trie of its own over 42 bits
     with a budget of 4: a pair at 0.8 is met in a lane with probability 0.21 (in any: 0.94), one at
-    0.9 in 0.56 (0.9999). A first join gives spanning edges; those that don't hold may have hidden others,
-    so a second one takes all pairs between the groups verified so far. All pairs with a set of at most SHORT
-    shingles are found by shared shingles.
+    0.9 in 0.56 (0.9999). A join gives spanning edges, those of the fewest differing bits first; edges that
+    don't hold may have hidden others, so two more joins, over other bits of the lanes, span the groups
+    verified so far. The edges of a join are at most lanes x rotations times the documents, however dense a
+    group is. All pairs with a set of at most SHORT shingles are found by shared shingles.
     """
     shared_dir(df.sparkSession)
     own = cut(shingle_sets(df, id_col, text_col, shingle), "fingerprints")
@@ -301,10 +304,10 @@ def grouped(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity:
     share, bits = differing_share(similarity), 64 * LANES
     most = math.floor(bits * share + WIDE * math.sqrt(bits * share * (1 - share)))
 
-    def met(values: DataFrame, name: str) -> DataFrame:
-        """Pairs met in a lane that sizes and all bits allow, with the number of differing ones."""
+    def met(values: DataFrame, shift: int, name: str) -> DataFrame:
+        """Pairs met in a lane, by its bits from ``shift`` on, that sizes and all bits allow, with the number of differing ones."""
         kept = [c for c in values.columns if c == "label"]
-        parts = values.select(F.col("node").alias("id"), *kept, F.posexplode(F.array(*lanes)).alias("part", "value"))
+        parts = values.select(F.col("node").alias("id"), *kept, F.posexplode(F.array(*(F.shiftrightunsigned(x, shift) for x in lanes))).alias("part", "value"))
         pairs = trie_links(parts, LANE_BITS, LANE_BUDGET).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         left, right = (values.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), *(F.col(x).alias(f"{k}{x}") for x in lanes)) for k in "ab")
         differing = reduce(add, (F.bit_count(F.col(f"a{x}").bitwiseXOR(F.col(f"b{x}"))) for x in lanes))
@@ -316,17 +319,18 @@ def grouped(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity:
         a, b = (groups.select(F.col("node").alias(k), F.col("component").alias(f"c{k}")) for k in "ab")
         return pairs.join(a, "a", "left").join(b, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
 
-    some = met(long, "met")
+    some = met(long, 0, "met")
     best = some.groupBy("a").agg(F.min_by("b", "d").alias("b")).union(some.groupBy("b").agg(F.min_by("a", "d").alias("a")).select("a", "b")).distinct()
     best = cut(best, "best")
     links = cut(verified(best, texts, shingle, similarity), "links-best")
     groups = cut(components(links), "groups-best")
-    rest = cut(across(some.join(best, ["a", "b"], "left_anti"), groups), "rest")
-    links = links.union(cut(verified(rest, texts, shingle, similarity), "links-rest"))
-    groups = cut(components(links), "groups-rest")
-    named = long.join(groups, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    more = met(named, "more").select("a", "b").join(best.union(rest), ["a", "b"], "left_anti")
-    links = links.union(cut(verified(more, texts, shingle, similarity), "links-more"))
+    tried = cut(across(some.join(best, ["a", "b"], "left_anti"), groups), "rest").union(best)
+    links = links.union(cut(verified(tried.join(best, ["a", "b"], "left_anti"), texts, shingle, similarity), "links-rest"))
+    for shift in SHIFTS:
+        groups = cut(components(links), f"groups-{shift}")
+        named = long.join(groups, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+        more = cut(met(named, shift, f"met-{shift}").select("a", "b").join(tried, ["a", "b"], "left_anti"), f"more-{shift}")
+        links, tried = links.union(cut(verified(more, texts, shingle, similarity), f"links-{shift}")), tried.union(more)
     links = links.union(cut(short_pairs(texts.where(F.col("n").between(1, math.floor(SHORT / similarity + 1e-9))).distinct(), shingle, similarity), "links-short"))
     groups = cut(components(links), "groups")
     named = cut(heads.select("node", "id").join(groups, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component")), "named")

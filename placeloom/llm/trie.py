@@ -56,8 +56,9 @@ def depth_budgets(widths: list[int]) -> np.ndarray:
 class Forest:
     """Labels of the leaves and the edges that joined them."""
 
-    def __init__(self, n: int):
-        self.label = np.arange(n)
+    def __init__(self, label: np.ndarray):
+        """label: of each leaf, below their number; leaves of one label count as joined."""
+        self.label = label
         self.edges: list[tuple[np.ndarray, np.ndarray]] = []
         self._mark()
 
@@ -151,43 +152,21 @@ def walk(group: np.ndarray, value: np.ndarray, bits: int, start: int, allowed: n
         stack.append((d + 1, a[keep], b[keep], a2[keep], b2[keep], e[keep]))
 
 
-class Labelled(Forest):
-    """Pairs of leaves of different labels, all of them: only pairs within one label are pruned."""
-
-    def __init__(self, label: np.ndarray):
-        super().__init__(len(label))
-        self.label = np.unique(label, return_inverse=True)[1]
-        self._mark()
-
-    def add(self, a: np.ndarray, b: np.ndarray) -> None:
-        keep = self.label[a] != self.label[b]
-        if keep.any():
-            self.edges.append((a[keep], b[keep]))
-
-
-def all_links(group: np.ndarray, value: np.ndarray, ident: np.ndarray, label: np.ndarray, bits: int, widths: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """All links (ident, ident) between different labels in each group of one rotation, those of equal values too."""
-    order = np.lexsort((ident, label, value, group))
-    group, value, ident, label = group[order], value[order], ident[order], label[order]
-    found = Labelled(label)
-    walk(group, value, bits, widths[0], depth_budgets(widths), len(widths) - 1, found)
-    a, b = (np.concatenate([np.zeros(0, np.int64), *(ident[e[k]] for e in found.edges)]) for k in (0, 1))
-    return a, b
-
-
-def links(group: np.ndarray, value: np.ndarray, ident: np.ndarray, bits: int, widths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def links(group: np.ndarray, value: np.ndarray, ident: np.ndarray, bits: int, widths: list[int], label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Edges (ident, ident) of a spanning forest of the links in each group of one rotation.
 
-    The values of a group agree in their first block. Equal values are linked as well.
+    The values of a group agree in their first block. Equal values are linked as well. Those of one label count
+    as linked already: the forest spans labels.
     """
     order = np.lexsort((ident, value, group))
-    group, value, ident = group[order], value[order], ident[order]
+    group, value, ident, label = group[order], value[order], ident[order], np.unique(ident if label is None else label, return_inverse=True)[1][order]
     first = np.concatenate([[True], (group[1:] != group[:-1]) | (value[1:] != value[:-1])]) if len(value) else np.zeros(0, bool)
-    head = ident[first][np.cumsum(first) - 1] if len(value) else ident
-    twin = ~first & (head != ident)
+    leaf = np.cumsum(first) - 1
+    head = ident[first][leaf] if len(value) else ident
+    twin = ~first & (head != ident) & (label[first][leaf] != label)
     a, b = [head[twin]], [ident[twin]]
     g, v, i = group[first], value[first], ident[first]
-    forest, allowed = Forest(len(v)), depth_budgets(widths)
+    forest, allowed = Forest(np.unique(label[first], return_inverse=True)[1]), depth_budgets(widths)
     full = len(widths) - 1
     for budget in sorted({min(1, full), min(2, full), full} - {0}):  # near links first: they make dense groups collapse
         walk(g, v, bits, widths[0], allowed, budget, forest)

@@ -5,6 +5,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from placeloom.llm import simhash, trie
 
@@ -165,3 +166,47 @@ def test_near_duplicates_are_verified(spark):
     assert {k: got[k] for k in range(4)} == {k: k for k in range(4)}
     assert {k: v for k, v in got.items() if 4 <= k < 200} == {k: find(k) for k in sets if 4 <= k < 200}
     assert all(find(got[k]) == find(k) for k in sets)  # no link that isn't one
+
+
+@given(st.integers(0, 10**6))
+@settings(max_examples=40, deadline=None)
+def test_forests_span_labels(seed):
+    """With labels the edges join all labels that links join, and none within a label."""
+    rng = np.random.default_rng(seed)
+    bits, budget, n = 12, 2, 40
+    value, label = rng.integers(0, 1 << bits, n).astype(np.uint64), rng.integers(0, 25, n)
+    root = list(range(25))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(n):
+        for j in range(i):
+            if int(value[i] ^ value[j]).bit_count() <= budget:
+                root[find(label[i])] = find(label[j])
+    want = [find(x) for x in range(25)]
+    root = list(range(25))
+    for r, turned in enumerate(trie.rotations(value, bits, budget)):
+        widths = trie.rotated_widths(bits, budget, r)
+        for a, b in zip(*trie.links((turned >> np.uint64(bits - widths[0])).astype(np.int64), turned, np.arange(n), bits, widths, label), strict=True):
+            assert label[a] != label[b]
+            root[find(label[a])] = find(label[b])
+    got = [find(x) for x in range(25)]
+    assert {frozenset(k for k in range(25) if want[k] == w) for w in want} == {frozenset(k for k in range(25) if got[k] == w) for w in got}
+
+
+def test_edges_of_dense_groups_are_few(spark):
+    """A group of n near copies meets in at most lanes x rotations x n pairs, not in all."""
+    rng = random.Random(5)
+    text = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    rows = []
+    for k in range(150):
+        own = list(text)
+        for at in rng.sample(range(300), 9):
+            own[at] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(own)))
+    own = simhash.shingle_sets(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 5)
+    parts = own.select(F.col("doc_id").alias("id"), F.posexplode(F.array(*(f"fp_{i}" for i in range(simhash.LANES)))).alias("part", "value"))
+    assert simhash.trie_links(parts, simhash.LANE_BITS, simhash.LANE_BUDGET).count() <= simhash.LANES * 5 * 150
