@@ -18,8 +18,9 @@ from placeloom.llm.tokenizer_files import path
 WINDOW = 1024
 #: Id that ends each document.
 END_ID = 0
-#: Costs of a cut in padding ids: between sentences of a document, and inside a sentence.
-SENTENCE_CUT, HARD_CUT = 1, 48
+#: Costs in padding ids: of a sequence, so that padding isn't dodged by many short ones of a power of two ids; of
+#: the truncation of a document between sentences, and inside a sentence.
+SEQUENCE, SENTENCE_CUT, HARD_CUT = 256, 8, 64
 #: Cut points inside a sentence that is longer than a window lie so many ids apart.
 GRID = 64
 #: Ids over which cuts are chosen together; the last window is left open for the next round.
@@ -33,11 +34,11 @@ def padded(length: int, window: int = WINDOW) -> int:
     return length if length & (length - 1) == 0 else window
 
 
-def cuts(points: list[int], penalty: list[int], window: int = WINDOW) -> list[int]:
+def cuts(points: list[int], penalty: list[int], window: int = WINDOW, sequence: int = 0) -> list[int]:
     """Indexes of the points to cut at, the first and the last among them, of least total cost.
 
     points: ascending places, at most ``window`` apart; a window from a to b costs the ids added to
-    it plus the penalty of b. best[j] is the least cost to cut at j. Of the starts within a
+    it plus ``sequence`` plus the penalty of b. best[j] is the least cost to cut at j. Of the starts within a
     window's reach, the one of least best[i] + points[i] is kept at the head of a monotone queue
     (padding to the full window grows with the start alone); the starts a power of two back, which
     pad nothing, are looked up.
@@ -66,7 +67,7 @@ def cuts(points: list[int], penalty: list[int], window: int = WINDOW) -> list[in
         for i in exact[first[j] : first[j + 1]]:
             if best[i] <= cost:
                 cost, start = best[i], i
-        best[j], back[j] = cost + penalty[j], start
+        best[j], back[j] = cost + sequence + penalty[j], start
         value = best[j] + here
         while queue and queue[-1][0] >= value:
             queue.pop()
@@ -135,7 +136,7 @@ class Packer:
     def pack(self, last: bool) -> pa.RecordBatch:
         """Sequences of the waiting ids; all but the last window unless these are the last."""
         places, penalty = self.points()
-        chosen = [places[i] for i in cuts(places, penalty, self.window)]
+        chosen = [places[i] for i in cuts(places, penalty, self.window, SEQUENCE)]
         out: dict[str, list] = {f.name: [] for f in _SCHEMA}
         for a, b in zip(chosen[:-1] if last else chosen[:-2], chosen[1:] if last else chosen[1:-1], strict=True):
             room, offset = b - a, 0
@@ -159,8 +160,11 @@ def packed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
 
     Documents are taken in the order of their partition, which is not shuffled; each partition
     makes its own sequences. A document is its ids and END_ID: null and empty texts are END_ID
-    alone. Null and repeated ids of documents are documents of their own. Cuts fall between
-    documents or sentences; only a sentence longer than a window is cut inside.
+    alone. Null and repeated ids and repeated rows are documents of their own; very long texts are
+    encoded in parts and packed like others. An empty table gives no rows. Cuts fall between documents
+    or sentences; only a sentence longer than a window is cut inside. Which sequence a piece is in
+    depends on the input's partitions; its ids don't. Cuts are chosen over ROUND ids at a time, of which
+    the last window stays open for the next.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -130,6 +130,8 @@ def lzw_decode(data: bytes, size: int) -> bytes:
             words, width, before = fresh[:], 9, None
             continue
         if before is None:
+            if code > 255:
+                raise TiffError("an LZW stream that begins within")
             word = words[code]
         else:
             if code > len(words):
@@ -151,6 +153,8 @@ def _inflate(data: bytes, size: int) -> bytes:
         raise TiffError(str(e)) from e
 
 
+#: Bytes that a stored byte can stand for, at most.
+MOST = {NONE: 1, LZW: 4096, DEFLATE: 1040, OLD_DEFLATE: 1040, PACKBITS: 128}
 ENCODERS: dict[int, Callable[[bytes], bytes]] = {NONE: bytes, LZW: lzw_encode, DEFLATE: lambda x: zlib.compress(x, 1), OLD_DEFLATE: lambda x: zlib.compress(x, 1), PACKBITS: packbits_encode}
 DECODERS: dict[int, Callable[[bytes, int], bytes]] = {NONE: lambda x, n: x[:n], LZW: lzw_decode, DEFLATE: _inflate, OLD_DEFLATE: _inflate, PACKBITS: packbits_decode}
 
@@ -236,8 +240,8 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
         tags = {}
         for i in range(count):
             tag, kind, n = struct.unpack_from(order + "HHI", data, place + 2 + 12 * i)
-            if (letter := TYPES.get(kind)) is None:
-                continue
+            if (letter := TYPES.get(kind)) is None or n == 0:
+                continue  # as if it weren't there
             form = order + letter * n if n < 2 else f"{order}{n * len(letter)}{letter[0]}"
             at = place + 10 + 12 * i
             if struct.calcsize(form) > 4:
@@ -252,10 +256,16 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
 def pages(data: bytes) -> Iterator[tuple[int, int, int, np.ndarray]]:
     """(number, width, height, samples: rows x columns x channels) of each page, 8 or 16 bits a sample."""
     for number, (order, tags) in enumerate(directories(data)):
-        one = lambda tag, default=None: tags.get(tag, (default,))[0]
+
+        def one(tag: int, default: int | None = None, tags: dict = tags) -> int | None:
+            value = tags.get(tag, (default,))[0]
+            if not isinstance(value, int | None):
+                raise TiffError("a value that isn't a number")
+            return value
+
         width, height, channels = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
         bits, compression, predictor = set(tags.get(BITS, (1,))), one(COMPRESSION, 1), one(PREDICTOR, 1)
-        if not width or not height or bits - {8} and bits - {16} or compression not in DECODERS or one(PLANAR, 1) != 1:
+        if not width or not height or bits - {8} and bits - {16} or compression not in DECODERS or one(PLANAR, 1) != 1 or not channels or predictor not in (1, 2):
             raise TiffError("a kind of image that isn't supported")
         kind = np.dtype(f"{order}u{max(bits) // 8}")
         tiled = TILE_OFFSETS in tags
@@ -266,6 +276,11 @@ def pages(data: bytes) -> Iterator[tuple[int, int, int, np.ndarray]]:
         places, sizes = tags.get(TILE_OFFSETS if tiled else STRIP_OFFSETS, ()), tags.get(TILE_BYTES if tiled else STRIP_BYTES, ())
         if len(places) < down * across or len(sizes) < down * across:
             raise TiffError("tiles or strips are missing")
+        if any(not isinstance(x, int) or x < 0 for x in (*places, *sizes)):
+            raise TiffError("a value that isn't a number")
+        stored_bytes = [min(n, max(0, len(data) - at)) for at, n in zip(places, sizes, strict=False)][: down * across]
+        if (down * high if tiled else height) * across * wide * channels * kind.itemsize > MOST[compression] * (sum(stored_bytes) + 8 * len(stored_bytes)):
+            raise TiffError("more samples than the bytes can hold")
         image = np.zeros((down * high, across * wide, channels), kind.newbyteorder("="))
         for k in range(down * across):
             y, x = k // across * high, k % across * wide
@@ -293,15 +308,17 @@ def page_rows(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             try:
                 for page, width, height, samples in pages(media):
                     yield own | {"media": media if page == 0 else None, "page": page, "width": width, "height": height, "samples": samples.tobytes(), "error": None}
-            except (TiffError, struct.error) as e:
-                yield own | {"media": media, "page": None, "width": None, "height": None, "samples": None, "error": str(e)}
+            except Exception as e:  # whatever a value holds, it costs a row, not the job
+                yield own | {"media": media, "page": None, "width": None, "height": None, "samples": None, "error": str(e) or type(e).__name__}
 
 
 def tiff_pages(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """(doc_id, page, width, height, samples, error): one row for each page of each TIFF.
 
     Null values give no row. A value that can't be read, or not to its end, gives a row with error
-    set and no page after the pages before it. Null and repeated ids stay as they are.
+    set and no page after the pages before it; so does one whose directories claim more samples than
+    its bytes can hold. Null and repeated ids and repeated rows stay as they are. Values are read one at
+    a time, whole; other columns aren't read. An empty table gives no rows.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,17 +329,18 @@ def tiff_pages(df: DataFrame, id_col: str = "doc_id", media_col: str = "media")
     return rows.mapInArrow(run, "doc_id long, page int, width int, height int, samples binary, error string")
 
 
-def stored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", compression: int = DEFLATE, predictor: int = 2) -> DataFrame:
+def stored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", compression: int = DEFLATE, predictor: int = 2, tile: int = 0, page: int = PAGE) -> DataFrame:
     """(doc_id, n_bytes, media): each text's UTF-8, filled up with bytes 0, as a TIFF.
 
-    Up to one page it is in strips, longer texts in tiles of 64. Null texts are stored like empty ones.
+    tile: side of the tiles, 0: strips. page: rows of ROW samples of a page; a longer text has several. Null texts
+    are stored like empty ones. Null and repeated ids and repeated rows stay rows of their own. Other columns
+    aren't read. An empty table gives no rows.
     """
-    size = ROW * PAGE
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             texts = [t or b"" for t in text_bytes(batch.column(1))]
-            media = [encode(t.ljust(max(1, -(-len(t) // ROW)) * ROW, b"\0"), compression, predictor, 64 if len(t) > size else 0) for t in texts]
+            media = [encode(t.ljust(max(1, -(-len(t) // ROW)) * ROW, b"\0"), compression, predictor, tile, page=page) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     return id_and_text(df, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, media binary")
@@ -352,7 +370,11 @@ class Digest:
 
 
 def op2_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of what is read back; feature: pages, rows, mean and a 64-bit difference hash of the columns."""
+    """Digests of what is read back; feature: pages, rows, mean and a 64-bit difference hash of the columns.
+
+    Texts are stored in tiles, a page for each 64 KiB, with deflate and predictor 2. Null texts count like
+    empty ones; rows of null or repeated ids are rows of their own. An empty table gives no rows.
+    """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
@@ -372,5 +394,5 @@ def op2_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
             done.append(now.result())
             yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int64()), *(pa.array(x) for x in list(zip(*done, strict=True))[1:])], names=names)
 
-    media = stored(table(spark, sf_dir, "documents"))
+    media = stored(table(spark, sf_dir, "documents"), tile=64, page=1024)
     return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
