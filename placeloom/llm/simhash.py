@@ -224,8 +224,11 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return shared >= similarity * (len(a) + len(b) - shared) - 1e-9
 
 
-def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are similar, by the texts (node, text) themselves."""
+def verified(pairs: DataFrame, own: DataFrame, heads: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets are similar, by the texts themselves.
+
+    own: (doc_id, node, text); heads: (node, id), the document whose text stands for a node. Only texts of nodes in pairs move.
+    """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -233,6 +236,8 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
             yes = [similar(np.unique(shingle_hashes(x, shingle)), np.unique(shingle_hashes(y, shingle)), similarity) for x, y in zip(left, right, strict=True)]
             yield batch.select([0, 1]).filter(pa.array(yes, pa.bool_()))
 
+    met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(heads.select("node", F.col("id").alias("doc_id")), "node")
+    texts = cut(own.join(met, ["doc_id", "node"], "left_semi").select("node", "text").dropDuplicates(["node"]), "texts")
     left, right = (texts.select(F.col("node").alias(k), F.col("text").alias(f"t{k}")) for k in "ab")
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
@@ -299,7 +304,6 @@ def grouped(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity:
     own = cut(shingle_sets(df, id_col, text_col, shingle), "fingerprints")
     lanes = [f"fp_{i}" for i in range(LANES)]
     heads = cut(own.groupBy("node", "n", *lanes).agg(F.min("doc_id").alias("id")), "heads")
-    texts = own.join(heads.select(F.col("id").alias("doc_id"), "node"), ["doc_id", "node"], "left_semi").select("node", "n", "text")
     long = heads.where(F.col("n") > SHORT)
     share, bits = differing_share(similarity), 64 * LANES
     most = math.floor(bits * share + WIDE * math.sqrt(bits * share * (1 - share)))
@@ -322,16 +326,18 @@ def grouped(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity:
     some = met(long, 0, "met")
     best = some.groupBy("a").agg(F.min_by("b", "d").alias("b")).union(some.groupBy("b").agg(F.min_by("a", "d").alias("a")).select("a", "b")).distinct()
     best = cut(best, "best")
-    links = cut(verified(best, texts, shingle, similarity), "links-best")
+    links = cut(verified(best, own, heads, shingle, similarity), "links-best")
     groups = cut(components(links), "groups-best")
     tried = cut(across(some.join(best, ["a", "b"], "left_anti"), groups), "rest").union(best)
-    links = links.union(cut(verified(tried.join(best, ["a", "b"], "left_anti"), texts, shingle, similarity), "links-rest"))
+    links = links.union(cut(verified(tried.join(best, ["a", "b"], "left_anti"), own, heads, shingle, similarity), "links-rest"))
     for shift in SHIFTS:
         groups = cut(components(links), f"groups-{shift}")
         named = long.join(groups, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
         more = cut(met(named, shift, f"met-{shift}").select("a", "b").join(tried, ["a", "b"], "left_anti"), f"more-{shift}")
-        links, tried = links.union(cut(verified(more, texts, shingle, similarity), f"links-{shift}")), tried.union(more)
-    links = links.union(cut(short_pairs(texts.where(F.col("n").between(1, math.floor(SHORT / similarity + 1e-9))).distinct(), shingle, similarity), "links-short"))
+        links, tried = links.union(cut(verified(more, own, heads, shingle, similarity), f"links-{shift}")), tried.union(more)
+    short = F.col("n").between(1, math.floor(SHORT / similarity + 1e-9))
+    texts = own.where(short).join(heads.where(short).select(F.col("id").alias("doc_id"), "node"), ["doc_id", "node"], "left_semi").select("node", "text")
+    links = links.union(cut(short_pairs(texts.dropDuplicates(["node"]), shingle, similarity), "links-short"))
     groups = cut(components(links), "groups")
     named = cut(heads.select("node", "id").join(groups, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component")), "named")
     return own.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "node").join(named.select("node", "component"), "node").select("doc_id", "text_hash", "component")
