@@ -42,11 +42,28 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, read from a table in the shared folder: written once, whatever reads it later."""
+    """The same rows, read from a table in the shared folder: written once, whatever reads it later.
+
+    The shuffles behind it aren't needed any more; the collection makes Spark's cleaner remove their files now,
+    where on a driver of little garbage they would stay for half an hour.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    rows = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(rows)] = path
+    return rows
+
+
+_PATHS: dict[int, str] = {}
+
+
+def drop(*rows: DataFrame) -> None:
+    """Remove tables that ``cut`` wrote and nothing reads any more."""
+    for df in rows:
+        hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(_PATHS.pop(id(df)))
+        hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:

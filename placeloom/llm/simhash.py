@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placeloom.llm import trie
-from placeloom.llm.common import cut, id_and_text, shared_dir, shuffle_partitions, table, text_bytes
+from placeloom.llm.common import cut, drop, id_and_text, shared_dir, shuffle_partitions, table, text_bytes
 from placeloom.operators.components import components
 
 SEED = 42
@@ -225,7 +225,7 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 
 
 def verified(pairs: DataFrame, own: DataFrame, heads: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets are similar, by the texts themselves.
+    """The pairs (a, b) of nodes whose shingle sets are similar, by the texts themselves; a table.
 
     own: (doc_id, node, text); heads: (node, id), the document whose text stands for a node. Only texts of nodes in pairs move.
     """
@@ -239,7 +239,9 @@ def verified(pairs: DataFrame, own: DataFrame, heads: DataFrame, shingle: int, s
     met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(heads.select("node", F.col("id").alias("doc_id")), "node")
     texts = cut(own.join(met, ["doc_id", "node"], "left_semi").select("node", "text").dropDuplicates(["node"]), "texts")
     left, right = (texts.select(F.col("node").alias(k), F.col("text").alias(f"t{k}")) for k in "ab")
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
+    links = cut(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct(), "links")
+    drop(texts)
+    return links
 
 
 def short_pairs(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -326,15 +328,17 @@ def grouped(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity:
     some = met(long, 0, "met")
     best = some.groupBy("a").agg(F.min_by("b", "d").alias("b")).union(some.groupBy("b").agg(F.min_by("a", "d").alias("a")).select("a", "b")).distinct()
     best = cut(best, "best")
-    links = cut(verified(best, own, heads, shingle, similarity), "links-best")
+    links = verified(best, own, heads, shingle, similarity)
     groups = cut(components(links), "groups-best")
     tried = cut(across(some.join(best, ["a", "b"], "left_anti"), groups), "rest").union(best)
-    links = links.union(cut(verified(tried.join(best, ["a", "b"], "left_anti"), own, heads, shingle, similarity), "links-rest"))
+    links = links.union(verified(tried.join(best, ["a", "b"], "left_anti"), own, heads, shingle, similarity))
     for shift in SHIFTS:
         groups = cut(components(links), f"groups-{shift}")
         named = long.join(groups, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-        more = cut(met(named, shift, f"met-{shift}").select("a", "b").join(tried, ["a", "b"], "left_anti"), f"more-{shift}")
-        links, tried = links.union(cut(verified(more, own, heads, shingle, similarity), f"links-{shift}")), tried.union(more)
+        near = met(named, shift, f"met-{shift}")
+        more = cut(near.select("a", "b").join(tried, ["a", "b"], "left_anti"), f"more-{shift}")
+        drop(near)
+        links, tried = links.union(verified(more, own, heads, shingle, similarity)), tried.union(more)
     short = F.col("n").between(1, math.floor(SHORT / similarity + 1e-9))
     texts = own.where(short).join(heads.where(short).select(F.col("id").alias("doc_id"), "node"), ["doc_id", "node"], "left_semi").select("node", "text")
     links = links.union(cut(short_pairs(texts.dropDuplicates(["node"]), shingle, similarity), "links-short"))
