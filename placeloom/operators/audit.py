@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from placeloom.functions.url import normalize_url
 #: A rule: priority, name, kind (exact, prefix or regex), value, expected in a sitemap, notes.
 RULE = "priority int, name string, kind string, value string, expected boolean, notes string"
 SAMPLES = 3
-#: Rules are told by hand; beyond so many, rules of prefixes and patterns go through a shuffle.
+#: Patterns that are tried on the URLs at once; more of them are tried in blocks of about so many.
 FEW_RULES = 10_000
 
 
@@ -23,20 +25,25 @@ def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
     URLs are compared normalised without queries. The values of exact and prefix rules are normalised too,
     so a prefix loses a closing slash. Content URLs are in the search space of all rules; sitemaps
-    only in that of rules whose value begins with https:// and holds /sitemaps/. Exact rules are an equi join;
-    prefixes and patterns are tried on every URL, the rules being few.
+    only in that of rules whose value begins with https:// and holds /sitemaps/. Exact and prefix rules are equi
+    joins: a URL is looked up by its beginnings of the lengths that prefixes have. Patterns can only be tried, on every
+    URL, in blocks that are broadcast.
     """
     u = urls.select("url", "is_sitemap", normalize_url(F.col("url"), keep_query=False).alias("norm"))
     r = rules.withColumns({"wanted": F.when(F.col("kind") == "regex", F.col("value")).otherwise(normalize_url(F.col("value"), keep_query=False)), "with_sitemaps": F.startswith("value", F.lit("https://")) & F.contains("value", F.lit("/sitemaps/"))})
     space = ~F.col("is_sitemap") | F.col("with_sitemaps")
     exact = r.where("kind = 'exact'").join(u, F.col("norm") == F.col("wanted")).where(space)
-    others = r.where("kind <> 'exact'")
-    n = others.limit(FEW_RULES + 1).count()
-    if n <= FEW_RULES:
-        others = F.broadcast(others)
-    hit = F.when(F.col("kind") == "prefix", F.startswith("norm", F.col("wanted"))).when(F.col("kind") == "regex", F.rlike("norm", F.col("wanted")))
-    loose = u.join(others, hit & space)
-    return exact.select("rule_id", "url").union(loose.select("rule_id", "url")).distinct()
+    prefixes = r.where("kind = 'prefix'")
+    lengths = [x.n for x in prefixes.select(F.length("wanted").alias("n")).where("n IS NOT NULL").distinct().collect()]  # at most as many as a URL is long
+    begins = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("norm"))
+    starts = u.select("url", "is_sitemap", F.explode(F.transform(begins, lambda n: F.substring(F.col("norm"), F.lit(1), n))).alias("start"))
+    found = [exact, prefixes.join(starts, F.col("start") == F.col("wanted")).where(space)]
+    patterns = r.where("kind = 'regex'")
+    blocks = -(-patterns.count() // FEW_RULES)
+    for k in range(blocks):
+        block = patterns.where(F.pmod(F.xxhash64("rule_id"), F.lit(blocks)) == k)
+        found.append(u.join(F.broadcast(block), F.rlike("norm", F.col("wanted")) & space))
+    return reduce(DataFrame.union, (x.select("rule_id", "url") for x in found)).distinct()
 
 
 def audit(urls: DataFrame, rules: DataFrame) -> DataFrame:

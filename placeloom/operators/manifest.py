@@ -135,12 +135,17 @@ def politeness(base: Column, robots: Column, jitter: Column) -> Column:
 
 
 def upserted(manifest: DataFrame, changes: DataFrame, version: str = "version") -> DataFrame:
-    """The manifest after changes: for each url all columns of its last version; errors are cut to a length."""
-    rows = manifest.unionByName(changes, allowMissingColumns=True)
+    """The manifest after changes: for each url all columns of its last version; errors are cut to a length.
+
+    A null version is older than any other. Of equal versions a change wins over the manifest, and of changes the
+    last by their columns as JSON. Null urls are one url. Empty tables change nothing.
+    """
+    tagged = "__change"
+    rows = manifest.withColumn(tagged, F.lit(0)).unionByName(changes.withColumn(tagged, F.lit(1)), allowMissingColumns=True)
     if "error" in rows.columns:
         rows = rows.withColumn("error", F.substring("error", 1, ERROR_LENGTH))
-    one = F.struct(*(F.col(c) for c in rows.columns))
-    return rows.groupBy("url").agg(F.max_by(one, version).alias("r")).select("r.*")
+    one = F.struct(*(F.col(c) for c in rows.columns if c != tagged))
+    return rows.groupBy("url").agg(F.max_by(one, F.struct(version, tagged, F.to_json(one).alias("j"))).alias("r")).select("r.*")
 
 
 def summary(manifest: DataFrame) -> DataFrame:

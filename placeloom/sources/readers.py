@@ -5,7 +5,7 @@ from __future__ import annotations
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from placeloom.functions.geo import has_coordinates
@@ -15,10 +15,17 @@ MOST_SITEMAPS = 20_000
 
 
 def csv_rows(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, with an ordinal in file order; a byte order mark is dropped."""
+    """All columns as text, with an ordinal from 0 on without gaps: by file path, then by place in the file; a byte order mark is dropped.
+
+    A file whose quoted values may hold line breaks is read by one task, so its rows have consecutive numbers there; those
+    of the files before it are added.
+    """
     rows = spark.read.option("header", True).option("multiLine", True).option("encoding", "UTF-8").csv(path)
     rows = rows.withColumnsRenamed({c: c.lstrip("﻿") for c in rows.columns if c.startswith("﻿")})
-    return rows.withColumn("ordinal", F.monotonically_increasing_id())
+    numbered = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__n"))
+    files = numbered.groupBy("__file").agg(F.min("__n").alias("__first"), F.count("*").alias("__rows"))  # a row a file
+    before = F.coalesce(F.sum("__rows").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return numbered.join(files.select("__file", "__first", before.alias("__before")), "__file").select(*rows.columns, (F.col("__before") + F.col("__n") - F.col("__first")).alias("ordinal"))
 
 
 def _inflated(content: bytes | None) -> bytes:

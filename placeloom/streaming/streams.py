@@ -13,30 +13,59 @@ from placeloom.operators.manifest import upserted
 def manifest_writer(spark: SparkSession, path: str, version: str = "version") -> Callable[[DataFrame, int], None]:
     """For foreachBatch: each batch gives a new generation of the manifest, which readers see only when it is whole.
 
-    A generation is written beside the last, checked, and then named as current; an interrupted batch
-    leaves the last one in place, and a batch run twice gives the same rows.
+    Generation N is made of the last one published before N and the batch, written beside it, checked, and then
+    published by the rename of a file of its own; no file of a published generation is written again. So a batch that
+    was interrupted starts over from the same predecessor, and one that was published already changes nothing.
     """
 
     def write(changes: DataFrame, batch: int) -> None:
-        before = current(spark, path)
+        done = published(spark, path)
+        if batch in done:
+            return
+        earlier = [n for n in done if n < batch]
+        before = spark.read.parquet(_generation(path, max(earlier))) if earlier else None
         rows = upserted(before, changes, version) if before is not None else upserted(changes, changes.limit(0), version)
-        new = f"{path}/generation={batch:012d}"
+        new = _generation(path, batch)
         rows.write.mode("overwrite").parquet(new)
         expected = (before.select("url").union(changes.select("url")) if before is not None else changes.select("url")).distinct().count()
         if spark.read.parquet(new).count() != expected:
             raise RuntimeError("a generation of the manifest isn't whole")
-        spark.createDataFrame([(f"generation={batch:012d}",)], "current string").coalesce(1).write.mode("overwrite").json(f"{path}/_current")
+        _publish(spark, path, batch)
 
     return write
 
 
+def _generation(path: str, batch: int) -> str:
+    return f"{path}/generation={batch:012d}"
+
+
+def _files(spark: SparkSession, path: str) -> tuple[object, Callable[[str], object]]:
+    """The file system of a path and its kind of paths."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make
+
+
+def _publish(spark: SparkSession, path: str, batch: int) -> None:
+    files, make = _files(spark, path)
+    files.mkdirs(make(f"{path}/_published"))
+    files.create(make(f"{path}/_published/.{batch:012d}"), True).close()
+    files.rename(make(f"{path}/_published/.{batch:012d}"), make(f"{path}/_published/{batch:012d}"))
+
+
+def published(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the published generations, ascending; several generations of which none is published are an error."""
+    files, make = _files(spark, path)
+    names = lambda folder: [x.getPath().getName() for x in files.listStatus(make(folder))] if files.exists(make(folder)) else []
+    done = sorted(int(n) for n in names(f"{path}/_published") if n.isdigit())
+    if not done and sum(n.startswith("generation=") for n in names(path)) > 1:
+        raise RuntimeError("the manifest has generations, but none is published")
+    return done
+
+
 def current(spark: SparkSession, path: str) -> DataFrame | None:
-    """The manifest's current generation; None before the first."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_current/_SUCCESS")
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        return None
-    name = spark.read.schema("current string").json(f"{path}/_current").first()["current"]
-    return spark.read.parquet(f"{path}/{name}")
+    """The manifest's last published generation; None before the first."""
+    done = published(spark, path)
+    return spark.read.parquet(_generation(path, done[-1])) if done else None
 
 
 def stream(spark: SparkSession, folder: str, like: DataFrame, files: int = 1) -> DataFrame:

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from placeloom.functions import html
@@ -49,3 +50,77 @@ def test_described_points(spark):
     assert b.text == c.text == "" and b.notes == "{}"
     assert html.booking({"opentable": {"naturalReservationUrl": "u"}}, {"href": "v"}) == ("opentable", "u") and html.booking({}, "v") == ("campaign_custom_link", "v") and html.booking({}, None) == (None, None)
     assert html.block_html({"__typename": "CoreListBlockType", "ordered": True, "items": [{"contents": {"html": "a"}}, {}]}) == "<ol><li>a</li></ol>" and html.block_html({"__typename": "x"}) == ""
+
+
+VERSIONED = "url string, version long, status string"
+
+
+def test_a_manifest_batch_may_run_again(spark, tmp_path):
+    path = str(tmp_path / "manifest")
+    batches = [spark.createDataFrame(rows, VERSIONED) for rows in ([("a", 1, "x"), ("b", 1, "x")], [("b", 2, "y"), ("c", 1, "x")], [("a", 0, "old"), ("d", 5, "z")])]
+    write = streams.manifest_writer(spark, path)
+    rows = lambda: sorted(tuple(r) for r in streams.current(spark, path).collect())
+    assert streams.current(spark, path) is None
+    write(batches[0], 0)
+    write(batches[1], 1)
+    assert rows() == [("a", 1, "x"), ("b", 2, "y"), ("c", 1, "x")]
+    write(batches[1], 1)  # replayed after it was published
+    assert rows() == [("a", 1, "x"), ("b", 2, "y"), ("c", 1, "x")]
+    write(batches[2], 2)
+    assert rows() == [("a", 1, "x"), ("b", 2, "y"), ("c", 1, "x"), ("d", 5, "z")]
+
+
+def test_a_crash_beside_the_pointer_loses_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "manifest")
+    first, second = (spark.createDataFrame(rows, VERSIONED) for rows in ([("a", 1, "x"), ("b", 1, "x")], [("c", 1, "x")]))
+    write = streams.manifest_writer(spark, path)
+    write(first, 0)
+    publish = streams._publish
+
+    def crash(*_):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(streams, "_publish", crash)
+    with pytest.raises(KeyboardInterrupt):
+        write(second, 1)
+    assert sorted(r.url for r in streams.current(spark, path).collect()) == ["a", "b"]  # the last whole one
+    monkeypatch.setattr(streams, "_publish", publish)
+    streams.manifest_writer(spark, path)(second, 1)
+    assert sorted(r.url for r in streams.current(spark, path).collect()) == ["a", "b", "c"]
+    for x in (tmp_path / "manifest" / "_published").iterdir():
+        x.unlink()
+    with pytest.raises(RuntimeError):
+        streams.manifest_writer(spark, path)(first, 2)
+
+
+def test_ties_and_null_versions(spark):
+    old = spark.createDataFrame([("a", 1, "old"), ("b", None, "old"), ("c", 3, "old"), (None, 1, "old")], VERSIONED)
+    new = spark.createDataFrame([("a", 1, "new"), ("b", None, "new"), ("c", None, "new"), ("d", None, "new"), ("e", 1, "p"), ("e", 1, "q")], VERSIONED)
+    got = sorted(((r.url or "", r.version, r.status) for r in manifest.upserted(old, new).collect()), key=str)
+    assert got == sorted([("", 1, "old"), ("a", 1, "new"), ("b", None, "new"), ("c", 3, "old"), ("d", None, "new"), ("e", 1, "q")], key=str)
+    assert manifest.upserted(old.where("false"), new.where("false")).count() == 0
+
+
+def test_rows_of_csv_files_are_numbered_without_gaps(spark, tmp_path):
+    from placeloom.sources import readers
+
+    for name, n in (("a", 3), ("b", 2), ("c", 4)):
+        (tmp_path / f"{name}.csv").write_text("\ufeffurl,note\n" + "".join(f'{name}{k},"two\nlines"\n' for k in range(n)))
+    got = [(r.ordinal, r.url) for r in readers.csv_rows(spark, str(tmp_path)).orderBy("ordinal").collect()]
+    assert got == list(enumerate(["a0", "a1", "a2", "b0", "b1", "c0", "c1", "c2", "c3"]))
+
+
+def test_rules_by_equi_join_and_in_blocks(spark, monkeypatch):
+    from placeloom.operators import audit
+
+    urls = spark.createDataFrame([(f"https://guide.example.com/{a}/{k}", False) for a in ("maps", "mapsfoo", "x") for k in range(3)] + [("https://guide.example.com/sitemaps/1", True)], "url string, is_sitemap boolean")
+    rules = spark.createDataFrame([(1, "prefix", "https://guide.example.com/maps/"), (2, "prefix", "https://guide.example.com/x/1"), (3, "regex", "/x/[01]$"), (4, "regex", "^nothing"), (5, "exact", "https://guide.example.com/maps/2"), (6, "prefix", "https://guide.example.com/sitemaps/"), (7, "prefix", None)], "rule_id int, kind string, value string")
+    want = None
+    for few in (10_000, 1):
+        monkeypatch.setattr(audit, "FEW_RULES", few)
+        found = audit.matches(urls, rules)
+        got = sorted((r.rule_id, r.url.rsplit("com/")[1]) for r in found.collect())
+        want = want or got
+        assert got == want
+        assert "CartesianProduct" not in found._jdf.queryExecution().executedPlan().toString()
+    assert got == [(1, f"{a}/{k}") for a in ("maps", "mapsfoo") for k in range(3)] + [(2, "x/1"), (3, "x/0"), (3, "x/1"), (5, "maps/2"), (6, "sitemaps/1")]
