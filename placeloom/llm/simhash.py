@@ -183,8 +183,8 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 #: 64-bit lanes of a near-duplicate fingerprint; the low LANE_BITS of each go through a trie with LANE_BUDGET.
 LANES, LANE_BITS, LANE_BUDGET = 12, 42, 4
-#: Where the bits of a lane begin that the joins after the first go by.
-SHIFTS = (22, 11)
+#: Where the bits of a lane begin that each join after the first goes by.
+SHIFTS = (22,)
 
 
 def differing_share(similarity: float) -> float:
@@ -298,7 +298,7 @@ def grouped(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity:
     differ, too many for the budget of one trie, so each of twelve lanes has a trie of its own over 42 bits
     with a budget of 4: a pair at 0.8 is met in a lane with probability 0.21 (in any: 0.94), one at
     0.9 in 0.56 (0.9999). A join gives spanning edges, those of the fewest differing bits first; edges that
-    don't hold may have hidden others, so two more joins, over other bits of the lanes, span the groups
+    don't hold may have hidden others, so another join, over other bits of the lanes, spans the groups
     verified so far. The edges of a join are at most lanes x rotations times the documents, however dense a
     group is. All pairs with a set of at most SHORT shingles are found by shared shingles.
     """

@@ -22,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Node pairs kept in memory at once; a larger frontier is walked in slices.
-SLICE = 1 << 19
+SLICE = 1 << 16
 #: Pairs of subtrees with at most so many leaf pairs are compared directly.
 DIRECT = 24
 
