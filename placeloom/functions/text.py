@@ -191,5 +191,10 @@ def pretty_url(url: Column) -> Column:
     return F.regexp_replace(u, "/$", "")
 
 
+def casefold(c: Column) -> Column:
+    """Lower case in which ß is ss and a final sigma is like any other; of full case folding the rest is lower case."""
+    return F.translate(F.replace(F.lower(text(c)), F.lit("ß"), F.lit("ss")), "ς", "σ")
+
+
 def casefold_equal(a: Column, b: Column) -> Column:
-    return reduce(lambda x, y: x == y, (F.lower(F.regexp_replace(text(c), "ß", "ss")) for c in (a, b)))
+    return reduce(lambda x, y: x == y, map(casefold, (a, b)))

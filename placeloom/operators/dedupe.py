@@ -43,22 +43,36 @@ def _cell(lat: Column, lon: Column, metres: float) -> tuple[Column, Column]:
 def _greedy(ordinal: np.ndarray, lat: np.ndarray, lon: np.ndarray, metres: float) -> np.ndarray:
     """Cluster of each row, in input order: the ordinal of its first row. A row joins the first cluster with a member within metres.
 
-    lat, lon: radians.
+    lat, lon: radians. Any two points of a cell are within the radius, so a row mostly ends at the first point of
+    its own cell; a cell holds each point of a cluster once, with the box around them, so that rows that repeat a
+    point or crowd in one place cost no more the more there are.
     """
-    step = metres * MARGIN / geo.RADIUS
-    widest = max(1e-6, math.cos(min(float(np.abs(lat).max()) + step, math.radians(89))))
-    rows, cols = np.floor(lat / step).astype(np.int64).tolist(), np.floor(lon / (step / widest)).astype(np.int64).tolist()
-    grid: dict[tuple[int, int], list[int]] = {}
+    reach, side = metres * MARGIN / geo.RADIUS, metres / geo.RADIUS / 1.5
+    grid: dict[tuple[int, int], dict[int, tuple[list[float], dict[tuple[float, float], float]]]] = {}
     label = ordinal.copy()
-    for i, (y, x) in enumerate(zip(rows, cols)):
-        near = [j for dy in (-1, 0, 1) for dx in (-1, 0, 1) for j in grid.get((y + dy, x + dx), ())]
-        if near:
-            j = np.array(near)
-            h = np.sin((lat[j] - lat[i]) / 2) ** 2 + np.cos(lat[i]) * np.cos(lat[j]) * np.sin((lon[j] - lon[i]) / 2) ** 2
-            within = j[2 * geo.RADIUS * np.arcsin(np.sqrt(np.minimum(h, 1))) <= metres]
-            if len(within):
-                label[i] = label[within].min()  # clusters are numbered as they begin
-        grid.setdefault((y, x), []).append(i)
+
+    def width(band: int) -> float:
+        return side / max(1e-9, math.cos(min(abs(band), abs(band + 1)) * side))  # by its edge closer to the equator
+
+    for i, (y, x, own) in enumerate(zip(lat.tolist(), lon.tolist(), ordinal.tolist())):
+        band, cos = math.floor(y / side), math.cos(y)
+        far = 2 * math.asin(min(1.0, math.sin(reach / 2) / max(1e-9, math.cos(min(abs(y) + reach, math.pi / 2)))))
+        home = (band, math.floor(x / width(band)))
+        around = []
+        for b in range(band - 2, band + 3):
+            w = width(b)
+            for c in range(math.floor((x - far) / w), math.floor((x + far) / w) + 1):
+                for found, (box, points) in grid.get((b, c), {}).items():
+                    if box[0] - reach <= y <= box[1] + reach and box[2] - far <= x <= box[3] + far:
+                        around.append((found, (b, c) != home, points))
+        for found, _, points in sorted(around, key=lambda a: a[:2]):  # clusters are numbered as they begin
+            if any(2 * geo.RADIUS * math.asin(math.sqrt(min(1.0, math.sin((v - y) / 2) ** 2 + cos * k * math.sin((u - x) / 2) ** 2))) <= metres for (v, u), k in points.items()):
+                own = found
+                break
+        label[i] = own
+        box, points = grid.setdefault(home, {}).setdefault(own, ([y, y, x, x], {}))
+        box[:] = min(box[0], y), max(box[1], y), min(box[2], x), max(box[3], x)
+        points.setdefault((y, x), cos)
     return label
 
 

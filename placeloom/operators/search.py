@@ -116,6 +116,16 @@ def on_screen(df: DataFrame, centre_lat: float, centre_lon: float, zoom: float,
     return rows.where(F.col("x").between(-padding, width + padding) & F.col("y").between(-padding, height + padding))
 
 
+def drawing_order(df: DataFrame, selected: str | None = None, fanned: tuple[str, ...] = ()) -> DataFrame:
+    """Markers on screen in the order in which they are drawn: adds layer, 0 without a tier, 1 with one, 2 the selected.
+
+    Within a layer the northern ones come first, so that each overlaps the one behind it; members of a fan aren't drawn here.
+    """
+    rows = df.where(~F.col("id").isin(*fanned)) if fanned else df
+    layer = F.when(F.col("id") == F.lit(selected), 2).when(F.coalesce("priceRange", F.lit("")) != "", 1).otherwise(0)
+    return rows.withColumn("layer", layer).orderBy("layer", "y", "ordinal")
+
+
 def tap_candidates(df: DataFrame, x: float, y: float, reach: float, tolerance: float = 4.0) -> DataFrame:
     """Places on screen within reach of a tap: by steps of ``tolerance`` pixels, in a step priced first, then by distance.
 

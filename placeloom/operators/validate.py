@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placeloom.functions.text import normalize_space, text
+from placeloom.functions.text import casefold, normalize_space, text
 from placeloom.functions.url import is_http, same_url
 
 SHORT = 40
@@ -41,9 +41,9 @@ def entry_rules() -> list[tuple[str, str, Column, str, str, Column]]:
     lat, lon = n("latitude").try_cast("double"), n("longitude").try_cast("double")
     missing = n("latitude").isNull() | n("longitude").isNull()
     outside = lat.isNull() | lon.isNull() | F.isnan(lat) | F.isnan(lon) | ~lat.between(-90, 90) | ~lon.between(-180, 180)
-    a, b = F.lower(normalize_space(n("restaurant_name"))), F.lower(normalize_space(n("venue_title")))
+    a, b = casefold(normalize_space(n("restaurant_name"))), casefold(normalize_space(n("venue_title")))
     apart = (a != "") & (b != "") & (a != b) & ~F.contains(n("restaurant_name"), F.lit("@")) & ~F.contains(a, b) & ~F.contains(b, a)
-    listed = F.lower(normalize_space(n("jsonld_name")))
+    listed = casefold(normalize_space(n("jsonld_name")))
     return [
         ("error", "missing_restaurant_name", _empty("restaurant_name"), "restaurant_name", "The entry has no name", n("restaurant_name")),
         ("error", "missing_address", _empty("address"), "address", "The entry has no address", n("address")),
@@ -74,7 +74,7 @@ def page_issues(pages: DataFrame) -> DataFrame:
 
 def with_repeats(entries: DataFrame) -> DataFrame:
     """Adds how often a venue, and a name with its address, are on the page; blank ones don't count."""
-    key = F.lower(F.concat_ws("|", normalize_space(F.col("restaurant_name")), normalize_space(F.col("address"))))
+    key = casefold(F.concat_ws("|", normalize_space(F.col("restaurant_name")), normalize_space(F.col("address"))))
     rows = entries.withColumns({"__name": F.when(F.regexp_replace(key, "[| ]", "") != "", key), "__venue": F.nullif(F.col("venue_id").cast("string"), F.lit(""))})
     for column, count in (("__venue", "venue_repeats"), ("__name", "name_repeats")):
         # counted by partial aggregates; what comes once isn't joined

@@ -98,16 +98,16 @@ def markers_on_screen(spark, sf_dir):
     return rows.select("id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
-@query(_SCREEN + ", d AS (SELECT *, sqrt(pow(x - 400, 2) + pow(y - 300, 2)) AS d FROM v) SELECT id, round(d, 3) AS pixels FROM d WHERE d <= 150 ORDER BY floor(d / 4.0), priceRange IS NULL, d, ordinal LIMIT 12")
+@query(_SCREEN + ", d AS (SELECT *, sqrt(pow(x - 400, 2) + pow(y - 300, 2)) AS d FROM v) SELECT id, round(d, 3) AS pixels FROM d WHERE d <= 150")
 def tap_candidates(spark, sf_dir):
     rows = search.on_screen(search.annotate(derived(spark, sf_dir, PLACES)), 51.5074, -0.1278, 11, 800, 600)
-    return search.tap_candidates(rows, 400, 300, 150).limit(12).select("id", F.round("pixels", 3).alias("pixels"))
+    return search.tap_candidates(rows, 400, 300, 150).select("id", F.round("pixels", 3).alias("pixels"))
 
 
-@query(_SCREEN + ", d AS (SELECT *, sqrt(pow(x - 400, 2) + pow(y - 300, 2)) AS d FROM v) SELECT id, round(d, 3) AS pixels FROM d WHERE d <= 150")
-def tap_candidates_whole(spark, sf_dir):
+@query(_SCREEN + "SELECT id, CASE WHEN id = '77' THEN 2 WHEN priceRange IS NULL THEN 0 ELSE 1 END AS layer, round(y, 3) AS y FROM v WHERE id NOT IN ('11', '12')")
+def drawing_order(spark, sf_dir):
     rows = search.on_screen(search.annotate(derived(spark, sf_dir, PLACES)), 51.5074, -0.1278, 11, 800, 600)
-    return search.tap_candidates(rows, 400, 300, 150).select("id", F.round("pixels", 3).alias("pixels"))
+    return search.drawing_order(rows, "77", ("11", "12")).select("id", "layer", F.round("y", 3).alias("y"))
 
 
 @query("""
@@ -370,6 +370,18 @@ def manifest_summary(spark, sf_dir):
     return manifest.summary(m).select("batch_order", "status", "urls")
 
 
+@query("SELECT event_id AS version, ts AS recorded_at FROM events ORDER BY ts DESC, event_id DESC LIMIT 4")
+def kept_versions(spark, sf_dir):
+    (e,) = load(spark, sf_dir, "events")
+    return manifest.retained(e.select(F.col("event_id").alias("version"), F.col("ts").alias("recorded_at")), 4)
+
+
+@query("SELECT DISTINCT url FROM pages WHERE page_id % 3 > 0 AND url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0)")
+def missing_files(spark, sf_dir):
+    (p,) = load(spark, sf_dir, "pages")
+    return manifest.missing(p, p.where("page_id % 3 = 0"))
+
+
 @query("SELECT c_custkey AS url FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def pending_downloads(spark, sf_dir):
     c, o = load(spark, sf_dir, "customer", "orders")
@@ -519,14 +531,8 @@ def public_places(spark, sf_dir):
     return p.select("id", "name", "entry_url", "page_title", "description", "address", "lat", "lon", "google_maps_url", "website_url", "phone", "price_range", "booking_url")
 
 
-@query(f"WITH {_PUBLIC}, o AS (SELECT id, row_number() OVER (ORDER BY o1, \"pageTitle\", o3, id) AS q FROM pub) SELECT id FROM o WHERE q <= 100")
-def public_order(spark, sf_dir):
-    p = public.in_order(public.public_places(derived(spark, sf_dir, ENTRIES), derived(spark, sf_dir, PAGES)))
-    return p.orderBy("ordinal").limit(100).select("id")
-
-
 @query(f"WITH {_PUBLIC} SELECT id, row_number() OVER (ORDER BY o1, \"pageTitle\", o3, id) AS place FROM pub")
-def public_order_whole(spark, sf_dir):
+def public_order(spark, sf_dir):
     return public.ranked(public.public_places(derived(spark, sf_dir, ENTRIES), derived(spark, sf_dir, PAGES))).select("id", "place")
 
 
@@ -548,9 +554,24 @@ def dataset_statistics(spark, sf_dir):
     return s.select("page_count", "entry_count", F.col("bounds.minLat").alias("min_lat"), F.col("bounds.maxLat").alias("max_lat"), F.col("bounds.minLon").alias("min_lon"), F.col("bounds.maxLon").alias("max_lon"))
 
 
-@query(f"WITH g AS ({_G}), e AS ({_E}) SELECT entry_id AS id, restaurant_name AS name, page_title AS \"pageTitle\", address, coalesce(description_text, '') AS description, latitude AS lat, longitude AS lon, price_range AS \"priceRange\" FROM e JOIN g USING (page_id) WHERE latitude IS NOT NULL AND longitude IS NOT NULL")
+@query(f"""
+WITH g AS ({_G}), e AS ({_E}) SELECT entry_id AS id, restaurant_name AS name, entry_position AS "position", entry_anchor_url AS "entryUrl", e.page_id AS "pageId", page_title AS "pageTitle", page_url AS "pageUrl",
+  'About ' || page_title AS "pageDescription", CASE WHEN e.page_id LIKE '%3' THEN '2023-05-01' END AS "publishedAt", modified_at_meta AS "modifiedAt", CASE WHEN e.page_id LIKE '%1' THEN 'Pubs|Soho' ELSE '' END AS categories,
+  address, venue_address AS "venueAddress", coalesce(description_text, '') AS description, latitude AS lat, longitude AS lon, google_maps_search_url AS "googleMapsUrl", CASE WHEN venue_id <> '' THEN 'source_html' END AS "googleMapsSource",
+  source_google_maps_url AS "sourceGoogleMapsUrl", website_url AS "websiteUrl", phone_number AS phone, price_range AS "priceRange", open_for AS "openFor", best_for AS "bestFor", must_try_dish AS "mustTryDish",
+  know_before_you_go AS "knowBeforeYouGo", outdoor_seating AS "outdoorSeating", additional_location_notes AS "additionalLocationNotes", booking_url AS "bookingUrl", booking_provider AS "bookingProvider",
+  'https://guide.example.com/venue/' || venue_id AS "eaterVenueUrl", 'v' || venue_id AS "venueSlug", venue_title AS "venueTitle", 'https://guide.example.com/' || entry_position AS "relatedPostUrls", '' AS "relatedPostTitles"
+FROM e JOIN g USING (page_id) WHERE latitude IS NOT NULL AND longitude IS NOT NULL
+""")
 def wide_export(spark, sf_dir):
-    return public.wide_places(derived(spark, sf_dir, ENTRIES), derived(spark, sf_dir, PAGES))
+    e = derived(spark, sf_dir, ENTRIES).withColumns({
+        "google_maps_link_source": F.expr("CASE WHEN venue_id <> '' THEN 'source_html' END"), "eater_venue_url": F.expr("concat('https://guide.example.com/venue/', venue_id)"), "venue_slug": F.expr("concat('v', venue_id)"),
+        "venue_related_post_urls_json": F.to_json(F.array(F.expr("concat('https://guide.example.com/', entry_position)"))), "venue_related_post_titles_json": F.when(F.col("entry_position") % 2 == 0, "{not a list"),
+    })
+    g = derived(spark, sf_dir, PAGES).withColumns({
+        "page_description": F.concat(F.lit("About "), "page_title"), "published_at": F.expr("CASE WHEN page_id LIKE '%3' THEN '2023-05-01' END"), "category_titles_json": F.expr("CASE WHEN page_id LIKE '%1' THEN '[\"Pubs\", \"Soho\"]' WHEN page_id LIKE '%2' THEN '{\"a\": 1}' END"),
+    })
+    return public.wide_places(e, g).withColumns({"categories": F.array_join("categories", "|"), "relatedPostUrls": F.array_join("relatedPostUrls", "|"), "relatedPostTitles": F.array_join("relatedPostTitles", "|")})
 
 
 # entity resolution and graphs
@@ -614,6 +635,48 @@ def rail_lines(spark, sf_dir):
     return r.withColumn("l", rail.resolved_line(F.col("tags"), F.col("route"))).where("l IS NOT NULL").select("ordinal", F.col("l.tfl").alias("tfl"), F.col("l.color").alias("color"), F.col("l.label").alias("label"))
 
 
+_WAY = """
+SELECT p_partkey AS way_id, CASE p_partkey % 9 WHEN 0 THEN 'yard' WHEN 1 THEN 'crossover' WHEN 2 THEN 'main' END AS service, CASE p_partkey % 7 WHEN 0 THEN 'military' WHEN 1 THEN 'main' END AS use_of,
+  CASE WHEN p_partkey % 11 = 0 THEN 'cable_car' END AS aerialway, 1 + p_partkey % 3 AS n, (p_partkey % 100) / 7.0D AS x FROM part
+"""
+_WAYS = _WAY.replace("7.0D", "7.0::DOUBLE")
+
+
+@query(f"""
+WITH w AS ({_WAYS}), k AS (SELECT *, CASE WHEN aerialway IS NOT NULL THEN 'cable' WHEN coalesce(service, '') NOT IN ('yard', 'crossover') AND coalesce(use_of, '') <> 'military' THEN 'base' END AS kind FROM w WHERE n >= 2)
+SELECT way_id, kind, n::INTEGER AS points, floor(x * 1e5 + 0.5) / 1e5 AS x, CASE kind WHEN 'cable' THEN '#e21836' END AS color FROM k WHERE kind IS NOT NULL
+""")
+def rail_ways(spark, sf_dir):
+    (p,) = load(spark, sf_dir, "part")
+    w = spark.sql(_WAY.replace("FROM part", "FROM {part}"), part=p)
+    tags = F.map_filter(F.create_map(F.lit("service"), "service", F.lit("usage"), "use_of", F.lit("aerialway"), "aerialway"), lambda _, v: v.isNotNull())
+    w = w.select("way_id", tags.alias("tags"), F.transform(F.sequence(F.lit(1).cast("long"), F.col("n")), lambda k: F.array(F.col("x"), k.cast("double"))).alias("path"))
+    both = rail.drawn_ways(w).select("*", F.lit("base").alias("kind"), F.lit(None).cast("string").alias("color")).unionByName(rail.cable_ways(w).withColumn("kind", F.lit("cable")))
+    return both.select("way_id", "kind", F.size("path").alias("points"), F.col("path")[0][0].alias("x"), "color")
+
+
+@query("SELECT arg_min(coalesce(name, ''), ordinal) AS name, min(ordinal) AS ordinal, lon, lat FROM (SELECT s_suppkey AS ordinal, CASE WHEN s_suppkey % 5 > 0 THEN s_name END AS name, floor((s_suppkey % 40) / 300.0::DOUBLE * 1e5 + 0.5) / 1e5 AS lon, floor((51 + (s_suppkey % 8) / 300.0::DOUBLE) * 1e5 + 0.5) / 1e5 AS lat FROM supplier WHERE s_suppkey % 13 > 0) GROUP BY lon, lat")
+def rail_stations(spark, sf_dir):
+    (s,) = load(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    return rail.station_points(s.select(k.alias("ordinal"), F.when(k % 5 > 0, F.col("s_name")).alias("name"), (k % 40 / F.lit(300.0)).alias("lon"), F.when(k % 13 > 0, 51 + k % 8 / F.lit(300.0)).alias("lat")))
+
+
+@query(ORACLE_SQL["rail_lines"].replace("SELECT ordinal, tfl, CASE", ", l AS (SELECT ordinal, tfl, CASE", 1) + """),
+m AS (SELECT l.*, k, ['node', 'node', 'way', 'node'][k + 1] AS type, ['stop', 'platform', 'stop', 'stop_exit_only'][k + 1] AS role, CASE WHEN k < 3 OR ordinal % 3 > 0 THEN 51 + (ordinal % 50 + k) / 100.0::DOUBLE END AS lat FROM l, range(0, 4) t(k))
+SELECT ordinal * 1048576 + k AS stop_id, lat, CASE color WHEN '#E32017' THEN 'Central' ELSE label END AS line, color, CASE color WHEN '#FF5AA4' THEN true ELSE tfl END AS tfl FROM m WHERE type = 'node' AND role LIKE 'stop%' AND lat IS NOT NULL AND CASE color WHEN '#E32017' THEN 'Central' ELSE label END <> ''
+""")
+def rail_stops(spark, sf_dir):
+    """Stops named as their lines are drawn: by the first feature of a colour, else by the route."""
+    member = lambda at, kind, role, lat: F.struct(F.lit(kind).alias("type"), F.lit(role).alias("role"), lat.alias("lat"), F.lit(0.0).alias("lon"))
+    lat = lambda at: 51 + (F.col("ordinal") % 50 + at) / F.lit(100.0)
+    members = F.array(member(0, "node", "stop", lat(0)), member(1, "node", "platform", lat(1)), member(2, "way", "stop", lat(2)), member(3, "node", "stop_exit_only", F.when(F.col("ordinal") % 3 > 0, lat(3))))
+    drawn = [(1, "Central", "#E32017", True), (2, "Later", "#E32017", False), (3, "", "#6950A1", False), (4, "Govia Thameslink Railway", "#FF5AA4", True), (5, "No colour", "", True)]
+    features = spark.createDataFrame(drawn, "ordinal long, line string, color string, tfl boolean")
+    rows = rail.line_stops(_routes(spark, sf_dir).withColumn("members", members), features)
+    return rows.select("stop_id", "lat", F.col("line.name").alias("line"), F.col("line.color").alias("color"), F.col("line.tfl").alias("tfl"))
+
+
 def _features(spark, sf_dir):
     n, s = load(spark, sf_dir, "nation", "supplier")
     part = F.array(F.array((F.col("s_suppkey") % 10).cast("double"), F.lit(0.0)), F.array((F.col("s_suppkey") % 10 + 1).cast("double"), F.lit(0.0)))
@@ -629,6 +692,23 @@ def rail_bands(spark, sf_dir):
     return rail.bands(_features(spark, sf_dir)).select("line", "wf", "oi")
 
 
+@query("""
+WITH s AS (SELECT DISTINCT n_name AS line, s_suppkey % 10 AS piece FROM supplier JOIN nation ON n_nationkey = s_nationkey), w AS (SELECT *, count(*) OVER (PARTITION BY piece) AS stack, row_number() OVER (PARTITION BY piece ORDER BY lower(line), line) - 1 AS slot FROM s)
+SELECT 0 AS layer, 'way ' || p_partkey AS name, NULL::DOUBLE AS oi FROM part WHERE p_partkey % 4 = 0 UNION ALL SELECT DISTINCT 2, line, slot - (stack - 1) / 2 FROM w UNION ALL SELECT 3, s_name, NULL FROM supplier
+""")
+def rail_collection(spark, sf_dir):
+    p, s = load(spark, sf_dir, "part", "supplier")
+    base = p.where("p_partkey % 4 = 0").select(F.col("p_partkey").alias("way_id"), F.array(F.array(F.lit(0.0), F.lit(0.0)), F.array(F.lit(1.0), F.lit(1.0))).alias("path"))
+    stations = s.select(F.col("s_suppkey").alias("ordinal"), F.col("s_name").alias("name"), F.lit(0.0).alias("lon"), F.lit(0.0).alias("lat"))
+    rows = rail.collection(base, rail.bands(_features(spark, sf_dir)), stations)
+    return rows.select("layer", F.coalesce("name", "line", F.concat(F.lit("way "), "way_id")).alias("name"), "oi")
+
+
+@query("SELECT DISTINCT n_name AS line FROM supplier JOIN nation ON n_nationkey = s_nationkey")
+def rail_line_names(spark, sf_dir):
+    return rail.line_names(rail.bands(_features(spark, sf_dir)))
+
+
 # pages
 
 
@@ -664,6 +744,12 @@ def latest_position(spark, sf_dir):
     return streams.latest_position(e).select("user_id", "event_id", "event_type")
 
 
+@query("SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS frame, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(user_id, (ts, event_id)) AS user_id FROM events GROUP BY 1")
+def settled_changes(spark, sf_dir):
+    (e,) = load(spark, sf_dir, "events")
+    return streams.settled(e, "10 minutes").select("frame", "event_id", "user_id")
+
+
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
 def windowed_counts(spark, sf_dir):
     (e,) = load(spark, sf_dir, "events")

@@ -47,8 +47,13 @@ def inflated_text(content: Column) -> Column:
 
 
 def saved_pages(spark: SparkSession, folder: str, glob: str = "*.html.gz") -> DataFrame:
-    """(path, html, meta) of saved pages below a folder; meta: text of path.meta.json, '{}' if there is none."""
+    """(path, html, meta) of saved pages below a folder; meta: text of path.meta.json, '{}' if there is none.
+
+    A folder without saved pages is a FileNotFoundError.
+    """
     read = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if read.option("pathGlobFilter", glob).load(folder).select("path").isEmpty():  # contents aren't read for it
+        raise FileNotFoundError(f"no files {glob} below {folder}")
     pages = read.option("pathGlobFilter", glob).load(folder).select("path", inflated_text(F.col("content")).alias("html"))
     meta = read.option("pathGlobFilter", "*.meta.json").load(folder).select(F.regexp_replace("path", "\\.meta\\.json$", "").alias("path"), F.col("content").cast("string").alias("meta"))
     return pages.join(meta, "path", "left").withColumn("meta", F.coalesce("meta", F.lit("{}")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placeloom.functions.url import storage_path
+from placeloom.operators.components import shared_dir
 
 
 def table(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
@@ -65,6 +66,37 @@ def places_payload(places: DataFrame, stats: DataFrame, path: str, order: list)
     stats.coalesce(1).write.mode("overwrite").json(f"{path}/stats")
 
 
+def places_document(places: DataFrame, stats: DataFrame, path: str, order: list) -> None:
+    """One document {stats, bounds, restaurants} as text files that are it when they are read one after the other, by name.
+
+    stats: one row with a column bounds. Places are in order, one a line; null fields are kept. No task holds the
+    document: the places are sorted once, and written between its beginning and its end. Without places the list is empty.
+    """
+    shared_dir(places.sparkSession)
+    kept = {"ignoreNullFields": "false"}
+    columns = [F.col(c) for c in places.columns if c != "ordinal" and not c.startswith("__")]
+    rows = places.orderBy(*order).select(F.to_json(F.struct(*columns), kept).alias("value"), F.monotonically_increasing_id().alias("at")).checkpoint()
+    first = rows.agg(F.min("at").alias("first"))
+    body = rows.join(F.broadcast(first), how="cross").select(F.concat(F.when(F.col("at") == F.col("first"), "").otherwise(","), F.col("value")).alias("value"))  # first: one row
+    head = stats.select(F.concat(F.lit('{"stats":'), F.to_json(F.struct(*stats.columns), kept), F.lit(',"bounds":'), F.to_json("bounds", kept), F.lit(',"restaurants":[')).alias("value"))
+    end = places.sparkSession.range(0, 1, 1, 1).select(F.lit("]}").alias("value"))
+    head.union(body).union(end).write.mode("overwrite").text(path)
+
+
+def resolution(entries: DataFrame, places: DataFrame, stats: DataFrame, path: str, write: bool = False) -> DataFrame:
+    """Counts of a resolution (entries, places, removed, multi_source); only with write are the places written to path.
+
+    stats: the one row of statistics of the payload the entries came from; its entryCount and restaurantCount are set anew.
+    """
+    from placeloom.operators.dedupe import report
+
+    counts, _ = report(entries, places)
+    if write:
+        n = counts.select("entries", "places").first()
+        places_document(places, stats.withColumns({"entryCount": F.lit(n.entries), "restaurantCount": F.lit(n.places)}), path, [F.lower(F.col("id").cast("string")), F.col("id").cast("string")])
+    return counts
+
+
 def metadata(spark: SparkSession, values: dict[str, object]) -> DataFrame:
     return spark.createDataFrame([(k, str(v)) for k, v in sorted(values.items())], "key string, value string")
 

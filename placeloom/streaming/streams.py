@@ -78,6 +78,13 @@ def latest_position(events: DataFrame, key: str = "user_id", at: str = "ts") ->
     return events.groupBy(key).agg(F.max_by(F.struct(*(F.col(c) for c in events.columns if c != key)), F.struct(at, "event_id")).alias("r")).select(key, "r.*")
 
 
+def settled(changes: DataFrame, frame: str = "16 milliseconds", at: str = "ts", order: str = "event_id") -> DataFrame:
+    """The last change of each frame, with the frame's start: what came before it in the frame isn't published."""
+    rows = changes.withWatermark(at, frame) if changes.isStreaming else changes
+    one = F.struct(*(F.col(c) for c in changes.columns))
+    return rows.groupBy(F.window(at, frame).alias("w")).agg(F.max_by(one, F.struct(at, order)).alias("r")).select(F.col("w.start").alias("frame"), "r.*")
+
+
 def windowed_counts(events: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """(start, event_type, events, value): an extension for event time; rows later than the watermark don't count in a stream."""
     rows = events.withWatermark("ts", late) if events.isStreaming else events

@@ -84,6 +84,54 @@ def test_greedy_as_one_by_one(spark):
     assert got == reference(rows)
 
 
+def test_greedy_where_rows_crowd(spark):
+    """Rows that repeat a point cost no more the more there are; far north a degree of longitude is short."""
+    n = 40_000
+    places = spark.range(n).selectExpr("id AS ordinal", "cast(id as string) AS id", "'X' AS name", "51.5D + (id % 3) * 0.0001D AS lat", "-0.1D + (id % 2) * 0.0001D AS lon")
+    assert {r.geo_id for r in dedupe.geo_clusters(dedupe.keyed(places)).select("geo_id").distinct().collect()} == {0}
+    rng = random.Random(5)
+    rows = [(k, str(k), "X", 78 + rng.uniform(0, 0.02), 15 + rng.uniform(0, 0.1)) for k in range(200)]
+    got = {r.ordinal: r.geo_id for r in dedupe.geo_clusters(dedupe.keyed(spark.createDataFrame(rows, "ordinal long, id string, name string, lat double, lon double"))).collect()}
+    assert got == reference(rows)
+
+
+def test_whole_resolution_as_one_by_one(spark):
+    """All three passes beside a plain version: greedy, then shared postcodes, then names that hold one another."""
+    rng = random.Random(11)
+    names = ["Ombra", "Ombra Bar", "Ombra Bar Grill", "Kifto at Ombra", "Foo House", "Foo", "Bar"]
+    rows = []
+    for k in range(300):
+        e = list(entry(k, rng.choice(names), price=rng.choice([None, "$"]), description="x" * rng.randrange(4)))
+        e[3], e[4], e[5] = 51.5 + rng.uniform(0, 0.03), -0.1 + rng.uniform(0, 0.03), rng.choice(["", "1 St, E8 4LX", "2 St, N1 9GU", "no code"]) if rng.random() < 0.05 else ""
+        rows.append(tuple(e))
+    df = spark.createDataFrame(rows, KIND)
+    keys = {r.ordinal: (r.key, r.code, r.clean) for r in df.select("ordinal", text.name_key(F.col("name")).alias("key"), text.full_postcode(F.col("address")).alias("code"), text.is_clean_name(F.col("name")).alias("clean")).collect()}
+    geo = reference([(*r[:2], keys[r[0]][0], *r[3:]) for r in rows])
+
+    def united(of, pairs):
+        up = {v: v for v in of.values()}
+        def root(v):
+            while up[v] != v:
+                v = up[v]
+            return v
+        for a, b in pairs:
+            a, b = sorted((root(a), root(b)))
+            up[b] = a
+        return {k: root(v) for k, v in of.items()}
+
+    ids = range(len(rows))
+    place = united(geo, [(geo[a], geo[b]) for a, b in itertools.combinations(ids, 2) if keys[a][0] == keys[b][0] and keys[a][1] == keys[b][1] != ""])
+    best = {}
+    for k in sorted(ids, key=lambda k: (rows[k][6] is None, not keys[k][2], -len(rows[k][7]), rows[k][1])):
+        best.setdefault(place[k], keys[k][0].split())
+    dist = lambda a, b: 2 * 6371000 * math.asin(math.sqrt(math.sin(math.radians(b[3] - a[3]) / 2) ** 2 + math.cos(math.radians(a[3])) * math.cos(math.radians(b[3])) * math.sin(math.radians(b[4] - a[4]) / 2) ** 2))
+    nested = lambda a, b: a and b and a[0] == b[0] and (set(a) <= set(b) or set(b) <= set(a))
+    final = united(place, [(place[a], place[b]) for a, b in itertools.combinations(ids, 2) if nested(best[place[a]], best[place[b]]) and dist(rows[a], rows[b]) <= 60])
+    got = {r.ordinal: (r.geo_id, r.place_id, r.final_id) for r in dedupe.clustered(df).collect()}
+    assert got == {k: (geo[k], place[k], final[k]) for k in ids}
+    assert len(set(geo.values())) > len(set(place.values())) > len(set(final.values()))
+
+
 def test_merged_record(spark):
     rows = [
         entry(0, "Kifto @ Ombra", 0, "1 St", None, "Good.", phone="1", website="https://www.o.example.com/"),

@@ -127,6 +127,58 @@ def test_sources_and_sinks(spark, tmp_path):
     assert kept.first().body_path.startswith("01_maps/raw/x.example.com/") and kept.first().body_path.endswith("_maps-a.html.gz")
 
 
+def test_document_of_places(spark, tmp_path):
+    places = spark.createDataFrame([(f"p{k}", "Café", None, k) for k in range(50)], "id string, name string, phone string, ordinal long").repartition(7)
+    stats = spark.createDataFrame([((1.0, 2.0), 3)], "bounds struct<minLat: double, maxLat: double>, pageCount long")
+    text_of = lambda path: "".join(f.read_text(encoding="utf-8") for f in sorted(path.glob("part-*")))
+    writers.places_document(places, stats, str(tmp_path / "d"), ["ordinal"])
+    document = json.loads(text_of(tmp_path / "d"))
+    assert [r["id"] for r in document["restaurants"]] == [f"p{k}" for k in range(50)] and document["restaurants"][0] == {"id": "p0", "name": "Café", "phone": None}
+    assert document["bounds"] == document["stats"]["bounds"] == {"minLat": 1.0, "maxLat": 2.0} and document["stats"]["pageCount"] == 3
+    writers.places_document(places.limit(0), stats, str(tmp_path / "e"), ["ordinal"])
+    assert json.loads(text_of(tmp_path / "e"))["restaurants"] == []
+    merged = places.withColumns({"sources": F.array(F.lit("a"), F.lit("b")), "descriptions": F.array(F.lit("x")), "priceRange": F.lit("$")})
+    assert tuple(writers.resolution(places.union(places), merged, stats, str(tmp_path / "f")).first()) == (100, 50, 50, 50) and not (tmp_path / "f").exists()
+    writers.resolution(places.union(places), merged, stats, str(tmp_path / "f"), write=True)
+    assert {k: v for k, v in json.loads(text_of(tmp_path / "f"))["stats"].items() if k.endswith("Count")} == {"pageCount": 3, "entryCount": 100, "restaurantCount": 50}
+
+
+def test_tables_plans_and_features(spark, tmp_path):
+    writers.table(spark.range(2), str(tmp_path / "t"), ["id", "later"])
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t")).collect())) == [(0, None), (1, None)]
+    kind = "batch_folder string, batch_order int, batch_key string, url string, input_row_number long, status string"
+    rows = spark.createDataFrame([("01_a", 1, "a", f"u{k}", 9 - k, "pending") for k in range(3)] + [("02_b", 2, "b", "v", 1, "failed")], kind)
+    writers.batch_plan(rows, str(tmp_path / "plan"))
+    plan_rows = spark.read.option("header", True).csv(str(tmp_path / "plan/batch_folder=01_a")).collect()
+    assert [r.url for r in plan_rows] == ["u2", "u1", "u0"]
+    writers.manifest_reports(rows, str(tmp_path / "reports"))
+    assert {p.name for p in (tmp_path / "reports/by_batch").iterdir() if p.is_dir()} == {"batch_folder=01_a", "batch_folder=02_b"}
+    assert spark.read.option("header", True).csv(str(tmp_path / "reports/summary")).count() == 2
+    features = spark.createDataFrame([(("L",), ("Point", [0.5, 51.0]))], "properties struct<line: string>, geometry struct<type: string, coordinates: array<double>>")
+    writers.geojson(features, str(tmp_path / "g"))
+    assert json.loads(spark.read.text(str(tmp_path / "g")).first()[0]) == {"type": "Feature", "properties": {"line": "L"}, "geometry": {"type": "Point", "coordinates": [0.5, 51.0]}}
+    assert [tuple(r) for r in writers.metadata(spark, {"b": 1, "a": None}).orderBy("key").collect()] == [("a", "None"), ("b", "1")]
+    with pytest.raises(FileNotFoundError):
+        readers.saved_pages(spark, str(tmp_path / "t"))
+
+
+def test_folded_case(spark):
+    from placeloom.functions import text
+
+    pairs = [("STRASSE", "straße"), ("ẞ", "ss"), ("ΟΔΟΣ", "οδος"), ("a", "b")]
+    assert [r[0] for r in spark.createDataFrame(pairs, "a string, b string").select(text.casefold_equal(F.col("a"), F.col("b"))).collect()] == [True, True, True, False]
+
+
+def test_layers_and_frames(spark):
+    from placeloom.operators import search
+
+    rows = spark.createDataFrame([("a", "$", 5.0, 1), ("b", None, 9.0, 2), ("c", None, 1.0, 3), ("d", "$", 2.0, 4), ("e", "", 0.0, 5)], "id string, priceRange string, y double, ordinal long")
+    assert [r.id for r in search.drawing_order(rows, "d", ("e",)).collect()] == ["c", "b", "a", "d"]
+    assert [r.id for r in search.drawing_order(rows).collect()] == ["e", "c", "b", "d", "a"]
+    changes = spark.sql("SELECT timestamp_millis(t) AS ts, id AS event_id FROM VALUES (0, 1), (15, 2), (15, 3), (16, 4) v(t, id)")
+    assert sorted(r.event_id for r in streams.settled(changes).collect()) == [3, 4]
+
+
 def test_manifest_stream(spark, tmp_path):
     changes = spark.createDataFrame([("u1", 1, "failed"), ("u2", 2, "downloaded")], "url string, version long, status string")
     changes.coalesce(1).write.parquet(str(tmp_path / "in"))
