@@ -29,8 +29,8 @@ def resolved(df: DataFrame, id_col: str = "page_id", payload_col: str = "html",
     """(page_id, payload_bytes, payload_digest, refers_to) of each row; refers_to: null for originals.
 
     Of the rows of one payload the one of the largest id is the original. Null payloads are empty
-    ones. Rows with a null id are originals, as nothing can refer to them; of rows that repeat
-    an id all are originals or all refer.
+    ones. Rows with a null id are originals, as nothing can refer to them. Rows that repeat an id go each by
+    its own payload; those of the original's id and payload are all originals. An empty table gives no rows.
     """
     payload = F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit(""))
     heads = df.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload).alias("payload_digest"))
@@ -56,8 +56,10 @@ def records(df: DataFrame, id_col: str = "page_id", url_col: str = "url", payloa
     A null id is written as an empty one and a null url as an empty one.
     """
     pages = df.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.coalesce(F.col(f"`{url_col}`").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit("")).alias("payload"))
-    copies = cut(resolved(df, id_col, payload_col, least).where("refers_to is not null").select("page_id", "refers_to").distinct(), "warc-copies")
-    rows = pages.join(copies, "page_id", "left").withColumn("url", F.regexp_replace("url", "[\\r\\n]+", " "))
+    key = ["page_id", "payload_bytes", "payload_digest"]
+    copies = cut(resolved(df, id_col, payload_col, least).where("refers_to is not null").select(*key, "refers_to").distinct(), "warc-copies")
+    pages = pages.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload")})
+    rows = pages.join(copies, key, "left").withColumn("url", F.regexp_replace("url", "[\\r\\n]+", " "))
     revisit = F.col("refers_to").isNotNull()
     block = F.when(revisit, F.lit(HTTP)).otherwise(F.concat(F.lit(HTTP), F.col("payload")))
     own = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
@@ -68,7 +70,7 @@ def records(df: DataFrame, id_col: str = "page_id", url_col: str = "url", payloa
             ("WARC-Record-ID", _record_id(own)),
             ("WARC-Date", DATE),
             ("WARC-Target-URI", F.col("url")),
-            ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.sha1("payload"))),
+            ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
             ("WARC-Page-ID", own),
         ),
         F.when(revisit, _lines(("WARC-Refers-To", _record_id(F.col("refers_to"))), ("WARC-Profile", PROFILE))).otherwise(F.lit("")),
@@ -140,8 +142,8 @@ def archived(df: DataFrame, id_col: str = "page_id", url_col: str = "url", paylo
     write_archives(records(df, id_col, url_col, payload_col, least), path)
     rows = cut(read_archives(spark, path), "warc-read")
     own = rows.where("record_type = 'response'").select("page_id", "payload_bytes", F.col("payload_sha1").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
-    originals = rows.where("record_type = 'response' AND page_id IS NOT NULL").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("n"), "payload_sha1").dropDuplicates(["refers_to_id"])
-    again = rows.where("record_type = 'revisit'").drop("payload_sha1", "payload_bytes").join(originals.join(rows.where("record_type = 'revisit'").select("refers_to_id").distinct(), "refers_to_id", "left_semi"), "refers_to_id", "left")
+    originals = rows.where("record_type = 'response' AND page_id IS NOT NULL").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("n"), "payload_sha1", F.col("payload_sha1").alias("digest")).dropDuplicates(["refers_to_id", "digest"])
+    again = rows.where("record_type = 'revisit'").drop("payload_sha1", "payload_bytes").join(originals.join(rows.where("record_type = 'revisit'").select("refers_to_id").distinct(), "refers_to_id", "left_semi"), ["refers_to_id", "digest"], "left")
     return own.unionByName(again.select("page_id", F.col("n").alias("payload_bytes"), F.col("payload_sha1").alias("payload_digest"), "record_type", "refers_to"))
 
 

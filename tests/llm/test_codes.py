@@ -371,6 +371,15 @@ def test_repeated_pages(spark):
     assert rows == [(0, "response", 0), (1, "revisit", 2), (1, "revisit", 2), (2, "response", 0), (2, "response", 0)]
 
 
+def test_pages_that_only_share_an_id(spark):
+    texts = [(1, "q" * 1500), (1, "z" * 1600), (2, "q" * 1500), (2, "w" * 1700), (3, "z" * 1600), (3, "q")]
+    df = spark.createDataFrame([(k, "u", t) for k, t in texts], "page_id long, url string, html string")
+    got = sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.archived(df).collect())
+    sha = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    kinds = [("revisit", 2), ("revisit", 3), ("response", None), ("response", None), ("response", None), ("response", None)]
+    assert got == sorted((k, len(t), sha(t), *kind) for (k, t), kind in zip(texts, kinds, strict=True))
+
+
 # the queries beside their SQL
 
 
