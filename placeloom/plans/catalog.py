@@ -694,7 +694,7 @@ def rail_bands(spark, sf_dir):
 
 @query("""
 WITH s AS (SELECT DISTINCT n_name AS line, s_suppkey % 10 AS piece FROM supplier JOIN nation ON n_nationkey = s_nationkey), w AS (SELECT *, count(*) OVER (PARTITION BY piece) AS stack, row_number() OVER (PARTITION BY piece ORDER BY lower(line), line) - 1 AS slot FROM s)
-SELECT 0 AS layer, 'way ' || p_partkey AS name, NULL::DOUBLE AS oi FROM part WHERE p_partkey % 4 = 0 UNION ALL SELECT DISTINCT 2, line, slot - (stack - 1) / 2 FROM w UNION ALL SELECT 3, s_name, NULL FROM supplier
+SELECT 0 AS layer, 'way ' || p_partkey AS name, NULL::DOUBLE AS oi FROM part WHERE p_partkey % 4 = 0 UNION ALL SELECT 2, line, slot - (stack - 1) / 2 FROM (SELECT DISTINCT line, stack, slot FROM w) UNION ALL SELECT 3, s_name, NULL FROM supplier
 """)
 def rail_collection(spark, sf_dir):
     p, s = load(spark, sf_dir, "part", "supplier")
