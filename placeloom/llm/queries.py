@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from placeloom.llm import bpe, lm, packing, simhash, substring, tiff, token_counts, topk, toxicity, warc
+from placeloom.llm import bpe, filters, lines, lm, merkle, packing, simhash, substring, tiff, token_counts, topk, toxicity, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,10 +15,16 @@ QUERIES = {
     "op8_topk": topk.op8_topk,
     "op9_warc": warc.op9_warc,
     "op10_bpe": bpe.op10_bpe,
+    "op11_merkle": merkle.op11_merkle,
+    "op12_lines": lines.op12_lines,
+    "op13_filters": filters.op13_filters,
 }
 
 ORACLE_SQL = {
     "op7_substring": substring.OP7_SQL,
     "op8_topk": topk.OP8_SQL,
     "op9_warc": warc.OP9_SQL,
+    "op11_merkle": merkle.OP11_SQL,
+    "op12_lines": lines.OP12_SQL,
+    "op13_filters": filters.OP13_SQL,
 }
