@@ -560,12 +560,12 @@ WITH g AS ({_G}), e AS ({_E}) SELECT entry_id AS id, restaurant_name AS name, en
   address, venue_address AS "venueAddress", coalesce(description_text, '') AS description, latitude AS lat, longitude AS lon, google_maps_search_url AS "googleMapsUrl", CASE WHEN venue_id <> '' THEN 'source_html' END AS "googleMapsSource",
   source_google_maps_url AS "sourceGoogleMapsUrl", website_url AS "websiteUrl", phone_number AS phone, price_range AS "priceRange", open_for AS "openFor", best_for AS "bestFor", must_try_dish AS "mustTryDish",
   know_before_you_go AS "knowBeforeYouGo", outdoor_seating AS "outdoorSeating", additional_location_notes AS "additionalLocationNotes", booking_url AS "bookingUrl", booking_provider AS "bookingProvider",
-  'https://guide.example.com/venue/' || venue_id AS "eaterVenueUrl", 'v' || venue_id AS "venueSlug", venue_title AS "venueTitle", 'https://guide.example.com/' || entry_position AS "relatedPostUrls", '' AS "relatedPostTitles"
+  'https://guide.example.com/venue/' || venue_id AS "venueUrl", 'v' || venue_id AS "venueSlug", venue_title AS "venueTitle", 'https://guide.example.com/' || entry_position AS "relatedPostUrls", '' AS "relatedPostTitles"
 FROM e JOIN g USING (page_id) WHERE latitude IS NOT NULL AND longitude IS NOT NULL
 """)
 def wide_export(spark, sf_dir):
     e = derived(spark, sf_dir, ENTRIES).withColumns({
-        "google_maps_link_source": F.expr("CASE WHEN venue_id <> '' THEN 'source_html' END"), "eater_venue_url": F.expr("concat('https://guide.example.com/venue/', venue_id)"), "venue_slug": F.expr("concat('v', venue_id)"),
+        "google_maps_link_source": F.expr("CASE WHEN venue_id <> '' THEN 'source_html' END"), "guide_venue_url": F.expr("concat('https://guide.example.com/venue/', venue_id)"), "venue_slug": F.expr("concat('v', venue_id)"),
         "venue_related_post_urls_json": F.to_json(F.array(F.expr("concat('https://guide.example.com/', entry_position)"))), "venue_related_post_titles_json": F.when(F.col("entry_position") % 2 == 0, "{not a list"),
     })
     g = derived(spark, sf_dir, PAGES).withColumns({

@@ -63,22 +63,19 @@ WIDE = {
     "pageDescription": "p.page_description", "publishedAt": "p.published_at", "modifiedAt": "p.modified_at_meta", "address": "e.address", "venueAddress": "e.venue_address", "googleMapsUrl": "e.google_maps_search_url",
     "googleMapsSource": "e.google_maps_link_source", "sourceGoogleMapsUrl": "e.source_google_maps_url", "websiteUrl": "e.website_url", "phone": "e.phone_number", "priceRange": "e.price_range", "openFor": "e.open_for",
     "bestFor": "e.best_for", "mustTryDish": "e.must_try_dish", "knowBeforeYouGo": "e.know_before_you_go", "outdoorSeating": "e.outdoor_seating", "additionalLocationNotes": "e.additional_location_notes",
-    "bookingUrl": "e.booking_url", "bookingProvider": "e.booking_provider", "eaterVenueUrl": "e.eater_venue_url", "venueSlug": "e.venue_slug", "venueTitle": "e.venue_title",
+    "bookingUrl": "e.booking_url", "bookingProvider": "e.booking_provider", "venueUrl": "e.guide_venue_url", "venueSlug": "e.venue_slug", "venueTitle": "e.venue_title",
 }
 WIDE_LISTS = {"categories": "p.category_titles_json", "relatedPostUrls": "e.venue_related_post_urls_json", "relatedPostTitles": "e.venue_related_post_titles_json"}
 
 
 def wide_places(entries: DataFrame, pages: DataFrame) -> DataFrame:
-    """The older export, 35 columns: only coordinates are needed, addresses as they are, missing descriptions '', lists from JSON.
-
-    Columns that the tables lack are null, lists empty.
+    """The older export, 35 columns of the tables of ``plans.pages``: only coordinates are needed, addresses as they are, missing
+    descriptions '', lists from JSON. A column that a table lacks is an error.
     """
-    there = {f"{t}.{c}" for t, df in (("e", entries), ("p", pages)) for c in df.columns}
-    own = lambda c: F.col(c) if c in there else F.lit(None).cast("string")
     rows = entries.alias("e").join(pages.alias("p"), F.expr("e.page_id = p.page_id")).where("e.latitude IS NOT NULL AND e.longitude IS NOT NULL")
     numbers = [F.col(f"e.{a}itude").cast("double").alias(b) for a, b in (("lat", "lat"), ("long", "lon"))]
-    lists = [json_list(own(c)).alias(n) for n, c in WIDE_LISTS.items()]
-    return rows.select(*(own(c).alias(n) for n, c in WIDE.items()), F.coalesce(own("e.description_text"), F.lit("")).alias("description"), *numbers, *lists)
+    lists = [json_list(F.col(c)).alias(n) for n, c in WIDE_LISTS.items()]
+    return rows.select(*(F.col(c).alias(n) for n, c in WIDE.items()), F.coalesce("e.description_text", F.lit("")).alias("description"), *numbers, *lists)
 
 
 def price_counts(df: DataFrame, price: Column) -> DataFrame:

@@ -91,6 +91,10 @@ def test_saved_pages_to_tables(spark, tmp_path):
     assert (None, "canonical_url_mismatch") not in codes
     assert [r.id for r in public.in_order(public.public_places(entries, pages)).collect()] == ["77:001"]
     assert tuple(plan.run_summary(pages, entries, issues).first())[:3] == (2, 2, 2)
+    (wide,) = public.wide_places(entries, pages).collect()  # from the library's own tables, no column added by hand
+    assert len(wide) == 35 and wide.id == "77:001" and wide.venueUrl == e[0].guide_venue_url == "https://g.example.com/venue/v1" and wide.pageUrl == "https://g.example.com/maps/a" and wide.relatedPostTitles == ["P", "Q"]
+    with pytest.raises(Exception, match="guide_venue_url"):
+        public.wide_places(entries.drop("guide_venue_url"), pages)
     rows.unpersist()
 
 

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,6 +71,41 @@ def test_a_manifest_batch_may_run_again(spark, tmp_path):
     assert rows() == [("a", 1, "x"), ("b", 2, "y"), ("c", 1, "x"), ("d", 5, "z")]
 
 
+def test_a_new_checkpoint_loses_nothing(spark, tmp_path):
+    """Two streaming queries one after the other, with checkpoints of their own and each restarted: every row is there once."""
+    path = str(tmp_path / "manifest")
+    urls = iter("abcdefgh")
+    for checkpoint in ("one", "two"):
+        for run in range(2):
+            spark.createDataFrame([(next(urls), 1, checkpoint)], VERSIONED).coalesce(1).write.mode("append").parquet(str(tmp_path / checkpoint))
+            spark.createDataFrame([(next(urls), 1, checkpoint)], VERSIONED).coalesce(1).write.mode("append").parquet(str(tmp_path / checkpoint))
+            like = spark.read.parquet(str(tmp_path / checkpoint))
+            q = streams.stream(spark, str(tmp_path / checkpoint), like).writeStream.foreachBatch(streams.manifest_writer(spark, path, compact=3)).option("checkpointLocation", str(tmp_path / f"c-{checkpoint}")).start()
+            q.processAllAvailable()
+            q.stop()
+            assert len(streams.published(spark, path)) == (0 if checkpoint == "one" else 4) + 2 * run + 2
+    marks = streams.published(spark, path)
+    assert len({m.query for m in marks}) == 2 and [m.batch for m in marks] == [0, 1, 2, 3] * 2
+    assert sorted(r.url for r in streams.current(spark, path).collect()) == list("abcdefgh")
+
+
+def test_a_log_of_changes_is_the_manifest(spark, tmp_path):
+    """At every generation, whole or changes, the merged log is what upserts one after the other give; replaced data go."""
+    path, rng = str(tmp_path / "manifest"), random.Random(4)
+    write = streams.manifest_writer(spark, path, compact=3, query="q")
+    want = spark.createDataFrame([], VERSIONED)
+    for batch in range(9):
+        rows = [(rng.choice([None, *"abcdef"]), rng.choice([None, 1, 2, 3]), f"{batch}-{k}") for k in range(rng.randint(0, 6))]
+        changes = spark.createDataFrame(rows, VERSIONED)
+        want = spark.createDataFrame([tuple(r) for r in manifest.upserted(want, changes).collect()], VERSIONED)
+        write(changes, batch)
+        write(changes, batch)
+        assert sorted(map(tuple, streams.current(spark, path).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    marks = streams.published(spark, path)
+    assert [m.kind for m in marks] == ["done"] * 3 + ["whole", "changes", "changes", "whole", "changes", "changes"]
+    assert len(list((tmp_path / "manifest").glob("generation=*"))) == 6
+
+
 def test_a_crash_beside_the_pointer_loses_nothing(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "manifest")
     first, second = (spark.createDataFrame(rows, VERSIONED) for rows in ([("a", 1, "x"), ("b", 1, "x")], [("c", 1, "x")]))
