@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> None:
-    """Makes sure that checkpoints have a folder: the session's, else one for tests."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{uuid.uuid4().hex}")
+from placeloom.storage import stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -38,15 +32,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds: each is two hash joins of the edges with the
     smallest neighbour of a node, which is a partial aggregate first, so that AQE may split a hub's
-    side of the join. A round's edges are checkpointed to the shared folder; rounds grow as the
+    side of the join. A round's edges are written to the shared folder; rounds grow as the
     logarithm of the longest path, and there are none for edges that are stars around their
     smallest node. Null ends and loops are ignored; no edges: no rows.
     """
-    shared_dir(edges.sparkSession)
     e = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
-    now = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
+    now = stored(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while not _settled(now):
-        now = _small_star(_large_star(now)).checkpoint()
+        now = stored(_small_star(_large_star(now)), "edges")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
 
 
@@ -55,12 +48,11 @@ def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
     Breadth first: each round joins only what the last one found new, so cycles end. Nulls are ignored.
     """
-    shared_dir(edges.sparkSession)
     edges = edges.select("source", "target").where("source IS NOT NULL AND target IS NOT NULL").distinct()
-    new = roots.select(F.col("root"), F.col("root").alias("node")).where("root IS NOT NULL").distinct().checkpoint()
+    new = stored(roots.select(F.col("root"), F.col("root").alias("node")).where("root IS NOT NULL").distinct(), "frontier")
     seen = new
     while not new.isEmpty():
         step = new.join(edges, new.node == edges.source).select("root", F.col("target").alias("node")).distinct()
-        new = step.join(seen, ["root", "node"], "left_anti").checkpoint()
-        seen = seen.union(new).checkpoint()
+        new = stored(step.join(seen, ["root", "node"], "left_anti"), "frontier")
+        seen = stored(seen.union(new), "seen")
     return seen

@@ -19,8 +19,11 @@ from placeloom.functions import geo
 from placeloom.functions.text import address_score, description_key, full_postcode, is_all_caps, is_clean_name, name_key, split_name, text, word_count
 from placeloom.functions.url import dedupe_key
 from placeloom.operators.components import components
+from placeloom.storage import stored
 
 MERGE_METRES, SUBSET_METRES = 200.0, 60.0
+#: Entries of a connected run that one task clusters by itself.
+RUN_ROWS = 50_000
 DISHES, DISHES_LENGTH = 4, 42
 #: Cells of the plane are this much wider than the radius, as cells are cut by degrees and distances are great circles.
 MARGIN = 1.02
@@ -106,24 +109,94 @@ def _clusters(metres: float):
     return cluster
 
 
+def _grid(metres: float) -> tuple[Column, Column, Column]:
+    """(band, col, near): the cell of a point y, x in radians, narrow enough that any two points of a cell are within metres;
+    near: the cells that may hold a point within metres, as an array of struct(band, col).
+    """
+    reach, side = metres * MARGIN / geo.RADIUS, metres / geo.RADIUS / 1.5
+    width = lambda band: side / F.greatest(F.lit(1e-9), F.cos(F.least(F.abs(band), F.abs(band + 1)) * side))  # noqa: E731  by the edge closer to the equator
+    y, x = F.col("y"), F.col("x")
+    band = F.floor(y / side)
+    far = 2 * F.asin(F.least(F.lit(1.0), math.sin(reach / 2) / F.greatest(F.lit(1e-9), F.cos(F.least(F.abs(y) + reach, F.lit(math.pi / 2))))))
+    near = F.flatten(F.transform(F.sequence(band - 2, band + 2), lambda b: F.transform(F.sequence(F.floor((x - far) / width(b)), F.floor((x + far) / width(b))), lambda c: F.struct(b.alias("band"), c.alias("col")))))
+    return band, F.floor(x / width(band)), near
+
+
+def _predecessors(metres: float):
+    """Function of a cell's rows and those around it: of each row the latest earlier row of the cell within metres, and the cell's first."""
+
+    def of(t: pa.Table) -> pa.Table:
+        t = t.sort_by("ordinal")
+        ordinal, y, x, home = (t.column(c).to_numpy() for c in ("ordinal", "y", "x", "home"))
+        cos, own = np.cos(y), np.flatnonzero(home)  # places of the cell's rows, ascending
+        out = [(ordinal[own[1:]], ordinal[own[:-1]]), (ordinal[own[1:]], np.full(max(0, len(own) - 1), ordinal[own[0]] if len(own) else 0))]
+        for i in np.flatnonzero(~home).tolist():
+            end = int(np.searchsorted(own, i))
+            while end > 0:  # from the latest back, some at a time
+                some = own[max(0, end - 512) : end]
+                h = np.sin((y[some] - y[i]) / 2) ** 2 + cos[i] * cos[some] * np.sin((x[some] - x[i]) / 2) ** 2
+                hit = np.flatnonzero(2 * geo.RADIUS * np.arcsin(np.sqrt(np.minimum(1.0, h))) <= metres)
+                if len(hit):
+                    out.append((ordinal[i : i + 1], ordinal[some[hit[-1:]]]))
+                    break
+                end -= len(some)
+        return pa.table([pa.array(np.concatenate([o[k] for o in out]), pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return of
+
+
+def _clusters_by_rounds(placed: DataFrame, metres: float) -> DataFrame:
+    """(ordinal, geo_id) of runs (__run, ordinal, lat, lon) of any size, many tasks a run.
+
+    A row joins the first cluster of which an earlier row is within metres, so its cluster is the smallest of those of all such
+    rows: the smallest ordinal that it reaches by going to earlier rows within metres. In a cell whose points are all within
+    metres of each other clusters only get smaller from row to row, so of each cell around the latest such row stands
+    for all. Labels follow these links and then the labels of their labels, until none changes.
+    """
+    band, col, near = _grid(metres)
+    points = placed.select("__run", F.col("ordinal").cast("long").alias("ordinal"), F.radians("lat").alias("y"), F.radians("lon").alias("x"))
+    own = F.struct(band.alias("band"), col.alias("col"))
+    around = points.select("*", own.alias("own"), F.explode(near).alias("cell")).select("__run", "cell", "ordinal", "y", "x", (F.col("cell") == F.col("own")).alias("home"))
+    links = stored(around.groupBy("__run", "cell").applyInArrow(_predecessors(metres), "a long, b long").distinct(), "links")
+    first = links.groupBy("a").agg(F.min("b").alias("label"))
+    labels = stored(points.select("ordinal").join(first, F.col("ordinal") == F.col("a"), "left").select("ordinal", F.coalesce("label", "ordinal").alias("label")), "labels")
+    while True:
+        lower = links.join(labels, F.col("b") == F.col("ordinal")).groupBy("a").agg(F.min("label").alias("m"))
+        once = labels.join(lower, F.col("ordinal") == F.col("a"), "left").select("ordinal", F.col("label").alias("before"), F.coalesce(F.least("label", "m"), "label").alias("label"))
+        of = labels.select(F.col("ordinal").alias("o"), F.col("label").alias("l"))
+        now = stored(once.join(of, F.col("label") == F.col("o")).select("ordinal", "before", F.col("l").alias("label")), "labels")
+        labels = now.select("ordinal", "label")
+        if now.where("label <> before").isEmpty():
+            return labels.select("ordinal", F.col("label").alias("geo_id"))
+
+
 def geo_clusters(entries: DataFrame, metres: float = MERGE_METRES) -> DataFrame:
     """Adds geo_id, the ordinal of the first entry of a cluster of one name.
 
     Greedy and in input order: an entry that lies between two clusters joins the first and doesn't merge
     them. Places without coordinates are clusters of their own. Entries of a name are dealt out by
     connected runs of occupied cells first, as clusters never reach over an empty one, so a chain's
-    branches all over the country aren't one group.
+    branches all over the country aren't one group. A run of at most RUN_ROWS entries is one task; a larger one
+    is clustered in rounds over links between its cells, with the same result.
     """
     row, col = _cell(F.col("lat"), F.col("lon"), metres)
     rows = entries.withColumns({"__row": row, "__col": col})
-    cells = rows.where("__row IS NOT NULL AND __col IS NOT NULL").groupBy("name_key", "__row", "__col").agg(F.min("ordinal").alias("__node"))
+    cells = rows.where("__row IS NOT NULL AND __col IS NOT NULL").groupBy("name_key", "__row", "__col").agg(F.min("ordinal").alias("__node"), F.count("*").alias("__n"))
+    cells = stored(cells, "cells")
     other = cells.select("name_key", F.explode(F.sequence(F.col("__row"), F.col("__row") + 1)).alias("__row"), F.col("__col"), F.col("__node").alias("__to"))
     other = other.withColumn("__col", F.explode(F.sequence(F.col("__col") - 1, F.col("__col") + 1)))
     edges = cells.join(other, ["name_key", "__row", "__col"]).where(F.col("__node") != F.col("__to")).select(F.col("__node").alias("a"), F.col("__to").alias("b"))
     runs = components(edges)
-    run = cells.join(runs, cells["__node"] == runs.node, "left").select("name_key", "__row", "__col", F.coalesce("component", "__node").alias("__run"))
-    placed = rows.where("__row IS NOT NULL AND __col IS NOT NULL").join(run, ["name_key", "__row", "__col"]).select("__run", F.col("ordinal").cast("long").alias("ordinal"), "lat", "lon")
-    found = placed.repartition("__run").sortWithinPartitions("__run", "ordinal").mapInArrow(_clusters(metres), "ordinal long, geo_id long").checkpoint()
+    run = stored(cells.join(runs, cells["__node"] == runs.node, "left").select("name_key", "__row", "__col", "__n", F.coalesce("component", "__node").alias("__run")), "runs")
+    large = run.groupBy("__run").agg(F.sum("__n").alias("__n")).where(F.col("__n") > RUN_ROWS).select("__run")
+    placed = rows.where("__row IS NOT NULL AND __col IS NOT NULL").join(run.drop("__n"), ["name_key", "__row", "__col"]).select("__run", F.col("ordinal").cast("long").alias("ordinal"), "lat", "lon")
+    if large.isEmpty():
+        small, more = placed, None
+    else:
+        placed = stored(placed, "placed")
+        small, more = placed.join(large, "__run", "left_anti"), _clusters_by_rounds(placed.join(large, "__run", "left_semi"), metres)
+    found = stored(small.repartition("__run").sortWithinPartitions("__run", "ordinal").mapInArrow(_clusters(metres), "ordinal long, geo_id long"), "clusters")
+    found = found if more is None else found.union(more)
     return entries.join(found, "ordinal", "left").withColumn("geo_id", F.coalesce("geo_id", F.col("ordinal").cast("long")))
 
 

@@ -12,6 +12,7 @@ from placeloom.operators import audit, components, dedupe, manifest, rail, searc
 from placeloom.plans import public
 from placeloom.plans.inputs import ENTRIES, PAGES, PLACES, STATIONS, derived, in_duckdb, load
 from placeloom.sources import readers, robots
+from placeloom.storage import scratch
 from placeloom.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -582,6 +583,18 @@ def _entries(spark, sf_dir):
     return p.withColumns({"lat": 51.5 + F.col("ordinal") * 7919 % 997 / 10000.0, "lon": -0.1 + F.col("ordinal") * 104729 % 991 / 10000.0, "entryUrl": F.concat(F.lit("https://guide.example.com/"), (F.col("ordinal") % 50).cast("string")), "websiteUrl": F.concat(F.lit("http://www.x.example.com/"), F.col("name"), F.lit("/")), "phone": F.when(F.col("ordinal") % 3 == 0, "020 1")})
 
 
+@query("""
+WITH RECURSIVE e AS (SELECT p_partkey AS ordinal, p_brand AS name, radians(51.5 + p_partkey * 7919 % 997 / 10000.0::DOUBLE) AS y, radians(-0.1 + p_partkey * 104729 % 991 / 10000.0::DOUBLE) AS x FROM part),
+l AS (SELECT b.ordinal AS a, a.ordinal AS b FROM e a JOIN e b ON a.name = b.name AND a.ordinal < b.ordinal AND abs(a.y - b.y) < 0.00004
+  WHERE 2 * 6371000 * asin(sqrt(sin((b.y - a.y) / 2) ** 2 + cos(a.y) * cos(b.y) * sin((b.x - a.x) / 2) ** 2)) <= 200),
+r AS (SELECT ordinal, ordinal AS reached FROM e UNION SELECT r.ordinal, l.b FROM r JOIN l ON l.a = r.reached)
+SELECT ordinal, min(reached) AS geo_id FROM r GROUP BY ordinal
+""")
+def name_clusters(spark, sf_dir):
+    """Places of one name within 200 m, first come first served."""
+    return dedupe.geo_clusters(dedupe.keyed(_entries(spark, sf_dir).withColumn("name", F.regexp_replace("address", ",.*", "")))).select("ordinal", "geo_id")
+
+
 @query()
 def entity_clusters(spark, sf_dir):
     return dedupe.clustered(_entries(spark, sf_dir)).select("ordinal", "name_key", "geo_id", "place_id", "final_id")
@@ -735,6 +748,58 @@ def json_values(spark, sf_dir):
     return e.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.size(readers.json_list(F.col("props"))).alias("bad"))
 
 
+# one document, many tasks
+
+
+def _document(rows, order, head, end, name):
+    """Rows (value) in order, with commas between, as one file: what the readers cut into ranges."""
+    spark, path = rows.sparkSession, scratch(rows.sparkSession, name)
+    lines = rows.select(F.col(order).alias("n"), F.concat(F.lit(","), "value").alias("value")).union(spark.createDataFrame([(-1, head), (1 << 62, end)], "n long, value string"))
+    lines.coalesce(1).sortWithinPartitions("n").select("value").write.text(path)
+    return path
+
+
+@query("SELECT s_suppkey + 1 AS ordinal, 'S} ' || s_name AS name, (s_suppkey % 90)::DOUBLE + 0.5 AS lat, (s_suppkey % 180)::DOUBLE - 0.25 AS lon FROM supplier")
+def feature_document(spark, sf_dir):
+    """Stations of a feature collection in one file, as read back in ranges; its first feature is null."""
+    (s,) = load(spark, sf_dir, "supplier")
+    point = F.struct(F.lit("Point").alias("type"), F.array(F.col("s_suppkey") % 180 - 0.25, F.col("s_suppkey") % 90 + 0.5).alias("coordinates"))
+    feature = F.to_json(F.struct(F.struct(F.concat(F.lit("S} "), "s_name").alias("name"), F.lit(True).alias("station")).alias("properties"), point.alias("geometry")))
+    path = _document(s.select("s_suppkey", feature.alias("value")), "s_suppkey", '{"type": "FeatureCollection", "name": "[{", "features": [null', "]}", "features")
+    return readers.station_features(readers.geojson_features(spark, path)).select("ordinal", "name", "lat", "lon")
+
+
+@query("SELECT p_partkey + 1 AS ordinal, p_partkey::VARCHAR AS id, 'a \"}{[' || p_name AS name, p_retailprice AS lat, p_size::DOUBLE AS lon, p_partkey % 3 AS said FROM part")
+def payload_document(spark, sf_dir):
+    """A payload of places in one file, quotes and brackets in their texts, as read back in ranges; its first item is null."""
+    (p,) = load(spark, sf_dir, "part")
+    texts = F.transform(F.sequence(F.lit(0), F.col("p_partkey") % 3), lambda i: F.struct(F.concat(F.lit("]}, "), i.cast("string")).alias("text")))
+    place = F.to_json(F.struct(F.col("p_partkey").cast("string").alias("id"), F.concat(F.lit('a "}{['), "p_name").alias("name"), F.col("p_retailprice").cast("string").alias("lat"), F.col("p_size").alias("lon"), F.slice(texts, F.lit(2), F.lit(9)).alias("descriptions")))
+    path = _document(p.select("p_partkey", place.alias("value")), "p_partkey", '{"stats": {"restaurants": [1, {}]}, "restaurants": [null', '], "bounds": [[1, 2]]}', "payload")
+    rows = readers.places_payload(spark, path).where("ordinal > 0")
+    return rows.select("ordinal", "id", "name", "lat", "lon", F.size("descriptions").cast("long").alias("said"))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'node' ELSE 'way' END AS type, o_orderkey % 5 + 1 AS points, o_orderpriority AS name FROM orders")
+def element_document(spark, sf_dir):
+    """A saved map query of one file: elements with tags and geometry, as read back in ranges."""
+    (o,) = load(spark, sf_dir, "orders")
+    line = F.transform(F.sequence(F.lit(0), F.col("o_orderkey") % 5), lambda i: F.struct((i / 8).alias("lat"), i.cast("double").alias("lon")))
+    element = F.to_json(F.struct(F.when(F.col("o_orderkey") % 3 == 0, "node").otherwise("way").alias("type"), F.col("o_orderkey").alias("id"), F.struct(F.col("o_orderpriority").alias("name"), F.lit("]{").alias("note")).alias("tags"), line.alias("geometry")))
+    path = _document(o.select("o_orderkey", element.alias("value")), "o_orderkey", '{"version": 0.6, "elements": [{"type": "count"}', "]}", "elements")
+    return readers.osm_elements(spark, path).where("ordinal > 0").select("id", "type", F.size("geometry").cast("long").alias("points"), F.col("tags").getItem("name").alias("name"))
+
+
+@query("SELECT page_id::VARCHAR AS page, url, md5(html) AS body, length(html)::BIGINT AS chars FROM pages")
+def csv_document(spark, sf_dir):
+    """Whole pages, line breaks and quotes inside, as values of CSV files that are read back in ranges."""
+    (p,) = load(spark, sf_dir, "pages")
+    path = scratch(spark, "csv")
+    p.select("page_id", "url", "html").write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    rows = readers.csv_rows(spark, path)
+    return rows.select(F.col("page_id").alias("page"), "url", F.md5("html").alias("body"), F.char_length("html").cast("long").alias("chars"))
+
+
 # extensions: Spark's own, beyond the operators above
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placeloom.functions.text import empty_to_null
-from placeloom.operators.components import shared_dir
 from placeloom.sources.readers import json_list
+from placeloom.storage import stored
 
 TEXTS = {
     "id": "e.entry_id", "name": "e.restaurant_name", "entryUrl": "coalesce(e.entry_anchor_url, p.page_url)", "pageTitle": "p.page_title", "description": "e.description_text",
@@ -43,8 +43,7 @@ def in_order(places: DataFrame) -> DataFrame:
 
 def ranked(places: DataFrame) -> DataFrame:
     """Public places with their place in the order, from 1, by counts of the sorted partitions."""
-    shared_dir(places.sparkSession)
-    rows = in_order(places).checkpoint()  # sorted once: the partitions stay as they are counted
+    rows = stored(in_order(places), "order")  # sorted once: the partitions stay as they are counted
     part = F.shiftright("ordinal", 33)
     counts = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
     lower = counts.select(F.col("part").alias("other"), "n")

@@ -5,11 +5,13 @@ from __future__ import annotations
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placeloom.functions.geo import has_coordinates
 from placeloom.functions.url import normalize_url
+from placeloom.sources.split import csv_records, json_items, parsed_csv
+from placeloom.storage import stored
 
 MOST_SITEMAPS = 20_000
 
@@ -17,15 +19,11 @@ MOST_SITEMAPS = 20_000
 def csv_rows(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text, with an ordinal from 0 on without gaps: by file path, then by place in the file; a byte order mark is dropped.
 
-    A file whose quoted values may hold line breaks is read by one task, so its rows have consecutive numbers there; those
-    of the files before it are added.
+    A quote in a quoted value is written twice. A file is read by many tasks, though values may hold line breaks.
     """
-    rows = spark.read.option("header", True).option("multiLine", True).option("encoding", "UTF-8").csv(path)
-    rows = rows.withColumnsRenamed({c: c.lstrip("﻿") for c in rows.columns if c.startswith("﻿")})
-    numbered = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__n"))
-    files = numbered.groupBy("__file").agg(F.min("__n").alias("__first"), F.count("*").alias("__rows"))  # a row a file
-    before = F.coalesce(F.sum("__rows").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return numbered.join(files.select("__file", "__first", before.alias("__before")), "__file").select(*rows.columns, (F.col("__before") + F.col("__n") - F.col("__first")).alias("ordinal"))
+    columns = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).columns
+    rows = csv_records(spark, path).select(parsed_csv(F.col("text"), columns).alias("r"), "ordinal")
+    return rows.select(*(F.col("r")[c].alias(c.lstrip("\ufeff")) for c in columns), "ordinal")
 
 
 def _inflated(content: bytes | None) -> bytes:
@@ -73,19 +71,16 @@ def crawled(documents: DataFrame, roots: DataFrame, most: int = MOST_SITEMAPS) -
     documents: url, xml - the fetched sitemaps; roots: url. A sitemap is visited once, so circles end; one that
     isn't there counts as visited; more than ``most`` is an error. The frontier stays a table.
     """
-    from placeloom.operators.components import shared_dir
-
-    shared_dir(documents.sparkSession)
-    docs = documents.select(normalize_url(F.col("url"), False).alias("url"), sitemap_locations(F.col("xml")).alias("s")).dropDuplicates(["url"]).checkpoint()
-    new = roots.select(normalize_url(F.col("url"), False).alias("url")).distinct().checkpoint()
+    docs = stored(documents.select(normalize_url(F.col("url"), False).alias("url"), sitemap_locations(F.col("xml")).alias("s")).dropDuplicates(["url"]), "sitemaps")
+    new = stored(roots.select(normalize_url(F.col("url"), False).alias("url")).distinct(), "frontier")
     seen = new
     while not new.isEmpty():
         if seen.count() > most:
             raise RuntimeError(f"more than {most} sitemaps")
         listed = docs.join(new, "url", "left_semi").where("s.kind = 'sitemapindex'").select(F.explode("s.locs").alias("loc"))
         found = listed.select(normalize_url(F.col("loc"), False).alias("url")).distinct()
-        new = found.join(seen, "url", "left_anti").checkpoint()
-        seen = seen.union(new).checkpoint()
+        new = stored(found.join(seen, "url", "left_anti"), "frontier")
+        seen = stored(seen.union(new), "seen")
     content = docs.join(seen, "url", "left_semi").where("s.kind = 'urlset'").select(F.explode("s.locs").alias("loc")).select(normalize_url(F.col("loc"), False).alias("url")).distinct()
     return content.select("url", F.lit(False).alias("is_sitemap")).union(seen.select("url", F.lit(True).alias("is_sitemap")))
 
@@ -97,18 +92,21 @@ PLACE = (
 )
 
 
+def _items(spark: SparkSession, path: str, key: str, kind: str) -> DataFrame:
+    """(ordinal, r): the items of a list of the root object, read by many tasks."""
+    return json_items(spark, path, key).select("ordinal", F.from_json("text", kind).alias("r"))
+
+
 def places_payload(spark: SparkSession, path: str) -> DataFrame:
     """Places of a payload {stats, bounds, restaurants}, with an ordinal in its order; lat and lon as doubles."""
-    raw = spark.read.schema(f"restaurants array<struct<{PLACE}>>").json(path, multiLine=True)
-    rows = raw.select(F.posexplode("restaurants").alias("ordinal", "r")).select(F.col("ordinal").cast("long").alias("ordinal"), "r.*")
+    rows = _items(spark, path, "restaurants", f"struct<{PLACE}>").select("ordinal", "r.*")
     return rows.withColumns({"lat": F.col("lat").try_cast("double"), "lon": F.col("lon").try_cast("double")})
 
 
 def geojson_features(spark: SparkSession, path: str) -> DataFrame:
     """(ordinal, properties, type, point, line, lines) of a feature collection; of the last three the one of its type is set."""
-    kind = "features array<struct<properties: map<string,string>, geometry: struct<type: string, coordinates: string>>>"
-    raw = spark.read.schema(kind).json(path, multiLine=True)
-    rows = raw.select(F.posexplode("features").alias("ordinal", "f")).select("ordinal", F.col("f.properties").alias("properties"), F.col("f.geometry.type").alias("type"), F.col("f.geometry.coordinates").alias("c"))
+    kind = "struct<properties: map<string,string>, geometry: struct<type: string, coordinates: string>>"
+    rows = _items(spark, path, "features", kind).select("ordinal", F.col("r.properties").alias("properties"), F.col("r.geometry.type").alias("type"), F.col("r.geometry.coordinates").alias("c"))
     as_ = lambda t, k: F.when(F.col("type") == t, F.from_json("c", k)).alias({"Point": "point", "LineString": "line", "MultiLineString": "lines"}[t])
     return rows.select("ordinal", "properties", "type", as_("Point", "array<double>"), as_("LineString", "array<array<double>>"), as_("MultiLineString", "array<array<array<double>>>"))
 
@@ -124,8 +122,7 @@ OSM = "type string, id long, lat double, lon double, tags map<string,string>, ge
 
 def osm_elements(spark: SparkSession, path: str) -> DataFrame:
     """Elements of a saved map query, with an ordinal in its order."""
-    raw = spark.read.schema(f"elements array<struct<{OSM}>>").json(path, multiLine=True)
-    return raw.select(F.posexplode("elements").alias("ordinal", "e")).select("ordinal", "e.*")
+    return _items(spark, path, "elements", f"struct<{OSM}>").select("ordinal", "r.*")
 
 
 def path_of(geometry: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placeloom.functions.url import storage_path
-from placeloom.operators.components import shared_dir
+from placeloom.storage import shared_dir
 
 
 def table(df: DataFrame, path: str, columns: list[str] | None = None) -> None:

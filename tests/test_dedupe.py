@@ -84,6 +84,23 @@ def test_greedy_as_one_by_one(spark):
     assert got == reference(rows)
 
 
+@pytest.mark.parametrize("spread", [0.02, 0.003])
+def test_greedy_in_rounds(spark, monkeypatch, spread):
+    """Runs larger than a task's are clustered over links between cells: the same clusters, whatever the order and crowding."""
+    monkeypatch.setattr(dedupe, "RUN_ROWS", 3)
+    rng = random.Random(spread)
+    rows = []
+    for k in rng.sample(range(10_000), 300):
+        e = list(entry(k, rng.choice(["Foo", "Foo", "Bar"])))
+        e[3], e[4] = (51.5, -0.1) if rng.random() < 0.1 else (51.5 + rng.uniform(0, spread), -0.1 + rng.uniform(0, 2 * spread))
+        rows.append(tuple(e))
+    far = [(20_000 + k, str(k), "North", 78 + rng.uniform(0, 0.02), 15 + rng.uniform(0, 0.1), *entry(0, "")[5:]) for k in range(60)]
+    alone = [(*entry(30_000, "Foo", 90_000.0),), (*entry(30_001, "None")[:3], None, None, *entry(0, "")[5:])]
+    got = {r.ordinal: r.geo_id for r in dedupe.geo_clusters(dedupe.keyed(spark.createDataFrame(rows + far + alone, KIND))).collect()}
+    assert got == reference(rows + far + alone[:1]) | {30_001: 30_001}
+    assert len(set(got.values())) < len(got) / 2
+
+
 def test_greedy_where_rows_crowd(spark):
     """Rows that repeat a point cost no more the more there are; far north a degree of longitude is short."""
     n = 40_000
