@@ -17,7 +17,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from placeloom.llm.common import cut, shared_dir, table
@@ -82,7 +82,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
 
     Components become floor(scale * x); a component or score beyond 64 bits is the nearest that fits. Vectors that are null or hold null, NaN or infinite
     components take no part, nor do rows with a null id; all others must have one length (ValueError).
-    A vector is no candidate of the query of its own id. Fewer candidates: all. No vectors or queries: no rows.
+    A vector is no candidate of the query of its own id. Rows that repeat an id are candidates of their own, and queries
+    of their own, each with its ranks. Fewer candidates: all. No vectors or queries: no rows.
     """
     spark = vectors.sparkSession
     shared_dir(spark)
@@ -92,7 +93,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
         whole = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(math.inf)))
         return df.where(F.col(f"`{id_col}`").isNotNull() & F.coalesce(whole, F.lit(False))).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
 
-    rows, asked = cut(integers(vectors), "vectors"), cut(integers(queries), "queries")
+    rows, asked = cut(integers(vectors), "vectors"), cut(integers(queries).withColumn("key", F.monotonically_increasing_id()), "queries")
     out_sql = "query_id long, rank int, vec_id long, score long"
     facts = rows.agg(F.count("*"), F.min(F.size("v")), F.max(F.size("v")), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))).first()
     n, dim, widest, square = facts
@@ -129,7 +130,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
         """A row for each cell part that a query may have to see."""
         for b in batches:
             ids, q = b.column(0).to_numpy(), _matrix(b.column(1), dim) if b.num_rows else np.zeros((0, dim), np.int64)
-            out = []
+            keys_of, out = b.column(2).to_numpy(), []
             far = _distances(np.hstack([q.astype(np.float64), np.zeros((len(q), 1))]), pivots) if len(q) else None
             for r in range(len(ids)):
                 s = _products(q[r : r + 1], first)[0]
@@ -140,15 +141,22 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
                 floor = np.iinfo(np.int64).min if kth is None else int(kth)
                 for c, p, lo, hi in bound:
                     if far[r, p] - t <= hi and far[r, p] + t >= lo:
-                        out += [(c, j, int(ids[r]) % groups, int(ids[r]), q[r].tolist(), float(far[r, p]), floor) for j in range(parts[c])]
-            cols = list(zip(*out, strict=True)) if out else [[] for _ in range(7)]
-            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.float64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], names=["cell", "part", "block", "query_id", "q", "d", "floor"])
-
-    going = asked.mapInArrow(visits, "cell int, part int, block int, query_id long, q array<long>, d double, floor long")
+                        for j in range(parts[c]):
+                            out.append((c, j, int(ids[r]) % groups, int(keys_of[r]), int(ids[r]), q[r].tolist(), float(far[r, p]), floor))
+                            if len(out) == STEP:
+                                yield told(out)
+                                out = []
+            if out:
+                yield told(out)
+
+    def told(out: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.float64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["cell", "part", "block", "key", "query_id", "q", "d", "floor"])
+
+    going = asked.select("id", "v", "key").mapInArrow(visits, "cell int, part int, block int, key long, query_id long, q array<long>, d double, floor long")
     of_part = F.create_map(*(F.lit(y) for c, m in parts.items() for y in (c, m)))
     dealt = cell_of.select("id", "v", "r", "cell", F.pmod(F.xxhash64("id"), of_part[F.col("cell")]).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("block"))
-    result = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    result = pa.schema([("key", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -157,7 +165,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
         order = np.argsort(r, kind="stable")
         ids, r, x = ids[order], r[order], x[order]
         qs, ds, floors, asked_by = _matrix(right.column("q"), dim), right.column("d").to_numpy(), right.column("floor").to_pylist(), right.column("query_id").to_numpy()
-        a_all, b_all, c_all = [], [], []
+        keys_of = right.column("key").to_numpy()
+        key_all, a_all, b_all, c_all = [], [], [], []
         for i in range(len(qs)):
             norm, need, d = float((qs[i].astype(np.float64) ** 2).sum()), floors[i], ds[i]
             lo = hi = int(np.searchsorted(r, d))
@@ -179,16 +188,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
                 if len(got) == k:
                     need = max(need, int(got[-1]))
                 lo, hi = a, b
+            key_all.append(np.full(len(got), keys_of[i]))
             a_all.append(np.full(len(got), asked_by[i]))
             b_all.append(got_id)
             c_all.append(got)
-        return pa.table([np.concatenate(a_all), np.concatenate(b_all), np.concatenate(c_all)], schema=result)
+        return pa.table([np.concatenate(x) for x in (key_all, a_all, b_all, c_all)], schema=result)
 
     keys = ["cell", "part", "block"]
-    found = dealt.groupBy(*keys).cogroup(going.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score long")
-    # each part sends k rows a query at most: few rows for each query
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("i")))), 1, k).alias("b"))
-    return best.select("query_id", F.posexplode("b").alias("rank", "b")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("b.i").alias("vec_id"), (-F.col("b.s")).alias("score"))
+    found = dealt.groupBy(*keys).cogroup(going.groupBy(*keys)).applyInArrow(search, "key long, query_id long, vec_id long, score long")
+    # each part sends k rows a query at most, of which every task keeps k before they are shuffled
+    order = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

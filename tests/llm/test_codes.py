@@ -332,6 +332,17 @@ def test_top_k(spark, monkeypatch, part):
     assert got == brute_top([(i, None if x is None else [None if c is None else float(np.float32(c)) for c in x]) for i, x in rows], 10)
 
 
+def test_rows_that_repeat_an_id(spark):
+    """Queries of one id have each their own ranks; rows of one id are candidates of their own."""
+    rows = [(100, [1.0, 0.0]), (100, [1.0, 0.0]), (100, [0.0, 1.0]), (1, [0.5, 0.25]), (1, [0.5, 0.25]), (2, [0.25, 0.75]), (3, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in topk.top_k(df, df.where("vec_id = 100"), k=3).collect())
+    m = 1024 * 1024
+    one = [(100, 1, 1, m // 2), (100, 2, 1, m // 2), (100, 3, 2, m // 4)]
+    other = [(100, 1, 2, m * 3 // 4), (100, 2, 1, m // 4), (100, 3, 1, m // 4)]
+    assert got == sorted(one * 2 + other)
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 4.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(df, df.where("vec_id = 0")).collect()] == [(0, 1, 1, 1024 * 1024 * 11)]
