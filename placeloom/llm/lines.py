@@ -81,7 +81,8 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = _documents(df, id_col, text_col)
     lines = places(docs, least_length)
     last = F.lit((1 << 63) - 1)
-    gone = lines.join(shared(lines, least_documents), ["h1", "h2"]).where(F.coalesce("doc_id", last) > F.coalesce("first", last))
+    several = cut(shared(lines, least_documents), "line-shared")  # a table of its own: else a hot line's side of the join can't be split
+    gone = lines.join(several, ["h1", "h2"]).where(F.coalesce("doc_id", last) > F.coalesce("first", last))
     marks = gone.groupBy("doc_id", "t1", "t2").agg(F.sort_array(F.collect_set("pos")).alias("gone")).withColumnsRenamed({"doc_id": "m_id", "t1": "m1", "t2": "m2"})
     own = docs.join(marks, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("t1") == F.col("m1")) & (F.col("t2") == F.col("m2")), "left")
     none = F.array().cast("array<int>")
