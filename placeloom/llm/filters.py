@@ -48,6 +48,7 @@ def masks(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     own = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{part_col}`").cast("string"), F.lit("")).alias("part"), failures(text).alias("own"), F.unhex(F.sha2(text, 256)).alias("digest"))
     own = cut(own, "filter-masks")
     copies = own.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = cut(copies, "filter-copies")  # a table of its own: else a hot text's side of the join can't be split
     told = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     rows = own.join(copies, "digest", "left").join(told, "id", "left")
     copy = F.col("first").isNotNull() & (F.col("id").isNull() | (F.col("id") > F.col("first")))
