@@ -1,5 +1,6 @@
 import gzip
 import json
+import random
 
 import numpy as np
 import pytest
@@ -30,14 +31,50 @@ def test_bands(spark):
     assert bands(spark, []) == []
 
 
-def test_chaining():
-    one = lambda *paths: [p.tolist() for p in rail.chained([np.array(p, float) for p in paths])]
-    assert one([[1, 0], [2, 0]], [[1, 0], [0, 0]]) == [[[0, 0], [1, 0], [2, 0]]]  # turned around
-    assert one([[0, 0], [1, 0]], [[5, 5], [5, 9]]) == [[[0, 0], [1, 0]], [[5, 5], [5, 9]]]
-    assert one([[3, 0], [0, 1]]) == [[[0, 1], [3, 0]]]
-    ring = one([[0, 0], [0, 1], [1, 1]], [[1, 1], [1, 0], [0, 0]])[0]
-    area = sum(a[0] * b[1] - a[1] * b[0] for a, b in zip(ring, ring[1:]))
-    assert ring[0] == ring[-1] and area > 0
+def one_by_one(paths):
+    """Chains by the plain rule, and whether any point has more than two ends: the sign of area and extents by hand."""
+    left, out = dict(enumerate([tuple(map(tuple, p)) for p in paths])), []
+    while left:
+        line = list(left.pop(min(left)))
+        for _ in range(2):
+            while fits := [k for k, p in left.items() if line[-1] in (p[0], p[-1])]:
+                p = left.pop(min(fits))
+                line += (p if p[0] == line[-1] else p[::-1])[1:]
+            line.reverse()
+        dx, dy = line[-1][0] - line[0][0], line[-1][1] - line[0][1]
+        area = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(line, line[1:]))
+        along = (dx if abs(dx) >= abs(dy) else dy) if dx or dy else area
+        out.append(line if along >= 0 else line[::-1])
+    return [[list(p) for p in line] for line in out]
+
+
+def chains(spark, *corridors):
+    rows = [(f"{c},x", c * 1000 + k, [[float(x) for x in p] for p in path]) for c, paths in enumerate(corridors) for k, path in enumerate(paths)]
+    got = rail.chained(spark.createDataFrame(rows, "corridor string, pid long, part array<array<double>>")).orderBy("seed").collect()
+    return [[r.path for r in got if r.corridor == f"{c},x"] for c in range(len(corridors))]
+
+
+def test_chaining(spark):
+    got = chains(spark, [[[1, 0], [2, 0]], [[1, 0], [0, 0]]], [[[0, 0], [1, 0]], [[5, 5], [5, 9]]], [[[3, 0], [0, 1]]], [[[0, 0], [0, 1], [1, 1]], [[1, 1], [1, 0], [0, 0]]], [[[0, 0], [2, 0], [2, 2], [0, 0]]])
+    assert got[0] == [[[0, 0], [1, 0], [2, 0]]]  # turned around
+    assert got[1] == [[[0, 0], [1, 0]], [[5, 5], [5, 9]]] and got[2] == [[[0, 1], [3, 0]]]
+    ring = got[3][0]
+    assert len(got[3]) == 1 and ring[0] == ring[-1] == [0, 0] and sum(a[0] * b[1] - a[1] * b[0] for a, b in zip(ring, ring[1:])) > 0
+    assert got[4] == [[[0, 0], [2, 0], [2, 2], [0, 0]]]  # a ring of one path
+
+
+def test_chains_as_one_by_one(spark):
+    """Long lines, rings and tangles in any order and direction, in several corridors at once."""
+    rng = random.Random(8)
+    corridors = []
+    for k in range(6):
+        line = [[[x, (x * x * 7 + k) % 5], [x + 0.5, k], [x + 1, ((x + 1) * (x + 1) * 7 + k) % 5]] for x in range(rng.randint(1, 40))]
+        circle = [(50 + round(9 * np.cos(t), 3), round(9 * np.sin(t), 3)) for t in np.linspace(0, 6, rng.randint(3, 12))]
+        line += [[list(a), list(b)] for a, b in zip(circle, circle[1:] + circle[:1])]
+        line += [[[rng.randint(100, 103), 0], [rng.randint(100, 103), 1 if k % 2 else 0]] for _ in range(12)]
+        line = [p for j, p in enumerate(line) if p not in line[:j] and p[::-1] not in line[:j]]
+        corridors.append([p if rng.random() < 0.5 else p[::-1] for p in rng.sample(line, len(line))])
+    assert chains(spark, *corridors) == [one_by_one(c) for c in corridors]
 
 
 def test_routes_to_features(spark):
