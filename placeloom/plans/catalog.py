@@ -742,6 +742,26 @@ def page_maps(spark, sf_dir):
     return r.select("page_id", F.col("m.resource").isNotNull().alias("found"), F.json_array_length(F.get_json_object("m.resource", "$.mapPoints")).alias("points"))
 
 
+@query("""
+SELECT page_id, 'Place ' || page_id AS heading, (page_id % 4 + 1)::INTEGER AS links, CASE WHEN page_id % 4 >= 0 THEN 'https://www.google.com/maps/' || page_id END AS google_maps_url, CASE WHEN page_id % 4 >= 1 THEN CASE WHEN page_id % 8 < 4 THEN '020 ' || page_id ELSE '020' || page_id END END AS phone_number,
+  CASE WHEN page_id % 4 >= 2 THEN 'https://www.resy.com/b?x=1&y=' || page_id END AS booking_url, CASE WHEN page_id % 4 >= 3 THEN 'https://own.example.com/' || page_id END AS website_url FROM pages
+""")
+def page_cards(spark, sf_dir):
+    """Cards within whole pages: a link each of the kinds, the phone's number in words or only in its address."""
+    (p,) = load(spark, sf_dir, "pages")
+    k = F.col("page_id").cast("string")
+    anchors = [
+        F.concat(F.lit('<a href="https://www.google.com/maps/'), k, F.lit('"><svg><title>Location</title></svg>9 Back Lane</a>')),
+        F.concat(F.lit('<a href="tel:020'), k, F.lit('"><svg><title>Phone</title></svg>'), F.when(F.col("page_id") % 8 < 4, F.concat(F.lit(" 020\n "), k)).otherwise(""), F.lit("</a>")),
+        F.concat(F.lit('<a href="https://www.resy.com/b?x=1&amp;y='), k, F.lit('">Book</a>')),
+        F.concat(F.lit('<a href="https://own.example.com/'), k, F.lit('"><svg><title>External Link</title></svg>Visit  website</a>')),
+    ]
+    links = F.array_join(F.slice(F.array(*anchors), F.lit(1), (F.col("page_id") % 4 + 1).cast("int")), "")
+    card = F.concat(F.col("html"), F.lit('<div id="c" data-slug="d"><h2> Place <b>'), k, F.lit("</b></h2>"), links, F.lit("</div>"))
+    c = p.select("page_id", html.cards("guide.example.com")(card).alias("cards")).select("page_id", F.element_at("cards", -1).alias("c"))
+    return c.select("page_id", F.col("c.heading").alias("heading"), F.size("c.links").alias("links"), *(F.col(f"c.{f}").alias(f) for f in html.CARD_FIELDS.values()))
+
+
 @query("SELECT event_id, (props->>'$.k')::BIGINT AS k, 0 AS bad FROM events")
 def json_values(spark, sf_dir):
     (e,) = load(spark, sf_dir, "events")

@@ -41,8 +41,9 @@ def _texts(json: Column, path: str, field: str) -> Column:
 
 
 def parsed(pages: DataFrame, own_domain: str = "") -> DataFrame:
-    """pages (path, html, meta) with p: the parts of each page. The only Python step but for descriptions."""
-    return pages.withColumn("p", html.parts(own_domain)(F.col("html")))
+    """pages (path, html, meta) with p: the parts of each page, and its cards. The only Python step but for descriptions."""
+    rows = pages.withColumn("p", html.parts(F.col("html")))
+    return rows.withColumn("p", F.col("p").withField("cards", html.told_apart(F.col("p.found"), own_domain)))
 
 
 def page_table(rows: DataFrame) -> DataFrame:

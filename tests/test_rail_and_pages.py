@@ -135,6 +135,20 @@ def test_saved_pages_to_tables(spark, tmp_path):
     rows.unpersist()
 
 
+def test_card_links(spark):
+    """Every rule of a link's kind and their order; the first that isn't empty fills the field; raw is the card as JSON."""
+    page = """<div id="" data-slug="s"><h2>A</h2><a href="https://maps.google.co.uk/x">Phone</a><a href="tel:"> </a><a href="tel:020  7">Phone</a><a href="tel:9">99 9</a>
+    <a href="https://x.example.com"><title>Booking</title></a><a href="https://www.OpenTable.com/r">Visit website</a><a href="/local">Visit website</a><a href="https://own.example.com/y"><title>Link</title></a>
+    <a href="https://guide.example.com/z"><title>Link</title></a><a href="ftp://x"><title>Link</title></a><a>no address</a></div><div data-slug="no id"></div>"""
+    (c,) = spark.createDataFrame([(page,)], "h string").select(html.cards("guide.example.com")(F.col("h")).alias("c")).first().c
+    assert [x.kind.removeprefix("source_") for x in c.links] == ["google_maps", "phone", "phone", "phone", "booking", "booking", "website", "website", "rendered_card_link", "rendered_card_link"]
+    assert (c.slug, c.heading, c.google_maps_url, c.phone_number, c.booking_url, c.website_url) == ("s", "A", "https://maps.google.co.uk/x", "020 7", "https://x.example.com", "/local")
+    raw = json.loads(c.raw)
+    assert list(raw) == sorted(raw) and raw["links"][0] == {"kind": "source_google_maps", "text": "", "titles": [], "url": "https://maps.google.co.uk/x"}
+    (none,) = spark.createDataFrame([("<div id='a' data-slug='b'></div>",)], "h string").select(html.cards()(F.col("h")).alias("c")).first().c
+    assert none.phone_number is None and none.website_url is None and none.links == [] and json.loads(none.raw)["booking_url"] is None
+
+
 def test_map_choice():
     assert html.chosen_map({"a": [{"mapPoints": [1]}, {"b": {"mapPoints": [1, 2]}}]})[1] == ["root.a[1].b", "root.a[0]"]
     assert html.chosen_map({"mapPoints": []}) == (None, [])
