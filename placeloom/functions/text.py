@@ -191,6 +191,14 @@ def pretty_url(url: Column) -> Column:
     return F.regexp_replace(u, "/$", "")
 
 
+def in_locale(c: Column) -> Column:
+    """A text that compares as readers expect: letters before case, accents beside their letter, punctuation before both.
+
+    Texts that differ by code points only where a reader sees none are equal in it, so an order needs the text itself next.
+    """
+    return F.collate(c, "UNICODE")
+
+
 def casefold(c: Column) -> Column:
     """Lower case in which ß is ss and a final sigma is like any other; of full case folding the rest is lower case."""
     return F.translate(F.replace(F.lower(text(c)), F.lit("ß"), F.lit("ss")), "ς", "σ")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placeloom.functions import geo
-from placeloom.functions.text import address_score, description_key, full_postcode, is_all_caps, is_clean_name, name_key, split_name, text, word_count
+from placeloom.functions.text import address_score, description_key, full_postcode, in_locale, is_all_caps, is_clean_name, name_key, split_name, text, word_count
 from placeloom.functions.url import dedupe_key
 from placeloom.operators.components import components
 from placeloom.storage import stored
@@ -211,7 +211,7 @@ def postcode_clusters(entries: DataFrame) -> DataFrame:
 
 def primary_order() -> list[Column]:
     """Priced first, then a standalone name, then the longest description, then the id."""
-    return [(text(F.col("priceRange")) == ""), ~is_clean_name(F.col("name")), -F.length(text(F.col("description"))), F.lower(F.col("id").cast("string")), F.col("id").cast("string")]
+    return [(text(F.col("priceRange")) == ""), ~is_clean_name(F.col("name")), -F.length(text(F.col("description"))), in_locale(F.col("id").cast("string")), F.col("id").cast("string")]
 
 
 def subset_clusters(entries: DataFrame, metres: float = SUBSET_METRES) -> DataFrame:
@@ -265,7 +265,7 @@ def merged(entries: DataFrame) -> DataFrame:
         "id", "name", "lat", "lon", "priceRange", "description", *optional,
         F.struct(*primary_order()).alias("rank"), (text(F.col("priceRange")) == "").alias("unpriced"), (-F.length(text(F.col("description")))).alias("length"), description_key(F.col("description")).alias("description_key"),
         F.when(F.trim(text(F.col("websiteUrl"))) != "", dedupe_key(F.col("websiteUrl"))).alias("url_key"), address.alias("address"), (-address_score(address)).alias("address_rank"),
-        base.alias("base"), F.struct(word_count(base), is_all_caps(base), F.length(base), F.lower(base), base.alias("b")).alias("simple"), F.col("__split.dish").alias("dish"), F.lower("__split.dish").alias("dish_key"),
+        base.alias("base"), F.struct(word_count(base), is_all_caps(base), F.length(base), in_locale(base), base.alias("b")).alias("simple"), F.col("__split.dish").alias("dish"), F.lower("__split.dish").alias("dish_key"),
     )
     m = rows.groupBy("final_id").agg(F.array_sort(F.collect_list(one)).alias("m"), F.min_by("id", F.struct(*primary_order())).alias("id"))
     said = F.array_sort(F.transform("m", lambda x, i: F.struct(x["unpriced"], x["length"], i.alias("i"), x["description_key"].alias("key"), x["description"].alias("text"), x["pageTitle"].alias("pageTitle"), x["entryUrl"].alias("entryUrl"))))
@@ -298,7 +298,7 @@ def merged(entries: DataFrame) -> DataFrame:
 
 
 def resolved(entries: DataFrame) -> DataFrame:
-    return merged(clustered(entries)).orderBy(F.lower(F.col("id").cast("string")), F.col("id").cast("string"))
+    return merged(clustered(entries)).orderBy(in_locale(F.col("id").cast("string")), F.col("id").cast("string"))
 
 
 def report(entries: DataFrame, places: DataFrame, largest: int = 10) -> tuple[DataFrame, DataFrame]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placeloom.functions import geo
-from placeloom.functions.text import joined_lower
+from placeloom.functions.text import in_locale, joined_lower
 from placeloom.operators.positions import numbered
 
 #: Price tiers in the order of the in-view list, then places without one.
@@ -85,7 +85,7 @@ def in_view(df: DataFrame, box: tuple[float, float, float, float] | None = None,
     if box:
         rows = rows.where(F.col("lon").between(box[0], box[2]) & F.col("lat").between(box[1], box[3]))
     rows = rows.withColumn("metres", geo.haversine(F.lit(geo.CITY_LAT), F.lit(geo.CITY_LON), F.col("lat"), F.col("lon")))
-    return rows.orderBy(tier_rank(F.col("priceRange")), "metres", "name", "ordinal").limit(limit)
+    return rows.orderBy(tier_rank(F.col("priceRange")), "metres", in_locale(F.col("name")), "name", "ordinal").limit(limit)
 
 
 def overflow(df: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from placeloom.functions import geo
-from placeloom.functions.text import station_key
+from placeloom.functions.text import in_locale, station_key
 
 LIST_MOST = 6
 STOP_METRES, LINE_METRES, MERGE_METRES = 300.0, 150.0, 900.0
@@ -41,10 +41,10 @@ def stations_within(roots: DataFrame, stations: DataFrame, max_minutes: int = ge
     near = near.withColumn("minutes", geo.walk_minutes(F.col("metres")))
     near = near.withColumn("__first", F.min("minutes").over(Window.partitionBy("root_id"))).where(F.col("minutes") <= geo.reach_minutes(F.col("__first"), bands, floor))
     lines = near.select("root_id", "name", "lat", "lon", "metres", "minutes", F.posexplode("lines").alias("at", "line"))
-    nearest = Window.partitionBy("root_id", "line.name").orderBy("metres", "name", "lat", "lon", "at")
+    nearest = Window.partitionBy("root_id", "line.name").orderBy("metres", in_locale(F.col("name")), "name", "lat", "lon", "at")
     adds = lines.withColumn("__n", F.row_number().over(nearest)).where("__n = 1")
     rows = adds.groupBy("root_id", "name", "lat", "lon", "metres", "minutes").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]).alias("lines"))
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("root_id").orderBy("metres", "name", "lat", "lon")))
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("root_id").orderBy("metres", in_locale(F.col("name")), "name", "lat", "lon")))
     return rows.where(F.col("place") <= limit) if limit > 0 else rows
 
 
@@ -115,7 +115,7 @@ def merge_stations(nodes: DataFrame, most: float = MERGE_METRES) -> DataFrame:
 
 def ordered_lines(lines):
     """Transport for London first, then by name."""
-    return F.transform(F.array_sort(F.transform(lines, lambda x: F.struct((~x["tfl"]).alias("o"), F.lower(x["name"]).alias("k"), x.alias("x")))), lambda s: s["x"])
+    return F.transform(F.array_sort(F.transform(lines, lambda x: F.struct((~x["tfl"]).alias("o"), in_locale(x["name"]).alias("k"), x.alias("x")))), lambda s: s["x"])
 
 
 def assign_lines(nodes: DataFrame, stops: DataFrame, drawn: DataFrame) -> DataFrame:

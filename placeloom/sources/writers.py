@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from placeloom.functions.text import in_locale
 from placeloom.functions.url import storage_path
 from placeloom.storage import shared_dir
 
@@ -93,7 +94,7 @@ def resolution(entries: DataFrame, places: DataFrame, stats: DataFrame, path: st
     counts, _ = report(entries, places)
     if write:
         n = counts.select("entries", "places").first()
-        places_document(places, stats.withColumns({"entryCount": F.lit(n.entries), "restaurantCount": F.lit(n.places)}), path, [F.lower(F.col("id").cast("string")), F.col("id").cast("string")])
+        places_document(places, stats.withColumns({"entryCount": F.lit(n.entries), "restaurantCount": F.lit(n.places)}), path, [in_locale(F.col("id").cast("string")), F.col("id").cast("string")])
     return counts
 
 

@@ -125,6 +125,15 @@ def test_geometry(spark):
     assert [one(text.half_up(F.lit(x))) for x in (-2.5, 2.5)] == [-2.0, 3.0]
 
 
+def test_order_of_a_locale(spark):
+    """Punctuation, digits, letters; then accents; then case, small letters first. Lists and lines go by it."""
+    want = ["_a", "10", "9", "E clair", "e-clair", "eclair", "Eclair", "éclair", "Zoe", "zoo"]
+    rows = spark.createDataFrame([(k, n, None, 51.5, -0.1) for k, n in enumerate(reversed(want))], "ordinal long, name string, priceRange string, lat double, lon double")
+    assert [r.name for r in search.in_view(rows).collect()] == want
+    lines = spark.createDataFrame([([(n, n == "zoo") for n in reversed(want)],)], "l array<struct<name: string, tfl: boolean>>")
+    assert [x.name for x in lines.select(stations.ordered_lines(F.col("l"))).first()[0]] == ["zoo", *want[:-1]]
+
+
 def test_fans(spark):
     rows = spark.createDataFrame([(0, "a", None, 0.0, 0.0), (1, "b", "$", 20.0, 0.0), (2, "c", None, 40.0, 0.0)], "ordinal long, id string, priceRange string, x double, y double")
     members = search.overlapping(rows, 0.0, 0.0)
