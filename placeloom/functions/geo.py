@@ -57,6 +57,23 @@ def cells_between(low: Column, high: Column, cell: float = CELL) -> Column:
     return F.sequence(F.floor(low / cell), F.floor(high / cell))
 
 
+def cells_along(ax: Column, ay: Column, bx: Column, by: Column, cell: float = CELL) -> Column:
+    """The cells that a segment goes through, as an array of struct(row, col): in each row those between where it enters and leaves.
+
+    Their number grows with the segment's length, not with the area of its box. Millimetres to both sides count as touched.
+    """
+    low, high, edge = F.least(ay, by), F.greatest(ay, by), 1e-3
+
+    def of_row(row: Column) -> Column:
+        enter, leave = F.greatest(low, row * cell), F.least(high, (row + 1) * cell)
+        at = lambda y: F.when(ay == by, ax).otherwise(ax + (y - ay) * (bx - ax) / (by - ay))
+        first, last = (F.when(ay == by, v).otherwise(at(y)) for v, y in ((ax, enter), (bx, leave)))
+        left, right = F.greatest(F.least(first, last), F.least(ax, bx)), F.least(F.greatest(first, last), F.greatest(ax, bx))
+        return F.transform(cells_between(left - edge, right + edge, cell), lambda col: F.struct(row.alias("row"), col.alias("col")))
+
+    return F.flatten(F.transform(cells_between(low, high, cell), of_row))
+
+
 def has_coordinates(lat: Column, lon: Column) -> Column:
     ok = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(math.inf))
     return F.coalesce(ok(lat) & ok(lon), F.lit(False))

@@ -71,10 +71,12 @@ def segments(lines: DataFrame) -> DataFrame:
 
 
 def lines_beside(stations: DataFrame, lines: DataFrame, most: float = LINE_METRES, cell: float = geo.CELL) -> DataFrame:
-    """(ordinal, line): the lines with a segment within ``most`` metres of a station; a cell must be as wide at least."""
+    """(ordinal, line): the lines with a segment within ``most`` metres of a station; a cell must be as wide at least.
+
+    A segment is in the cells that it goes through, a station looks in its own and the eight around it.
+    """
     assert cell >= most
-    s = segments(lines)
-    s = s.withColumn("col", F.explode(geo.cells_between(F.least("ax", "bx"), F.greatest("ax", "bx"), cell))).withColumn("row", F.explode(geo.cells_between(F.least("ay", "by"), F.greatest("ay", "by"), cell)))
+    s = segments(lines).select("*", F.inline(geo.cells_along(*(F.col(c) for c in ("ax", "ay", "bx", "by")), cell)))
     p = stations.select("ordinal", geo.plane_x(F.col("lon")).alias("px"), geo.plane_y(F.col("lat")).alias("py"))
     near = lambda c: F.explode(F.sequence(F.floor(F.col(c) / cell) - 1, F.floor(F.col(c) / cell) + 1))
     p = p.withColumn("col", near("px")).withColumn("row", near("py"))

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,6 +126,26 @@ def test_geometry(spark):
     assert [one(text.half_up(F.lit(x))) for x in (-2.5, 2.5)] == [-2.0, 3.0]
 
 
+def test_cells_of_segments(spark):
+    """Every point of a segment is in one of its cells; their number grows with its length; links are those of all pairs."""
+    rng = random.Random(6)
+    rows = [tuple(rng.uniform(-3000, 3000) for _ in range(4)) for _ in range(60)] + [(0.0, 0.0, 2500.0, 0.0), (5.0, -900.0, 5.0, 900.0), (7.0, 7.0, 7.0, 7.0), (150.0, 150.0, 300.0, 300.0), (0.0, 0.0, 1e5, 1e5)]
+    got = spark.createDataFrame(rows, "ax double, ay double, bx double, by double").select("*", geo.cells_along(*map(F.col, ("ax", "ay", "bx", "by")), 150.0).alias("cells")).collect()
+    for r in got:
+        cells = {(c.row, c.col) for c in r.cells}
+        for k in range(400):
+            t = k / 399
+            assert (math.floor((r.ay + t * (r.by - r.ay)) / 150), math.floor((r.ax + t * (r.bx - r.ax)) / 150)) in cells
+        assert len(cells) <= 2 * (abs(r.bx - r.ax) + abs(r.by - r.ay)) / 150 + 6
+    points = [(k, f"S{k}", rng.uniform(-0.2, 0.2), 51.5 + rng.uniform(-0.1, 0.1), []) for k in range(150)]
+    lines = [(f"L{k}", [[rng.uniform(-0.2, 0.2), 51.5 + rng.uniform(-0.1, 0.1)] for _ in range(3)]) for k in range(8)]
+    p = spark.createDataFrame(points, "ordinal long, name string, lon double, lat double, lines array<string>")
+    found = stations.lines_beside(p, spark.createDataFrame(lines, "line string, path array<array<double>>"))
+    every = stations.segments(spark.createDataFrame(lines, "line string, path array<array<double>>")).join(p.select("ordinal", geo.plane_x(F.col("lon")).alias("px"), geo.plane_y(F.col("lat")).alias("py")), how="cross")
+    want = every.where(geo.segment_distance_squared(*map(F.col, ("px", "py", "ax", "ay", "bx", "by"))) <= stations.LINE_METRES**2).select("ordinal", "line").distinct()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and want.count() > 5
+
+
 def test_order_of_a_locale(spark):
     """Punctuation, digits, letters; then accents; then case, small letters first. Lists and lines go by it."""
     want = ["_a", "10", "9", "E clair", "e-clair", "eclair", "Eclair", "éclair", "Zoe", "zoo"]
