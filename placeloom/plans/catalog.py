@@ -583,19 +583,28 @@ def _entries(spark, sf_dir):
     return p.withColumns({"lat": 51.5 + F.col("ordinal") * 7919 % 997 / 10000.0, "lon": -0.1 + F.col("ordinal") * 104729 % 991 / 10000.0, "entryUrl": F.concat(F.lit("https://guide.example.com/"), (F.col("ordinal") % 50).cast("string")), "websiteUrl": F.concat(F.lit("http://www.x.example.com/"), F.col("name"), F.lit("/")), "phone": F.when(F.col("ordinal") % 3 == 0, "020 1")})
 
 
-@query("""
-WITH RECURSIVE e AS (SELECT p_partkey AS ordinal, p_brand AS name, radians(51.5 + p_partkey * 7919 % 997 / 10000.0::DOUBLE) AS y, radians(-0.1 + p_partkey * 104729 % 991 / 10000.0::DOUBLE) AS x FROM part),
-l AS (SELECT b.ordinal AS a, a.ordinal AS b FROM e a JOIN e b ON a.name = b.name AND a.ordinal < b.ordinal AND abs(a.y - b.y) < 0.00004
-  WHERE 2 * 6371000 * asin(sqrt(sin((b.y - a.y) / 2) ** 2 + cos(a.y) * cos(b.y) * sin((b.x - a.x) / 2) ** 2)) <= 200),
-r AS (SELECT ordinal, ordinal AS reached FROM e UNION SELECT r.ordinal, l.b FROM r JOIN l ON l.a = r.reached)
-SELECT ordinal, min(reached) AS geo_id FROM r GROUP BY ordinal
-""")
+_PLACED = "p_partkey AS ordinal, radians(51.5 + p_partkey * 7919 % 997 / 10000.0::DOUBLE) AS y, radians(-0.1 + p_partkey * 104729 % 991 / 10000.0::DOUBLE) AS x"
+#: Rows of one name by name and distance; the first come first served clusters of 200 m: the smallest ordinal reached over earlier rows.
+_NEAR = """l AS (SELECT b.ordinal AS a, a.ordinal AS b, 2 * 6371000 * asin(sqrt(sin((b.y - a.y) / 2) ** 2 + cos(a.y) * cos(b.y) * sin((b.x - a.x) / 2) ** 2)) AS d
+  FROM e a JOIN e b ON a.name_key = b.name_key AND a.ordinal < b.ordinal AND abs(a.y - b.y) < 0.00004),
+r AS (SELECT ordinal, ordinal AS reached FROM e UNION SELECT r.ordinal, l.b FROM r JOIN l ON l.a = r.reached AND l.d <= 200),
+g AS (SELECT ordinal, min(reached) AS geo_id FROM r GROUP BY ordinal)"""
+
+
+@query(f"WITH RECURSIVE e AS (SELECT p_brand AS name_key, {_PLACED} FROM part), {_NEAR} SELECT ordinal, geo_id FROM g")
 def name_clusters(spark, sf_dir):
     """Places of one name within 200 m, first come first served."""
     return dedupe.geo_clusters(dedupe.keyed(_entries(spark, sf_dir).withColumn("name", F.regexp_replace("address", ",.*", "")))).select("ordinal", "geo_id")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE e AS (SELECT p_name AS name_key, 'E' || 1 + p_size % 18 || ' ' || p_partkey % 9 || 'AB' AS code, {_PLACED} FROM part), {_NEAR},
+c AS (SELECT DISTINCT name_key, code, geo_id FROM e JOIN g USING (ordinal)), ce AS (SELECT a.geo_id AS a, b.geo_id AS b FROM c a JOIN c b USING (name_key, code) WHERE a.geo_id <> b.geo_id),
+r2 AS (SELECT DISTINCT geo_id AS node, geo_id AS reached FROM g UNION SELECT r2.node, ce.b FROM r2 JOIN ce ON ce.a = r2.reached), p AS (SELECT node AS geo_id, min(reached) AS place_id FROM r2 GROUP BY node),
+q AS (SELECT ordinal, geo_id, place_id FROM g JOIN p USING (geo_id)), h AS (SELECT a.place_id AS a, b.place_id AS b FROM l JOIN q a ON a.ordinal = l.a JOIN q b ON b.ordinal = l.b WHERE l.d <= 60 AND a.place_id <> b.place_id), fe AS (SELECT a, b FROM h UNION SELECT b, a FROM h),
+r3 AS (SELECT DISTINCT place_id AS node, place_id AS reached FROM p UNION SELECT r3.node, fe.b FROM r3 JOIN fe ON fe.a = r3.reached), f AS (SELECT node AS place_id, min(reached) AS final_id FROM r3 GROUP BY node)
+SELECT ordinal, name_key, geo_id, place_id, final_id FROM e JOIN q USING (ordinal) JOIN f USING (place_id)
+""")
 def entity_clusters(spark, sf_dir):
     return dedupe.clustered(_entries(spark, sf_dir)).select("ordinal", "name_key", "geo_id", "place_id", "final_id")
 
