@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from placeloom.functions import geo, html, text, url
 from placeloom.operators import audit, components, dedupe, manifest, rail, search, stations, validate
-from placeloom.plans import public
+from placeloom.plans import pages, public
 from placeloom.plans.inputs import ENTRIES, PAGES, PLACES, STATIONS, derived, in_duckdb, load
 from placeloom.sources import readers, robots
-from placeloom.storage import scratch
+from placeloom.storage import scratch, stored
 from placeloom.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -771,6 +771,61 @@ def page_cards(spark, sf_dir):
     return c.select("page_id", F.col("c.heading").alias("heading"), F.size("c.links").alias("links"), *(F.col(f"c.{f}").alias(f) for f in html.CARD_FIELDS.values()))
 
 
+def _saved(spark, sf_dir):
+    """Pages as saved, each with a map of one to three points in the document it carries; every seventh has none."""
+    (p,) = load(spark, sf_dir, "pages")
+    k, words = F.col("page_id"), lambda *x: F.concat(*(v.cast("string") if not isinstance(v, str) else F.lit(v) for v in x))
+    said = lambda i: F.filter(F.array(words("Fine food, number ", i, " of all."), F.lit("Open for: Lunch"), F.when(i == 1, "Price: about $$")), lambda t: t.isNotNull())
+    point = lambda i: F.struct(
+        words("P", k, "-", i).alias("name"), words("s", i).alias("slug"), words(i + 1, " Back Lane").alias("address"), F.struct((51.5 + i / 8).alias("latitude"), F.when(i < 2, -0.125).alias("longitude")).alias("location"),
+        F.transform(said(i), lambda t: F.struct(t.alias("plaintext"))).alias("description"), F.struct(words(k, i).alias("id"), words("v", i).alias("slug"), words("P", k, "-", i).alias("title")).alias("venue"),
+        F.when(i == 0, words("https://own", k, ".example.com/")).alias("url"), F.when(i == 1, words("020 ", k)).alias("phone"),
+    )
+    block = F.struct(F.lit("CoreParagraphBlockType").alias("__typename"), F.array(F.struct(words("Hi <b>reader ", k, "</b>, <a href='https://l.example.com/x'>there</a>").alias("html"))).alias("paragraphContents"))
+    node = F.struct(
+        words(k).alias("id"), words("Guide ", k).alias("title"), words("https://g.example.com/maps/", k).alias("permalink"), (k % 1000).alias("wordCount"), F.array(F.struct(F.lit("N").alias("name"), F.lit("https://g.example.com/n").alias("permalink"))).alias("authors"),
+        F.transform(F.sequence(F.lit(0).cast("long"), k % 3), point).alias("mapPoints"), F.array(block).alias("blocks"),
+    )
+    script = F.concat(F.lit('<script id="__NEXT_DATA__" type="x">{"props":{"pageProps":{"hydration":{"responses":[{},{"data":{"node":'), F.to_json(node), F.lit("}}]}}}}</script>"))
+    meta = F.to_json(F.struct(words("https://g.example.com/maps/", k).alias("url"), words("https://g.example.com/maps/", k, "/").alias("final_url"), F.lit(200).alias("status_code")))
+    return pages.parsed(p.select(words("saved/", k, ".html.gz").alias("path"), F.when(k % 7 == 0, F.col("html")).otherwise(F.concat("html", script)).alias("html"), meta.alias("meta")))
+
+
+@query("""
+SELECT CASE WHEN page_id % 7 > 0 THEN page_id::VARCHAR END AS id, CASE WHEN page_id % 7 > 0 THEN 'Guide ' || page_id END AS title, 'https://g.example.com/maps/' || page_id || CASE WHEN page_id % 7 > 0 THEN '' ELSE '/' END AS url, CASE WHEN page_id % 7 > 0 THEN (page_id % 1000)::VARCHAR END AS words,
+  CASE WHEN page_id % 7 > 0 THEN page_id % 3 + 1 ELSE 0 END::INTEGER AS points, CASE WHEN page_id % 7 > 0 THEN 'Hi reader ' || page_id || ' , there' END AS overview, 200 AS status, page_id % 7 = 0 AS failed FROM pages
+""")
+def page_tables(spark, sf_dir):
+    """The pages table of saved pages."""
+    t = pages.page_table(_saved(spark, sf_dir))
+    whole = F.col("parse_error").isNull()
+    return t.select(F.when(whole, F.col("page_id")).alias("id"), F.col("page_title").alias("title"), F.col("page_url").alias("url"), F.col("word_count").alias("words"), F.col("map_point_count").alias("points"), F.col("page_overview_text").alias("overview"), F.col("status_code").alias("status"), (~whole).alias("failed"))
+
+
+@query("""
+SELECT page_id || ':00' || i + 1 AS id, (i + 1)::INTEGER AS position, 'P' || page_id || '-' || i AS name, i + 1 || ' Back Lane' AS address, 51.5::DOUBLE + i / 8 AS lat, CASE WHEN i < 2 THEN -0.125::DOUBLE END AS lon, 'Lunch' AS open_for, CASE WHEN i = 1 THEN '$$' END AS price,
+  'https://g.example.com/maps/' || page_id || '#v' || i AS anchor, CASE WHEN i < 2 THEN 'generated_coordinates' ELSE 'generated_address' END AS maps, CASE WHEN i = 0 THEN 'https://own' || page_id || '.example.com/' END AS website, CASE WHEN i = 1 THEN '020 ' || page_id END AS phone, page_id || '' || i AS venue
+FROM pages, unnest(range(page_id % 3 + 1)) u(i) WHERE page_id % 7 > 0
+""")
+def entry_tables(spark, sf_dir):
+    """The entries table of saved pages."""
+    t = pages.entry_table(_saved(spark, sf_dir))
+    return t.select(F.col("entry_id").alias("id"), F.col("entry_position").alias("position"), F.col("restaurant_name").alias("name"), "address", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), "open_for", F.col("price_range").alias("price"), F.col("entry_anchor_url").alias("anchor"), F.col("google_maps_link_source").alias("maps"), F.col("website_url").alias("website"), F.col("phone_number").alias("phone"), F.col("venue_id").alias("venue"))
+
+
+@query("""
+WITH g AS (SELECT count(*) AS n FROM pages WHERE page_id % 7 > 0), e AS (SELECT i FROM pages, unnest(range(page_id % 3 + 1)) u(i) WHERE page_id % 7 > 0)
+SELECT 'page' AS scope, 'body_link' AS kind, 'l.example.com' AS domain, 1 AS external, n AS links FROM g UNION ALL SELECT 'page', 'author', 'g.example.com', 0, n FROM g UNION ALL SELECT 'page', 'page_url', 'g.example.com', 0, n FROM g
+UNION ALL SELECT 'entry', 'entry_anchor', 'g.example.com', 0, count(*) FROM e UNION ALL SELECT 'entry', 'generated_venue', 'g.example.com', 0, count(*) FROM e UNION ALL SELECT 'entry', 'generated_google_maps_search', 'google.com', 1, count(*) FROM e
+UNION ALL SELECT 'entry', 'restaurant_website', 'example.com', 1, count(*) FROM e WHERE i = 0
+""")
+def link_tables(spark, sf_dir):
+    """Links of saved pages and their entries by kind; the venues' own hosts count as one."""
+    rows = stored(_saved(spark, sf_dir), "parsed")
+    t = pages.link_table(rows, pages.page_table(rows), pages.entry_table(rows))
+    return t.groupBy("scope", F.col("link_kind").alias("kind"), F.regexp_replace("domain", "^own[0-9]+\\.|^www\\.", "").alias("domain"), F.col("is_external").alias("external")).agg(F.count("*").alias("links"))
+
+
 @query("SELECT event_id, (props->>'$.k')::BIGINT AS k, 0 AS bad FROM events")
 def json_values(spark, sf_dir):
     (e,) = load(spark, sf_dir, "events")
