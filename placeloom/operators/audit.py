@@ -2,32 +2,94 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from placeloom.functions.url import normalize_url
+from placeloom.storage import stored
 
 #: A rule: priority, name, kind (exact, prefix or regex), value, expected in a sitemap, notes.
 RULE = "priority int, name string, kind string, value string, expected boolean, notes string"
 SAMPLES = 3
 #: Patterns that are tried on the URLs at once; more of them are tried in blocks of about so many.
 FEW_RULES = 10_000
+#: Patterns from which on an index of the texts that they need is made; characters of an entry of it.
+INDEX_FROM, GRAM = 64, 4
 
 
 def rules_frame(spark: SparkSession, rules: list[tuple]) -> DataFrame:
     return spark.createDataFrame([(*r, "")[:6] for r in rules], RULE)
 
 
+def required_texts(pattern: str | None) -> list[str]:
+    """Texts that every match of a pattern holds, as far as they are told without groups, classes and choices."""
+    runs, depth, at, pattern = [""], 0, 0, pattern or ""
+    if "(?" in pattern or "\\Q" in pattern:
+        return []
+    while at < len(pattern):
+        c, end, own = pattern[at], at + 1, ""
+        if c == "\\":
+            end, own = at + 2, "" if pattern[at + 1 : at + 2].isalnum() else pattern[at + 1 : at + 2]
+        elif c == "[":
+            inner = re.compile(r"\[\^?\]?(?:[^\[\]\\]|\\.)*\]", re.DOTALL).match(pattern, at)
+            if inner is None:
+                return []
+            end = inner.end()
+        elif c == "{":
+            end = pattern.find("}", at) + 1 or len(pattern)
+        elif c == "|" and not depth:
+            return []
+        elif c not in "().^$*+?|}":
+            own = c
+        depth += (c == "(") - (c == ")")
+        then = pattern[end : end + 1]
+        if own and not depth and then not in ("*", "?", "{"):
+            runs[-1] += own
+            own = "" if then == "+" else own
+        else:
+            own = ""
+        if not own:
+            runs.append("")
+        at = end
+    return [r for r in runs if r]
+
+
+def _required(patterns: Column) -> Column:
+    """The needed texts of at least GRAM characters."""
+    return F.arrow_udf(lambda values: pa.array([[t for t in required_texts(v) if len(t) >= GRAM] for v in values.to_pylist()], pa.list_(pa.string())), "array<string>")(patterns)
+
+
+def _grams(value: Column) -> Column:
+    """The distinct texts of GRAM characters within a text."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(value) - GRAM + 1)), lambda i: F.substring(value, i, F.lit(GRAM))))
+
+
+def candidates(urls: DataFrame, patterns: DataFrame) -> DataFrame:
+    """urls (url, is_sitemap, norm) beside the patterns (with a column needs) whose needed texts they hold.
+
+    Of the texts of GRAM characters within those that a pattern needs, the one that the fewest URLs hold is its entry; a URL meets only
+    the patterns of the entries that it holds.
+    """
+    held = urls.select("*", F.explode(_grams(F.col("norm"))).alias("gram"))
+    entries = patterns.select("rule_id", F.explode(F.array_distinct(F.flatten(F.transform("needs", _grams)))).alias("gram"))
+    counts = held.join(entries.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = entries.join(counts, "gram", "left").groupBy("rule_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("e")).select("rule_id", F.col("e.gram").alias("gram"))
+    return held.join(patterns.join(rarest, "rule_id"), "gram").where(F.forall("needs", lambda t: F.contains(F.col("norm"), t)))
+
+
 def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """(rule_id, url) of rules (with rule_id) and urls (url, is_sitemap) that match.
 
     URLs are compared normalised without queries. The values of exact and prefix rules are normalised too,
     so a prefix loses a closing slash. Content URLs are in the search space of all rules; sitemaps
     only in that of rules whose value begins with https:// and holds /sitemaps/. Exact and prefix rules are equi
-    joins: a URL is looked up by its beginnings of the lengths that prefixes have. Patterns can only be tried, on every
-    URL, in blocks that are broadcast.
+    joins: a URL is looked up by its beginnings of the lengths that prefixes have. A pattern is tried on the URLs that hold the
+    texts it needs (candidates()); where there are few patterns, or one needs no text of GRAM characters, on every URL, in blocks
+    that are broadcast.
     """
     u = urls.select("url", "is_sitemap", normalize_url(F.col("url"), keep_query=False).alias("norm"))
     r = rules.withColumns({"wanted": F.when(F.col("kind") == "regex", F.col("value")).otherwise(normalize_url(F.col("value"), keep_query=False)), "with_sitemaps": F.startswith("value", F.lit("https://")) & F.contains("value", F.lit("/sitemaps/"))})
@@ -39,6 +101,10 @@ def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
     starts = u.select("url", "is_sitemap", F.explode(F.transform(begins, lambda n: F.substring(F.col("norm"), F.lit(1), n))).alias("start"))
     found = [exact, prefixes.join(starts, F.col("start") == F.col("wanted")).where(space)]
     patterns = r.where("kind = 'regex'")
+    if patterns.count() >= INDEX_FROM:
+        patterns = stored(patterns.withColumn("needs", _required(F.col("wanted"))), "patterns")
+        found.append(candidates(u, patterns.where(F.size("needs") > 0)).where(F.rlike("norm", F.col("wanted")) & space))
+        patterns = patterns.where(F.size("needs") == 0)
     blocks = -(-patterns.count() // FEW_RULES)
     for k in range(blocks):
         block = patterns.where(F.pmod(F.xxhash64("rule_id"), F.lit(blocks)) == k)

@@ -146,6 +146,32 @@ def test_rows_of_csv_files_are_numbered_without_gaps(spark, tmp_path):
     assert got == list(enumerate(["a0", "a1", "a2", "b0", "b1", "c0", "c1", "c2", "c3"]))
 
 
+@pytest.mark.parametrize(
+    ("pattern", "text"),
+    [(r"^https?://[^/]+/en/\d+$", "http"), (r"/maps/best\-of\.html", "/maps/best-of.html"), (r"abcd?e", "abc"), (r"abc+de", "abc"), (r"ab{2,30}cdef", "cdef"), (r"(abcdef)?gh", "gh"), (r"abcd|efgh", ""), (r"(ab|cd)efg", "efg"), (r"(?i)abcd", ""), (r"[]x]abc[^]]", "abc"), (r"x[a[bcde]]y", ""), (r"", ""), (None, ""), (r"a.*bcd", "bcd"), (r"\Qa.b\E", "")],
+)
+def test_text_that_a_pattern_needs(pattern, text):
+    from placeloom.operators import audit
+
+    assert max(audit.required_texts(pattern), key=len, default="") == text
+
+
+def test_patterns_by_index(spark, monkeypatch):
+    """The index gives the matches of the nested loop, and a URL meets few patterns."""
+    from placeloom.operators import audit
+
+    rng = random.Random(9)
+    words = ["maps", "best", "pubs", "soho", "guide", "list", "wine", "bars"]
+    urls = spark.createDataFrame([(f"https://guide.example.com/{rng.choice(words)}/{rng.choice(words)}-{k}", k % 9 == 0) for k in range(300)], "url string, is_sitemap boolean")
+    kinds = [lambda: f"/{rng.choice(words)}/", lambda: f"{rng.choice(words)}-{rng.randrange(300)}$", lambda: rf"/{rng.choice(words)}s?/[a-z]+-\d{rng.randrange(10)}", lambda: f"({rng.choice(words)}|{rng.choice(words)})-1", lambda: f"^https://.*{rng.choice(words)}-{rng.randrange(300)}", lambda: "nothing-like-it"]
+    rules = spark.createDataFrame([(k, "regex", rng.choice(kinds)()) for k in range(150)], "rule_id int, kind string, value string")
+    got = sorted(map(tuple, audit.matches(urls, rules).collect()))
+    met = audit.candidates(urls.withColumn("norm", F.col("url")), rules.withColumns({"wanted": F.col("value"), "needs": audit._required(F.col("value"))}).where("size(needs) > 0")).count()
+    monkeypatch.setattr(audit, "INDEX_FROM", 10**9)
+    assert got == sorted(map(tuple, audit.matches(urls, rules).collect())) and len(got) > 500
+    assert met < 300 * 150 / 10
+
+
 def test_rules_by_equi_join_and_in_blocks(spark, monkeypatch):
     from placeloom.operators import audit
 
