@@ -3,18 +3,24 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from placeloom.functions import geo
 from placeloom.functions.text import in_locale, station_key
+from placeloom.operators.components import components
+from placeloom.storage import stored
 
 LIST_MOST = 6
 STOP_METRES, LINE_METRES, MERGE_METRES = 300.0, 150.0, 900.0
 #: Degrees of latitude up to which the cells of a walk hold; farther north or south, pass a higher one.
 MOST_LAT = 66.0
+#: Nodes of a connected run of one name that one task folds; a larger one goes in rounds over tiles of TILE x TILE cells.
+RUN_ROWS = 50_000
+TILE = 16
 
 
 def _cells(lat, lon, metres: float, most_lat: float):
@@ -84,35 +90,145 @@ def lines_beside(stations: DataFrame, lines: DataFrame, most: float = LINE_METRE
     return p.join(s, ["col", "row"]).where(d <= most * most).select("ordinal", "line").distinct()
 
 
-def merge_stations(nodes: DataFrame, most: float = MERGE_METRES) -> DataFrame:
+def _folded(most: float):
+    """Function of batches of clusters (kind 0) and nodes (kind 1) sorted by (run, tile_x, tile_y, kind, ordinal): what nodes settle.
+
+    A node joins the first cluster, by founder, whose mean lies within ``most`` metres, or founds one. Nodes after their ``until`` wait,
+    and so do those behind a waiting one of the cells around. Rows out: settled nodes (kind 1) and the clusters that changed
+    (kind 0). One tile's clusters are held at a time, never its nodes.
+    """
+    per_lon, side = geo.PER_LON * math.cos(math.radians(geo.FIXED_LAT)), 2 * most
+    names = ["run", "tile_x", "tile_y", "kind", "ordinal", "lon", "lat", "members", "until", "cell_x", "cell_y"]
+
+    def cell(c: list) -> tuple[int, int]:
+        return math.floor(c[1] * per_lon / side), math.floor(c[2] * geo.PER_LAT / side)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, grid, changed, waiting = None, {}, {}, set()
+
+        def out(rows: list) -> pa.RecordBatch:
+            cols = zip(*rows) if rows else [()] * 7
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["run", "kind", "ordinal", "founder", "lon", "lat", "members"])
+
+        def done() -> list:
+            return [(tile[0], 0, f, f, c[1], c[2], c[3]) for f, c in changed.items()]
+
+        for batch in batches:
+            rows = []
+            for r in zip(*(batch.column(n).to_pylist() for n in names)):
+                if r[:3] != tile:
+                    rows += done()
+                    tile, grid, changed, waiting = r[:3], {}, {}, set()
+                _, _, _, kind, ordinal, lon, lat, members, until, x, y = r
+                if kind == 0:
+                    c = [ordinal, lon, lat, members]
+                    grid.setdefault(cell(c), {})[ordinal] = c
+                    continue
+                around = [(x + i, y + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+                if until is not None and ordinal > until or not waiting.isdisjoint(around):
+                    waiting.add((x, y))
+                    continue
+                near = [c for k in around for c in grid.get(k, {}).values() if math.hypot((lon - c[1]) * per_lon, (lat - c[2]) * geo.PER_LAT) <= most]
+                if near:
+                    c = min(near)
+                    before, n = cell(c), c[3]
+                    c[1:] = (c[1] * n + lon) / (n + 1), (c[2] * n + lat) / (n + 1), n + 1
+                    if cell(c) != before:
+                        grid[before].pop(c[0])
+                        grid.setdefault(cell(c), {})[c[0]] = c
+                else:
+                    c = [ordinal, lon, lat, 1]
+                    grid.setdefault(cell(c), {})[ordinal] = c
+                changed[c[0]] = c
+                rows.append((tile[0], 1, ordinal, c[0], None, None, None))
+            yield out(rows)
+        if changed:
+            yield out(done())
+
+    return run
+
+
+_FOLDED = "run long, kind int, ordinal long, founder long, lon double, lat double, members int"
+
+
+def _fold(rows: DataFrame, most: float) -> DataFrame:
+    tile = ["run", "tile_x", "tile_y"]
+    return rows.repartition(*tile).sortWithinPartitions(*tile, "kind", "ordinal").mapInArrow(_folded(most), _FOLDED)
+
+
+def _fold_by_rounds(nodes: DataFrame, most: float) -> DataFrame:
+    """What ``_fold`` gives for runs of any size, many tasks a run.
+
+    Two nodes more than 2 * ``most`` apart change nothing for each other: what one joins is out of the other's reach, before and after.
+    So a tile's nodes are settled in order up to those that come after a waiting node of a cell around that is another tile's;
+    the tiles of the next round lie across the borders of the last one's. The first waiting node of a run always settles.
+    """
+    per_lon, side = geo.PER_LON * math.cos(math.radians(geo.FIXED_LAT)), 2 * most
+    waiting, clusters, settled, n = nodes, None, None, 0
+    while not waiting.isEmpty():
+        shift_x, shift_y = ((0, 0), (TILE // 2, TILE // 2), (TILE // 2, 0), (0, TILE // 2))[n % 4]
+        n += 1
+        tile_x, tile_y = (lambda c, s: F.floor((c + s) / TILE))(F.col("cell_x"), shift_x), (lambda c, s: F.floor((c + s) / TILE))(F.col("cell_y"), shift_y)
+        around = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
+        first = waiting.groupBy("run", "cell_x", "cell_y").agg(F.min("ordinal").alias("first")).select("*", tile_x.alias("of_x"), tile_y.alias("of_y"))
+        first = first.withColumn("cell_x", around("cell_x")).withColumn("cell_y", around("cell_y")).where((F.col("of_x") != tile_x) | (F.col("of_y") != tile_y))
+        until = first.groupBy("run", "cell_x", "cell_y").agg(F.min("first").alias("until"))
+        rows = waiting.join(until, ["run", "cell_x", "cell_y"], "left").select("run", tile_x.alias("tile_x"), tile_y.alias("tile_y"), F.lit(1).alias("kind"), "ordinal", "lon", "lat", F.lit(1).alias("members"), "until", "cell_x", "cell_y")
+        if clusters is not None:
+            near = clusters.select("*", F.floor(F.col("lon") * per_lon / side).alias("cell_x"), F.floor(F.col("lat") * geo.PER_LAT / side).alias("cell_y"))
+            near = near.withColumn("cell_x", around("cell_x")).withColumn("cell_y", around("cell_y"))
+            near = near.select("run", tile_x.alias("tile_x"), tile_y.alias("tile_y"), F.lit(0).alias("kind"), F.col("founder").alias("ordinal"), "lon", "lat", "members", F.lit(None).cast("long").alias("until"), F.lit(0).cast("long").alias("cell_x"), F.lit(0).cast("long").alias("cell_y")).distinct()
+            rows = rows.unionByName(near.join(rows.select("run", "tile_x", "tile_y").distinct(), ["run", "tile_x", "tile_y"], "left_semi"))
+        new = stored(_fold(rows, most), "folded")
+        own = new.where("kind = 1")
+        moved = new.where("kind = 0").select("run", "founder", "lon", "lat", "members")
+        if clusters is not None:  # a round's tiles never change the same cluster
+            moved = moved.unionByName(clusters.join(moved.select("founder"), "founder", "left_anti"))
+        clusters = stored(moved, "clusters")
+        settled = own if settled is None else settled.union(own)
+        waiting = stored(waiting.join(own.select("ordinal"), "ordinal", "left_anti").select(*nodes.columns), "waiting")
+    if clusters is None:
+        return nodes.sparkSession.createDataFrame([], _FOLDED)
+    return settled.unionByName(clusters.select("run", F.lit(0).alias("kind"), F.col("founder").alias("ordinal"), "founder", "lon", "lat", "members"))
+
+
+def merge_stations(nodes: DataFrame, most: float = MERGE_METRES, run_rows: int = RUN_ROWS) -> DataFrame:
     """(ordinal, name, lon, lat, members, lines): nodes of one name close to each other as one station.
 
-    In input order a node joins the first cluster of its key whose running mean lies within ``most``
-    metres. The name is the shortest, then the first; lines by name, the first spelling of each.
-    nodes: ordinal, name, lon, lat, lines (array of struct name, color, tfl). A key's nodes are few; they are
-    folded one by one, as each moves the mean that decides the next.
+    In the order of ``ordinal``, which is unique, a node joins the first cluster of its key whose running mean lies within ``most``
+    metres. The name is the shortest, then the first; lines by name, the first spelling of each. Nodes without
+    coordinates are stations of their own; a null name is like an empty one; no nodes give no rows.
+    nodes: ordinal, name, lon, lat, lines (array of struct name, color, tfl). What moves a mean is within 2 * ``most`` metres
+    of what it decides, so a name is dealt out by connected runs of cells of that width; a run of more than ``run_rows``
+    goes in rounds over tiles, with the same result.
     """
-    per_lon = geo.PER_LON * math.cos(math.radians(geo.FIXED_LAT))
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        clusters: list[dict] = []
-        for r in rows.sort_values("ordinal").itertuples(index=False):
-            lines = list(r.lines) if r.lines is not None else []
-            for c in clusters:
-                if math.hypot((r.lon - c["lon"]) * per_lon, (r.lat - c["lat"]) * geo.PER_LAT) <= most:
-                    c["name"] = min(c["name"], r.name, key=lambda n: (len(n), n.lower(), n))
-                    n = c["members"]
-                    c["lon"], c["lat"], c["members"] = (c["lon"] * n + r.lon) / (n + 1), (c["lat"] * n + r.lat) / (n + 1), n + 1
-                    known = {x["name"] for x in c["lines"]}
-                    c["lines"] += [x for x in lines if x["name"] not in known]
-                    break
-            else:
-                clusters.append({"ordinal": r.ordinal, "name": r.name, "lon": r.lon, "lat": r.lat, "members": 1, "lines": lines})
-        return pd.DataFrame(clusters, columns=["ordinal", "name", "lon", "lat", "members", "lines"])
-
-    kind = "ordinal long, name string, lon double, lat double, members int, lines array<struct<name: string, color: string, tfl: boolean>>"
-    rows = nodes.select(F.col("ordinal").cast("long"), "name", "lon", "lat", "lines").withColumn("key", station_key(F.col("name")))
-    return rows.groupBy("key").applyInPandas(lambda pdf: fold(pdf.drop(columns="key")), kind)
+    per_lon, side = geo.PER_LON * math.cos(math.radians(geo.FIXED_LAT)), 2 * most
+    lines = F.coalesce("lines", F.array().cast(nodes.schema["lines"].dataType))
+    rows = nodes.select(F.col("ordinal").cast("long").alias("ordinal"), "name", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"), lines.alias("lines"))
+    placed = rows.select("ordinal", "lon", "lat", F.coalesce(station_key(F.col("name")), F.lit("")).alias("key")).where("lon IS NOT NULL AND lat IS NOT NULL AND NOT isnan(lon) AND NOT isnan(lat)")
+    placed = placed.withColumns({"cell_x": F.floor(F.col("lon") * per_lon / side), "cell_y": F.floor(F.col("lat") * geo.PER_LAT / side)})
+    cells = stored(placed.groupBy("key", "cell_x", "cell_y").agg(F.min("ordinal").alias("node"), F.count("*").alias("n")), "cells")
+    other = cells.select("key", F.explode(F.sequence(F.col("cell_x"), F.col("cell_x") + 1)).alias("cell_x"), "cell_y", F.col("node").alias("to"))
+    other = other.withColumn("cell_y", F.explode(F.sequence(F.col("cell_y") - 1, F.col("cell_y") + 1)))
+    runs = components(cells.join(other, ["key", "cell_x", "cell_y"]).where("node <> to").select(F.col("node").alias("a"), F.col("to").alias("b")))
+    run = stored(cells.join(runs.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("key", "cell_x", "cell_y", "n", F.coalesce("component", "node").alias("run")), "runs")
+    large = run.groupBy("run").agg(F.sum("n").alias("n")).where(F.col("n") > run_rows).select("run")
+    placed = placed.join(run.drop("n"), ["key", "cell_x", "cell_y"]).select("run", "ordinal", "lon", "lat", "cell_x", "cell_y")
+    here = lambda df: df.select("run", F.lit(0).alias("tile_x"), F.lit(0).alias("tile_y"), F.lit(1).alias("kind"), "ordinal", "lon", "lat", F.lit(1).alias("members"), F.lit(None).cast("long").alias("until"), "cell_x", "cell_y")
+    if large.isEmpty():
+        folded = stored(_fold(here(placed), most), "folded")
+    else:
+        placed = stored(placed, "placed")
+        folded = stored(_fold(here(placed.join(large, "run", "left_anti")), most), "folded").union(_fold_by_rounds(placed.join(large, "run", "left_semi"), most))
+    of = rows.join(folded.where("kind = 1").select("ordinal", "founder"), "ordinal", "left").withColumn("founder", F.coalesce("founder", "ordinal"))
+    named = of.groupBy("founder").agg(F.min_by("name", F.struct(F.col("name").isNull(), F.length("name"), in_locale(F.col("name")), "name")).alias("name"))
+    listed = of.select("founder", "ordinal", F.posexplode("lines").alias("at", "line")).groupBy("founder", F.col("line.name").alias("line_name")).agg(F.min(F.struct("ordinal", "at", "line")).alias("x"))
+    listed = listed.groupBy("founder").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]).alias("own"))
+    means = folded.where("kind = 0").select("founder", F.col("lon").alias("mean_lon"), F.col("lat").alias("mean_lat"), "members")
+    first = rows.join(named.withColumnRenamed("name", "best"), rows.ordinal == F.col("founder")).join(means, "founder", "left").join(listed, "founder", "left")
+    none = F.array().cast(nodes.schema["lines"].dataType)
+    return first.select("ordinal", F.col("best").alias("name"), F.coalesce("mean_lon", "lon").alias("lon"), F.coalesce("mean_lat", "lat").alias("lat"), F.coalesce("members", F.lit(1)).alias("members"), F.coalesce("own", none).alias("lines"))
 
 
 def ordered_lines(lines):

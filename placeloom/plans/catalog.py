@@ -175,7 +175,20 @@ def lines_beside_station(spark, sf_dir):
     return stations.lines_beside(derived(spark, sf_dir, STATIONS), lines)
 
 
-@query()
+@query(f"""
+WITH RECURSIVE s AS ({_S}), n AS (SELECT ordinal, CASE WHEN ordinal % 2 = 0 THEN 'London ' ELSE '' END || 'Stop ' || ordinal % 5 AS name, ordinal % 5 AS key, lon / 20 AS lon, 51 + lat / 200 AS lat, 'N' || line_a AS line FROM s
+), o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ordinal) AS i FROM n
+), f AS (
+  SELECT key, i, [{{'ordinal': ordinal, 'name': name, 'lon': lon, 'lat': lat, 'members': 1, 'lines': [line]}}] AS cl FROM o WHERE i = 1
+  UNION ALL
+  SELECT key, i, CASE WHEN coalesce(hit, 0) = 0 THEN list_append(cl, {{'ordinal': ordinal, 'name': name, 'lon': lon, 'lat': lat, 'members': 1, 'lines': [line]}}) ELSE list_transform(cl, lambda c, k: CASE WHEN k <> hit THEN c ELSE
+    {{'ordinal': c.ordinal, 'name': CASE WHEN (length(name), name) < (length(c.name), c.name) THEN name ELSE c.name END, 'lon': (c.lon * c.members + lon) / (c.members + 1), 'lat': (c.lat * c.members + lat) / (c.members + 1),
+     'members': c.members + 1, 'lines': CASE WHEN list_contains(c.lines, line) THEN c.lines ELSE list_append(c.lines, line) END}} END) END
+  FROM (SELECT f.key, o.i, cl, ordinal, name, lon, lat, line, list_position(list_transform(cl, lambda c: sqrt(pow((o.lon - c.lon) * 111320 * cos(radians({geo.FIXED_LAT})), 2) + pow((o.lat - c.lat) * 110574, 2)) <= 900), true) AS hit
+    FROM f JOIN o ON o.key = f.key AND o.i = f.i + 1)
+), ends AS (SELECT unnest(arg_max(cl, i)) AS c FROM f GROUP BY key)
+SELECT c.ordinal AS ordinal, c.name AS name, round(c.lon, 8) AS lon, round(c.lat, 8) AS lat, c.members AS members, array_to_string(c.lines, ',') AS lines FROM ends
+""")
 def merged_stations(spark, sf_dir):
     kind = "array<struct<name: string, color: string, tfl: boolean>>"
     nodes = derived(spark, sf_dir, STATIONS).select("ordinal", F.concat(F.when(F.col("ordinal") % 2 == 0, F.lit("London ")).otherwise(F.lit("")), F.lit("Stop "), (F.col("ordinal") % 5).cast("string")).alias("name"), (F.col("lon") / 20).alias("lon"), (51 + F.col("lat") / 200).alias("lat"), F.array(F.struct(F.concat(F.lit("N"), F.col("line_a").cast("string")).alias("name"), F.lit("#000").alias("color"), (F.col("line_a") % 2 == 0).alias("tfl"))).cast(kind).alias("lines"))

@@ -84,6 +84,46 @@ def test_merged_stations(spark):
     assert got[3].members == 2
 
 
+def _one_by_one(rows, most=stations.MERGE_METRES):
+    """The merge as it is told: node by node, the first cluster of the name whose mean is near."""
+    per_lon, by_key = geo.PER_LON * math.cos(math.radians(geo.FIXED_LAT)), {}
+    for ordinal, name, lon, lat, lines in rows:
+        clusters = by_key.setdefault(name.removeprefix("London ").lower(), [])
+        near = next((c for c in clusters if math.hypot((lon - c["lon"]) * per_lon, (lat - c["lat"]) * geo.PER_LAT) <= most), None)
+        if near is None:
+            clusters.append({"ordinal": ordinal, "name": name, "lon": lon, "lat": lat, "members": 1, "lines": dict(lines)})
+            continue
+        n = near["members"]
+        near.update(name=min(near["name"], name, key=len), lon=(near["lon"] * n + lon) / (n + 1), lat=(near["lat"] * n + lat) / (n + 1), members=n + 1, lines={**dict(lines), **near["lines"]})
+    return {c["ordinal"]: (c["name"], round(c["lon"], 9), round(c["lat"], 9), c["members"], sorted(c["lines"].items())) for cs in by_key.values() for c in cs}
+
+
+@pytest.mark.parametrize("run_rows", [10**6, 40, 0])
+@pytest.mark.parametrize("width", [0.05, 1.5])
+def test_merged_stations_are_those_of_the_fold(spark, run_rows, width, monkeypatch):
+    monkeypatch.setattr(stations, "TILE", 4)  # borders are many
+    rng = random.Random(5)
+    rows = []
+    for k in range(500):
+        name = "Halt" if k % 3 else rng.choice(["London Halt", "Quay", "London Quay"])
+        at = rng.uniform(-width, width), 51.5 + rng.uniform(-width, width) / 2
+        if rows and k % 7 == 0:
+            at = rows[rng.randrange(len(rows))][2:4]  # points come again
+        rows.append((k, name, *at, [(f"L{rng.randrange(4)}", f"#{k}")]))
+    kind = "ordinal long, name string, lon double, lat double, lines array<struct<name: string, color: string, tfl: boolean>>"
+    df = spark.createDataFrame([(*r[:4], [(*x, True) for x in r[4]]) for r in rows], kind).repartition(3)
+    got = {r.ordinal: (r.name, round(r.lon, 9), round(r.lat, 9), r.members, sorted((x.name, x.color) for x in r.lines)) for r in stations.merge_stations(df, run_rows=run_rows).collect()}
+    assert got == _one_by_one(rows)
+
+
+def test_merged_stations_of_odd_rows(spark):
+    kind = "ordinal long, name string, lon double, lat double, lines array<struct<name: string, color: string, tfl: boolean>>, extra int"
+    rows = [(0, "A", None, 51.5, None, 1), (1, "A", float("nan"), 51.5, [], 1), (2, None, 0.0, 51.5, None, 1), (3, None, 0.0, 51.5, [("N", "#1", True)], 1), (4, "A", 0.0, 51.5, [("N", "#1", True)], 1)]
+    got = {r.ordinal: (r.name, r.members, len(r.lines)) for r in stations.merge_stations(spark.createDataFrame(rows, kind)).collect()}
+    assert got == {0: ("A", 1, 0), 1: ("A", 1, 0), 2: (None, 2, 1), 4: ("A", 1, 1)}
+    assert stations.merge_stations(spark.createDataFrame([], kind)).isEmpty()
+
+
 def test_line_assignment(spark):
     nodes = spark.createDataFrame([(0, "A", -0.10, 51.50), (1, " B ", -0.12, 51.50), (2, "C", -0.20, 51.55)], "ordinal long, name string, lon double, lat double")
     line = "struct<name: string, color: string, tfl: boolean>"
