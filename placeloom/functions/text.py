@@ -177,6 +177,25 @@ def half_up(x: Column, digits: int = 0) -> Column:
     return F.floor(x * scale + 0.5) / F.lit(scale)
 
 
+def half_even(x: Column, digits: int) -> Column:
+    """A double to so many decimals (22 at most) by its exact binary value, ties to the even digit; null, NaN and infinity stay.
+
+    The error of x * 10^digits is had exactly from the halves of both factors, so that its sign tells on which side of a tie
+    the value lies. From 2^52 units of the last digit on a double has none between them and stays too.
+    """
+    x, scale, half = x.cast("double"), 10.0**digits, 2.0**27 + 1
+    scale_high = scale * half - (scale * half - scale)
+    scale_low = scale - scale_high
+    product = x * scale
+    high = x * half - (x * half - x)
+    low = x - high
+    error = high * scale_high - product + high * scale_low + low * scale_high + low * scale_low
+    down = F.floor(product)
+    side = product - down - 0.5 + error
+    up = (side > 0) | (side == 0) & (down % 2 != 0)
+    return F.when(F.abs(product) < 2.0**52, (down + up.cast("long")) / F.lit(scale)).otherwise(x)
+
+
 def format_distance(metres: Column) -> Column:
     """Metres to ten below 950, else kilometres with one decimal below 9.5; '' if unknown."""
     m = metres.cast("double")

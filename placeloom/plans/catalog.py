@@ -539,6 +539,13 @@ g AS ({_G}), e AS ({_E}), pub AS (SELECT entry_id AS id, nullif(trim(restaurant_
 """
 
 
+@query("SELECT l_orderkey, l_linenumber, format('{:.6f}', l_extendedprice::DOUBLE / 128)::DOUBLE AS six, format('{:.2f}', l_extendedprice::DOUBLE * 0.125)::DOUBLE AS two FROM lineitem")
+def exact_rounding(spark, sf_dir):
+    (l,) = load(spark, sf_dir, "lineitem")
+    price = F.col("l_extendedprice").cast("double")
+    return l.select("l_orderkey", "l_linenumber", text.half_even(price / 128, 6).alias("six"), text.half_even(price * 0.125, 2).alias("two"))
+
+
 @query(f'WITH {_PUBLIC} SELECT id, name, "entryUrl" AS entry_url, "pageTitle" AS page_title, description, address, lat, lon, "googleMapsUrl" AS google_maps_url, "websiteUrl" AS website_url, phone, "priceRange" AS price_range, "bookingUrl" AS booking_url FROM pub')
 def public_places(spark, sf_dir):
     p = public.as_table(public.public_places(derived(spark, sf_dir, ENTRIES), derived(spark, sf_dir, PAGES)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placeloom.functions.text import empty_to_null
+from placeloom.functions.text import empty_to_null, half_even
 from placeloom.sources.readers import json_list
 from placeloom.storage import stored
 
@@ -24,13 +24,13 @@ def snake(name: str) -> str:
 
 
 def public_places(entries: DataFrame, pages: DataFrame) -> DataFrame:
-    """Entries with coordinates and a name, with their page: 20 columns, texts trimmed and '' null, coordinates to six decimals.
+    """Entries with coordinates and a name, with their page: 20 columns, texts trimmed and '' null, coordinates to six decimals by their exact value, ties to even.
 
     The pages' keys are unique, so the join keeps the entries' number.
     """
     rows = entries.alias("e").join(pages.alias("p"), F.expr("e.page_id = p.page_id")).where("e.latitude IS NOT NULL AND e.longitude IS NOT NULL AND e.restaurant_name IS NOT NULL")
     cols = [empty_to_null(F.expr(x)).alias(n) for n, x in TEXTS.items()]
-    return rows.select(*(F.col(f"{'p' if o == 'page_title' else 'e'}.{o}").alias(f"__{o}") for o in ORDER), *cols, *(F.round(F.col(f"e.{a}itude").cast("double"), 6).alias(b) for a, b in (("lat", "lat"), ("long", "lon"))))
+    return rows.select(*(F.col(f"{'p' if o == 'page_title' else 'e'}.{o}").alias(f"__{o}") for o in ORDER), *cols, *(half_even(F.col(f"e.{a}itude"), 6).alias(b) for a, b in (("lat", "lat"), ("long", "lon"))))
 
 
 def in_order(places: DataFrame) -> DataFrame:

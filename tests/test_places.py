@@ -84,6 +84,17 @@ def test_merged_stations(spark):
     assert got[3].members == 2
 
 
+def test_half_even_is_that_of_the_binary_value(spark):
+    rng = random.Random(7)
+    xs = [rng.uniform(-180, 180) for _ in range(2000)] + [k / 128 for k in range(-3000, 3000)] + [0.0000005, 2.675, 1.005, 51.1234565, -0.1234565, 1e15, 1e300, -2.5e-7]
+    xs += [math.nextafter(x, up) for x in xs[2000:5000] for up in (-math.inf, math.inf)]
+    for digits in (0, 2, 6):
+        got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", text.half_even(F.col("x"), digits).alias("y")).collect()
+        assert [r.y for r in got] == [round(r.x, digits) for r in got]
+    odd = spark.sql("SELECT * FROM VALUES (CAST(NULL AS DOUBLE)), (CAST('NaN' AS DOUBLE)), (CAST('Infinity' AS DOUBLE)) AS t(x)").select(text.half_even(F.col("x"), 6).alias("y")).collect()
+    assert odd[0].y is None and math.isnan(odd[1].y) and odd[2].y == math.inf
+
+
 def _one_by_one(rows, most=stations.MERGE_METRES):
     """The merge as it is told: node by node, the first cluster of the name whose mean is near."""
     per_lon, by_key = geo.PER_LON * math.cos(math.radians(geo.FIXED_LAT)), {}
