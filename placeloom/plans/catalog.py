@@ -11,7 +11,7 @@ from placeloom.functions import geo, html, text, url
 from placeloom.operators import audit, components, dedupe, manifest, rail, search, stations, validate
 from placeloom.plans import pages, public
 from placeloom.plans.inputs import ENTRIES, PAGES, PLACES, STATIONS, derived, in_duckdb, load
-from placeloom.sources import readers, robots
+from placeloom.sources import database, readers, robots
 from placeloom.storage import scratch, stored
 from placeloom.streaming import streams
 
@@ -532,6 +532,48 @@ def review_template(spark, sf_dir):
     return t.groupBy("severity", "issue_code", "page_title", "restaurant_name").agg(F.count("*").alias("n"))
 
 
+def _guides(spark, sf_dir):
+    own, entries = derived(spark, sf_dir, PAGES), derived(spark, sf_dir, ENTRIES)
+    tables = {"pages": own, "restaurant_entries": entries, "validation_issues": database.with_issue_ids(validate.page_issues(own).union(validate.entry_issues(entries)))}
+    database.publish_guides(spark, "guides", tables, scratch(spark, "guides"))
+
+
+@query(f"WITH {_ISSUES} SELECT entry_id, restaurant_name, string_agg(issue_code, '; ' ORDER BY {_ORDERED}) AS review_issue_codes FROM i JOIN e USING (entry_id) WHERE severity IN ('error', 'warning') GROUP BY ALL")
+def database_entries_needing_review(spark, sf_dir):
+    _guides(spark, sf_dir)
+    return spark.table("guides.entries_needing_review").select("entry_id", "restaurant_name", "review_issue_codes")
+
+
+@query(f"WITH {_ISSUES} SELECT g.page_id, g.page_title, g.page_url, g.map_point_count, count(*) FILTER (severity = 'error') AS error_count, count(*) FILTER (severity = 'warning') AS warning_count, count(*) FILTER (severity = 'info') AS info_count FROM g LEFT JOIN i USING (page_id) GROUP BY ALL")
+def database_page_summary(spark, sf_dir):
+    _guides(spark, sf_dir)
+    return spark.table("guides.page_validation_summary")
+
+
+_RULE = "SELECT '{t}' AS \"table\", '{r}' AS rule, '{c}' AS columns, ({n})::BIGINT AS rows"
+_BROKEN = [
+    ("customer", "not null", "c_custkey", "SELECT count(*) FILTER (c_custkey IS NULL) FROM customer"), ("customer", "unique", "c_custkey", "SELECT count(*) - count(DISTINCT c_custkey) FROM customer"),
+    ("customer", "not null", "c_nationkey", "SELECT count(*) FILTER (c_nationkey IS NULL) FROM customer"),
+    ("orders", "not null", "o_orderkey", "SELECT count(*) FILTER (o_orderkey IS NULL) FROM orders"), ("orders", "unique", "o_orderkey", "SELECT count(*) - count(DISTINCT o_orderkey) FROM orders"),
+    ("orders", "references", "o_custkey -> customer.c_custkey", "SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)"),
+    ("lineitem", "not null", "l_orderkey", "SELECT count(*) FILTER (l_orderkey IS NULL) FROM lineitem"), ("lineitem", "unique", "l_orderkey", "SELECT count(*) - count(DISTINCT l_orderkey) FROM lineitem"),
+    ("lineitem", "references", "l_orderkey -> orders.o_orderkey", "SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)"),
+    ("lineitem", "references", "l_suppkey -> customer.c_custkey", "SELECT count(*) FROM lineitem WHERE l_suppkey NOT IN (SELECT c_custkey FROM customer)"),
+    ("events", "not null", "user_id", "SELECT count(*) FILTER (user_id IS NULL) FROM events"), ("events", "unique", "user_id", "SELECT count(*) - count(DISTINCT user_id) FROM events"),
+    ("events", "references", "user_id -> customer.c_custkey", "SELECT count(*) FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer)"),
+]
+
+
+@query(" UNION ALL ".join(_RULE.format(t=t, r=r, c=c, n=n) for t, r, c, n in _BROKEN))
+def broken_keys(spark, sf_dir):
+    names = ("customer", "orders", "lineitem", "events")
+    rules = {
+        "customer": database.Rules(("c_custkey",), ("c_nationkey",)), "orders": database.Rules(("o_orderkey",), (), {"o_custkey": ("customer", "c_custkey")}),
+        "lineitem": database.Rules(("l_orderkey",), (), {"l_orderkey": ("orders", "o_orderkey"), "l_suppkey": ("customer", "c_custkey")}), "events": database.Rules(("user_id",), (), {"user_id": ("customer", "c_custkey")}),
+    }
+    return database.broken(dict(zip(names, load(spark, sf_dir, *names))), rules)
+
+
 _PUBLIC = f"""
 g AS ({_G}), e AS ({_E}), pub AS (SELECT entry_id AS id, nullif(trim(restaurant_name), '') AS name, page_url AS "entryUrl", page_title AS "pageTitle", nullif(description_text, '') AS description, coalesce(address, venue_address) AS address, round(latitude, 6) AS lat, round(longitude, 6) AS lon,
   source_google_maps_url AS "googleMapsUrl", website_url AS "websiteUrl", phone_number AS phone, price_range AS "priceRange", booking_url AS "bookingUrl", restaurant_name AS o1, entry_position AS o3
