@@ -244,39 +244,85 @@ def verified(pairs: DataFrame, own: DataFrame, heads: DataFrame, shingle: int, s
     return links
 
 
-def short_pairs(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+#: Sets of one key that a task compares; more are split by their next shared shingle, LEVELS deep, and then into pairs of blocks.
+GROUP, LEVELS = 2000, 4
+
+
+def _links_of_group(similarity: float):
+    """Function of the sets (node, hs) of one key: spanning edges of all its similar pairs."""
+
+    def linked(key: tuple, t: pa.Table) -> pa.Table:
+        node, lists = t.column("node").to_numpy(), t.column("hs").combine_chunks()
+        size = np.diff(lists.offsets.to_numpy())
+        owner = np.repeat(np.arange(len(node)), size)
+        _, shingle = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        order = np.argsort(shingle, kind="stable")  # sets by shingle, each shingle's ascending
+        start, having = np.searchsorted(shingle[order], np.arange(shingle.max(initial=-1) + 2)), owner[order]
+        at, label, out = np.concatenate([[0], np.cumsum(size)]), np.arange(len(node)), []
+        for i in range(1, len(node)):
+            own = shingle[at[i] : at[i + 1]].tolist()
+            shared = np.bincount(np.concatenate([np.zeros(0, np.int64), *(having[start[x] : start[x + 1]] for x in own)]), minlength=len(node))[:i]
+            for j in np.flatnonzero((shared >= similarity * (size[i] + size[:i] - shared) - 1e-9) & (label[:i] != label[i])).tolist():
+                if label[j] != label[i]:
+                    out.append((node[i], node[j]))
+                    label[label == label[j]] = label[i]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return linked
+
+
+def short_pairs(texts: DataFrame, shingle: int, similarity: float, group: int = GROUP, levels: int = LEVELS) -> DataFrame:
     """Spanning edges (a, b) of all similar pairs of the short texts (node, text).
 
-    Similar sets share one of the rarest 1 + floor((1 - similarity) * n) shingles of each; sets of
-    one such shingle are compared with each other, but for those already linked.
+    Shingles of a set are ordered by how few sets have them. Similar sets of n and m shingles share o(n, m) of them or more, so the l-th
+    that they share has n - o + l, m - o + l places before its end at most. Sets meet by the first shingle shared; of a key only those are kept that
+    have another one of a size and place that allows it (counted by size and place first), so texts that differ too much by their rare
+    shingles don't meet, however many have the common ones. A key of more than ``group`` sets is split by the next shingle
+    shared, ``levels`` times; what is still larger is compared by pairs of blocks, each a task of its own. No pair is lost.
     """
+    t = float(similarity)
+    levels = min(levels, max(1, math.ceil(t / (1 - t) - 1e-9))) if t < 1 else 1  # different sets share at least so many
 
     def spread(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            sets = [np.unique(shingle_hashes(t, shingle)) for t in text_bytes(batch.column(1))]
+            sets = [np.unique(shingle_hashes(x, shingle)) for x in text_bytes(batch.column(1))]
             node = np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], names=["node", "h"])
 
-    def linked(key: tuple, t: pa.Table) -> pa.Table:
-        node, sets = t.column("node").to_pylist(), [np.array(x, np.int64) for x in t.column("hs").to_pylist()]
-        size, label, out = np.array([len(x) for x in sets]), np.arange(len(sets)), []
-        for i in range(1, len(sets)):
-            while True:  # only those of other labels, of a size that allows it
-                near = (size[:i] >= similarity * size[i] - 1e-9) & (size[i] >= similarity * size[:i] - 1e-9) & (label[:i] != label[i])
-                j = next((j for j in np.flatnonzero(near).tolist() if similar(sets[i], sets[j], similarity)), None)
-                if j is None:
-                    break
-                out.append((node[i], node[j]))
-                label[label == label[j]] = label[i]
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
-
     each = cut(texts.select("node", "text").mapInArrow(spread, "node long, h long"), "short-shingles")
     counts = each.groupBy("h").agg(F.count("*").alias("k"))
     # a shingle of one set only is in no pair, but has its place among the rarest
     sets = each.join(counts, "h").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("k", "h"))).alias("x"))  # SHORT / similarity shingles at most
-    first = F.expr(f"slice(x, 1, cast(floor({1 - similarity!r} * size(x) + 1e-9) as int) + 1)")
-    keys = sets.select("node", F.col("x.h").alias("hs"), F.explode(first).alias("key")).where("key.k > 1").select("node", "hs", F.col("key.h").alias("h"))
-    return keys.groupBy("h").applyInArrow(linked, "a long, b long").distinct()
+    last = lambda level: f"least(n, n - cast(ceil({t!r} * n - 1e-9) as int) + {level})"
+    first = sets.select("node", F.size("x").alias("n"), F.col("x.h").alias("hs"), "x").select("*", F.posexplode(F.expr(f"slice(x, 1, {last(1)})")).alias("pos", "s"))
+    rows = cut(first.where("s.k > 1").select("node", "n", "hs", F.array("s.h").alias("key"), (F.col("pos") + 1).alias("pos")), "short-keys")
+    drop(each)
+    links, level = [], 1
+    while True:
+        sizes = f"least(a.n, b.n) >= {t!r} * greatest(a.n, b.n) - 1e-9"
+        allowed = f"{sizes} AND {level} + least(a.n - a.pos, b.n - b.pos) >= ceil({t / (1 + t)!r} * (a.n + b.n) - 1e-9) AND (a.n <> b.n OR a.pos <> b.pos OR a.c > 1)"
+        classes = rows.groupBy("key", "n", "pos").agg(F.count("*").alias("c")).groupBy("key").agg(F.collect_list(F.struct("n", "pos", "c")).alias("cs"))  # sizes x places at most
+        kept = classes.select("key", F.expr(f"filter(cs, a -> exists(cs, b -> {allowed}))").alias("cs")).where(F.size("cs") > 0)
+        kept = kept.select("key", F.aggregate("cs", F.lit(0).cast("long"), lambda x, c: x + c["c"]).alias("total"), F.explode("cs").alias("own")).select("key", "own.n", "own.pos", "total")
+        met = cut(rows.join(kept, ["key", "n", "pos"]), f"short-met-{level}")
+        drop(rows)
+        links.append(cut(met.where(F.col("total") <= group).select("key", "node", "hs").groupBy("key").applyInArrow(_links_of_group(t), "a long, b long").distinct(), f"short-links-{level}"))
+        hot = met.where(F.col("total") > group)
+        if hot.isEmpty():
+            drop(met)
+            break
+        if level == levels:
+            blocks = F.ceil(F.col("total") / group).cast("long")
+            own = hot.withColumn("block", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+            own = own.select(F.concat("key", F.array(F.least("block", "other"), F.greatest("block", "other"))).alias("key"), "node", "hs")
+            links.append(cut(own.groupBy("key").applyInArrow(_links_of_group(t), "a long, b long").distinct(), "short-links-blocks"))
+            drop(met)
+            break
+        level += 1
+        places = hot.withColumn("next", F.explode(F.expr(f"CASE WHEN pos < {last(level)} THEN sequence(pos + 1, {last(level)}) END")))
+        rows = cut(places.select("node", "n", "hs", F.concat("key", F.array(F.element_at("hs", F.col("next")))).alias("key"), F.col("next").alias("pos")), f"short-keys-{level}")
+        drop(met)
+    return reduce(DataFrame.union, links).distinct()
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

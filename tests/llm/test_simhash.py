@@ -210,3 +210,52 @@ def test_edges_of_dense_groups_are_few(spark):
     own = simhash.shingle_sets(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 5)
     parts = own.select(F.col("doc_id").alias("id"), F.posexplode(F.array(*(f"fp_{i}" for i in range(simhash.LANES)))).alias("part", "value"))
     assert simhash.trie_links(parts, simhash.LANE_BITS, simhash.LANE_BUDGET).count() <= simhash.LANES * 5 * 150
+
+
+def _groups(links, nodes):
+    of = {n: n for n in nodes}
+
+    def root(x):
+        while of[x] != x:
+            x = of[x]
+        return x
+
+    for a, b in links:
+        of[max(root(a), root(b))] = min(root(a), root(b))
+    return {n: root(n) for n in nodes}
+
+
+@pytest.mark.parametrize(("group", "levels"), [(2000, 4), (3, 4), (3, 1), (1, 9)])
+def test_short_pairs_are_all_similar_pairs(spark, group, levels):
+    rng = random.Random(3)
+    texts = ["", "a", "a b c d e", "a b c d e f", "x y"]
+    for size in (8, 14, 30, 60, 80):
+        template = [f"w{rng.randrange(30)}" for _ in range(size)]
+        for _ in range(45):
+            own = list(template)
+            for _ in range(rng.randrange(3)):
+                own[rng.randrange(size)] = rng.choice("pqrs")
+            texts.append(" ".join(own[: size - rng.randrange(3)]))
+    texts = sorted(set(texts))
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    want = [(i, j) for j in range(len(sets)) for i in range(j) if sets[i] and sets[i] != sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9]
+    own = {min(i for i, x in enumerate(sets) if x == y) for y in sets}  # a node is a set
+    df = spark.createDataFrame([(i, texts[i]) for i in sorted(own)], "node long, text string").repartition(3)
+    got = [(r.a, r.b) for r in simhash.short_pairs(df, 5, 0.8, group, levels).collect()]
+    want = [(i, j) for i, j in want if i in own and j in own]
+    assert len(want) > 80 and {(min(x), max(x)) for x in got} <= set(want)
+    assert _groups(got, own) == _groups(want, own)
+
+
+def test_templates_that_differ_too_much_do_not_meet(spark, monkeypatch):
+    """One line of boilerplate with a word of its own in each: no pair is similar, so no sets are compared."""
+    template, rows = [f"t{k}" for k in range(41)], []
+    for i in range(1500):
+        own = list(template)
+        own[20] = f"own{i}"
+        rows.append((i, " ".join(own)))
+    met = []
+    cut = simhash.cut
+    monkeypatch.setattr(simhash, "cut", lambda df, name: met.append((name, cut(df, name))) or met[-1][1])
+    assert simhash.short_pairs(spark.createDataFrame(rows, "node long, text string"), 5, 0.8).isEmpty()
+    assert [name for name, _ in met if name.startswith("short-keys")] == ["short-keys"]  # nothing had to be split
