@@ -108,11 +108,12 @@ def marker_detail(zoom: Column) -> Column:
     return F.when(zoom >= 14, "full").when(zoom >= 12, "mid").otherwise("small")
 
 
-def on_screen(df: DataFrame, centre_lat: float, centre_lon: float, zoom: float, width: int, height: int, padding: int = VIEW_PADDING) -> DataFrame:
-    """Places drawn on a screen of this size, padded; adds x and y in pixels, the ring offset included."""
+def on_screen(df: DataFrame, centre_lat: float, centre_lon: float, zoom: float, width: int, height: int, padding: int = VIEW_PADDING, ringed: bool = True) -> DataFrame:
+    """Places drawn on a screen of this size, padded; adds x and y in pixels: with the ring offset as drawn, without it where the place is."""
     p = geo.mercator(F.col("lat"), F.col("lon"), zoom)
     c = geo.mercator(F.lit(centre_lat), F.lit(centre_lon), zoom)
-    rows = df.where(geo.has_coordinates(F.col("lat"), F.col("lon"))).withColumns({"x": p["x"] - c["x"] + width / 2 + F.col("offset_x"), "y": p["y"] - c["y"] + height / 2 + F.col("offset_y")})
+    x, y = p["x"] - c["x"] + width / 2, p["y"] - c["y"] + height / 2
+    rows = df.where(geo.has_coordinates(F.col("lat"), F.col("lon"))).withColumns({"x": x + F.col("offset_x"), "y": y + F.col("offset_y")} if ringed else {"x": x, "y": y})
     return rows.where(F.col("x").between(-padding, width + padding) & F.col("y").between(-padding, height + padding))
 
 
