@@ -58,14 +58,15 @@ def nearest_station(stops: DataFrame, stations: DataFrame, most: float = STOP_ME
     """stops with station_ordinal and metres of the nearest station below ``most`` metres, null if there is none.
 
     Plane of the fixed latitude; of equally near stations the first by ordinal. stops: stop_id, lat, lon.
+    Places are joined, each of them once, however many stops or stations it has.
     """
     x, y = geo.plane_x(F.col("lon")), geo.plane_y(F.col("lat"))
-    p = stops.where(geo.has_coordinates(F.col("lat"), F.col("lon"))).select("stop_id", x.alias("px"), y.alias("py"))
+    p = stops.where(geo.has_coordinates(F.col("lat"), F.col("lon"))).select(x.alias("px"), y.alias("py")).distinct()
     p = p.withColumn("col", F.explode(F.sequence(F.floor(F.col("px") / most) - 1, F.floor(F.col("px") / most) + 1))).withColumn("row", F.explode(F.sequence(F.floor(F.col("py") / most) - 1, F.floor(F.col("py") / most) + 1)))
-    s = stations.select("ordinal", x.alias("sx"), y.alias("sy")).withColumns({"col": F.floor(F.col("sx") / most), "row": F.floor(F.col("sy") / most)})
+    s = stations.groupBy(x.alias("sx"), y.alias("sy")).agg(F.min("ordinal").alias("ordinal")).withColumns({"col": F.floor(F.col("sx") / most), "row": F.floor(F.col("sy") / most)})
     d = F.hypot(F.col("px") - F.col("sx"), F.col("py") - F.col("sy"))
-    best = p.join(s, ["col", "row"]).withColumn("d", d).where(F.col("d") < most).groupBy("stop_id").agg(F.min(F.struct("d", "ordinal")).alias("b"))
-    return stops.join(best, "stop_id", "left").select(*stops.columns, F.col("b.ordinal").alias("station_ordinal"), F.col("b.d").alias("metres"))
+    best = p.join(s, ["col", "row"]).withColumn("d", d).where(F.col("d") < most).groupBy("px", "py").agg(F.min(F.struct("d", "ordinal")).alias("b"))
+    return stops.withColumns({"__x": x, "__y": y}).join(best, (F.col("__x") == F.col("px")) & (F.col("__y") == F.col("py")), "left").select(*stops.columns, F.col("b.ordinal").alias("station_ordinal"), F.col("b.d").alias("metres"))
 
 
 def segments(lines: DataFrame) -> DataFrame:
