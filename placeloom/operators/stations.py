@@ -35,23 +35,27 @@ def stations_within(roots: DataFrame, stations: DataFrame, max_minutes: int = ge
     counts at the nearest station that has it; a station that adds none isn't listed. The list ends at
     a walk that depends on the nearest station's, and after ``limit`` stations (0: no limit). Roots
     without coordinates and stations without lines take no part. The radius join is an equi join on
-    cells as wide as the radius, with the roots' eight neighbours.
+    cells as wide as the radius, with the roots' eight neighbours. It joins places: roots at one place have one list, and of the
+    stations at one place each line has one, so neither grows by how many are there.
     """
     radius = geo.walk_radius(max_minutes)
-    r = roots.where(geo.has_coordinates(F.col("lat"), F.col("lon"))).select("root_id", F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
+    placed = roots.where(geo.has_coordinates(F.col("lat"), F.col("lon"))).select("root_id", F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
+    site = ["r_lat", "r_lon"]
     row, col = _cells(F.col("r_lat"), F.col("r_lon"), radius, most_lat)
-    r = r.withColumns({"row": F.explode(F.sequence(row - 1, row + 1))}).withColumn("col", F.explode(F.sequence(col - 1, col + 1)))
+    r = placed.select(*site).distinct().withColumns({"row": F.explode(F.sequence(row - 1, row + 1))}).withColumn("col", F.explode(F.sequence(col - 1, col + 1)))
     row, col = _cells(F.col("lat"), F.col("lon"), radius, most_lat)
-    s = stations.where(F.size("lines") > 0).withColumns({"row": row, "col": col})
-    near = r.join(s, ["row", "col"]).withColumn("metres", geo.local_metres(F.col("r_lat"), F.col("r_lon"), F.col("lat"), F.col("lon"))).where(F.col("metres") <= radius)
-    near = near.withColumn("minutes", geo.walk_minutes(F.col("metres")))
-    near = near.withColumn("__first", F.min("minutes").over(Window.partitionBy("root_id"))).where(F.col("minutes") <= geo.reach_minutes(F.col("__first"), bands, floor))
-    lines = near.select("root_id", "name", "lat", "lon", "metres", "minutes", F.posexplode("lines").alias("at", "line"))
-    nearest = Window.partitionBy("root_id", "line.name").orderBy("metres", in_locale(F.col("name")), "name", "lat", "lon", "at")
+    # of the stations at one place, the first that has a line is the nearest for all roots
+    s = stations.select("name", "lat", "lon", F.posexplode("lines").alias("at", "line")).groupBy("lat", "lon", F.col("line.name").alias("of"))
+    s = s.agg(F.min_by(F.struct("name", "at", "line"), F.struct(in_locale(F.col("name")).alias("k"), "name", "at")).alias("s")).select("lat", "lon", "s.*").withColumns({"row": row, "col": col})
+    lines = r.join(s, ["row", "col"]).withColumn("metres", geo.local_metres(F.col("r_lat"), F.col("r_lon"), F.col("lat"), F.col("lon"))).where(F.col("metres") <= radius).drop("row", "col")
+    lines = lines.withColumn("minutes", geo.walk_minutes(F.col("metres")))
+    lines = lines.withColumn("__first", F.min("minutes").over(Window.partitionBy(*site))).where(F.col("minutes") <= geo.reach_minutes(F.col("__first"), bands, floor))
+    nearest = Window.partitionBy(*site, "line.name").orderBy("metres", in_locale(F.col("name")), "name", "lat", "lon", "at")
     adds = lines.withColumn("__n", F.row_number().over(nearest)).where("__n = 1")
-    rows = adds.groupBy("root_id", "name", "lat", "lon", "metres", "minutes").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]).alias("lines"))
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("root_id").orderBy("metres", in_locale(F.col("name")), "name", "lat", "lon")))
-    return rows.where(F.col("place") <= limit) if limit > 0 else rows
+    rows = adds.groupBy(*site, "name", "lat", "lon", "metres", "minutes").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]).alias("lines"))
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(*site).orderBy("metres", in_locale(F.col("name")), "name", "lat", "lon")))
+    rows = rows.where(F.col("place") <= limit) if limit > 0 else rows
+    return placed.join(rows, site).drop(*site)
 
 
 def nearest_station(stops: DataFrame, stations: DataFrame, most: float = STOP_METRES) -> DataFrame:
