@@ -35,15 +35,18 @@ def page_rules() -> list[tuple[str, str, Column, str, str, Column]]:
     ]
 
 
+#: Texts that rules compare, folded once an entry: for a column c these rules read __c.
+FOLDED = ("restaurant_name", "venue_title", "jsonld_name")
+
+
 def entry_rules() -> list[tuple[str, str, Column, str, str, Column]]:
-    """(severity, code, condition, field, message, value) for entries."""
+    """(severity, code, condition, field, message, value) for entries with FOLDED texts."""
     n = F.col
     lat, lon = n("latitude").try_cast("double"), n("longitude").try_cast("double")
     missing = n("latitude").isNull() | n("longitude").isNull()
     outside = lat.isNull() | lon.isNull() | F.isnan(lat) | F.isnan(lon) | ~lat.between(-90, 90) | ~lon.between(-180, 180)
-    a, b = casefold(normalize_space(n("restaurant_name"))), casefold(normalize_space(n("venue_title")))
+    a, b, listed = (n(f"__{c}") for c in FOLDED)
     apart = (a != "") & (b != "") & (a != b) & ~F.contains(n("restaurant_name"), F.lit("@")) & ~F.contains(a, b) & ~F.contains(b, a)
-    listed = casefold(normalize_space(n("jsonld_name")))
     return [
         ("error", "missing_restaurant_name", _empty("restaurant_name"), "restaurant_name", "The entry has no name", n("restaurant_name")),
         ("error", "missing_address", _empty("address"), "address", "The entry has no address", n("address")),
@@ -62,30 +65,61 @@ def entry_rules() -> list[tuple[str, str, Column, str, str, Column]]:
     ]
 
 
+def _issue(k: int, rule) -> Column:
+    severity, code, _, field, message, value = rule
+    return F.struct(F.lit(k).alias("rule"), F.lit(severity).alias("severity"), F.lit(code).alias("issue_code"), F.lit(field).alias("field_name"), F.lit(message).alias("message"), _as_text(value).alias("source_value"))
+
+
 def _exploded(df: DataFrame, rules, keys: list[Column]) -> DataFrame:
-    issues = F.array(*(F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(k).alias("rule"), F.lit(s).alias("severity"), F.lit(code).alias("issue_code"), F.lit(field).alias("field_name"), F.lit(message).alias("message"), _as_text(value).alias("source_value"))) for k, (s, code, c, field, message, value) in enumerate(rules)))
+    """Issues of (number, rule) pairs."""
+    issues = F.array(*(F.when(F.coalesce(rule[2], F.lit(False)), _issue(k, rule)) for k, rule in rules))
     return df.select(*keys, F.explode(F.filter(issues, lambda i: i.isNotNull())).alias("i")).select("page_id", "entry_id", "i.*")
 
 
 def page_issues(pages: DataFrame) -> DataFrame:
     """(page_id, entry_id null, rule, severity, issue_code, field_name, message, source_value)."""
-    return _exploded(pages, page_rules(), [F.col("page_id"), F.lit(None).cast("string").alias("entry_id")])
+    return _exploded(pages, enumerate(page_rules()), [F.col("page_id"), F.lit(None).cast("string").alias("entry_id")])
+
+
+#: Rules on what is on a page more than once, by the column that counts it.
+REPEATS = {"duplicate_venue_on_page": "venue_repeats", "duplicate_name_address_on_page": "name_repeats"}
+
+
+def _repeat_keys() -> dict[str, Column]:
+    """What is counted on a page, null if blank: a venue, and a name with its address."""
+    key = casefold(F.concat_ws("|", normalize_space(F.col("restaurant_name")), normalize_space(F.col("address"))))
+    return {"venue_repeats": F.nullif(F.col("venue_id").cast("string"), F.lit("")), "name_repeats": F.when(F.regexp_replace(key, "[| ]", "") != "", key)}
+
+
+def _repeated(rows: DataFrame, column: str, count: str) -> DataFrame:
+    """(page_id, column, count) of what is on a page more than once; counted by partial aggregates."""
+    return rows.where(F.col(column).isNotNull()).groupBy("page_id", column).agg(F.count("*").alias(count)).where(F.col(count) > 1)
 
 
 def with_repeats(entries: DataFrame) -> DataFrame:
     """Adds how often a venue, and a name with its address, are on the page; blank ones don't count."""
-    key = casefold(F.concat_ws("|", normalize_space(F.col("restaurant_name")), normalize_space(F.col("address"))))
-    rows = entries.withColumns({"__name": F.when(F.regexp_replace(key, "[| ]", "") != "", key), "__venue": F.nullif(F.col("venue_id").cast("string"), F.lit(""))})
+    keys = _repeat_keys()
+    rows = entries.withColumns({"__venue": keys["venue_repeats"], "__name": keys["name_repeats"]})
     for column, count in (("__venue", "venue_repeats"), ("__name", "name_repeats")):
-        # counted by partial aggregates; what comes once isn't joined
-        n = rows.where(F.col(column).isNotNull()).groupBy("page_id", column).agg(F.count("*").alias(count)).where(F.col(count) > 1)
-        rows = rows.join(n, ["page_id", column], "left")
+        rows = rows.join(_repeated(rows, column, count), ["page_id", column], "left")  # what comes once isn't joined
     return rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("venue_repeats", "name_repeats")}).drop("__name", "__venue")
 
 
 def entry_issues(entries: DataFrame) -> DataFrame:
-    """The same rows for entries; their repeats on the page are counted here."""
-    return _exploded(with_repeats(entries), entry_rules(), [F.col("page_id"), F.col("entry_id")])
+    """The same rows for entries; their repeats on the page are counted here.
+
+    Rules on one entry need no shuffle. Those on repeats shuffle an entry's ids, what is counted and the value told, no other column.
+    """
+    rules = list(enumerate(entry_rules()))
+    folded = entries.withColumns({f"__{c}": casefold(normalize_space(F.col(c))) for c in FOLDED})
+    issues = _exploded(folded, [(k, r) for k, r in rules if r[1] not in REPEATS], [F.col("page_id"), F.col("entry_id")])
+    for k, rule in rules:
+        if rule[1] in REPEATS:
+            count = REPEATS[rule[1]]
+            rows = entries.select("page_id", "entry_id", _as_text(rule[5]).alias("value"), _repeat_keys()[count].alias("__key")).where("__key IS NOT NULL")
+            found = rows.join(_repeated(rows, "__key", count), ["page_id", "__key"])
+            issues = issues.union(found.select("page_id", "entry_id", _issue(k, (*rule[:5], F.col("value"))).alias("i")).select("page_id", "entry_id", "i.*"))
+    return issues
 
 
 def with_status(entries: DataFrame, issues: DataFrame) -> DataFrame:
