@@ -138,13 +138,18 @@ def upserted(manifest: DataFrame, changes: DataFrame, version: str = "version")
     """The manifest after changes: for each url all columns of its last version; errors are cut to a length.
 
     A null version is older than any other. Of equal versions a change wins over the manifest, and of changes the
-    last by their columns as JSON. Null urls are one url. Empty tables change nothing.
+    last by their columns as JSON. Null urls are one url. Empty tables change nothing. Whether versions of a url are equal is
+    looked up at once, by keys alone; as long as none are, no row is made JSON, and columns that nobody reads aren't carried.
     """
     tagged = "__change"
     rows = manifest.withColumn(tagged, F.lit(0)).unionByName(changes.withColumn(tagged, F.lit(1)), allowMissingColumns=True)
     if "error" in rows.columns:
         rows = rows.withColumn("error", F.substring("error", 1, ERROR_LENGTH))
-    one = F.struct(*(F.col(c) for c in rows.columns if c != tagged))
+    columns = [c for c in rows.columns if c != tagged]
+    if rows.groupBy("url", version, tagged).agg(F.count("*").alias("__n")).where("__n > 1").isEmpty():
+        order = F.struct(version, tagged)
+        return rows.groupBy("url").agg(*(F.max_by(c, order).alias(c) for c in columns if c != "url")).select(*columns)
+    one = F.struct(*(F.col(c) for c in columns))
     return rows.groupBy("url").agg(F.max_by(one, F.struct(version, tagged, F.to_json(one).alias("j"))).alias("r")).select("r.*")
 
 
