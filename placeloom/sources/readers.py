@@ -92,21 +92,21 @@ PLACE = (
 )
 
 
-def _items(spark: SparkSession, path: str, key: str, kind: str) -> DataFrame:
-    """(ordinal, r): the items of a list of the root object, read by many tasks."""
-    return json_items(spark, path, key).select("ordinal", F.from_json("text", kind).alias("r"))
+def _items(spark: SparkSession, path: str, key: str, kind: str, parts: bool = False) -> DataFrame:
+    """(ordinal, r): the items of a list of the root object, read by many tasks; parts as for json_items()."""
+    return json_items(spark, path, key, parts).select("ordinal", F.from_json("text", kind).alias("r"))
 
 
-def places_payload(spark: SparkSession, path: str) -> DataFrame:
+def places_payload(spark: SparkSession, path: str, parts: bool = False) -> DataFrame:
     """Places of a payload {stats, bounds, restaurants}, with an ordinal in its order; lat and lon as doubles."""
-    rows = _items(spark, path, "restaurants", f"struct<{PLACE}>").select("ordinal", "r.*")
+    rows = _items(spark, path, "restaurants", f"struct<{PLACE}>", parts).select("ordinal", "r.*")
     return rows.withColumns({"lat": F.col("lat").try_cast("double"), "lon": F.col("lon").try_cast("double")})
 
 
-def geojson_features(spark: SparkSession, path: str) -> DataFrame:
+def geojson_features(spark: SparkSession, path: str, parts: bool = False) -> DataFrame:
     """(ordinal, properties, type, point, line, lines) of a feature collection; of the last three the one of its type is set."""
     kind = "struct<properties: map<string,string>, geometry: struct<type: string, coordinates: string>>"
-    rows = _items(spark, path, "features", kind).select("ordinal", F.col("r.properties").alias("properties"), F.col("r.geometry.type").alias("type"), F.col("r.geometry.coordinates").alias("c"))
+    rows = _items(spark, path, "features", kind, parts).select("ordinal", F.col("r.properties").alias("properties"), F.col("r.geometry.type").alias("type"), F.col("r.geometry.coordinates").alias("c"))
     as_ = lambda t, k: F.when(F.col("type") == t, F.from_json("c", k)).alias({"Point": "point", "LineString": "line", "MultiLineString": "lines"}[t])
     return rows.select("ordinal", "properties", "type", as_("Point", "array<double>"), as_("LineString", "array<array<double>>"), as_("MultiLineString", "array<array<array<double>>>"))
 
@@ -120,9 +120,9 @@ def station_features(features: DataFrame) -> DataFrame:
 OSM = "type string, id long, lat double, lon double, tags map<string,string>, geometry array<struct<lat: double, lon: double>>, members array<struct<type: string, ref: long, role: string, lat: double, lon: double, geometry: array<struct<lat: double, lon: double>>>>"
 
 
-def osm_elements(spark: SparkSession, path: str) -> DataFrame:
+def osm_elements(spark: SparkSession, path: str, parts: bool = False) -> DataFrame:
     """Elements of a saved map query, with an ordinal in its order."""
-    return _items(spark, path, "elements", f"struct<{OSM}>").select("ordinal", "r.*")
+    return _items(spark, path, "elements", f"struct<{OSM}>", parts).select("ordinal", "r.*")
 
 
 def path_of(geometry: Column) -> Column:

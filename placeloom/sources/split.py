@@ -20,6 +20,8 @@ from placeloom.storage import stored
 
 #: Bytes of text after which a chunk is closed.
 CHUNK = 1 << 20
+#: More bytes than a part of a document in parts has.
+PART = 1 << 42
 _KEY = ["file", "start", "part"]
 _ITEMS = "file string, start long, part long, box int, key string, pos long, opens boolean, closes boolean, text string"
 
@@ -55,8 +57,12 @@ def _chunk_schema(told) -> pa.Schema:
     return pa.schema([("file", pa.string()), ("start", pa.int64()), ("part", pa.int64()), ("bytes", pa.int64()), ("data", pa.binary()), *((n, pa.int64()) for n in told(b""))])
 
 
-def _chunks(spark: SparkSession, path: str, end: str, told) -> DataFrame:
-    rows = spark.read.option("lineSep", end).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_size").alias("bytes"), F.col("value").cast("binary").alias("value"))
+def _chunks(spark: SparkSession, path: str, end: str, told, parts: bool = False) -> DataFrame:
+    file, start = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    if parts:
+        start = F.regexp_extract(file, "part-([0-9]+)[^/]*$", 1).cast("long") * PART + start
+        file = F.regexp_replace(file, "/[^/]*$", "")
+    rows = spark.read.option("lineSep", end).text(path).select(file.alias("file"), start.alias("start"), F.col("_metadata.file_size").alias("bytes"), F.col("value").cast("binary").alias("value"))
     kind = "file string, start long, part long, bytes long, data binary, " + ", ".join(f"{n} long" for n in told(b""))
     return stored(rows.mapInArrow(_gathered(end.encode(), told), kind), "chunks")
 
@@ -166,20 +172,24 @@ def _json_items(target: str) -> object:
     return run
 
 
-def json_items(spark: SparkSession, path: str, key: str) -> DataFrame:
+def json_items(spark: SparkSession, path: str, key: str, parts: bool = False) -> DataFrame:
     """(file, ordinal, text): the items of the list that the root object of a document has under a key, in many tasks.
 
     The items should be objects: a file is cut at closing braces, so one without any is one task. A document that isn't whole (an open
     string or bracket at its end) has no items, nor has one without the key; null items keep their ordinal. A key that
-    comes twice in the root isn't defined. Empty files have no items.
+    comes twice in the root isn't defined. Empty files have no items. parts: each folder is one document, in files part-<number> of which
+    each ends with a closing brace; others have no items.
     """
-    chunks = _chunks(spark, path, "}", _json_told)
+    chunks = _chunks(spark, path, "}", _json_told, parts)
     state = _before(chunks.drop("data"), "quotes")
     state = state.withColumn("depth", F.when(F.col("quotes_before") % 2 == 0, F.col("outside")).otherwise(F.col("inside")))
     state = stored(_before(state.select(*_KEY, "bytes", "size", "quotes", "quotes_before", "depth"), "depth"), "chunk-states")
     # a brace is put after the last piece, where the file has one or not; sizes tell which, but for compressed files
     whole = state.groupBy("file").agg((F.sum("quotes") % 2).alias("open"), F.sum("depth").alias("left"), (F.sum("size") - F.max("bytes")).alias("more"))
     whole = whole.where("open = 0 AND (left = 0 AND more <> 1 OR left = -1 AND more <> 0)").select("file")
+    if parts:
+        sizes = state.groupBy("file", F.floor(F.col("start") / PART)).agg(F.sum("quotes").alias("quotes"), F.sum("depth").alias("depth"), (F.sum("size") - F.max("bytes")).alias("more"))
+        whole = sizes.groupBy("file").agg((F.sum("quotes") % 2).alias("open"), F.sum("depth").alias("left"), F.max("more").alias("more")).where("open = 0 AND left = 0 AND more = 0").select("file")
     known = chunks.select(*_KEY, "data").join(state.select(*_KEY, "quotes_before", "depth_before"), _KEY).join(whole, "file", "left_semi")
     items = stored(known.mapInArrow(_json_items(key), _ITEMS), "chunk-items")
     # of each chunk: how it leaves the list, separators in the list it began in and in that it opened
