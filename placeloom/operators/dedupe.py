@@ -24,6 +24,8 @@ from placeloom.storage import stored
 MERGE_METRES, SUBSET_METRES = 200.0, 60.0
 #: Entries of a connected run that one task clusters by itself.
 RUN_ROWS = 50_000
+#: Cells of the grid of a radius that one of the cells of runs holds, about; the narrowest tiles of large runs, in cells of the grid.
+CELLS, LEAST_TILE = 8, 8
 DISHES, DISHES_LENGTH = 4, 42
 #: Cells of the plane are this much wider than the radius, as cells are cut by degrees and distances are great circles.
 MARGIN = 1.02
@@ -32,9 +34,10 @@ MOST_LAT = 80.0
 
 
 def keyed(entries: DataFrame) -> DataFrame:
-    """Entries with name_key (a key of its own for a name of which nothing is left) and numeric coordinates."""
-    key = name_key(F.col("name"))
-    return entries.withColumns({"lat": F.col("lat").try_cast("double"), "lon": F.col("lon").try_cast("double")}).withColumn("name_key", F.when(key == "", F.concat(F.lit("__"), F.col("id").cast("string"))).otherwise(key))
+    """Entries with name_key (a key of its own for a name of which nothing is left) and numeric coordinates. The key of a name is made once."""
+    names = entries.select(text(F.col("name")).alias("__name")).distinct().withColumn("__key", name_key(F.col("__name")))
+    rows = entries.withColumns({"lat": F.col("lat").try_cast("double"), "lon": F.col("lon").try_cast("double"), "__name": text(F.col("name"))}).join(names, "__name")
+    return rows.withColumn("name_key", F.when(F.col("__key") == "", F.concat(F.lit("__"), F.col("id").cast("string"))).otherwise(F.col("__key"))).drop("__name", "__key")
 
 
 def _cell(lat: Column, lon: Column, metres: float) -> tuple[Column, Column]:
@@ -43,131 +46,146 @@ def _cell(lat: Column, lon: Column, metres: float) -> tuple[Column, Column]:
     return F.floor(lat / degrees), F.floor(lon / (degrees / math.cos(math.radians(MOST_LAT))))
 
 
-def _greedy(ordinal: np.ndarray, lat: np.ndarray, lon: np.ndarray, metres: float) -> np.ndarray:
-    """Cluster of each row, in input order: the ordinal of its first row. A row joins the first cluster with a member within metres.
+def _width(band, side: float, of=math):
+    """Width of the cells of a band in radians, by the edge closer to the equator: any two points of a cell are within 1.5 x side."""
+    low = np.minimum(np.abs(band), np.abs(band + 1)) if of is np else min(abs(band), abs(band + 1))
+    cos = of.cos(low * side)
+    return side / (np.maximum(1e-9, cos) if of is np else max(1e-9, cos))
 
-    lat, lon: radians. Any two points of a cell are within the radius, so a row mostly ends at the first point of
-    its own cell; a cell holds each point of a cluster once, with the box around them, so that rows that repeat a
-    point or crowd in one place cost no more the more there are.
+
+def _greedy(metres: float):
+    """Function of batches (__run, tile_y, tile_x, ordinal, lat, lon, home, label) sorted by run, tile and ordinal: (ordinal, before, label) of home rows.
+
+    A row takes the smallest of the labels of earlier rows of its tile within metres and of its own, which is its ordinal or
+    what it is known to reach. Any two points of a cell are within metres, so a cell's label only gets smaller from row to row:
+    a row looks at points of cells around only as long as one of them has a smaller label. A cell holds each point
+    of a label once, with the box around them. Rows stream past; a tile is never held.
     """
     reach, side = metres * MARGIN / geo.RADIUS, metres / geo.RADIUS / 1.5
-    grid: dict[tuple[int, int], dict[int, tuple[list[float], dict[tuple[float, float], float]]]] = {}
-    label = ordinal.copy()
+    none = 1 << 63
 
-    def width(band: int) -> float:
-        return side / max(1e-9, math.cos(min(abs(band), abs(band + 1)) * side))  # by its edge closer to the equator
-
-    for i, (y, x, own) in enumerate(zip(lat.tolist(), lon.tolist(), ordinal.tolist())):
-        band, cos = math.floor(y / side), math.cos(y)
-        far = 2 * math.asin(min(1.0, math.sin(reach / 2) / max(1e-9, math.cos(min(abs(y) + reach, math.pi / 2)))))
-        home = (band, math.floor(x / width(band)))
-        around = []
+    def around(band: int, col: int) -> list[range]:
+        """Keys of the cells that may hold a point within metres of one of this cell."""
+        w, edge = _width(band, side), max(abs(band), abs(band + 1)) * side
+        far = 2 * math.asin(min(1.0, math.sin(reach / 2) / max(1e-9, math.cos(min(edge + reach, math.pi / 2)))))
+        out = []
         for b in range(band - 2, band + 3):
-            w = width(b)
-            for c in range(math.floor((x - far) / w), math.floor((x + far) / w) + 1):
-                for found, (box, points) in grid.get((b, c), {}).items():
-                    if box[0] - reach <= y <= box[1] + reach and box[2] - far <= x <= box[3] + far:
-                        around.append((found, (b, c) != home, points))
-        for found, _, points in sorted(around, key=lambda a: a[:2]):  # clusters are numbered as they begin
-            if any(2 * geo.RADIUS * math.asin(math.sqrt(min(1.0, math.sin((v - y) / 2) ** 2 + cos * k * math.sin((u - x) / 2) ** 2))) <= metres for (v, u), k in points.items()):
-                own = found
-                break
-        label[i] = own
-        box, points = grid.setdefault(home, {}).setdefault(own, ([y, y, x, x], {}))
-        box[:] = min(box[0], y), max(box[1], y), min(box[2], x), max(box[3], x)
-        points.setdefault((y, x), cos)
-    return label
-
-
-def _clusters(metres: float):
-    """Function of batches sorted by (run, ordinal): the clusters of each run, many runs at a time."""
-
-    def of(t: pa.Table) -> pa.RecordBatch:
-        run, ordinal = t.column("__run").to_numpy(), t.column("ordinal").to_numpy()
-        lat, lon = np.radians(t.column("lat").to_numpy()), np.radians(t.column("lon").to_numpy())
-        label = ordinal.copy()
-        edge = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1], [True]]))
-        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
-            if b - a > 1:
-                label[a:b] = _greedy(ordinal[a:b], lat[a:b], lon[a:b], metres)
-        return pa.RecordBatch.from_arrays([pa.array(ordinal), pa.array(label)], names=["ordinal", "geo_id"])
+            v = _width(b, side)
+            out.append(range((b << 32) + math.floor((col * w - far) / v), (b << 32) + math.floor(((col + 1) * w + far) / v) + 1))
+        return out
+
+    def place(cells: dict, key: int, band: int, col: int, y: float, x: float, label: int) -> int:
+        cell = cells.get(key)
+        if cell is None:  # its label, the smallest label around, the keys around, (label, box, points) from the largest label on
+            keys = around(band, col)
+            cell = cells[key] = [none, min((cells[k][0] for r in keys for k in r if k in cells), default=none), keys, []]
+        label = min(label, cell[0])
+        if cell[1] < label:
+            cos = math.cos(y)
+            far = 2 * math.asin(min(1.0, math.sin(reach / 2) / max(1e-9, math.cos(min(abs(y) + reach, math.pi / 2)))))
+            met = []
+            for r in cell[2]:
+                for k in r:
+                    n = cells.get(k)
+                    if n is not None and n[0] < label:
+                        for found, box, points in n[3]:
+                            if found < label and box[0] - reach <= y <= box[1] + reach and box[2] - far <= x <= box[3] + far:
+                                met.append((found, k, points))
+            met.sort(key=lambda m: m[:2])
+            for found, _, points in met:
+                if any(2 * geo.RADIUS * math.asin(math.sqrt(min(1.0, math.sin((v - y) / 2) ** 2 + cos * k * math.sin((u - x) / 2) ** 2))) <= metres for (v, u), k in points.items()):
+                    label = found
+                    break
+        if label < cell[0]:
+            cell[0] = label
+            cell[3].append((label, [y, y, x, x], {(y, x): math.cos(y)}))
+            for r in cell[2]:
+                for k in r:
+                    n = cells.get(k)
+                    if n is not None and label < n[1]:
+                        n[1] = label
+        else:
+            _, box, points = cell[3][-1]
+            if (y, x) not in points:
+                points[y, x] = math.cos(y)
+                box[:] = min(box[0], y), max(box[1], y), min(box[2], x), max(box[3], x)
+        return label
 
     def cluster(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+        last, cells = None, {}
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            held = t if held is None else pa.concat_tables([held, t])
-            if held.num_rows:
-                run = held.column("__run").to_numpy()
-                end = int(np.searchsorted(run, run[-1]))  # the last run may go on
-                if end:
-                    yield of(held.slice(0, end))
-                    held = held.slice(end)
-        if held is not None and held.num_rows:
-            yield of(held)
+            if not batch.num_rows:
+                continue
+            group = np.stack([batch.column(c).to_numpy() for c in ("__run", "tile_y", "tile_x")])
+            y, x = np.radians(batch.column("lat").to_numpy()), np.radians(batch.column("lon").to_numpy())
+            band = np.floor(y / side).astype(np.int64)
+            col = np.floor(x / _width(band, side, np)).astype(np.int64)
+            before = batch.column("label").to_numpy()
+            rows = list(zip(((band << 32) + col).tolist(), band.tolist(), col.tolist(), y.tolist(), x.tolist(), before.tolist()))
+            label = np.empty(len(rows), np.int64)
+            edge = [0, *(np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1).tolist(), len(rows)]
+            for a, b in zip(edge, edge[1:]):
+                if (now := tuple(group[:, a].tolist())) != last:
+                    last, cells = now, {}
+                label[a:b] = [place(cells, *r) for r in rows[a:b]]
+            home = batch.column("home").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column("ordinal").to_numpy()[home]), pa.array(before[home]), pa.array(label[home])], names=["ordinal", "before", "label"])
 
     return cluster
 
 
-def _grid(metres: float) -> tuple[Column, Column, Column]:
-    """(band, col, near): the cell of a point y, x in radians, narrow enough that any two points of a cell are within metres;
-    near: the cells that may hold a point within metres, as an array of struct(band, col).
-    """
-    reach, side = metres * MARGIN / geo.RADIUS, metres / geo.RADIUS / 1.5
-    width = lambda band: side / F.greatest(F.lit(1e-9), F.cos(F.least(F.abs(band), F.abs(band + 1)) * side))  # noqa: E731  by the edge closer to the equator
-    y, x = F.col("y"), F.col("x")
+def _grid(y: Column, x: Column, metres: float) -> tuple[Column, Column]:
+    """(band, col): the cell of a point in radians, narrow enough that any two points of a cell are within metres."""
+    side = metres / geo.RADIUS / 1.5
     band = F.floor(y / side)
-    far = 2 * F.asin(F.least(F.lit(1.0), math.sin(reach / 2) / F.greatest(F.lit(1e-9), F.cos(F.least(F.abs(y) + reach, F.lit(math.pi / 2))))))
-    near = F.flatten(F.transform(F.sequence(band - 2, band + 2), lambda b: F.transform(F.sequence(F.floor((x - far) / width(b)), F.floor((x + far) / width(b))), lambda c: F.struct(b.alias("band"), c.alias("col")))))
-    return band, F.floor(x / width(band)), near
-
-
-def _predecessors(metres: float):
-    """Function of a cell's rows and those around it: of each row the latest earlier row of the cell within metres, and the cell's first."""
-
-    def of(t: pa.Table) -> pa.Table:
-        t = t.sort_by("ordinal")
-        ordinal, y, x, home = (t.column(c).to_numpy() for c in ("ordinal", "y", "x", "home"))
-        cos, own = np.cos(y), np.flatnonzero(home)  # places of the cell's rows, ascending
-        out = [(ordinal[own[1:]], ordinal[own[:-1]]), (ordinal[own[1:]], np.full(max(0, len(own) - 1), ordinal[own[0]] if len(own) else 0))]
-        for i in np.flatnonzero(~home).tolist():
-            end = int(np.searchsorted(own, i))
-            while end > 0:  # from the latest back, some at a time
-                some = own[max(0, end - 512) : end]
-                h = np.sin((y[some] - y[i]) / 2) ** 2 + cos[i] * cos[some] * np.sin((x[some] - x[i]) / 2) ** 2
-                hit = np.flatnonzero(2 * geo.RADIUS * np.arcsin(np.sqrt(np.minimum(1.0, h))) <= metres)
-                if len(hit):
-                    out.append((ordinal[i : i + 1], ordinal[some[hit[-1:]]]))
-                    break
-                end -= len(some)
-        return pa.table([pa.array(np.concatenate([o[k] for o in out]), pa.int64()) for k in (0, 1)], names=["a", "b"])
+    return band, F.floor(x / _band_width(band, side))
+
 
-    return of
+def _band_width(band: Column, side: float) -> Column:
+    return side / F.greatest(F.lit(1e-9), F.cos(F.least(F.abs(band), F.abs(band + 1)) * side))  # by the edge closer to the equator
+
+
+def _around(band: Column, col: Column, metres: float) -> Column:
+    """The cells that may hold a point within metres of one of this cell, itself included, as an array of struct(band, col)."""
+    reach, side = metres * MARGIN / geo.RADIUS, metres / geo.RADIUS / 1.5
+    w, edge = _band_width(band, side), F.greatest(F.abs(band), F.abs(band + 1)) * side
+    far = 2 * F.asin(F.least(F.lit(1.0), math.sin(reach / 2) / F.greatest(F.lit(1e-9), F.cos(F.least(edge + reach, F.lit(math.pi / 2))))))
+    cols = lambda b: F.sequence(F.floor((col * w - far) / _band_width(b, side)), F.floor(((col + 1) * w + far) / _band_width(b, side)))
+    return F.flatten(F.transform(F.sequence(band - 2, band + 2), lambda b: F.transform(cols(b), lambda c: F.struct(b.alias("band"), c.alias("col")))))
+
+
+_TILED = "ordinal long, before long, label long"
+
+
+def _in_tiles(rows: DataFrame, metres: float) -> DataFrame:
+    """(ordinal, before, label) of home rows."""
+    sorted_ = rows.select("__run", "tile_y", "tile_x", "ordinal", "lat", "lon", "home", "label").repartition("__run", "tile_y", "tile_x").sortWithinPartitions("__run", "tile_y", "tile_x", "ordinal")
+    return sorted_.mapInArrow(_greedy(metres), _TILED)
 
 
 def _clusters_by_rounds(placed: DataFrame, metres: float) -> DataFrame:
-    """(ordinal, geo_id) of runs (__run, ordinal, lat, lon) of any size, many tasks a run.
+    """(ordinal, geo_id) of runs (__run, __side, ordinal, lat, lon) of any size, many tasks a run.
 
     A row joins the first cluster of which an earlier row is within metres, so its cluster is the smallest of those of all such
-    rows: the smallest ordinal that it reaches by going to earlier rows within metres. In a cell whose points are all within
-    metres of each other clusters only get smaller from row to row, so of each cell around the latest such row stands
-    for all. Labels follow these links and then the labels of their labels, until none changes.
+    rows: the smallest ordinal that it reaches by going to earlier rows within metres. Tiles of __side x __side cells, each with the
+    rows of the cells around it, are clustered one by one; then again from the labels that rows have in the tiles that they
+    belong to, where rows around have got smaller ones, until none changes.
     """
-    band, col, near = _grid(metres)
-    points = placed.select("__run", F.col("ordinal").cast("long").alias("ordinal"), F.radians("lat").alias("y"), F.radians("lon").alias("x"))
-    own = F.struct(band.alias("band"), col.alias("col"))
-    around = points.select("*", own.alias("own"), F.explode(near).alias("cell")).select("__run", "cell", "ordinal", "y", "x", (F.col("cell") == F.col("own")).alias("home"))
-    links = stored(around.groupBy("__run", "cell").applyInArrow(_predecessors(metres), "a long, b long").distinct(), "links")
-    first = links.groupBy("a").agg(F.min("b").alias("label"))
-    labels = stored(points.select("ordinal").join(first, F.col("ordinal") == F.col("a"), "left").select("ordinal", F.coalesce("label", "ordinal").alias("label")), "labels")
+    band, col = _grid(F.radians("lat"), F.radians("lon"), metres)
+    tile = lambda b, c: F.struct(F.floor(b / F.col("__side")).alias("tile_y"), F.floor(c / F.col("__side")).alias("tile_x"))
+    points = placed.withColumns({"band": band, "col": col})
+    points = points.withColumn("near", F.explode(F.array_distinct(F.transform(_around(F.col("band"), F.col("col"), metres), lambda c: tile(c["band"], c["col"])))))
+    points = stored(points.select("__run", "near.tile_y", "near.tile_x", "ordinal", "lat", "lon", (F.col("near") == tile(F.col("band"), F.col("col"))).alias("home")), "tiles")
+    key = ["__run", "tile_y", "tile_x"]
+    now = stored(_in_tiles(points.withColumn("label", F.col("ordinal")), metres), "labels")
     while True:
-        lower = links.join(labels, F.col("b") == F.col("ordinal")).groupBy("a").agg(F.min("label").alias("m"))
-        once = labels.join(lower, F.col("ordinal") == F.col("a"), "left").select("ordinal", F.col("label").alias("before"), F.coalesce(F.least("label", "m"), "label").alias("label"))
-        of = labels.select(F.col("ordinal").alias("o"), F.col("label").alias("l"))
-        now = stored(once.join(of, F.col("label") == F.col("o")).select("ordinal", "before", F.col("l").alias("label")), "labels")
-        labels = now.select("ordinal", "label")
-        if now.where("label <> before").isEmpty():
+        labels, changed = now.select("ordinal", "label"), now.where("label < before").select("ordinal")
+        around = stored(points.where("NOT home").join(changed, "ordinal", "left_semi").select(key).distinct(), "changed")
+        if around.isEmpty():
             return labels.select("ordinal", F.col("label").alias("geo_id"))
+        again = stored(_in_tiles(points.join(around, key, "left_semi").join(labels, "ordinal"), metres), "again")
+        new = again.select("ordinal", F.col("before").alias("__before"), F.col("label").alias("__label"))
+        now = stored(labels.join(new, "ordinal", "left").select("ordinal", F.col("label").alias("before"), F.coalesce("__label", "label").alias("label")), "labels")
 
 
 def geo_clusters(entries: DataFrame, metres: float = MERGE_METRES) -> DataFrame:
@@ -177,25 +195,25 @@ def geo_clusters(entries: DataFrame, metres: float = MERGE_METRES) -> DataFrame:
     them. Places without coordinates are clusters of their own. Entries of a name are dealt out by
     connected runs of occupied cells first, as clusters never reach over an empty one, so a chain's
     branches all over the country aren't one group. A run of at most RUN_ROWS entries is one task; a larger one
-    is clustered in rounds over links between its cells, with the same result.
+    is clustered in rounds over tiles of about so many, with the same result.
     """
-    row, col = _cell(F.col("lat"), F.col("lon"), metres)
-    rows = entries.withColumns({"__row": row, "__col": col})
-    cells = rows.where("__row IS NOT NULL AND __col IS NOT NULL").groupBy("name_key", "__row", "__col").agg(F.min("ordinal").alias("__node"), F.count("*").alias("__n"))
-    cells = stored(cells, "cells")
+    rows = stored(entries.select("name_key", F.col("ordinal").cast("long").alias("ordinal"), "lat", "lon", *(c.alias(n) for n, c in zip(("__row", "__col"), _cell(F.col("lat"), F.col("lon"), metres)))).where("__row IS NOT NULL AND __col IS NOT NULL"), "rows")
+    cells = stored(rows.groupBy("name_key", "__row", "__col").agg(F.min("ordinal").alias("__node"), F.count("*").alias("__n")), "cells")
     other = cells.select("name_key", F.explode(F.sequence(F.col("__row"), F.col("__row") + 1)).alias("__row"), F.col("__col"), F.col("__node").alias("__to"))
     other = other.withColumn("__col", F.explode(F.sequence(F.col("__col") - 1, F.col("__col") + 1)))
     edges = cells.join(other, ["name_key", "__row", "__col"]).where(F.col("__node") != F.col("__to")).select(F.col("__node").alias("a"), F.col("__to").alias("b"))
     runs = components(edges)
     run = stored(cells.join(runs, cells["__node"] == runs.node, "left").select("name_key", "__row", "__col", "__n", F.coalesce("component", "__node").alias("__run")), "runs")
-    large = run.groupBy("__run").agg(F.sum("__n").alias("__n")).where(F.col("__n") > RUN_ROWS).select("__run")
-    placed = rows.where("__row IS NOT NULL AND __col IS NOT NULL").join(run.drop("__n"), ["name_key", "__row", "__col"]).select("__run", F.col("ordinal").cast("long").alias("ordinal"), "lat", "lon")
+    dense = F.sum("__n") / F.count("*") / CELLS  # entries of a cell of the grid
+    large = run.groupBy("__run").agg(F.sum("__n").alias("__n"), F.greatest(F.lit(LEAST_TILE), F.ceil(F.sqrt(RUN_ROWS / dense))).alias("__side")).where(F.col("__n") > RUN_ROWS).select("__run", "__side")
+    placed = rows.join(run.drop("__n"), ["name_key", "__row", "__col"]).select("__run", "ordinal", "lat", "lon")
     if large.isEmpty():
         small, more = placed, None
     else:
         placed = stored(placed, "placed")
-        small, more = placed.join(large, "__run", "left_anti"), _clusters_by_rounds(placed.join(large, "__run", "left_semi"), metres)
-    found = stored(small.repartition("__run").sortWithinPartitions("__run", "ordinal").mapInArrow(_clusters(metres), "ordinal long, geo_id long"), "clusters")
+        small, more = placed.join(large, "__run", "left_anti"), _clusters_by_rounds(placed.join(large, "__run"), metres)
+    whole = small.withColumns({"tile_y": F.lit(0).cast("long"), "tile_x": F.lit(0).cast("long"), "home": F.lit(True), "label": F.col("ordinal")})
+    found = stored(_in_tiles(whole, metres).select("ordinal", F.col("label").alias("geo_id")), "clusters")
     found = found if more is None else found.union(more)
     return entries.join(found, "ordinal", "left").withColumn("geo_id", F.coalesce("geo_id", F.col("ordinal").cast("long")))
 

@@ -163,3 +163,15 @@ def test_merged_record(spark):
     assert [s.entryUrl for s in r.sources] == ["https://g.example.com/0", "https://g.example.com/1"]
     counts, top = dedupe.report(spark.createDataFrame(rows, KIND), dedupe.resolved(spark.createDataFrame(rows, KIND)))
     assert tuple(counts.first()) == (3, 1, 2, 1) and top.first().sources == 2
+
+
+def test_rounds_hand_on_each_row_a_few_times(spark, monkeypatch):
+    """What a large run writes between its rounds grows as its rows, however many of them crowd around each."""
+    monkeypatch.setattr(dedupe, "RUN_ROWS", 400)
+    n, most, stored = 2000, [], dedupe.stored
+    monkeypatch.setattr(dedupe, "stored", lambda df, name: (most.append((out := stored(df, name)).count()), out)[1])
+    rng = random.Random(7)
+    rows = [(k, str(k), "X", 51.5 + rng.uniform(0, 0.02), -0.1 + rng.uniform(0, 0.03)) for k in range(n)]
+    got = {r.ordinal: r.geo_id for r in dedupe.geo_clusters(dedupe.keyed(spark.createDataFrame(rows, "ordinal long, id string, name string, lat double, lon double"))).collect()}
+    assert got == reference(rows)
+    assert n < max(most) < 4 * n
