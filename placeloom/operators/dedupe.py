@@ -233,25 +233,52 @@ def primary_order() -> list[Column]:
 
 
 def subset_clusters(entries: DataFrame, metres: float = SUBSET_METRES) -> DataFrame:
-    """Adds final_id: places whose primary names hold one another's words, start alike and lie within metres, are one."""
+    """Adds final_id: places whose primary names hold one another's words, start alike and lie within metres, are one.
+
+    A set of words meets those that hold it under its rarest word. Only points around which several places come under that word are
+    looked at. In a cell of which any two points are within metres the places of a set are one, so cells meet once for
+    each two sets, not their points; of two cells one pair of points within metres is enough.
+    """
     best = entries.groupBy("place_id").agg(F.min_by("name", F.struct(*primary_order())).alias("__primary"))
     words = F.filter(F.split(name_key(F.col("__primary")), " "), lambda w: w != "")
-    tokens = best.select("place_id", F.array_distinct(words).alias("tokens"), F.try_element_at(words, F.lit(1)).alias("first")).where("first IS NOT NULL")
+    tokens = stored(best.select("place_id", F.array_distinct(words).alias("tokens"), F.try_element_at(words, F.lit(1)).alias("first")).where("first IS NOT NULL"), "tokens")
+    each = tokens.select("first", "tokens").distinct().withColumn("word", F.explode("tokens"))
+    rare = each.join(each.groupBy("first", "word").agg(F.count("*").alias("n")), ["first", "word"]).groupBy("first", "tokens").agg(F.min(F.struct("n", "word"))["word"].alias("rare"))
+    met = each.join(rare.select("first", F.col("rare").alias("word")).distinct(), ["first", "word"]).groupBy("first", "tokens").agg(F.collect_set("word").alias("words"))
+    places = stored(tokens.join(rare, ["first", "tokens"]).join(met, ["first", "tokens"]), "words")
     row, col = _cell(F.col("lat"), F.col("lon"), metres)
-    points = entries.join(tokens, "place_id").where("lat IS NOT NULL AND lon IS NOT NULL").select("place_id", "tokens", "first", "lat", "lon").distinct()
-    a = points.withColumns({"row": row, "col": col})
-    b = points.select("first", *(F.col(c).alias(f"__{c}") for c in ("place_id", "tokens", "lat", "lon")), F.explode(F.sequence(row - 1, row + 1)).alias("row"), col.alias("__col"))
-    b = b.withColumn("col", F.explode(F.sequence(F.col("__col") - 1, F.col("__col") + 1)))
-    nested = (F.size(F.array_except("tokens", "__tokens")) == 0) | (F.size(F.array_except("__tokens", "tokens")) == 0)
-    near = geo.haversine(F.col("lat"), F.col("lon"), F.col("__lat"), F.col("__lon")) <= metres
-    edges = a.join(b, ["first", "row", "col"]).where((F.col("place_id") < F.col("__place_id")) & nested & near).select(F.col("place_id").alias("a"), F.col("__place_id").alias("b"))
-    groups = components(edges)
-    return entries.join(groups, entries.place_id == groups.node, "left").withColumn("final_id", F.coalesce("component", "place_id")).drop("node", "component")
+    band, cell = _grid(F.radians("lat"), F.radians("lon"), metres)
+    points = entries.where("lat IS NOT NULL AND lon IS NOT NULL").select("place_id", "lat", "lon").distinct().join(places, "place_id")
+    points = stored(points.withColumns({"row": row, "col": col, "band": band, "cell": cell}), "points")
+    block = ["first", "word", "row", "col"]
+    lowest = (F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    around = points.select("first", F.explode("words").alias("word"), "row", "col", F.col("place_id").alias("lo"), F.col("place_id").alias("hi")).groupBy(*block).agg(*lowest)
+    around = around.withColumn("row", F.explode(F.sequence(F.col("row") - 1, F.col("row") + 1))).withColumn("col", F.explode(F.sequence(F.col("col") - 1, F.col("col") + 1)))
+    live = stored(around.groupBy(*block).agg(*lowest).where("lo < hi").select(*block), "blocks")
+
+    def groups(word: Column) -> DataFrame:
+        box = [f(c).alias(f"{f.__name__}_{c}") for c in ("lat", "lon") for f in (F.min, F.max)]
+        return points.withColumn("word", word).join(live, block, "left_semi").groupBy("first", "word", "tokens", "band", "cell").agg(F.collect_set("place_id").alias("places"), F.collect_set(F.struct("lat", "lon")).alias("points"), *box)
+
+    small, large = stored(groups(F.col("rare")), "held"), groups(F.explode("words"))
+    large = large.select("first", "word", *(F.col(c).alias(f"__{c}") for c in large.columns if c not in ("first", "word")), F.struct("band", F.col("cell").alias("col")).alias("near"))
+    pairs = small.withColumn("near", F.explode(_around(F.col("band"), F.col("cell"), metres))).join(large, ["first", "word", "near"])
+    home, alike = (F.col("band") == F.col("__band")) & (F.col("cell") == F.col("__cell")), F.col("tokens") == F.col("__tokens")
+    once = ~alike | (F.struct("band", "cell") < F.struct("__band", "__cell"))
+    nested = F.size(F.array_except("tokens", "__tokens")) == 0
+    d = metres * MARGIN / (math.pi * geo.RADIUS / 180)
+    wide = d / F.cos(F.radians(F.least(F.greatest(F.abs("min_lat"), F.abs("max_lat")) + d, F.lit(89.9))))
+    close = lambda p: p["lat"].between(F.col("__min_lat") - d, F.col("__max_lat") + d) & p["lon"].between(F.col("__min_lon") - wide, F.col("__max_lon") + wide)
+    near = F.exists("points", lambda p: close(p) & F.exists("__points", lambda q: geo.haversine(p["lat"], p["lon"], q["lat"], q["lon"]) <= metres))
+    pairs = pairs.withColumns({"a": F.array_min("places"), "b": F.array_min("__places")}).where((F.col("a") != F.col("b")) & once & nested).where(home | near)
+    edges = small.select(F.explode("places").alias("a"), F.array_min("places").alias("b")).union(pairs.select("a", "b")).where("a <> b")
+    ids = components(edges)
+    return entries.join(ids, entries.place_id == ids.node, "left").withColumn("final_id", F.coalesce("component", "place_id")).drop("node", "component")
 
 
 def clustered(entries: DataFrame) -> DataFrame:
     """Entries (ordinal, id, name, lat, lon, address, priceRange, description) with name_key, geo_id, place_id and final_id."""
-    return subset_clusters(postcode_clusters(geo_clusters(keyed(entries))))
+    return subset_clusters(stored(postcode_clusters(stored(geo_clusters(keyed(entries)), "geo")), "placed"))
 
 
 def _first_of_each(items: Column, keys: Column) -> Column:
