@@ -281,11 +281,6 @@ def clustered(entries: DataFrame) -> DataFrame:
     return subset_clusters(stored(postcode_clusters(stored(geo_clusters(keyed(entries)), "geo")), "placed"))
 
 
-def _first_of_each(items: Column, keys: Column) -> Column:
-    """Structs of an array that are the first of their key; keys: the same keys as an array. Null and '' are no keys."""
-    return F.filter(items, lambda x, i: (F.coalesce(x["key"], F.lit("")) != "") & (F.array_position(keys, x["key"]) == i + 1))
-
-
 def _first_text(a: Column) -> Column:
     return F.coalesce(F.try_element_at(a, F.lit(1)), F.lit(""))
 
@@ -296,8 +291,8 @@ def merged(entries: DataFrame) -> DataFrame:
     Further columns taken if there: phone, websiteUrl, googleMapsUrl, entryUrl, pageTitle. Descriptions go
     priced first, then longest; near-identical ones, sources of one entryUrl, and URLs and phones of one
     spelling come once. The name is put together of the dishes it was listed under, the simplest name and what
-    the fullest adds. A record holds all appearances of its place, which is what it is for. All keys
-    are made a row at a time, before the appearances are gathered.
+    the fullest adds. A record holds what differs of the appearances of its place, which is what it is for: of each
+    key the first is found by groups of place and key, before any are gathered.
     """
     optional = ["phone", "websiteUrl", "googleMapsUrl", "entryUrl", "pageTitle"]
     rows = entries.withColumns({c: F.lit(None).cast("string") for c in optional if c not in entries.columns})
@@ -305,40 +300,42 @@ def merged(entries: DataFrame) -> DataFrame:
     base = F.col("__split.base")
     rows = rows.join(first, "name_key").withColumn("__split", split_name(F.col("name")))
     address = F.trim(text(F.col("address")))
-    one = F.struct(
-        "__name_first", "place_id", "geo_id", "ordinal",  # the order in which clusters came about
-        "id", "name", "lat", "lon", "priceRange", "description", *optional,
-        F.struct(*primary_order()).alias("rank"), (text(F.col("priceRange")) == "").alias("unpriced"), (-F.length(text(F.col("description")))).alias("length"), description_key(F.col("description")).alias("description_key"),
-        F.when(F.trim(text(F.col("websiteUrl"))) != "", dedupe_key(F.col("websiteUrl"))).alias("url_key"), address.alias("address"), (-address_score(address)).alias("address_rank"),
+    order = F.struct("__name_first", "place_id", "geo_id", "ordinal", F.col("id").cast("string").alias("id"))  # the order in which clusters came about
+    rows = rows.select(
+        "final_id", "id", "name", "lat", "lon", "priceRange", "description", *optional, order.alias("at"), F.struct(*primary_order()).alias("rank"), (text(F.col("priceRange")) == "").alias("unpriced"), (-F.length(text(F.col("description")))).alias("length"),
+        description_key(F.col("description")).alias("description_key"), F.when(F.trim(text(F.col("websiteUrl"))) != "", dedupe_key(F.col("websiteUrl"))).alias("url_key"), address.alias("address"), (-address_score(address)).alias("address_rank"),
         base.alias("base"), F.struct(word_count(base), is_all_caps(base), F.length(base), in_locale(base), base.alias("b")).alias("simple"), F.col("__split.dish").alias("dish"), F.lower("__split.dish").alias("dish_key"),
     )
-    m = rows.groupBy("final_id").agg(F.array_sort(F.collect_list(one)).alias("m"), F.min_by("id", F.struct(*primary_order())).alias("id"))
-    said = F.array_sort(F.transform("m", lambda x, i: F.struct(x["unpriced"], x["length"], i.alias("i"), x["description_key"].alias("key"), x["description"].alias("text"), x["pageTitle"].alias("pageTitle"), x["entryUrl"].alias("entryUrl"))))
-    m = m.withColumns(
-        {
-            "p": F.try_element_at(F.filter("m", lambda x: x["id"] == F.col("id")), F.lit(1)),
-            "said": said,
-            "listed": F.transform("m", lambda x: F.struct(x["entryUrl"].alias("key"), x["name"].alias("name"), x["pageTitle"].alias("pageTitle"), x["entryUrl"].alias("entryUrl"))),
-            "sites": F.transform("m", lambda x: F.struct(x["url_key"].alias("key"), x["websiteUrl"].alias("url"))),
-            "dishes": F.transform("m", lambda x: F.struct(x["dish_key"].alias("key"), x["dish"].alias("dish"))),
-            "bases": F.array_distinct(F.filter(F.col("m.base"), lambda b: b != "")),
-            "core": F.try_element_at(F.array_sort(F.filter(F.col("m.simple"), lambda x: x["b"] != "")), F.lit(1))["b"],
-            "address": F.try_element_at(F.array_sort(F.filter(F.transform("m", lambda x, i: F.struct(x["address_rank"], i.alias("i"), x["address"].alias("a"))), lambda x: x["a"] != "")), F.lit(1))["a"],
-        }
-    )
-    m = m.withColumns({f"{c}_keys": F.col(f"{c}.key") for c in ("said", "listed", "sites", "dishes")})
-    m = m.withColumns({c: _first_of_each(F.col(c), F.col(f"{c}_keys")) for c in ("said", "listed", "sites", "dishes")})
-    filled = lambda name: F.filter(F.col(f"m.{name}"), lambda v: v.isNotNull() & (F.trim(v) != ""))
-    m = m.withColumns({"core": F.coalesce("core", split_name(F.col("p.name"))["base"]), "joined": F.array_join("dishes.dish", "/"), "phones": F.array_distinct(filled("phone")), "websiteUrls": F.col("sites.url")})
+    rows = stored(rows, "appearances")
+    nothing, filled = F.lit(None).cast("string"), lambda name: F.when(F.col(name).isNotNull() & (F.trim(name) != ""), F.col(name))
+    lists = {  # key, what is kept of the first of its key
+        "said": (F.col("description_key"), ("description", "pageTitle", "entryUrl")), "listed": (F.col("entryUrl"), ("name", "pageTitle", "entryUrl")), "sites": (F.col("url_key"), ("websiteUrl",)),
+        "dishes": (F.col("dish_key"), ("dish",)), "bases": (F.col("base"), ("base",)), "phones": (filled("phone"), ("phone",)),
+    }
+    kept = lambda k, cs: F.struct(*(F.when(F.lit(k == "said"), F.col(c)).alias(c) for c in ("unpriced", "length")), "at", *((F.col(cs[i]) if i < len(cs) else nothing).alias(n) for i, n in enumerate("abc")))
+    items = F.array(*(F.struct(F.lit(k).alias("kind"), key.alias("key"), kept(k, cs).alias("item")) for k, (key, cs) in lists.items()))
+    items = rows.select("final_id", F.explode(items).alias("x")).where("x.key <> ''").groupBy("final_id", F.col("x.kind").alias("kind"), F.col("x.key").alias("key")).agg(F.min("x.item").alias("item"))
+    lists = items.groupBy("final_id").agg(*(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("item")))).alias(k) for k in lists))
+    first = lambda c: F.min_by(c, F.when(c.isNotNull(), F.col("at")))
+    ones = rows.groupBy("final_id").agg(
+        F.min_by("id", "rank").alias("id"), F.min(F.when(F.col("base") != "", F.col("simple")))["b"].alias("core"), F.min(F.when(F.col("address") != "", F.struct("address_rank", "at", "address")))["address"].alias("address"),
+        first(filled("priceRange")).alias("priceRange"), first(filled("googleMapsUrl")).alias("maps"),
+    )
+    ones = stored(ones, "records")
+    p = rows.join(ones.select("final_id", "id"), ["final_id", "id"]).groupBy("final_id").agg(F.min_by(F.struct("name", "lat", "lon", "googleMapsUrl", "entryUrl", "pageTitle", "description"), "at").alias("p"))
+    m = ones.join(p, "final_id", "left").join(lists, "final_id", "left")
+    m = m.withColumns({k: F.coalesce(k, F.filter(F.array(F.lit(None).cast(lists.schema[k].dataType.elementType)), lambda x: F.lit(False))) for k in lists.columns if k != "final_id"})
+    pick = lambda items, **fields: F.transform(items, lambda x: F.struct(*(x[f].alias(n) for n, f in fields.items())))
+    m = m.withColumns({"bases": F.col("bases.a"), "phones": F.col("phones.a"), "said": pick("said", text="a", pageTitle="b", entryUrl="c"), "listed": pick("listed", name="a", pageTitle="b", entryUrl="c"), "dishes": pick("dishes", dish="a"), "websiteUrls": F.col("sites.a")})
+    m = m.withColumns({"core": F.coalesce("core", split_name(F.col("p.name"))["base"]), "joined": F.array_join("dishes.dish", "/")})
     fullest = F.aggregate("bases", F.col("core"), lambda best, b: F.when(F.startswith(F.lower(b), F.lower("core")) & (F.length(b) > F.length(best)), b).otherwise(best))
     m = m.withColumns({"namePre": F.when((F.size("dishes") > 0) & (F.size("dishes") <= DISHES) & (F.length("joined") <= DISHES_LENGTH), F.concat("joined", F.lit(" at "))).otherwise(F.lit("")), "namePost": F.substr(fullest, F.length("core") + 1)})
-    pick = lambda items, *fields: F.transform(items, lambda x: F.struct(*(x[f].alias(f) for f in fields)))
     return m.select(
         "id", F.concat("namePre", "core", "namePost").alias("name"), "namePre", F.col("core").alias("nameCore"), "namePost",
-        F.coalesce("address", F.lit("")).alias("address"), F.col("p.lat").alias("lat"), F.col("p.lon").alias("lon"), F.try_element_at(filled("priceRange"), F.lit(1)).alias("priceRange"),
+        F.coalesce("address", F.lit("")).alias("address"), F.col("p.lat").alias("lat"), F.col("p.lon").alias("lon"), "priceRange",
         _first_text(F.col("phones")).alias("phone"), "phones", _first_text(F.col("websiteUrls")).alias("websiteUrl"), "websiteUrls",
-        F.when(text(F.col("p.googleMapsUrl")) != "", F.col("p.googleMapsUrl")).otherwise(_first_text(filled("googleMapsUrl"))).alias("googleMapsUrl"), F.col("p.entryUrl").alias("entryUrl"), F.col("p.pageTitle").alias("pageTitle"),
-        F.coalesce(F.try_element_at(F.col("said.text"), F.lit(1)), F.col("p.description"), F.lit("")).alias("description"), pick("said", "text", "pageTitle", "entryUrl").alias("descriptions"), pick("listed", "name", "pageTitle", "entryUrl").alias("sources"),
+        F.when(text(F.col("p.googleMapsUrl")) != "", F.col("p.googleMapsUrl")).otherwise(F.coalesce("maps", F.lit(""))).alias("googleMapsUrl"), F.col("p.entryUrl").alias("entryUrl"), F.col("p.pageTitle").alias("pageTitle"),
+        F.coalesce(F.try_element_at(F.col("said.text"), F.lit(1)), F.col("p.description"), F.lit("")).alias("description"), F.col("said").alias("descriptions"), F.col("listed").alias("sources"),
     )
 
 
